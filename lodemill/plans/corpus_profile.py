@@ -1,0 +1,23 @@
+"""Corpus profiles over the document table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodemill.registry import query, table
+
+
+@query(
+    "a04",
+    """SELECT source, count(*)::BIGINT AS n_docs, sum(length(text))::BIGINT AS n_chars,
+    median(length(text))::BIGINT AS median_chars, count(DISTINCT lang)::BIGINT AS n_langs
+    FROM documents GROUP BY source""",
+)
+def per_source(spark, sf_dir):
+    """Documents, characters, median length (truncated) and languages of each source."""
+    size = F.length("text")
+    return (
+        table(spark, sf_dir, "documents")
+        .groupBy("source")
+        .agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_chars"), F.median(size).cast("long").alias("median_chars"), F.countDistinct("lang").alias("n_langs"))
+    )
