@@ -119,7 +119,7 @@ def open_file(path: str) -> FrameReader:
 _CHUNK = re.compile(r"\s*\S+|\s+")
 #: The tokens that the byte-level pre-tokenizer makes of a chunk.
 _TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-TABLE_CHUNKS, CHUNK_CHARS = 600_000, 64
+TABLE_CHUNKS, CHUNK_CHARS = 200_000, 64
 #: White space but the space and the line feed, and what only one of Python and the tokenizer calls so.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
