@@ -32,7 +32,7 @@ U64 = np.uint64
 _SEED = np.random.default_rng(20240229)
 _BYTE = _SEED.integers(0, 1 << 64, 256, dtype=U64)
 _BASE = int(_SEED.integers(0, 1 << 64, dtype=U64)) | 1
-_STEP = U64(int(_SEED.integers(0, 1 << 64, dtype=U64)) | 1)
+ROLL = U64(int(_SEED.integers(0, 1 << 64, dtype=U64)) | 1)
 
 
 def _space_table(is_space) -> bytes:
@@ -76,7 +76,7 @@ def _hash_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(raw) + 1, U64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
     value = (total[ends] - total[starts]) * down[starts]
-    return mix(value + (ends - starts).astype(U64) * _STEP), starts
+    return mix(value + (ends - starts).astype(U64) * ROLL), starts
 
 
 def hash_words(texts: list[bytes], table: bytes = SPACED) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def roll(h: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, U64)
     out = h[: len(h) - k + 1].copy()
     for j in range(1, k):
-        out *= _STEP
+        out *= ROLL
         out += h[j : len(h) - k + 1 + j]
     return mix(out + U64(k))
 
@@ -190,7 +190,11 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep what Spark hands to a Python worker at once small; very long texts come alone."""
+    """Keep what Spark hands to a Python worker at once small, and let workers import this package."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):  # a cluster has it installed, or gets it with --py-files
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm import gif, langid, pii, pieces, token_files
+from lodemill.llm import decontaminate, gif, langid, pii, pieces, token_files
 from lodemill.llm.common import Shared
 
 
@@ -31,6 +31,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir), details=False)
 
 
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    index = decontaminate.build_index(docs, items, Shared.create(spark, "benchmark"))
+    return decontaminate.find_contamination(docs, index, keep_items=False)
+
+
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(documents(spark, sf_dir), keep_gif=False)
 
@@ -55,7 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op5_gif, op6_language, op9_pieces, op10_token_files)}
+    return {f.__name__: f for f in (op2_pii, op3_contamination, op5_gif, op6_language, op9_pieces, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
