@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm import decontaminate, gif, langid, pii, pieces, token_files
+from lodemill.llm import decontaminate, gif, jaccard, langid, pii, pieces, token_files
 from lodemill.llm.common import Shared
 
 
@@ -50,6 +50,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(keyed, model, id_col="key").select("key.doc_id", "key.held_out", "lang_pred", "score", "rejected")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir), Shared.create(spark, "jaccard")).drop("fp")
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), keep_ids=False)
 
@@ -61,7 +65,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_contamination, op5_gif, op6_language, op9_pieces, op10_token_files)}
+    return {f.__name__: f for f in (op2_pii, op3_contamination, op5_gif, op6_language, op7_jaccard, op9_pieces, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
