@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm import decontaminate, gif, jaccard, langid, pii, pieces, token_files
+from lodemill.llm import decontaminate, gif, jaccard, langid, lines, pii, pieces, token_files
 from lodemill.llm.common import Shared
 
 
@@ -37,6 +37,12 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(docs, index, keep_items=False)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = lines.line_report(docs, lines.learn(docs, Shared.create(spark, "lines")), keep_text=False)
+    return found.withColumn("dropped", F.array_join("dropped", ","))
+
+
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(documents(spark, sf_dir), keep_gif=False)
 
@@ -65,7 +71,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_contamination, op5_gif, op6_language, op7_jaccard, op9_pieces, op10_token_files)}
+    return {f.__name__: f for f in (op2_pii, op3_contamination, op4_lines, op5_gif, op6_language, op7_jaccard, op9_pieces, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
