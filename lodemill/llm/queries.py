@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm import decontaminate, gif, jaccard, langid, lines, pii, pieces, token_files
+from lodemill.llm import decontaminate, gif, jaccard, langid, lines, ngram_lm, pii, pieces, token_files
 from lodemill.llm.common import Shared
 
 
@@ -27,6 +27,13 @@ def fold_of(column: str, n: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = ngram_lm.train(docs.where(fold_of("doc_id", 7) != 2), Shared.create(spark, "lm"))
+    keyed = docs.select(F.struct("doc_id", (fold_of("doc_id", 7) == 2).alias("held_out")).alias("key"), "text")
+    return ngram_lm.score_texts(keyed, model, id_col="key").select("key.*", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir), details=False)
 
@@ -71,7 +78,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_contamination, op4_lines, op5_gif, op6_language, op7_jaccard, op9_pieces, op10_token_files)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_pii, op3_contamination, op4_lines, op5_gif, op6_language, op7_jaccard, op9_pieces, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
