@@ -147,6 +147,18 @@ def lookup(g: np.ndarray, shared: Shared, shards: int) -> np.ndarray:
 # Sets, prefixes and classes
 
 
+def fingerprints(g: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Two 64-bit fingerprints of each set, in whatever order its hashes are; null for an empty set."""
+    n = np.diff(bounds)
+    full = n > 0
+    total = np.zeros((2, len(n)), U64)
+    if full.any():
+        at = bounds[:-1][full]
+        total[0, full] = np.add.reduceat(mix(g ^ U64(0x5BD1E995)), at)
+        total[1, full] = np.add.reduceat(mix(g + U64(0x27D4EB2F165667C5)), at)
+    return pa.array(signed(mix(total[0] + n.astype(U64))), mask=~full), pa.array(signed(mix(total[1])), mask=~full)
+
+
 def least_overlap(x, y, similar: int = SIMILAR):
     """Smallest overlap of sets of x and y shingles that makes 100 * overlap >= similar * union."""
     return -(-similar * (x + y) // (100 + similar))
@@ -166,14 +178,7 @@ def ordered_sets(docs: DataFrame, id_col: str, text_col: str, shared: Shared, sh
             g, count = g[order], count[order]
             rank = np.arange(len(g)) - bounds[:-1][doc]
             prefix = (rank < (n - -(-similar * n // 100) + 1)[doc]) & (count > 1)
-            full = n > 0
-            total = np.zeros((2, len(texts)), U64)
-            if full.any():
-                at = bounds[:-1][full]
-                total[0, full] = np.add.reduceat(mix(g ^ U64(0x5BD1E995)), at)
-                total[1, full] = np.add.reduceat(mix(g + U64(0x27D4EB2F165667C5)), at)
-            own = signed(mix(total[0] + n.astype(U64)))
-            check = signed(mix(total[1]))
+            own, check = fingerprints(g, bounds)
             shared_only = count > 1
             held = np.concatenate(([0], np.cumsum(shared_only)))[bounds]
             begun = np.concatenate(([0], np.cumsum(prefix)))[bounds]
@@ -183,8 +188,8 @@ def ordered_sets(docs: DataFrame, id_col: str, text_col: str, shared: Shared, sh
                 {
                     "id": batch.column(0),
                     "n": pa.array(n, pa.int64()),
-                    "fp": pa.array(own, mask=~full),
-                    "check": pa.array(check, mask=~full),
+                    "fp": own,
+                    "check": check,
                     "tokens": pa.ListArray.from_arrays(pa.array(begun, pa.int32()), pa.array(tokens)),
                     "shared": pa.array(sets, pa.binary()),
                 }
@@ -338,3 +343,39 @@ def jaccard_components(docs: DataFrame, shared: Shared, id_col: str = "doc_id",
     of_comp = of_class.where("comp is not null").groupBy("comp").agg(F.min("low").alias("least"))
     known = of_class.where("comp is not null or rows > 1").join(of_comp, "comp", "left").select("fp", F.coalesce("least", "low").alias("least"))
     return sets.select("id", "n", "fp").join(known, "fp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "fp")
+
+
+def keep_first(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns as they were: that with the smallest id.
+
+    Of rows with one id in a component one stays. A document without words is a component alone.
+    """
+    found = shared.table(jaccard_components(docs, shared, id_col, text_col), "components")
+    ids = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
+    many = found.where("fp is not null").groupBy(id_col, "component_id").count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count()
+    kept = docs.join(ids, docs[id_col] == ids.gone, "left_anti")
+    return kept if not many else _one_each(docs, found, id_col, text_col)
+
+
+def _one_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same where ids repeat: rows are told apart by their text's set as well."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy(id_col, "__component").orderBy("__fp", F.xxhash64(text_col), text_col)
+    sets = docs.withColumn("__fp", fingerprint_udf()(F.col(text_col)))
+    comps = found.select(F.col(id_col).alias("__id"), F.col("fp").alias("__of"), F.col("component_id").alias("__component")).distinct()
+    placed = sets.join(comps, sets[id_col].eqNullSafe(comps["__id"]) & sets["__fp"].eqNullSafe(comps["__of"]), "left")
+    whole = placed.where(F.col("__fp").isNull())
+    first = placed.where(F.col("__fp").isNotNull() & F.col(id_col).eqNullSafe(F.col("__component"))).withColumn("__turn", F.row_number().over(own)).where("__turn = 1")
+    return first.select(docs.columns).unionByName(whole.select(docs.columns))
+
+
+def fingerprint_udf(size: int = SHINGLE):
+    """The class of a text's set, as in ``jaccard_components``."""
+
+    @F.pandas_udf("long")
+    def of(texts):
+        g, bounds = shingle_sets([(t or "").encode() for t in texts], size)
+        return fingerprints(g, bounds)[0].to_pandas().astype("Int64")
+
+    return of

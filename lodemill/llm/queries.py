@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm import decontaminate, gif, jaccard, langid, lines, ngram_lm, pii, pieces, token_files
+from lodemill.llm import decontaminate, gif, jaccard, langid, lines, ngram_lm, pii, pieces, sharding, token_files
 from lodemill.llm.common import Shared
 
 
@@ -67,6 +67,14 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir), Shared.create(spark, "jaccard")).drop("fp")
 
 
+#: Bytes of text in a shard of the query, at most.
+SHARD_LIMIT = 1 << 18
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir), SHARD_LIMIT, Shared.create(spark, "shards"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), keep_ids=False)
 
@@ -78,8 +86,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op2_pii, op3_contamination, op4_lines, op5_gif, op6_language, op7_jaccard, op9_pieces, op10_token_files)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_pii, op3_contamination, op4_lines, op5_gif, op6_language, op7_jaccard, op8_sharding, op9_pieces, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_sharding": sharding.shard_sql(SHARD_LIMIT)}
