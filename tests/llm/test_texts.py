@@ -1,0 +1,231 @@
+"""Operators on single texts: against the libraries, exact round trips, brute force and held-out accuracy."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodemill.llm import common, gif, langid, pieces, pii, token_files
+from lodemill.llm.common import Shared
+from lodemill.llm.queries import tokenizer_file
+
+DOC = "doc_id long, text string"
+ODD = ["a  b", "  a", "a ", "", " ", "a\tb", "▁a", "a▁b", "\x00", "\r\n \n", " x ", "<unk> </s>", "é ñ", "a\x1cb\x1d c", "x\u0085y z", "​ a", "﻿", "  \n\n  a", " 　 b", "<|endoftext|>", "it's 'll", "🙂 👩‍👩 x", "\n", "a\n", "\na", "a\n b", "a \nb", "a,b. c, d"]
+
+
+def noise(seed, alphabet, n=3000, size=30):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(size))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+
+
+def test_word_hashes():
+    raw = [bytes(random.Random(k).choice(b"ab \n\x00\xc3\xa9AB.") for _ in range(k % 40)) for k in range(900)] + [b"word " * 300_000, b"x" * 2_500_000, b"", b"end"]
+    h, bounds = common.hash_words(raw)
+    names = {}
+    for k, text in enumerate(raw):
+        found = text.lower().split()
+        assert len(found) == bounds[k + 1] - bounds[k]
+        for w, x in zip(found, h[bounds[k] : bounds[k + 1]].tolist(), strict=True):
+            assert names.setdefault(w, x) == x
+    assert len(set(names.values())) == len(names)
+
+
+def test_packed_arrays():
+    keys, n = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)), np.arange(500, dtype=np.uint8)
+    a, b = common.unpack(common.pack(keys, n))
+    assert (a == keys).all() and (b == n).all()
+
+
+def test_pieces_equal_the_library(texts):
+    table = pieces.ChunkTable(tokenizer_file("piece_bpe_32k.model"))
+    assert not table.whole
+    every = ODD + noise(1, " \n\ta1'.é▁ 　Z🙂") + noise(2, " abé\n.,") + texts
+    want = table.model.encode(every)
+    assert table.encode(every) == [",".join(map(str, x)) for x in want]
+
+
+def test_pieces_query(spark, texts):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    rows = [(k, t) for k, t in enumerate([*ODD, *texts[:20]])] + [(None, None), (5, "x"), (5, "x")]
+    d = spark.createDataFrame(rows, DOC).withColumn("n_tokens", F.lit("clash"))
+    got = sorted((tuple(r) for r in pieces.encode_decode(d, tokenizer_file("piece_bpe_32k.model")).collect()), key=str)
+    want = []
+    for key, text in rows:
+        ids = model.encode(text or "")
+        back = model.decode(ids)
+        want.append((key, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), ids, back))
+    assert got == sorted(want, key=str)
+
+
+def test_byte_table_equals_the_library(texts):
+    table = token_files.ByteTable(tokenizer_file("byte_bpe_50k.json"))
+    assert table.safe
+    every = ODD + noise(3, " \n\ta1'.é 　\x1c\u0085Z🙂") + noise(4, " \na1'.,éZ") + noise(5, " abé\n.,") + texts
+    assert table.encode(every) == table._plain(every)
+
+
+def test_token_files(spark, texts):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    model.encode_special_tokens = True  # a text has no special tokens, only their strings
+    rows = [(3 * k % 101, t) for k, t in enumerate([*ODD, *texts[:60]])] + [(None, None)]
+    shared = Shared.create(spark, "t")
+    files = token_files.write_files(spark.createDataFrame(rows, DOC).withColumn("k", F.lit(0)), tokenizer_file("byte_bpe_50k.json"), shared)
+    got = sorted((tuple(r) for r in token_files.read_files(spark, files, shared).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((k for k, _ in rows), key=lambda k: -1 if k is None else k)
+    start = 0
+    by_id = {k: [*model.encode(t or "", add_special_tokens=False).ids, 0] for k, t in rows}
+    for key, at, n, check, ids in got:
+        assert (at, ids) == (start, by_id[key])
+        assert (n, check) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += n
+    assert token_files.read_files(spark, token_files.write_files(spark.createDataFrame([], DOC), tokenizer_file("byte_bpe_50k.json"), shared), shared).count() == 0
+
+
+def test_one_document_is_read_alone(tmp_path):
+    out = token_files.FrameWriter(frame_bytes=64)
+    data = {k: np.arange(k, dtype="<u4").tobytes() for k in range(40)}
+    for k, ids in data.items():
+        out.add(k, ids)
+    raw = bytearray(out.finish())
+    touched = []
+    reader = token_files.FrameReader(lambda at, n: touched.append((at, n)) or bytes(raw[at : at + n]), len(raw))
+    before = len(touched)
+    assert reader.read(reader.docs[20]) == data[20]
+    assert len(touched) == before + 1
+    at, packed, *_ = reader.frames[-1]
+    raw[at + packed - 1] ^= 1
+    with pytest.raises(Exception):  # noqa: B017  either library may notice
+        reader.read(reader.docs[-1])
+
+
+RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+VALID = {"email": lambda s: True, "ip": lambda s: all(int(x) <= 255 for x in s.split(".")), "card": pii._is_card, "phone": pii._is_phone}
+
+
+def test_base_spans(texts):
+    for t in texts + noise(7, "a1.@-+ 2(5)%", 8000, 60) + ["4111 1111 1111 1111", "@a.b x@a.b@c.d", "1.2.3.4.5.6.7.8", "0256.1.1.1 001.2.3.255", "1" * 5000]:
+        want = [(k, *m.span()) for k in RULES for m in re.finditer(RULES[k], t) if VALID[k](m.group())]
+        assert [s[:3] for s in pii.find_spans(t) if s[0] in pii.BASE_KINDS] == want
+
+
+def test_checksums_and_context():
+    found = pii.find_spans("IBAN DE89 3704 0044 0532 0130 00 ok, ssn 123-45-6789, call (974) 555-3436")
+    assert [s[0] for s in found] == ["iban", "ssn", "national_phone"]
+    assert pii.find_spans("DE88 3704 0044 0532 0130 00, part 123-45-6789 of (974) 555-3436") == []
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+
+
+def test_personal_data_rows(spark):
+    d = spark.createDataFrame([(1, None), (2, ""), (None, "x@y.zz"), (2, "")], DOC).withColumn("spans", F.lit(1))
+    got = {(r["doc_id"], r["n_email"], r["spans"]) for r in pii.find_personal_data(d).collect()}
+    assert got == {(1, 0, ""), (2, 0, ""), (None, 1, "email:0:6")}
+    assert pii.find_personal_data(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 100, 3000, 9216, 70000])
+def test_lzw_round_trip(n):
+    rng = random.Random(n)
+    for data in (rng.randbytes(n), b"a" * n, bytes(rng.choice(b"ab") for _ in range(n))):
+        assert gif.lzw_decode(gif.lzw_encode(data), 8, n) == data
+    small = bytes(rng.randrange(4) for _ in range(n))
+    assert gif.lzw_decode(gif.lzw_encode(small, 2), 2, n) == small
+
+
+def slow_lzw(data, bits):
+    """A decoder that reads bit by bit."""
+    clear, out, table, width, held, n, last = 1 << bits, [], None, bits + 1, 0, 0, None
+    for byte in data:
+        held |= byte << n
+        n += 8
+        while n >= width:
+            code, held, n = held & (1 << width) - 1, held >> width, n - width
+            if code == clear:
+                table, width, last = [bytes([k]) for k in range(clear)] + [b"", b""], bits + 1, None
+                continue
+            if code == clear + 1:
+                return b"".join(out)
+            entry = table[code] if code < len(table) else last + last[:1]
+            if last is not None and len(table) < 4096:
+                table.append(last + entry[:1])
+            if len(table) == 1 << width and width < 12:
+                width += 1
+            out.append(entry)
+            last = entry
+    return b"".join(out)
+
+
+def test_streams_are_plain_lzw():
+    for data in (random.Random(1).randbytes(30_000), b"abc" * 9000):
+        assert slow_lzw(gif.lzw_encode(data), 8) == data
+
+
+def animation():
+    palette = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
+    out = b"GIF89a" + bytes([4, 0, 4, 0, 0x81, 0, 0]) + palette
+
+    def image(pixels, place, disposal, transparent=None, interlace=False, delay=5):
+        control = bytes([disposal << 2 | (transparent is not None), delay, 0, transparent or 0])
+        head = b"".join(v.to_bytes(2, "little") for v in place) + bytes([0x40 if interlace else 0])
+        return b"\x21\xf9\x04" + control + b"\0\x2c" + head + b"\x02" + gif._blocks(gif.lzw_encode(bytes(pixels), 2))
+
+    out += image([0] * 16, (0, 0, 4, 4), 1)
+    out += image([1, 3, 3, 1], (1, 1, 2, 2), 3, transparent=3)
+    out += image([2] * 4, (0, 0, 2, 2), 2)
+    out += image([k // 4 % 4 for k in range(16)], (0, 0, 4, 4), 0, interlace=True)
+    return out + b"\x3b"
+
+
+def test_disposal_transparency_and_interlace():
+    red, green, blue = (255, 0, 0, 255), (0, 255, 0, 255), (0, 0, 255, 255)
+    one, two, three, four = list(gif.decode(animation()))
+    assert (one.canvas == red).all()
+    assert tuple(two.canvas[1, 1]) == green and tuple(two.canvas[1, 2]) == red
+    assert tuple(three.canvas[0, 0]) == blue and tuple(three.canvas[1, 1]) == blue and tuple(three.canvas[2, 2]) == red
+    assert [tuple(four.canvas[k, 0]) for k in (0, 2, 1, 3)] == [red, green, blue, (9, 9, 9, 255)]
+    assert [f.start_ms for f in (one, two, three, four)] == [0, 50, 100, 150]
+    assert sum(gif.histogram(one)) == 48
+
+
+def test_gif_columns(spark):
+    d = spark.createDataFrame([(1, animation()), (2, None), (3, b"no")], "doc_id long, gif binary")
+    rows = gif.frames_column(d, "doc_id", "gif").collect()
+    assert sorted((r["doc_id"], r["frame"] is not None) for r in rows) == [(1, True)] * 4 + [(2, False), (3, False)]
+    texts = [(1, None), (2, ""), (3, "x" * 20_000), (None, "é"), (4, "x" * 20_000)]
+    got = {r["doc_id"]: r for r in gif.store_texts(spark.createDataFrame(texts, DOC).withColumn("gif", F.lit(1))).collect()}
+    for key, text in texts:
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        r = got[key]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(payload[-32:])
+        assert gif.payload_of(r["gif"])[0] == payload
+    assert got[3][1:] == got[4][1:]
+
+
+def test_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = langid.train(docs, usable=fold != 1)
+    got = langid.identify(docs.where(fold == 1), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) / len(got) > 0.97
+    assert sum(r["rejected"] for r in got) / len(got) < 0.01
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !?"), (3, "12 34 !?"), (None, "the and of the")], DOC).withColumn("score", F.lit(0))
+    found = sorted((tuple(r) for r in langid.identify(odd, model).collect()), key=str)
+    assert [r[1] for r in found if r[0] is not None] == ["und"] * 4 and [r[1] for r in found if r[0] is None] == ["en"]
+    kept = langid.keep_identified(odd.withColumn("lang", F.lit(None).cast("string")), model).collect()
+    assert [(r["doc_id"], r["lang"]) for r in kept] == [(None, "en")]
+    with pytest.raises(ValueError, match="no labelled text"):
+        langid.train(docs.limit(0))
