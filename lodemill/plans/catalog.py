@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from lodemill.plans import corpus_profile  # noqa: F401
+from lodemill.plans import code, commits, corpus, dataset, evaluation, posture, ranking, scalars, texts, topics  # noqa: F401
