@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodemill.operators.checks import require
+
 
 def seeded(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """N rows at random, the same for one seed however the rows are dealt out."""
@@ -17,6 +19,8 @@ def balanced(rows: DataFrame, per_repo: int, per_folder: int, seed: int = 42, re
 
     Caps count accepted rows alone, so a repository is gone through in order; it is one task's work.
     """
+    require("per_repo", per_repo, 1)
+    require("per_folder", per_folder, 1)
     keyed = rows.withColumn("__turn", F.xxhash64(F.col(repository), F.col(path), F.lit(seed)))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:

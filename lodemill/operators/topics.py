@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodemill.functions.regex import all_matches
+
 
 def centroids(rows: DataFrame, topic: str, vector: str) -> DataFrame:
     """Mean vector of each topic, one row a topic; sums are built up in the map tasks."""
@@ -73,7 +75,7 @@ def keywords(rows: DataFrame, topic: str, text: str, least_docs: int = 3, most_s
     f is the term's count over all topics and A the mean number of terms in a topic. Terms are
     words of three characters and more and pairs of them; those in too few or too many texts go.
     """
-    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\b[a-z][a-z0-9_-]{2,}\b"), F.lit(0)), lambda w: ~w.isin(list(stop_words)) if stop_words else F.lit(True))
+    words = F.filter(all_matches(F.lower(F.col(text)), r"\b[a-z][a-z0-9_-]{2,}\b"), lambda w: ~w.isin(list(stop_words)) if stop_words else F.lit(True))
     held = rows.select(topic, words.alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda k: F.when(F.size("w") > 1, F.concat_ws(" ", F.element_at("w", k.cast("int")), F.try_element_at("w", (k + 1).cast("int")))))
     terms = held.select(topic, F.monotonically_increasing_id().alias("d"), F.concat("w", F.array_compact(pairs)).alias("t"))

@@ -162,3 +162,18 @@ def s16(spark, sf_dir):
     """Records whose keys are not known yet."""
     events = table(spark, sf_dir, "events")
     return dedupe.only_new(events, events.where("event_type = 'view'"), ["event_id"]).select("event_id")
+
+
+@query("p18", "SELECT * FROM (VALUES (1, FALSE), (5, TRUE), (11, FALSE)) AS v(n, ok)")
+def p18(spark, sf_dir):
+    """Arguments outside their range are refused."""
+    from lodemill.operators.checks import require
+
+    def ok(n: int) -> bool:
+        try:
+            require("n", n, 2, 10)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(n, ok(n)) for n in (1, 5, 11)], "n int, ok boolean")

@@ -116,7 +116,10 @@ def s27(spark, sf_dir):
 FILES = values("(1,'a\nb\nc\nd','@@ -2,1 +2,2 @@ x'),(2,'short',NULL),(3,'',NULL)", "id, body, patch")
 
 
-@query("f26")
+_RANGE = "SELECT '# lines 1-28' || chr(10) || string_agg(k || '| line ' || k, chr(10) ORDER BY k) FROM range(1, 29) AS r(k)"
+
+
+@query("f26", f"SELECT 1 AS id, ({_RANGE}) AS snippet, 'hunks' AS mode UNION ALL SELECT 2, 'short', 'full_file' UNION ALL SELECT 3, '', 'empty'")
 def f26(spark, sf_dir):
     """numbered snippets around changes."""
     rows = table_of(spark, FILES).withColumn("body", F.when(F.col("id") == 1, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(900)), lambda k: F.concat(F.lit("line "), k.cast("string"))), "\n")).otherwise(F.col("body")))
@@ -131,6 +134,45 @@ def s06(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", decoded(F.base64(F.encode("text", "UTF-8"))).alias("text"))
 
 
+@query("s29", "SELECT doc_id, CAST(length(text) AS INTEGER) AS parent_n, CAST(length(text) + 2 AS INTEGER) AS fix_n FROM documents WHERE doc_id % 10 = 0")
+def s29(spark, sf_dir):
+    """Both versions of a file from base64 content, joined into a pair."""
+    from lodemill.sources.readers import decoded
+
+    files = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("parent"), F.base64(F.encode(F.concat("text", F.lit("\n#")), "UTF-8")).alias("fix"))
+    parent, fix = files.select("doc_id", decoded(F.col("parent")).alias("a")), files.select("doc_id", decoded(F.col("fix")).alias("b"))
+    return parent.join(fix, "doc_id").where("a <> b").select("doc_id", F.length("a").alias("parent_n"), F.length("b").alias("fix_n"))
+
+
+@query("s14", "SELECT * FROM (VALUES ('docs/a.MD'), ('b.rst')) AS v(path)")
+def s14(spark, sf_dir):
+    """Files by extension, without unsafe and hidden paths."""
+    from lodemill.sources.readers import has_extension, is_safe_path
+
+    rows = spark.createDataFrame([("docs/a.MD",), ("b.rst",), ("../c.md",), (".git/d.md",), ("/e.md",), ("noext",), ("x.py",)], "path string")
+    return rows.where(has_extension(F.col("path"), [".md", ".rst"]) & is_safe_path(F.col("path")))
+
+
+CATALOGUE = """  - id: "VULN-1"
+    cwe_id: "CWE-79"
+    sink_patterns:
+      python: ["a(", "b("]
+  - id: "VULN-2"
+    cwe_id: "CWE-89"
+exclusions:
+  - id: "VULN-3"
+"""
+
+
+@query("s17", "SELECT * FROM (VALUES ('VULN-1', 'CWE-79', 'a(; b('), ('VULN-2', 'CWE-89', '')) AS v(id, cwe_id, sinks)")
+def s17(spark, sf_dir):
+    """A catalogue's entries up to its exclusions."""
+    from lodemill.sources.readers import parse_catalogue
+
+    entries = [(e["id"], e["cwe_id"], "; ".join(e.get("sink_patterns", {}).get("python", []))) for e in parse_catalogue(CATALOGUE)]
+    return spark.createDataFrame(entries, "id string, cwe_id string, sinks string")
+
+
 @query("s11")
 def s11(spark, sf_dir):
     """Rows as JSON lines."""

@@ -174,7 +174,20 @@ def t04(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.strip_names(F.col("text"), F.lit("the/and")).alias("text"))
 
 
-@query("t05")
+def _type_sql() -> str:
+    """The rules in order; a look-ahead is written as a second test."""
+    out = "CASE"
+    for label, pattern in D.DOC_TYPES:
+        if "(?!" in pattern:
+            head = pattern.split("(?!")[0]
+            test = f"regexp_matches(path, '{head}[^/]+/', 'i') AND NOT regexp_matches(path, '{head}en([-_][a-z]+)?/', 'i')"
+        else:
+            test = f"regexp_matches(path, '{pattern}', 'i')"
+        out += f" WHEN {test} THEN '{label}'"
+    return out + f" WHEN regexp_matches(path, '{D.DOCS_SITE}', 'i') THEN '{D.DOCS_SITE_LABEL}' ELSE '{D.OTHER_LABEL}' END"
+
+
+@query("t05", with_fixture("t", PATHS, f"SELECT id, {_type_sql()} AS doc_type FROM t"))
 def t05(spark, sf_dir):
     """Document types."""
     return table_of(spark, PATHS).select("id", X.doc_type(F.col("path")).alias("doc_type"))
@@ -200,7 +213,7 @@ def a28(spark, sf_dir):
     return spark.createDataFrame([("Y",), ("Maybe",), ("N",)], "class string").join(held.groupBy("class").agg(F.count("*").alias("n")), "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("t07")
+@query("t07", "SELECT * FROM (VALUES (1, 'x = 1'), (2, 'var u = \"http://a\";'), (3, 's = \"# kept\"')) AS v(id, code)")
 def t07(spark, sf_dir):
     """Code without comments."""
     from lodemill.functions.comments import strip_comments
@@ -209,7 +222,7 @@ def t07(spark, sf_dir):
     return table_of(spark, codes).select("id", strip_comments(F.col("code"), F.col("lang")).alias("code"))
 
 
-@query("t08")
+@query("t08", "SELECT * FROM (VALUES (1, 'bad()', 'ok'), (2, 'x', 'y'), (3, NULL, NULL)) AS v(id, vulnerable, secure)")
 def t08(spark, sf_dir):
     """The best fenced block of each side."""
     from lodemill.functions.fences import fenced_pair
@@ -218,6 +231,15 @@ def t08(spark, sf_dir):
     return rows.select("id", fenced_pair(F.col("text"), F.lit("javascript")).alias("p")).select("id", "p.*")
 
 
+@query("r06", "SELECT * FROM (VALUES (1, 'short'), (2, NULL)) AS v(id, best)")
+def r06(spark, sf_dir):
+    """The best block: file ending and language count more than length; manifests are passed over."""
+    from lodemill.functions.fences import best_block
+
+    rows = spark.createDataFrame([(1, [("js", "package.json", "x" * 50), ("", "a.md", "y" * 900), ("py", "b.py", "long " * 9), ("js", "c.js", "short\n")]), (2, [])], "id int, blocks array<struct<lang:string,title:string,body:string>>")
+    return rows.select("id", best_block(F.col("blocks"), F.lit("javascript")).alias("best"))
+
+
 @query("t09", "SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def t09(spark, sf_dir):
     """The first assistant turn."""

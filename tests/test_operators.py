@@ -158,3 +158,29 @@ def test_resume(spark, tmp_path):
         spark.createDataFrame([("r", "b", "p", s, "c") for s in shas], schema).coalesce(1).write.mode("append").json(str(source))
         append_new(spark.readStream.schema(schema).json(str(source)), target, str(tmp_path / f"state{k}")).awaitTermination()
     assert sorted(r["sha"] for r in spark.read.parquet(target).collect()) == ["1", "2", "3"]
+
+
+def test_topic_keywords(spark):
+    import collections
+    import math
+    import re
+
+    texts = [("a", "red fox runs, red fox"), ("a", "red fox naps"), ("b", "blue été whale sings"), ("b", "blue whale"), ("b", "red whale"), ("a", None), ("b", "x")]
+    tf, docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for topic, text in texts:
+        w = re.findall(r"(?u)\b[a-z][a-z0-9_-]{2,}\b", (text or "").lower())
+        terms = w + [f"{x} {y}" for x, y in zip(w, w[1:])]
+        tf[topic].update(terms)
+        docs.update(set(terms))
+    keep = {t for t, n in docs.items() if 2 <= n <= 0.9 * len(texts)}
+    size = {k: sum(n for t, n in c.items() if t in keep) for k, c in tf.items()}
+    mean = sum(size.values()) / len(size)
+    total = collections.Counter(t for c in tf.values() for t in c.elements())
+    want = {(k, t): math.sqrt(n / size[k]) * math.log(1 + mean / total[t]) for k, c in tf.items() for t, n in c.items() if t in keep}
+    got = {(r["lang"], r["term"]): r["score"] for r in topics.keywords(spark.createDataFrame(texts, "lang string, text string"), "lang", "text", 2).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_samples_refuse_bad_caps(spark):
+    with pytest.raises(ValueError, match="per_repo"):
+        sampling.balanced(spark.createDataFrame([], "repository string, path string"), 0, 1)
