@@ -77,7 +77,7 @@ HEADED = r"(?:^|\n)(?:#{1,4}|\*\*)\s*([^\n]{0,80}%s[^\n]{0,80})\s*(?:\*\*)?\s*\n
 # Provenance of samples; the first rule whose source part or id part is there.
 PROVENANCE = [
     (["Meta-CyberSecEval-Instruct"], ["^META_CYBERSEC"], ("meta_cyberseceval_instruct.json (Bhatt et al., 2024)", "synthetic_manual", "Meta CyberSecEval 2 instruct evaluation test case from meta_cyberseceval_instruct.json")),
-    (["CodeLens"], ["^SEC_PY_CWE", "^SEC_JS_CWE", "^SEC_TS_CWE", "^SEC_PY_LLM", "^SEC_JS_LLM"], ("benchmark_security_cwe_owasp.json (CodeLens Team Curated)", "synthetic_manual", "Handcrafted security test case by the project team")),
+    ([], ["^SEC_PY_CWE", "^SEC_JS_CWE", "^SEC_TS_CWE", "^SEC_PY_LLM", "^SEC_JS_LLM"], ("benchmark_security_cwe_owasp.json (Team Curated)", "synthetic_manual", "Handcrafted security test case by the project team")),
     (["Semgrep"], ["^SEMGREP_"], ("opensource_benchmark_security.json (Semgrep Rule Test Suite)", "real_repo", "Test fixture from semgrep/semgrep-rules test suite")),
     (["CVEfixes"], ["^CVEFIXES_", "^SEC_PY_CVE_"], ("hitoshura25_cvefixes_all.parquet (Bhandari et al., MSR 2021)", "real_repo", "Authentic CVE vulnerability commit patch from open-source GitHub repository")),
     (["PyGoat"], ["PYGOAT"], ("pygoat_mitre.py (OWASP PyGoat Project)", "real_repo", "Vulnerable endpoint from OWASP PyGoat security training project")),
