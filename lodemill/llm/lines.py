@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import ROLL, SPACED, U64, Shared, find, hash_words, map_arrow, mix, shard_of, shards_for, signed, unsigned
+from lodemill.llm.common import ROLL, SPACED, U64, Shared, hash_words, map_arrow, mix, shards_for, signed
+from lodemill.llm.lookup import look_up, save_sorted
 
 #: Words from which a line may go, and from which it goes for a line that is near.
 SAME_WORDS, NEAR_WORDS = 4, 10
@@ -119,49 +120,6 @@ def _tie(texts: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts], np.int64)
 
 
-def _save_sorted(df: DataFrame, names: list[str], shared: Shared, label: str, shards: int) -> None:
-    """Sorted arrays of long columns by shard of the first; small enough to be mapped in parts."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        held = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches if b.num_rows]
-        if not held:
-            return
-        every = np.concatenate(held, axis=1)
-        keys = unsigned(every[0])
-        order = np.argsort(keys)
-        keys, every = keys[order], every[:, order]
-        which = shard_of(keys, shards)
-        edges = np.searchsorted(which, np.arange(shards + 1))
-        for s in np.unique(which):
-            for k, name in enumerate(names):
-                part = every[k, edges[s] : edges[s + 1]]
-                shared.save(f"{label}-{name}-{s}", part.view(U64) if k == 0 else part)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32())})
-
-    bits = shards.bit_length() - 1
-    shard = F.shiftrightunsigned(F.col(names[0]), 64 - bits) if bits else F.lit(0)
-    made = {r["shard"] for r in map_arrow(df.select(names).repartition(shards, shard), run, "shard int").collect()}  # one row for each shard
-    for s in set(range(shards)) - made:
-        for k, name in enumerate(names):
-            shared.save(f"{label}-{name}-{s}", np.zeros(0, U64 if k == 0 else np.int64))
-
-
-def _look(keys: np.ndarray, shared: Shared, label: str, names: list[str], shards: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Whether each key is stored, and its other columns."""
-    hit = np.zeros(len(keys), bool)
-    values = [np.zeros(len(keys), np.int64) for _ in names[1:]]
-    which = shard_of(keys, shards)
-    order = np.argsort(which, kind="stable")
-    edges = np.searchsorted(which[order], np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(edges)):
-        rows = order[edges[s] : edges[s + 1]]
-        at, ok = find(shared.load(f"{label}-{names[0]}-{s}"), keys[rows])
-        hit[rows] = ok
-        for k, name in enumerate(names[1:]):
-            values[k][rows[ok]] = shared.load(f"{label}-{name}-{s}")[at[ok]]
-    return hit, values
-
-
 class Rules:
     """Which lines go: files that ``learn`` wrote."""
 
@@ -173,9 +131,9 @@ class Rules:
         keep = np.ones(len(lines.doc), bool)
         long = np.flatnonzero(lines.n >= SAME_WORDS)
         keys, check = lines.key[long], signed(lines.check[long])
-        hit, (own,) = _look(keys, self.shared, "gone", ["key", "check"], self.shards)
+        hit, (own,) = look_up(keys, self.shared, "gone", ["key", "check"], self.shards)
         keep[long[hit & (own == check)]] = False
-        hit, (own, doc, tie, pos) = _look(keys, self.shared, "first", ["key", "check", "id", "tie", "pos"], self.shards)
+        hit, (own, doc, tie, pos) = look_up(keys, self.shared, "first", ["key", "check", "id", "tie", "pos"], self.shards)
         ties = _tie(texts)
         later = hit & (own == check) & ~((doc == ids[lines.doc[long]]) & (tie == ties[lines.doc[long]]) & (pos == lines.pos[long]))
         keep[long[later]] = False
@@ -205,15 +163,16 @@ def learn(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str
     place = F.struct("id", "tie", "pos")
     halves = rows.select("key", F.explode("halves").alias("half"))
     both = halves.groupBy("half").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("half")
-    likely = halves.join(both, "half", "left_semi").select("key").distinct()
-    _save_sorted(likely, ["key"], shared, "likely", shards)
+    save_sorted(both, ["half"], shared, "halves", shards)
 
     def neighbours(batches) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
             lines = Lines(_texts(batch.column(1)))
             long = np.flatnonzero(lines.n >= NEAR_WORDS)
-            hit, _ = _look(lines.key[long], shared, "likely", ["key"], shards)
+            halves = lines.halves(long)
+            hit, _ = look_up(halves.ravel(), shared, "halves", ["half"], shards)
+            hit = hit.reshape(halves.shape).any(axis=1)
             _, at = np.unique(lines.key[long[hit]], return_index=True)
             chosen = np.array([k for k in long[hit][at] if int(lines.key[k]) not in done], np.int64)
             done.update(int(x) for x in lines.key[chosen])
@@ -243,9 +202,9 @@ def learn(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str
 
     gone = shared.table(map_arrow(pairs, verify, "key long").distinct(), "gone-keys")
     checks = rows.join(gone, "key", "left_semi").select("key", "check").distinct()
-    _save_sorted(checks, ["key", "check"], shared, "gone", shards)
+    save_sorted(checks, ["key", "check"], shared, "gone", shards)
     repeated = rows.groupBy("key", "check").agg(F.min(place).alias("at"), F.count("*").alias("times")).where("times > 1")
-    _save_sorted(repeated.select("key", "check", "at.*"), ["key", "check", "id", "tie", "pos"], shared, "first", shards)
+    save_sorted(repeated.select("key", "check", "at.*"), ["key", "check", "id", "tie", "pos"], shared, "first", shards)
     return Rules(shared, shards)
 
 
