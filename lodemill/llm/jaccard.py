@@ -20,11 +20,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemill.llm.common import SPACED, U64, Shared, bound_batches, find, gathered, hash_words, map_arrow, mix, pack, roll, shard_of, shards_for, signed, sum_by_key, unpack, utf8
 from lodemill.llm.graph import components
+from lodemill.llm.lookup import look_up, save_sorted
 
 #: Words of a shingle, and the similarity from which sets link, in hundredths.
 SHINGLE, SIMILAR = 5, 75
@@ -32,8 +34,8 @@ SHINGLE, SIMILAR = 5, 75
 COUNT_BITS = 48
 #: Hashes gathered before a sorted run is given out; sets in one trie.
 RUN, TRIE_SETS = 1 << 20, 32
-#: Pivots of each shingle from the second round on.
-PIVOTS = (8, 64, 512, 1 << 31)
+#: Rounds in which a class is compared with two pivots at most, and then pivots of each shingle.
+SINGLE_ROUNDS, PIVOTS = 4, (4, 32, 256, 1 << 31)
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -289,6 +291,77 @@ def _chunks(rows, size: int):
         yield part
 
 
+# Rounds of candidates
+
+
+def prefix_entries(classes: DataFrame) -> DataFrame:
+    """(token, fp, n, at, comp, deg) of the shingles that several classes have in their prefixes.
+
+    ``at`` is the place in the order, ``comp`` the component and ``deg`` the number of links, so far.
+
+    Of shingles that the very same classes hold, only the first in the order is kept: a pair meets
+    at its first common shingle.
+    """
+    first = F.col("n") - F.octet_length("shared") / 8
+    entries = classes.select("fp", "n", first.cast("long").alias("first"), F.posexplode("tokens").alias("k", "token")).select("token", "fp", "n", (F.col("first") + F.col("k")).alias("at"))
+    held = entries.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by("at", "fp").alias("at_lo"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("lo <> hi")
+    kept = held.groupBy("c", "x", "y", "lo", "hi").agg(F.min_by("token", "at_lo").alias("token")).select("token")
+    return entries.join(kept, "token").withColumns({"comp": F.col("fp"), "deg": F.lit(0).cast("long")})
+
+
+def _can_link(similar: int) -> Column:
+    """Whether classes (n, at) and (m, to) can link if this is the first shingle that they have in common."""
+    need = f"ceil({similar} * (n + m) / {100 + similar})"
+    return F.expr(f"100 * least(n, m) >= {similar} * greatest(n, m) and n - at >= {need} and m - to >= {need}")
+
+
+def _pair() -> list[Column]:
+    return [F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b")]
+
+
+def one_each(left: DataFrame, turn: int, similar: int) -> DataFrame:
+    """For each class two pivots at most: of its shingles' most linked classes one, of their lowest components another.
+
+    What copies have in common links with more of them than they do with each other.
+    """
+    seat = F.struct("comp", "fp", "n", "at")
+    hub = F.struct("deg", "comp", "fp", "n", "at")
+    ends = left.groupBy("token").agg(F.min(seat).alias("lo"), F.max(hub).alias("hi"))
+    out = None
+    for end in ("lo", "hi"):
+        pivot = ends.select("token", F.col(f"{end}.comp").alias("other"), F.col(f"{end}.fp").alias("p"), F.col(f"{end}.n").alias("m"), F.col(f"{end}.at").alias("to"), (F.col("hi.deg") if end == "hi" else F.lit(0)).alias("weight"))
+        met = left.join(pivot, "token").where("comp <> other").where(_can_link(similar))
+        first = F.struct(-F.col("weight"), F.xxhash64("p", F.lit(turn)))
+        best = met.groupBy("fp").agg(F.min_by("p", first).alias("p")).select(*_pair())
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def by_rank(left: DataFrame, pivots: int, similar: int) -> DataFrame:
+    """For each shingle its first pivots against the classes of other components: one of each component first."""
+    chosen = _placed(left).where(F.col("place") <= pivots).select("token", F.col("comp").alias("other"), F.col("fp").alias("p"), F.col("n").alias("m"), F.col("at").alias("to"))
+    return left.join(chosen, "token").where("comp <> other").where(_can_link(similar)).select(*_pair())
+
+
+def _placed(left: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    turn = F.row_number().over(Window.partitionBy("token", "comp").orderBy(F.desc("deg"), "fp"))
+    return left.withColumn("turn", turn).withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("turn", F.desc("deg"), "comp")))
+
+
+def still_open(left: DataFrame, labels: DataFrame | None, links: DataFrame | None, pivots: int | None) -> DataFrame:
+    """The entries of shingles that classes of several components hold, without pivots that have met all others."""
+    if pivots is not None:
+        left = _placed(left).where(F.col("place") > pivots).drop("turn", "place")
+    if labels is not None:
+        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        known = labels.join(degrees, "node", "left").select(F.col("node").alias("fp"), F.col("comp").alias("new"), F.coalesce("links", F.lit(0)).alias("links"))
+        left = left.join(known, "fp", "left").withColumns({"comp": F.coalesce("new", "comp"), "deg": F.coalesce("links", "deg")}).drop("new", "links")
+    open_ = left.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("token")
+    return left.join(open_, "token").select("token", "fp", "n", "at", "comp", "deg")
+
+
 # The join
 
 
@@ -306,37 +379,27 @@ def jaccard_components(docs: DataFrame, shared: Shared, id_col: str = "doc_id",
         raise ValueError("two different sets have one 64-bit fingerprint")
     first = sets.where("shared is not null").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "shared")))
     classes = shared.table(first, "classes")
-    entries = classes.select("fp", "n", F.explode("tokens").alias("token"))
-    common = entries.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    entries = shared.table(entries.join(common, "token").select("token", "fp", "n", "lo", "hi"), "entries")
-    # First the lowest and highest class of each shingle against all that hold it.
-    close = F.expr(f"100 * least(n, m) >= {similar} * greatest(n, m)")
-    each = entries.select("token", "fp", "n", F.explode(F.array("lo", "hi")).alias("a")).where("a <> fp")
-    sizes = classes.select(F.col("fp").alias("a"), F.col("n").alias("m"))
-    pairs = each.select("a", F.col("fp").alias("b"), "n").distinct().join(sizes, "a").where(close)
-    pairs = shared.table(pairs.select("a", "b"), "pairs-0")
-    links = shared.table(compare(pairs, classes, similar), "links-0")
-    left = entries.where("fp <> lo and fp <> hi").select("token", "fp", "n")
-    labels = components(links, shared, "labels-0")
-    for k, pivots in enumerate(PIVOTS, 1):
-        named = labels.select(F.col("node").alias("fp"), "comp")
-        left = left.join(named, "fp", "left").select("token", "fp", "n", F.coalesce("comp", "fp").alias("comp"))
-        open_ = left.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("token")
-        left = shared.table(left.join(open_, "token"), f"left-{k}")
-        if not left.limit(1).count():
-            break
-        # One class of each component first, then the others, as pivots against all of other components.
-        from pyspark.sql import Window
-
-        turn = F.row_number().over(Window.partitionBy("token", "comp").orderBy("fp"))
-        ranked = left.withColumn("turn", turn).withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("turn", "comp")))
-        chosen = ranked.where(F.col("place") <= pivots).select("token", F.col("fp").alias("a"), F.col("n").alias("m"), F.col("comp").alias("other"), "place")
-        rest = left.join(chosen, "token").where("comp <> other and a <> fp").where(close)
-        pairs = shared.table(rest.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct(), f"pairs-{k}")
+    left = shared.table(prefix_entries(classes), "entries-0")
+    links, labels, tested = None, None, None
+    rounds = [None] * SINGLE_ROUNDS + list(PIVOTS)
+    k = 0
+    while rounds and left.limit(1).count():
+        k += 1
+        pivots = rounds.pop(0)
+        pairs = one_each(left, k, similar) if pivots is None else by_rank(left, pivots, similar)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = shared.table(pairs.distinct(), f"pairs-{k}")
         found = shared.table(compare(pairs, classes, similar), f"links-{k}")
-        links = links.unionByName(found)
-        labels = components(links, shared, f"labels-{k}")
-        left = left.join(chosen.select("token", F.col("a").alias("fp")), ["token", "fp"], "left_anti").select("token", "fp", "n")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links, shared, f"labels-{k}")
+        elif pivots is None:  # single pivots find no more
+            rounds = [r for r in rounds if r is not None]
+        left = shared.table(still_open(left, labels, links, pivots), f"entries-{k}")
+    if labels is None:
+        labels = classes.select(F.col("fp").alias("node"), F.col("fp").alias("comp")).limit(0)
     named = labels.select(F.col("node").alias("fp"), "comp")
     lowest = sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
     of_class = lowest.join(named, "fp", "left")
@@ -351,10 +414,25 @@ def keep_first(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col
     Of rows with one id in a component one stays. A document without words is a component alone.
     """
     found = shared.table(jaccard_components(docs, shared, id_col, text_col), "components")
-    ids = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
     many = found.where("fp is not null").groupBy(id_col, "component_id").count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count()
-    kept = docs.join(ids, docs[id_col] == ids.gone, "left_anti")
-    return kept if not many else _one_each(docs, found, id_col, text_col)
+    if many:
+        return _one_each(docs, found, id_col, text_col)
+    shards = shards_for(docs)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.xxhash64(id_col).alias("key"), F.col(id_col).alias("id"))
+    save_sorted(gone, ["key", "id"], shared, "gone", shards)
+    at = docs.columns.index(id_col)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(at).cast(pa.int64())
+            known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            # The hash that xxhash64 gives a long.
+            keys = np.array([xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), seed=42) for i in known], U64)
+            hit, (stored,) = look_up(keys, shared, "gone", ["key", "id"], shards)
+            drop = hit & (stored == known) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(~drop))
+
+    return map_arrow(docs, run, docs.schema)
 
 
 def _one_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
