@@ -260,6 +260,10 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (keys >> U64(64 - (shards.bit_length() - 1))).astype(np.int32) if shards > 1 else np.zeros(len(keys), np.int32)
 
 
+#: Folders of sessions that name none.
+_own: dict[str, str] = {}
+
+
 @dataclass(frozen=True)
 class Shared:
     """A folder that the driver and all executors see."""
@@ -270,9 +274,7 @@ class Shared:
     def create(cls, spark: SparkSession, name: str) -> Shared:
         top = spark.conf.get("spark.checkpoint.dir", None)
         if not top:  # a session of its own, as in tests
-            top = f"file://{tempfile.mkdtemp(prefix='lodemill-')}"
-            spark.conf.set("spark.checkpoint.dir", top)
-            spark.sparkContext.setCheckpointDir(top)
+            top = _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='lodemill-')}")
         if "://" not in top and not top.startswith("file:"):
             top = f"file://{top}"
         made = cls(f"{top.rstrip('/')}/lodemill-{name}-{uuid.uuid4().hex}")

@@ -85,9 +85,35 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(spark, files, shared, keep_ids=False)
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+CONTAMINATION_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s
+  FROM (SELECT item_id, w, least({decontaminate.WINDOW}, len(w)) AS n, unnest(range(1, len(w) - least({decontaminate.WINDOW}, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+places AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, k, n, item_id FROM places JOIN windows USING (n, s)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+JACCARD_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard.SHINGLE} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {jaccard.SHINGLE - 2}), lambda k: array_to_string(w[k:k + {jaccard.SHINGLE - 1}], ' ')) END) AS s FROM d),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM flat AS a JOIN flat AS b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {jaccard.SIMILAR} * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON l.a = r.b)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least_id AS component_id FROM sets JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) ON a = doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_kneser_ney, op2_pii, op3_contamination, op4_lines, op5_gif, op6_language, op7_jaccard, op8_sharding, op9_pieces, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_sharding": sharding.shard_sql(SHARD_LIMIT)}
+    return {"op3_contamination": CONTAMINATION_SQL, "op7_jaccard": JACCARD_SQL, "op8_sharding": sharding.shard_sql(SHARD_LIMIT)}

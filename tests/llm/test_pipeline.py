@@ -2,6 +2,7 @@
 
 import brute
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -35,9 +36,13 @@ def test_whole_pipeline(spark):
     assert 100 < got.count() < 200
 
 
-def test_sharding_equals_its_sql(spark):
-    got = queries.op8_sharding(spark, f"{SMALL}/../sf0.01").toPandas()
-    duckdb.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
-    want = duckdb.sql(queries.oracle_sql()["op8_sharding"]).df()
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    got = queries.queries()[name](spark, "/root/testdata/sf0.01").toPandas()
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.01/{table}.parquet'")
+    want = con.sql(queries.oracle_sql()[name]).df()
     names = sorted(got.columns)
+    assert names == sorted(want.columns)
     assert sorted(map(tuple, got[names].values.tolist())) == sorted(map(tuple, want[names].values.tolist()))
