@@ -25,6 +25,8 @@ from lodemill.llm.common import U64, map_arrow, spans
 BUCKET_BITS, DIMS, LONGEST = 15, 16, 4
 #: Labelled rows used for training and calibration.
 SAMPLE_ROWS = 2500
+#: Steps of training at least, however few the rows.
+LEAST_STEPS = 1000
 #: Share of the labelled rows that may be rejected.
 REJECT_SHARE = 0.001
 UNKNOWN = "und"
@@ -113,6 +115,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 4.0,
     used = order[np.arange(len(order)) % 5 > 0] if len(rows) >= 20 else order
     e = rng.normal(0, 0.3, (1 << BUCKET_BITS, DIMS)).astype(np.float32)
     w, bias = np.zeros((DIMS, len(names)), np.float32), np.zeros(len(names), np.float32)
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(used)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for first in range(0, len(used), batch):
@@ -135,7 +138,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 4.0,
     model.scale = float(min(loss, key=loss.get))
     best = softmax(z * model.scale).max(1)
     # Only scores below all but the stated share of the labelled ones are rejected, and none that leads clearly.
-    model.least = float(min(np.quantile(best, REJECT_SHARE), 1.5 / len(names))) if len(names) > 1 else 0.0
+    model.least = float(min(np.quantile(best, REJECT_SHARE), 1.2 / len(names))) if len(names) > 1 else 0.0
     return model
 
 
