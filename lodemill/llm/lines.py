@@ -1,8 +1,8 @@
 """Line de-duplication by a deletion-neighbourhood join over words.
 
 Two lines are the same when their lower-cased words agree, and near when one word's insertion,
-deletion or replacement makes them the same; short lines count only as the same, and very short
-ones are left alone. Every line but the earliest (by document id, then place) of its like goes.
+deletion or replacement makes them the same; short lines count only as the same, and lines without
+words are left alone. Every line but the earliest (by document id, then place) of its like goes.
 
 Near lines have a variant in common: each line gives itself and, for each of its words, itself
 without that word, as hashed keys. Under a key that also names the place and the line's length all
@@ -27,7 +27,7 @@ from lodemill.llm.common import ROLL, SPACED, U64, Shared, hash_words, map_arrow
 from lodemill.llm.lookup import look_up, save_sorted
 
 #: Words from which a line may go, and from which it goes for a line that is near.
-SAME_WORDS, NEAR_WORDS = 4, 10
+SAME_WORDS, NEAR_WORDS = 1, 4
 NULL_ID = -(1 << 63)
 _FACTOR = int(ROLL) ^ 0x6A09E667F3BCC908 | 1
 

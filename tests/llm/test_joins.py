@@ -84,6 +84,12 @@ def test_dropping_lines(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c d\nx", 9, None), (3, "new", 3, None), (4, None, None, None), (5, "", 0, None)], key=str)
 
 
+def test_short_lines_go(spark):
+    docs = [(1, "a b\nx\n\np q r s"), (2, "A  b\ny\n\np q r t"), (3, "x\n\np q r s u v w x y"), (4, "p q r s u v w x z\na c")]
+    assert [(k, places) for k, _, _, places, _ in report(spark, docs)] == [(1, ()), (2, (0, 3)), (3, (0,)), (4, (0,))]
+    assert report(spark, docs) == brute.dropped_lines(docs)
+
+
 def groups(spark, docs):
     d = spark.createDataFrame(docs, DOC).withColumn("n", F.lit("x")).withColumn("fp", F.lit(1))
     return sorted((tuple(r)[:3] for r in jaccard.jaccard_components(d, Shared.create(spark, "t")).collect()), key=str)
