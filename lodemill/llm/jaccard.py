@@ -366,9 +366,9 @@ def still_open(left: DataFrame, labels: DataFrame | None, links: DataFrame | Non
 
 
 def jaccard_components(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``fp``, the class of equal sets.
+    """``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``fp``, the class of equal sets, and ``label``.
 
-    Ids are integers. A text with fewer words than a shingle is one shingle; without words, or
+    ``label`` is one for each component, also where ids are null or repeat; null without words. Ids are integers. A text with fewer words than a shingle is one shingle; without words, or
     null, it has none and is linked with nothing. Repeated rows are linked with each other; a null
     id is reached by no other id's component and takes the smallest id of its own.
     """
@@ -404,14 +404,14 @@ def jaccard_components(docs: DataFrame, shared: Shared, id_col: str = "doc_id",
     lowest = sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
     of_class = lowest.join(named, "fp", "left")
     of_comp = of_class.where("comp is not null").groupBy("comp").agg(F.min("low").alias("least"))
-    known = of_class.where("comp is not null or rows > 1").join(of_comp, "comp", "left").select("fp", F.coalesce("least", "low").alias("least"))
-    return sets.select("id", "n", "fp").join(known, "fp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "fp")
+    known = of_class.where("comp is not null or rows > 1").join(of_comp, "comp", "left").select("fp", F.coalesce("least", "low").alias("least"), "comp")
+    return sets.select("id", "n", "fp").join(known, "fp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "fp", F.coalesce("comp", "fp").alias("label"))
 
 
 def keep_first(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, all columns as they were: that with the smallest id.
 
-    Of rows with one id in a component one stays. A document without words is a component alone.
+    Of rows with one id in a component one stays; a component of null ids keeps one row too. A document without words is a component alone.
     """
     found = shared.table(jaccard_components(docs, shared, id_col, text_col), "components")
     many = found.where("fp is not null").groupBy(id_col, "component_id").count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count()
@@ -436,15 +436,16 @@ def keep_first(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col
 
 
 def _one_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The same where ids repeat: rows are told apart by their text's set as well."""
+    """The same where ids are null or repeat: components are told apart by their labels."""
     from pyspark.sql import Window
 
-    own = Window.partitionBy(id_col, "__component").orderBy("__fp", F.xxhash64(text_col), text_col)
+    own = Window.partitionBy("__label").orderBy("__fp", F.xxhash64(text_col), text_col)
     sets = docs.withColumn("__fp", fingerprint_udf()(F.col(text_col)))
-    comps = found.select(F.col(id_col).alias("__id"), F.col("fp").alias("__of"), F.col("component_id").alias("__component")).distinct()
-    placed = sets.join(comps, sets[id_col].eqNullSafe(comps["__id"]) & sets["__fp"].eqNullSafe(comps["__of"]), "left")
-    whole = placed.where(F.col("__fp").isNull())
-    first = placed.where(F.col("__fp").isNotNull() & F.col(id_col).eqNullSafe(F.col("__component"))).withColumn("__turn", F.row_number().over(own)).where("__turn = 1")
+    # Rows that hold their component's smallest id, or a null one where it has no other.
+    comps = found.where(F.col("fp").isNotNull() & F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("fp").alias("__of"), F.col("label").alias("__label")).distinct()
+    placed = sets.where(F.col("__fp").isNotNull()).join(comps, sets[id_col].eqNullSafe(comps["__id"]) & (sets["__fp"] == comps["__of"]))
+    first = placed.withColumn("__turn", F.row_number().over(own)).where("__turn = 1")
+    whole = sets.where(F.col("__fp").isNull())
     return first.select(docs.columns).unionByName(whole.select(docs.columns))
 
 

@@ -64,7 +64,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(documents(spark, sf_dir), Shared.create(spark, "jaccard")).drop("fp")
+    return jaccard.jaccard_components(documents(spark, sf_dir), Shared.create(spark, "jaccard")).drop("fp", "label")
 
 
 #: Bytes of text in a shard of the query, at most.

@@ -119,6 +119,12 @@ def test_keep_first(spark):
     assert kept == sorted([(1, "a b c d e f"), (3, None), (3, None), (4, "q r s t u v")], key=str)
 
 
+def test_keep_first_tells_components_apart(spark):
+    d = spark.createDataFrame([(None, "a b c d e f"), (None, "g h i j k l"), (None, "G h i j k l"), (5, "m n o p q r"), (5, "s t u v w x"), (6, "S t u v w x"), (None, None), (None, "")], DOC)
+    kept = [tuple(r) for r in jaccard.keep_first(d, Shared.create(spark, "t")).collect()]
+    assert sorted(((k, (t or "").lower()) for k, t in kept), key=str) == sorted([(None, "a b c d e f"), (None, "g h i j k l"), (5, "m n o p q r"), (5, "s t u v w x"), (None, ""), (None, "")], key=str)
+
+
 def test_trie_prunes_and_finds():
     import numpy as np
 
