@@ -4,8 +4,10 @@ A text's subwords are its byte runs of one to four, lower-cased, with anything b
 space. Each is hashed into a bucket; a bucket has an embedding; a text is the average of its
 subwords' embeddings, on which a linear softmax stands. Both layers are trained together by
 stochastic gradient descent in numpy, on a bounded sample of labelled rows. A temperature fitted
-on rows kept out of the training calibrates the probabilities, and a threshold on them rejects
-texts: it is set so that no more than a stated share of the labelled rows would be rejected.
+on rows kept out of the training calibrates the probabilities. Two thresholds reject texts: one on
+the probability, and one on the share of the text's longest subwords that the labelled rows hold,
+as a softmax is sure of text in no known language too. Each is set so that no more than a stated
+share of labelled rows, each scored as if it were not known itself, would be rejected.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from lodemill.llm.common import U64, map_arrow, spans
 
 #: Hash buckets, embedding size, longest subword in bytes.
 BUCKET_BITS, DIMS, LONGEST = 15, 16, 4
+#: Bits of the hash under which a longest subword counts as seen.
+SEEN_BITS = 22
 #: Labelled rows used for training and calibration.
 SAMPLE_ROWS = 2500
 #: Steps of training at least, however few the rows.
@@ -42,8 +46,8 @@ def _clean(text: str) -> bytes:
     return b" " + text.lower().encode().translate(_LETTERS) + _GAP
 
 
-def subwords(cleaned: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of the subwords at each byte, one length after another, and which bytes count."""
+def subwords(cleaned: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buckets of the subwords at each byte, one length after another, which bytes count, and the hashes."""
     raw = np.frombuffer(b"".join(cleaned), np.uint8)
     code = raw.astype(U64)
     space = raw == 32
@@ -53,7 +57,14 @@ def subwords(cleaned: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         value[: n - k] = value[: n - k] * U64(257) + code[k:] + U64(1)
         # A subword may begin or end with the space beside a word but not lie in a gap.
         keep = ~space if k == 0 else ~(space & np.roll(space, -1))
-        yield ((value * _MUL) >> U64(64 - BUCKET_BITS)).astype(np.int32), keep
+        mixed = value * _MUL
+        yield (mixed >> U64(64 - BUCKET_BITS)).astype(np.int32), keep, mixed
+
+
+def _long(keep: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Which longest subwords lie in one word with the spaces beside it."""
+    inner = np.roll(space, -1) | np.roll(space, -2)
+    return keep & ~inner
 
 
 @dataclass
@@ -63,17 +74,27 @@ class Model:
     bias: np.ndarray
     scale: float  # one over the temperature
     least: float  # below it a prediction is rejected
+    seen: np.ndarray  # whether the labelled rows hold a longest subword, by its hash
+    least_seen: float = 0.0  # a text with a lower share of seen ones is rejected
 
     def logits(self, texts: list[str]) -> np.ndarray:
+        return self.measure(texts)[0]
+
+    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits, and the share of the longest subwords that were seen: 1 where there are none."""
         cleaned = [_clean(t) for t in texts]
         bounds = np.cumsum([0, *map(len, cleaned)])[:-1]
         total, count = 0, 0
-        for bucket, keep in subwords(cleaned):
+        for bucket, keep, mixed in subwords(cleaned):
             bucket[~keep] = 1 << BUCKET_BITS  # the row of zeros after the table
             total = total + self.table[bucket]
             count = count + keep.astype(np.int32)
         sums = np.add.reduceat(total, bounds, axis=0, dtype=np.float64)
-        return sums / np.maximum(np.add.reduceat(count, bounds), 1)[:, None] + self.bias
+        inner = _long(keep, np.frombuffer(b"".join(cleaned), np.uint8) == 32)
+        known = inner & self.seen[mixed >> U64(64 - SEEN_BITS)]
+        whole = np.add.reduceat(inner, bounds, dtype=np.int64)
+        share = np.where(whole > 0, np.add.reduceat(known, bounds, dtype=np.int64) / np.maximum(whole, 1), 1.0)
+        return sums / np.maximum(np.add.reduceat(count, bounds), 1)[:, None] + self.bias, share
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, calibrated probability, and whether it is rejected."""
@@ -81,12 +102,12 @@ class Model:
         known = [t if t and _LETTER.search(t) else None for t in texts]
         for first, last in spans([(t or "").encode() for t in known], 1 << 18):
             part = known[first:last]
-            p = softmax(self.logits([t or "" for t in part]) * self.scale)
-            for t, row in zip(part, p, strict=True):
+            z, shares = self.measure([t or "" for t in part])
+            for t, row, share in zip(part, softmax(z * self.scale), shares.tolist(), strict=True):
                 best = int(row.argmax())
                 langs.append(self.langs[best] if t else UNKNOWN)
                 scores.append(float(row[best]) if t else 0.0)
-                rejected.append(not t or float(row[best]) < self.least)
+                rejected.append(not t or float(row[best]) < self.least or share < self.least_seen)
         return langs, scores, rejected
 
 
@@ -97,11 +118,19 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
-    every = np.concatenate([bucket[keep] for bucket, keep in subwords([_clean(text)])])
+    every = np.concatenate([bucket[keep] for bucket, keep, _ in subwords([_clean(text)])])
     buckets, n = np.unique(every, return_counts=True)
     return buckets, (n / max(1, n.sum())).astype(np.float32)
 
 
+def _low_score(scores: np.ndarray, share: float) -> float:
+    """Score below which a share of the rows is expected: the sample's, or lower by an exponential tail of the log odds, as few rows show no rare score."""
+    p = np.clip(scores, 1e-12, 1 - 1e-12)
+    some, more = np.quantile(np.log(p / (1 - p)), [0.05, 0.2])
+    tail = some - (more - some) * np.log(0.05 / share) / np.log(4)
+    return float(min(np.quantile(scores, share, method="lower"), 1 / (1 + np.exp(-tail))))
+
+
 def fit(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 4.0, batch: int = 16, seed: int = 7) -> Model:
     """Train on labelled texts; every fifth is kept for the calibration."""
     names = sorted(set(langs))
@@ -132,13 +161,26 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 4.0,
             w -= step * (x.T @ g)
             bias -= step * 0.1 * g.sum(0)
             np.subtract.at(e, at, step * back[own] * share[:, None])
-    model = Model(names, np.vstack([e @ w, np.zeros((1, len(names)))]).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
+    longest = []
+    for t in texts:
+        cleaned = _clean(t)
+        *_, (_, keep, mixed) = subwords([cleaned])
+        longest.append((mixed[_long(keep, np.frombuffer(cleaned, np.uint8) == 32)] >> U64(64 - SEEN_BITS)).astype(np.int32))
+    holders = np.zeros(1 << SEEN_BITS, np.int32)
+    for found in longest:
+        holders[np.unique(found)] += 1
+    # What each row would score if it were not known itself.
+    shares = np.array([(holders[found] > 1).mean() if len(found) else 1.0 for found in longest])
+    model = Model(names, np.vstack([e @ w, np.zeros((1, len(names)))]).astype(np.float32), bias.astype(np.float64), 1.0, 0.0, holders > 0)
     z = np.concatenate([model.logits([texts[k]]) for k in held])
     loss = {s: -np.log(np.maximum(softmax(z * s)[np.arange(len(held)), y[held]], 1e-12)).mean() for s in np.geomspace(0.1, 40, 61)}
-    model.scale = float(min(loss, key=loss.get))
+    # The least scale that does as well: rows that are all told right would else drive it up until every probability is 1.
+    model.scale = float(min(s for s in loss if loss[s] <= min(loss.values()) + 0.001))
     best = softmax(z * model.scale).max(1)
-    # Only scores below all but the stated share of the labelled ones are rejected, and none that leads clearly.
-    model.least = float(min(np.quantile(best, REJECT_SHARE), 1.2 / len(names))) if len(names) > 1 else 0.0
+    # A labelled row that has a threshold itself is not rejected.
+    if len(names) > 1:
+        model.least = _low_score(best, REJECT_SHARE)
+    model.least_seen = float(np.quantile(shares, REJECT_SHARE, method="lower")) if len(texts) > 1 else 0.0
     return model
 
 

@@ -215,6 +215,19 @@ def test_gif_columns(spark):
     assert got[3][1:] == got[4][1:]
 
 
+def test_unknown_language_is_rejected(spark):
+    import random
+
+    rng = random.Random(4)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(30)) for _ in range(20)]
+    other = ["Хорошо жить на свете и знать много слов", "これは日本語の文章です", "to jest zdanie po polsku którego nikt się nie uczył", "tämä on suomenkielinen lause jota kukaan ei ole opettanut"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = langid.train(docs, usable=fold != 1)
+    assert all(model.predict([*junk, *other])[2])
+    assert model.predict(["the and of the"])[2] == [False]
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
