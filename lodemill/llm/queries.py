@@ -27,9 +27,13 @@ def fold_of(column: str, n: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
 
 
+#: Words of the longest n-gram of the query's model.
+LM_ORDER = 3
+
+
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = ngram_lm.train(docs.where(fold_of("doc_id", 7) != 2), Shared.create(spark, "lm"))
+    model = ngram_lm.train(docs.where(fold_of("doc_id", 7) != 2), Shared.create(spark, "lm"), order=LM_ORDER)
     keyed = docs.select(F.struct("doc_id", (fold_of("doc_id", 7) == 2).alias("held_out")).alias("key"), "text")
     return ngram_lm.score_texts(keyed, model, id_col="key").select("key.*", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 

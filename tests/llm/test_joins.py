@@ -1,6 +1,7 @@
 """Joins over texts against plain Python: nulls, empty texts, ties, repeated rows, empty tables, clashing columns."""
 
 import random
+import zlib
 
 import brute
 import pytest
@@ -152,6 +153,17 @@ def test_kneser_ney(spark, sample, order):
     assert sum(p((*context, w)) for w in vocabulary) + p((*context, "never seen")) == pytest.approx(1)
 
 
+def test_query_sees_two_words_of_context(spark, tmp_path):
+    from lodemill.llm import queries
+
+    rows = [(k, ["a b c d", "x b e f"][k % 2]) for k in range(40)]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["score"]) for r in queries.op1_kneser_ney(spark, str(tmp_path)).select("doc_id", "score").collect())
+    train = [t for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    want, _, _ = brute.kneser_ney(train, [t for _, t in rows], 3)
+    assert [s for _, s in got] == pytest.approx([w[4] for w in want], abs=1e-6)
+
+
 def test_untrained_model(spark):
     model = ngram_lm.train(spark.createDataFrame([], "text string"), Shared.create(spark, "t"))
     got = ngram_lm.score_texts(spark.createDataFrame([(1, "a")], DOC), model).first()
