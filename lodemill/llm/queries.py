@@ -85,7 +85,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = Shared.create(spark, "tokens")
-    files = token_files.write_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), shared)
+    files = token_files.write_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), shared, added_tokens=True)
     return token_files.read_files(spark, files, shared, keep_ids=False)
 
 

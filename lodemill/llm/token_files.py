@@ -140,14 +140,17 @@ class ByteTable(dict):
     its space, or with the line feed before it in place of the space. Other texts are cut at all
     white space (keys begin with a null), and those with white space that is not everywhere
     counted as such are encoded whole. ``safe`` checks the settings that all this relies on.
+    With ``added_tokens`` the tokenizer's added tokens are found in texts, as by the library's
+    default, and texts that hold one are encoded whole; else their strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not added_tokens
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()] if added_tokens else []
         self.model.no_padding()
         self.model.no_truncation()
         self.merge, self.chars = self.model.model.tokenize, _byte_chars()
@@ -196,7 +199,7 @@ class ByteTable(dict):
     def _text(self, text: str) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text) or "\0" in text:
+        if _ODD.search(text) or "\0" in text or any(a in text for a in self.added):
             return self._plain([text])[0]
         spaced = text.replace("\n", " \n")
         if spaced[0] == " " or spaced[-1] in " \n" or "  " in spaced or "\n " in spaced:
@@ -206,28 +209,28 @@ class ByteTable(dict):
         return b"".join([*map(self.__getitem__, words)])
 
 
-_tables: dict[str, ByteTable] = {}
+_tables: dict[tuple[str, bool], ByteTable] = {}
 
 
-def byte_table(path: str) -> ByteTable:
+def byte_table(path: str, added_tokens: bool = False) -> ByteTable:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _tables:
-        _tables[path] = ByteTable(path)
-    return _tables[path]
+    if (path, added_tokens) not in _tables:
+        _tables[path, added_tokens] = ByteTable(path, added_tokens)
+    return _tables[path, added_tokens]
 
 
-def write_files(docs: DataFrame, tokenizer_path: str, shared: Shared, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> list[tuple[str, int, int]]:
+def write_files(docs: DataFrame, tokenizer_path: str, shared: Shared, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES, added_tokens: bool = False) -> list[tuple[str, int, int]]:
     """Write the documents' ids in ascending order of ``id_col``; (name, documents, ids) of each file in that order.
 
     Null ids come first; rows with one id are ordered by their text's hash, equal rows in any
-    order. A null text is empty and has only the end id. The result holds one entry per file.
+    order. A null text is empty and has only the end id. ``added_tokens``: see ``ByteTable``. The result holds one entry per file.
     """
     n = max(8, -(-input_bytes(docs) // file_bytes))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        table, out, ids, name = byte_table(tokenizer_path), FrameWriter(), 0, f"part-{TaskContext.get().partitionId():06d}.zst"
+        table, out, ids, name = byte_table(tokenizer_path, added_tokens), FrameWriter(), 0, f"part-{TaskContext.get().partitionId():06d}.zst"
         for batch in batches:
             for key, tokens in zip(batch.column(0).to_pylist(), table.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 out.add(key, tokens + struct.pack("<I", END_ID))

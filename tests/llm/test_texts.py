@@ -94,6 +94,19 @@ def test_token_files(spark, texts):
     assert token_files.read_files(spark, token_files.write_files(spark.createDataFrame([], DOC), tokenizer_file("byte_bpe_50k.json"), shared), shared).count() == 0
 
 
+def test_query_finds_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from lodemill.llm import queries
+
+    model = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    rows = list(enumerate(["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>\n<|endoftext|> b", "<|endoftext |>", "a b"]))
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in queries.op10_token_files(spark, str(tmp_path)).collect()}
+    want = {k: [*model.encode(t, add_special_tokens=False).ids, 0] for k, t in rows}
+    assert got == {k: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for k, ids in want.items()}
+
+
 def test_one_document_is_read_alone(tmp_path):
     out = token_files.FrameWriter(frame_bytes=64)
     data = {k: np.arange(k, dtype="<u4").tobytes() for k in range(40)}
