@@ -184,7 +184,7 @@ def f18(spark, sf_dir):
 def f19(spark, sf_dir):
     """matching share of texts."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item")
-    return docs.join(items, F.col("doc_id") == F.col("item_id")).select("doc_id", S.seq_ratio(F.substring("text", 1, 400), F.col("item")).alias("ratio"))
+    return docs.join(items, F.col("doc_id") == F.col("item_id")).select("doc_id", S.seq_ratio(F.col("text"), F.col("item")).alias("ratio"))
 
 
 CODE = values("(1,'db.execute(query)','the QUERY is built'),(2,'return x','return'),(3,'ab','ab'),(4,NULL,'x'),(5,'render(page)',NULL)", "id, code, said")

@@ -184,3 +184,15 @@ def test_topic_keywords(spark):
 def test_samples_refuse_bad_caps(spark):
     with pytest.raises(ValueError, match="per_repo"):
         sampling.balanced(spark.createDataFrame([], "repository string, path string"), 0, 1)
+
+
+def test_matching_share_reads_whole_texts(spark, tmp_path):
+    import difflib
+
+    from lodemill import registry
+
+    text, item = "a b " * 150 + "the end of it", "the end of it"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["f19"](spark, str(tmp_path)).first()
+    assert got["ratio"] == round(difflib.SequenceMatcher(None, text, item).ratio(), 4) > 0
