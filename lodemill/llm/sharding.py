@@ -68,14 +68,16 @@ def directory(sizes: DataFrame, limit: int, shared: Shared) -> tuple[DataFrame,
     return out, sorted(r["bits"] for r in out.select("bits").distinct().collect())
 
 
-def assign(rows: DataFrame, limit: int, shared: Shared, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign(rows: DataFrame, limit: int, shared: Shared, key: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """``key``, ``bytes``, ``shard``, ``bits``, ``shard_bytes``, ``shard_rows`` and ``oversize`` of each row.
 
     ``shard`` is the prefix in binary digits (``*`` for no bit), with a page after a dot where rows
     of one hash do not fit together. A null text has no bytes; repeated rows count each; a null
-    key is a key of its own. Other columns are not read.
+    key is a key of its own. Other columns are not read, but with ``carry`` the whole row goes along
+    as ``row``.
     """
-    own = rows.select(F.col(key), key_hash(F.col(key)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
+    also = ["row"] if carry else []
+    own = rows.select(F.col(key), *([F.struct("*").alias("row")] if carry else []), key_hash(F.col(key)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
     sized = shared.table(own, "sized")
     shards, levels = directory(sized.select("h", "bytes"), limit, shared)
     digits = F.when(F.col("bits") == 0, F.lit("*")).otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("bits"), F.lit("0")))
@@ -84,7 +86,7 @@ def assign(rows: DataFrame, limit: int, shared: Shared, key: str = "doc_id", tex
     # A row has one prefix for each bit count that occurs; one of them is in the directory.
     tried = sized.withColumn("try", F.explode(F.array(*(F.struct(F.lit(b).alias("b"), prefix(F.col("h"), b).alias("p")) for b in levels)))) if levels else sized.withColumn("try", F.struct(F.lit(0).alias("b"), F.lit(0).cast("long").alias("p"))).limit(0)
     found = tried.join(F.broadcast(named) if small else named, (F.col("try.b") == F.col("at_bits")) & (F.col("try.p") == F.col("at"))).drop("try", "at_bits", "at")
-    fitting = found.where("fits").select(key, "bytes", "shard", "bits", "shard_bytes", "shard_rows")
+    fitting = found.where("fits").select(key, "bytes", "shard", "bits", "shard_bytes", "shard_rows", *also)
     if not shards.where("not fits").limit(1).count():
         return fitting.withColumn("oversize", F.lit(False))
     # Rows of one hash: each input partition fills pages of its own.
@@ -97,13 +99,13 @@ def assign(rows: DataFrame, limit: int, shared: Shared, key: str = "doc_id", tex
     alone = alone.withColumn("page", F.when(F.col("own"), F.concat(F.lit("r"), turn.cast("string"))).otherwise(F.col("page").cast("string")))
     pages = alone.withColumn("shard", F.concat_ws(".", "shard", F.col("part").cast("string"), "page"))
     sums = pages.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-    full = pages.drop("shard_bytes", "shard_rows").join(sums, "shard").select(key, "bytes", "shard", "bits", "shard_bytes", "shard_rows")
+    full = pages.drop("shard_bytes", "shard_rows").join(sums, "shard").select(key, "bytes", "shard", "bits", "shard_bytes", "shard_rows", *also)
     return fitting.unionByName(full).withColumn("oversize", F.col("shard_bytes") > limit)
 
 
-def write_shards(rows: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id", files: int = 200) -> None:
-    """Write the rows by shard: one folder a shard, and a task's rows of one shard in one file. Keys must be unique."""
-    placed = rows.join(assigned.select(key, "shard"), key)
+def write_shards(rows: DataFrame, limit: int, shared: Shared, path: str, key: str = "doc_id", text_col: str = "text", files: int = 200) -> None:
+    """Write the rows by shard: one folder a shard, and a task's rows of one shard in one file. Keys may be null and repeat."""
+    placed = assign(rows, limit, shared, key, text_col, carry=True).select("row.*", "shard")
     placed.repartition(files, "shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
 
 

@@ -183,3 +183,12 @@ def test_sharding(spark):
         assert sums["bytes"][[x.startswith(s[:-1]) for x in sums.index]].sum() > 1000
     assert sharding.assign(d.limit(0), 1000, Shared.create(spark, "t")).count() == 0
     assert {r["shard"] for r in sharding.assign(d, 10**9, Shared.create(spark, "t")).collect()} == {"*"}
+
+
+def test_written_shards_hold_every_row(spark, tmp_path):
+    rows = [(None, "n" * 30, 1), (None, None, 2), *[(7, "x" * 100, k) for k in range(20)], *[(k, "z" * 20, k) for k in range(10, 60)]]
+    d = spark.createDataFrame(rows, DOC + ", extra long")
+    sharding.write_shards(d, 1000, Shared.create(spark, "t"), f"{tmp_path}/out", files=4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, back.select("doc_id", "text", "extra").collect()), key=str) == sorted(rows, key=str)
+    assert back.select("shard").distinct().count() > 1
