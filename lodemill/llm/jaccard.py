@@ -3,25 +3,29 @@
 Shingles are ordered globally, rare ones first. Two sets that are similar enough share one of the
 first shingles of each (its prefix), and one that occurs only once is shared with nothing. So the
 shingles' counts come first, as sorted hash arrays by shard; each set then gives its prefix's
-shared shingles, and sets that have one in common are compared. Equal sets are one class from the
-start. Comparisons go from a pivot of each common shingle to the other classes that hold it: the
-others' ordered sets, in groups of bounded size, are stored in a trie, the pivot walks it once for
-all that begin alike, and a branch is left when what remains of it cannot reach the overlap that
-is needed. Classes linked already are not compared again, and pivots go on until no shingle is
-held by two unlinked classes that have not been compared; so no link between classes is lost and
-no group's pairs are all made.
+shared shingles. Equal sets are one class from the start.
+
+The sets that have a shingle in their prefixes meet under it with what follows it in the order,
+and are stored in a trie whose root is that shingle: sets that go on alike are one path. Many
+probes walk it together; the overlap that they have with a path is counted once for all sets
+below it, and a branch is left when what remains of it cannot reach the overlap that its smallest
+set needs, or when all that it holds is linked with the probes already. First a few sets probe the
+trie, then those that are not in the largest component, until all others are in one: so a group
+of copies costs little more than its size, no pairs are written, and no link is lost.
+
+A shingle's holders are dealt to blocks of bounded bytes. Those of one block are joined first; the
+components tell which holders of other blocks are still outside a shingle's largest component, and
+these probe the tries of the other blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodemill.llm.common import SPACED, U64, Shared, bound_batches, find, gathered, hash_words, map_arrow, mix, pack, roll, shard_of, shards_for, signed, sum_by_key, unpack, utf8
@@ -32,10 +36,10 @@ from lodemill.llm.lookup import look_up, save_sorted
 SHINGLE, SIMILAR = 5, 75
 #: Bits of a shingle's hash by which it is counted: two that agree in them are ordered as one.
 COUNT_BITS = 48
-#: Hashes gathered before a sorted run is given out; sets in one trie.
-RUN, TRIE_SETS = 1 << 20, 32
-#: Rounds in which a class is compared with two pivots at most, and then pivots of each shingle.
-SINGLE_ROUNDS, PIVOTS = 4, (4, 32, 256, 1 << 31)
+#: Hashes gathered before a sorted run is given out.
+RUN = 1 << 20
+#: Bytes of the sets in one trie, those that a set takes besides its shingles, and those of a walk.
+BLOCK_BYTES, MEMBER_BYTES, WALK_BYTES = 8 << 20, 400, 32 << 20
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -204,168 +208,265 @@ def ordered_sets(docs: DataFrame, id_col: str, text_col: str, shared: Shared, sh
 # The trie
 
 
-@dataclass
-class Node:
-    tokens: np.ndarray  # the shingles from the parent to here
-    children: list[Node] = field(default_factory=list)
-    ends: list[int] = field(default_factory=list)  # members whose set ends here
-    longest: int = 0  # shingles left below, at most
-    smallest: int = 0  # full size of the smallest set at or below
-
-
-def build_trie(sets: list[np.ndarray], sizes: list[int]) -> Node:
-    """A trie of ordered sets in which chains are one node."""
-    order = sorted(range(len(sets)), key=lambda k: sets[k].tolist())
-
-    def node(members: list[int], depth: int) -> Node:
-        first, last = sets[members[0]], sets[members[-1]]
-        same = min(len(first), len(last))
-        differ = np.flatnonzero(first[depth:same] != last[depth:same])
-        upto = depth + int(differ[0]) if len(differ) else same
-        made = Node(first[depth:upto], smallest=min(sizes[m] for m in members), longest=max(len(sets[m]) for m in members) - upto)
-        made.ends = [m for m in members if len(sets[m]) == upto]
-        rest = [m for m in members if len(sets[m]) > upto]
-        at = 0
-        while at < len(rest):
-            token, end = sets[rest[at]][upto], at
-            while end < len(rest) and sets[rest[end]][upto] == token:
-                end += 1
-            made.children.append(node(rest[at:end], upto))
-            at = end
-        return made
-
-    return node(order, 0)
-
-
-def walk(trie: Node, probe: np.ndarray, size: int, sizes: list[int], similar: int = SIMILAR) -> list[int]:
-    """Members whose overlap with the probe reaches what their sizes need."""
-    wanted = np.sort(probe)
-    out, todo = [], [(trie, 0)]
-    while todo:
-        node, overlap = todo.pop()
-        overlap += int(find(wanted, node.tokens)[1].sum())
-        if overlap + min(node.longest, len(wanted) - overlap) < least_overlap(size, node.smallest, similar):
-            continue
-        out += [m for m in node.ends if overlap >= least_overlap(size, sizes[m], similar)]
-        todo += [(child, overlap) for child in node.children]
-    return out
+class Trie:
+    """Ordered sets as a trie in flat arrays: nodes in preorder, chains without a branch are one node.
 
+    A set is the bytes of its shingles; sizes are those of the whole sets, which may hold more.
+    """
 
-def compare(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) of classes that link; a's partners are dealt out in groups of bounded size."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / TRIE_SETS).alias("groups"))
-    dealt = pairs.join(many, "a").withColumn("g", F.pmod(F.xxhash64("b", "a"), F.col("groups"))).select("a", "g", "b")
-    sets = classes.select(F.col("fp"), "n", "shared")
-    members = dealt.join(sets, dealt.b == sets.fp).select("a", "g", "b", "n", "shared")
-    pivots = many.select("a", F.explode(F.expr("sequence(0L, groups - 1)")).alias("g"))
-    probes = pivots.join(sets, pivots.a == sets.fp).select("a", "g", F.lit(None).cast("long").alias("b"), "n", "shared")
+    def __init__(self, sets: list[bytes], sizes: np.ndarray):
+        self.order = np.array(sorted(range(len(sets)), key=sets.__getitem__), np.int64)
+        arrays = [np.frombuffer(sets[k], U64) for k in self.order]
+        length = [len(a) for a in arrays]
+        same = [0] * len(arrays)
+        for i in range(1, len(arrays)):
+            k = min(length[i - 1], length[i])
+            differ = arrays[i - 1][:k] != arrays[i][:k]
+            j = int(differ.argmax()) if k else 0
+            same[i] = j if k and differ[j] else k
+        cuts = _cuts(same, length)
+        self.parent, self.skip, self.level, parts, ends = [], [], [], [], []
+        node_of, path = np.zeros(len(arrays), np.int64), []
+        for i, whole in enumerate(arrays):
+            while path and ends[path[-1]] > same[i]:
+                self.skip[path.pop()] = len(ends)
+            at = same[i]
+            for upto in (*cuts[i], length[i]):
+                if upto > at or not path:
+                    self.parent.append(path[-1] if path else -1)
+                    self.level.append(len(path))
+                    path.append(len(ends))
+                    self.skip.append(0)
+                    ends.append(upto)
+                    parts.append(whole[at:upto])
+                    at = upto
+            node_of[i] = path[-1]
+        for k in path:
+            self.skip[k] = len(ends)
+        self.tokens = np.concatenate(parts)
+        self.first = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        self.lo = np.searchsorted(node_of, np.arange(len(ends)))  # the members at or below each node, in order
+        self.hi = np.searchsorted(node_of, np.array(self.skip))
+        self.here = np.searchsorted(node_of, np.arange(1, len(ends) + 1))  # those that end there come first
+        both = np.stack([self.lo, self.hi], 1).ravel()
+        self.longest = np.maximum.reduceat(np.append(length, 0), both)[::2] - np.array(ends)
+        self.smallest = np.minimum.reduceat(np.append(sizes[self.order], 0), both)[::2]
+        self.sizes = sizes
+
+
+def _cuts(same: list[int], length: list[int]) -> list[list[int]]:
+    """The depths at which later sets branch off each set's own chain."""
+    out: list[list[int]] = [[] for _ in same]
+    least: list[int] = []  # what the later sets have in common with this one, the nearest last
+    for i in range(len(same) - 1, -1, -1):
+        if i + 1 < len(same):
+            while least and least[-1] >= same[i + 1]:
+                least.pop()
+            least.append(same[i + 1])
+        k = len(least) - 1
+        while k >= 0 and least[k] > same[i]:
+            if least[k] < length[i]:
+                out[i].append(least[k])
+            k -= 1
+        out[i].reverse()
+    return out
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        from itertools import groupby
 
-        def rows():
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+def walk(trie: Trie, probes: list[bytes], sizes: np.ndarray, found, comp: np.ndarray | None = None, own: np.ndarray | None = None, similar: int = SIMILAR) -> None:
+    """Walk the trie with all probes at once; ``found(member, hits)`` gets the probes that link with a member.
 
-        for (a, _), group in groupby(rows(), key=lambda r: (r[0], r[1])):
-            probe, found = None, []
-            for many_rows in _chunks(group, 4 * TRIE_SETS):  # the probe's row is the first
-                if probe is None:
-                    probe, *many_rows = many_rows
-                if not many_rows:
-                    continue
-                sets_, sizes = [np.frombuffer(r[4], U64) for r in many_rows], [r[3] for r in many_rows]
-                found += [many_rows[m][2] for m in walk(build_trie(sets_, sizes), np.frombuffer(probe[4], U64), probe[3], sizes, similar)]
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+    comp and own name the components of the members and the probes: within one, nothing is found.
+    """
+    words = [np.frombuffer(p, U64) for p in probes]
+    long = np.array([len(w) for w in words])
+    every, row = np.unique(np.concatenate(words), return_inverse=True)
+    holds = np.zeros((len(every), len(probes)), np.uint8)
+    holds[row, np.repeat(np.arange(len(probes)), long)] = 1
+    at, hit = find(every, trie.tokens)
+    rows = at[hit]
+    first = np.concatenate(([0], np.cumsum(hit)))[trie.first].tolist()
+    # A node whose members are all of one component is left out for probes of the same.
+    one = None
+    if comp is not None:
+        sorted_ = comp[trie.order]
+        change = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
+        one = np.where(change[trie.lo] == change[trie.hi - 1], sorted_[trie.lo], -1).tolist()
+    path = np.zeros((max(trie.level) + 2, len(probes)), np.int64)  # overlaps from the root to each level
+    whole, need = 100 + similar, similar * sizes
+    longest, smallest, lo, here = trie.longest.tolist(), trie.smallest.tolist(), trie.lo.tolist(), trie.here.tolist()
+    node, n = 0, len(first) - 1
+    while node < n:
+        level = trie.level[node]
+        overlap = path[level + 1]
+        if first[node] < first[node + 1]:
+            np.add(path[level], holds[rows[first[node] : first[node + 1]]].sum(0, dtype=np.int64), out=overlap)
+        else:
+            overlap[:] = path[level]
+        alive = (overlap + np.minimum(longest[node], long - overlap)) * whole >= need + similar * smallest[node]
+        if one is not None and one[node] >= 0:
+            alive &= own != one[node]
+        if not alive.any():
+            node = trie.skip[node]
+            continue
+        for k in range(lo[node], here[node]):
+            member = int(trie.order[k])
+            hits = np.flatnonzero(overlap * whole >= need + similar * trie.sizes[member])
+            if len(hits):
+                found(member, hits)
+        node += 1
+
+
+class Groups:
+    """Components of numbered things, joined one link after another."""
+
+    def __init__(self, comp: np.ndarray):
+        self.comp, self.links = comp, []
+
+    def join(self, a: int, others: np.ndarray) -> None:
+        """Link a with others, as far as they are apart."""
+        apart = others[self.comp[others] != self.comp[a]]
+        while len(apart):
+            b = int(apart[0])
+            self.links.append((a, b))
+            self.comp[self.comp == self.comp[b]] = self.comp[a]
+            apart = apart[self.comp[apart] != self.comp[a]]
+
+
+def _many(probes: list[int], sets: list[bytes]) -> int:
+    """As many of the probes as fit into WALK_BYTES."""
+    words = 0
+    for k, p in enumerate(probes):
+        words += len(sets[p]) // 8
+        if k and words * (k + 1) > WALK_BYTES:
+            return k
+    return len(probes)
+
+
+def self_join(sets: list[bytes], sizes: np.ndarray, similar: int = SIMILAR) -> list[tuple[int, int]]:
+    """Links among sets that hold all components of the links that overlaps of the given parts of them show."""
+    groups = Groups(np.arange(len(sets)))
+    trie, open_ = Trie(sets, sizes), np.ones(len(sets), bool)
+    todo = list(range(len(sets) - 1)) if len(sets) <= 64 else _commonest(trie, 4)
+    while len(todo):
+        batch = np.array(todo[: _many(todo, sets)])
+        walk(trie, [sets[k] for k in batch], sizes[batch], lambda m, hits, b=batch: groups.join(m, b[hits]), groups.comp.copy(), groups.comp[batch], similar)
+        open_[batch] = False
+        left = np.flatnonzero(open_)
+        if not len(left):
+            break
+        comps, n = np.unique(groups.comp[left], return_counts=True)
+        todo = left[groups.comp[left] != comps[n.argmax()]].tolist()
+    return groups.links
+
+
+def _commonest(trie: Trie, most: int) -> list[int]:
+    """The members whose shingles most others hold."""
+    held = (trie.hi - trie.lo).astype(np.float64)
+    sums = np.zeros(len(held))
+    for k, p in enumerate(trie.parent):
+        sums[k] = (sums[p] if p >= 0 else 0) + held[k] * (trie.first[k + 1] - trie.first[k])
+    value = np.zeros(len(trie.order))
+    for k in range(len(held)):
+        value[trie.order[trie.lo[k] : trie.here[k]]] = sums[k]
+    return np.argsort(-value)[:most].tolist()
+
+
+def _grouped(batches, keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """The rows of batches that are sorted by their first columns, by these."""
+    from itertools import groupby
 
-    both = members.unionByName(probes).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
-    return map_arrow(both, run, "a long, b long")
+    def rows():
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
+    return groupby(rows(), key=lambda r: r[:keys])
 
-def _chunks(rows, size: int):
-    from itertools import islice
 
-    rows = iter(rows)
-    while part := list(islice(rows, size)):
-        yield part
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
 
-# Rounds of candidates
+def link_blocks(blocks: DataFrame, similar: int) -> DataFrame:
+    """Links (a, b) within each block of (token, block, fp, n, part)."""
 
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for _, group in _grouped(batches, 2):
+            members = list(group)
+            if len(members) > 1:
+                names = [r[2] for r in members]
+                out += [(names[a], names[b]) for a, b in self_join([r[4] for r in members], np.array([r[3] for r in members]), similar)]
+            if len(out) > 1000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
 
-def prefix_entries(classes: DataFrame) -> DataFrame:
-    """(token, fp, n, at, comp, deg) of the shingles that several classes have in their prefixes.
+    return map_arrow(blocks, run, "a long, b long")
 
-    ``at`` is the place in the order, ``comp`` the component and ``deg`` the number of links, so far.
 
-    Of shingles that the very same classes hold, only the first in the order is kept: a pair meets
-    at its first common shingle.
-    """
-    first = F.col("n") - F.octet_length("shared") / 8
-    entries = classes.select("fp", "n", first.cast("long").alias("first"), F.posexplode("tokens").alias("k", "token")).select("token", "fp", "n", (F.col("first") + F.col("k")).alias("at"))
-    held = entries.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by("at", "fp").alias("at_lo"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("lo <> hi")
-    kept = held.groupBy("c", "x", "y", "lo", "hi").agg(F.min_by("token", "at_lo").alias("token")).select("token")
-    return entries.join(kept, "token").withColumns({"comp": F.col("fp"), "deg": F.lit(0).cast("long")})
+def link_across(blocks: DataFrame, similar: int) -> DataFrame:
+    """Links (a, b) of probes with the members of each (token, block, chunk) of (..., probe, fp, n, comp, part)."""
 
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for _, group in _grouped(batches, 3):
+            rows = list(group)  # members come first; both are bounded
+            members, probes = [r for r in rows if not r[3]], [r for r in rows if r[3]]
+            if not members or not probes:
+                continue
+            _, comp = np.unique([r[6] for r in rows], return_inverse=True)
+            groups, trie = Groups(comp), Trie([r[7] for r in members], np.array([r[5] for r in members]))
+            parts = [r[7] for r in rows]
+            todo = list(range(len(members), len(rows)))
+            while todo:
+                batch = np.array(todo[: _many(todo, parts)])
+                todo = todo[len(batch) :]
+                walk(trie, [parts[k] for k in batch], np.array([rows[k][5] for k in batch]), lambda m, hits, g=groups, b=batch: g.join(m, b[hits]), groups.comp[: len(members)].copy(), groups.comp[batch], similar)
+            yield _pairs([(rows[a][4], rows[b][4]) for a, b in groups.links])
 
-def _can_link(similar: int) -> Column:
-    """Whether classes (n, at) and (m, to) can link if this is the first shingle that they have in common."""
-    need = f"ceil({similar} * (n + m) / {100 + similar})"
-    return F.expr(f"100 * least(n, m) >= {similar} * greatest(n, m) and n - at >= {need} and m - to >= {need}")
+    return map_arrow(blocks, run, "a long, b long")
 
 
-def _pair() -> list[Column]:
-    return [F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b")]
+# Who meets whom
 
 
-def one_each(left: DataFrame, turn: int, similar: int) -> DataFrame:
-    """For each class two pivots at most: of its shingles' most linked classes one, of their lowest components another.
+def prefix_entries(classes: DataFrame, block_bytes: int) -> DataFrame:
+    """(token, fp, k, block, blocks) of the shingles that several classes have in their prefixes; k is the place among the shared ones.
 
-    What copies have in common links with more of them than they do with each other.
+    Of shingles that the very same classes hold, only the first in the order is kept: a pair meets
+    at its first common shingle. Blocks are dealt by a hash of class and shingle.
     """
-    seat = F.struct("comp", "fp", "n", "at")
-    hub = F.struct("deg", "comp", "fp", "n", "at")
-    ends = left.groupBy("token").agg(F.min(seat).alias("lo"), F.max(hub).alias("hi"))
-    out = None
-    for end in ("lo", "hi"):
-        pivot = ends.select("token", F.col(f"{end}.comp").alias("other"), F.col(f"{end}.fp").alias("p"), F.col(f"{end}.n").alias("m"), F.col(f"{end}.at").alias("to"), (F.col("hi.deg") if end == "hi" else F.lit(0)).alias("weight"))
-        met = left.join(pivot, "token").where("comp <> other").where(_can_link(similar))
-        first = F.struct(-F.col("weight"), F.xxhash64("p", F.lit(turn)))
-        best = met.groupBy("fp").agg(F.min_by("p", first).alias("p")).select(*_pair())
-        out = best if out is None else out.unionByName(best)
-    return out
-
-
-def by_rank(left: DataFrame, pivots: int, similar: int) -> DataFrame:
-    """For each shingle its first pivots against the classes of other components: one of each component first."""
-    chosen = _placed(left).where(F.col("place") <= pivots).select("token", F.col("comp").alias("other"), F.col("fp").alias("p"), F.col("n").alias("m"), F.col("at").alias("to"))
-    return left.join(chosen, "token").where("comp <> other").where(_can_link(similar)).select(*_pair())
-
+    first = F.col("n") - F.octet_length("shared") / 8
+    entries = classes.select("fp", first.cast("long").alias("first"), F.octet_length("shared").alias("bytes"), F.posexplode("tokens").alias("k", "token"))
+    held = entries.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by(F.col("first") + F.col("k"), "fp").alias("at_lo"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"), F.sum(F.col("bytes") + MEMBER_BYTES).alias("bytes")).where("lo <> hi")
+    kept = held.groupBy("c", "x", "y", "lo", "hi").agg(F.min_by(F.struct("token", F.ceil(F.col("bytes") / block_bytes).alias("blocks")), "at_lo").alias("kept")).select("kept.*")
+    return entries.join(kept, "token").select("token", "fp", "k", F.pmod(F.xxhash64("fp", "token"), "blocks").cast("int").alias("block"), "blocks")
 
-def _placed(left: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
 
-    turn = F.row_number().over(Window.partitionBy("token", "comp").orderBy(F.desc("deg"), "fp"))
-    return left.withColumn("turn", turn).withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("turn", F.desc("deg"), "comp")))
+def with_parts(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """Entries with the class's size and ``part``, its shared shingles from the entry's own on."""
+    return entries.join(classes.select("fp", "n", "shared"), "fp").withColumn("part", F.expr("substring(shared, 8 * k + 1)")).drop("shared")
 
 
-def still_open(left: DataFrame, labels: DataFrame | None, links: DataFrame | None, pivots: int | None) -> DataFrame:
-    """The entries of shingles that classes of several components hold, without pivots that have met all others."""
-    if pivots is not None:
-        left = _placed(left).where(F.col("place") > pivots).drop("turn", "place")
-    if labels is not None:
-        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        known = labels.join(degrees, "node", "left").select(F.col("node").alias("fp"), F.col("comp").alias("new"), F.coalesce("links", F.lit(0)).alias("links"))
-        left = left.join(known, "fp", "left").withColumns({"comp": F.coalesce("new", "comp"), "deg": F.coalesce("links", "deg")}).drop("new", "links")
-    open_ = left.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("token")
-    return left.join(open_, "token").select("token", "fp", "n", "at", "comp", "deg")
+def outside(entries: DataFrame, labels: DataFrame, block_bytes: int, classes: DataFrame) -> DataFrame:
+    """Of shingles with several blocks and components: the members of each block, and as probes the other blocks' holders that are not in the largest component."""
+    known = labels.select(F.col("node").alias("fp"), "comp")
+    many = entries.where("blocks > 1").join(known, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    counts = many.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    tokens = counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
+    open_ = with_parts(many.join(tokens, "token"), classes)
+    weight = F.when(F.col("comp") != F.col("main"), F.octet_length("part") + MEMBER_BYTES)
+    chunks = open_.groupBy("token").agg(F.ceil(F.sum(weight) / block_bytes).cast("int").alias("chunks"))
+    dealt = open_.join(chunks, "token")
+    columns = ["token", "block", "chunk", "probe", "fp", "n", "comp", "part"]
+    members = dealt.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("probe", F.lit(False))
+    probes = dealt.where("comp <> main").withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks").cast("int")).withColumn("to", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)"))).where("to <> block").withColumn("block", F.col("to")).withColumn("probe", F.lit(True))
+    return members.select(columns).unionByName(probes.select(columns))
 
 
 # The join
 
 
-def jaccard_components(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+def jaccard_components(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similar: int = SIMILAR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``fp``, the class of equal sets, and ``label``.
 
     ``label`` is one for each component, also where ids are null or repeat; null without words. Ids are integers. A text with fewer words than a shingle is one shingle; without words, or
@@ -379,32 +480,21 @@ def jaccard_components(docs: DataFrame, shared: Shared, id_col: str = "doc_id",
         raise ValueError("two different sets have one 64-bit fingerprint")
     first = sets.where("shared is not null").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "shared")))
     classes = shared.table(first, "classes")
-    left = shared.table(prefix_entries(classes), "entries-0")
-    links, labels, tested = None, None, None
-    rounds = [None] * SINGLE_ROUNDS + list(PIVOTS)
-    k = 0
-    while rounds and left.limit(1).count():
-        k += 1
-        pivots = rounds.pop(0)
-        pairs = one_each(left, k, similar) if pivots is None else by_rank(left, pivots, similar)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = shared.table(pairs.distinct(), f"pairs-{k}")
-        found = shared.table(compare(pairs, classes, similar), f"links-{k}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links, shared, f"labels-{k}")
-        elif pivots is None:  # single pivots find no more
-            rounds = [r for r in rounds if r is not None]
-        left = shared.table(still_open(left, labels, links, pivots), f"entries-{k}")
-    if labels is None:
-        labels = classes.select(F.col("fp").alias("node"), F.col("fp").alias("comp")).limit(0)
+    entries = shared.table(prefix_entries(classes, block_bytes), "entries")
+    blocks = with_parts(entries, classes).select("token", "block", "fp", "n", "part").repartition("token", "block").sortWithinPartitions("token", "block")
+    links = shared.table(link_blocks(blocks, similar), "links")
+    labels = components(links, shared, "labels")
+    if entries.where("blocks > 1").limit(1).count():
+        probes = outside(entries, labels, block_bytes, classes).repartition("token", "block", "chunk").sortWithinPartitions("token", "block", "chunk", "probe")
+        links = links.unionByName(shared.table(link_across(probes, similar), "links-across"))
+        labels = components(links, shared, "labels-across")
     named = labels.select(F.col("node").alias("fp"), "comp")
     lowest = sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
     of_class = lowest.join(named, "fp", "left")
     of_comp = of_class.where("comp is not null").groupBy("comp").agg(F.min("low").alias("least"))
     known = of_class.where("comp is not null or rows > 1").join(of_comp, "comp", "left").select("fp", F.coalesce("least", "low").alias("least"), "comp")
+    for done in ("classes", "entries"):
+        shared.drop(done)
     return sets.select("id", "n", "fp").join(known, "fp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "fp", F.coalesce("comp", "fp").alias("label"))
 
 

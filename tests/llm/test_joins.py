@@ -91,13 +91,13 @@ def test_short_lines_go(spark):
     assert report(spark, docs) == brute.dropped_lines(docs)
 
 
-def groups(spark, docs):
+def groups(spark, docs, **more):
     d = spark.createDataFrame(docs, DOC).withColumn("n", F.lit("x")).withColumn("fp", F.lit(1))
-    return sorted((tuple(r)[:3] for r in jaccard.jaccard_components(d, Shared.create(spark, "t")).collect()), key=str)
+    return sorted((tuple(r)[:3] for r in jaccard.jaccard_components(d, Shared.create(spark, "t"), **more).collect()), key=str)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_jaccard_components(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(3, 8 << 20), (4, 1000), (5, 2000)])
+def test_jaccard_components(spark, seed, block):
     rng, docs = random.Random(seed), []
     for _ in range(12):
         base = [rng.choice("abcdefghijklmnop") for _ in range(rng.choice([3, 6, 30, 80]))]
@@ -107,7 +107,7 @@ def test_jaccard_components(spark, seed):
                 w[rng.randrange(len(w))] = rng.choice("abcdefghijklmnop")
             docs.append((len(docs) + 100, " ".join(w)))
     docs += [(None, None), (3, ""), (3, " \n"), (None, docs[0][1]), docs[1], (1, docs[5][1].upper())]
-    assert groups(spark, docs) == brute.jaccard_groups(docs)
+    assert groups(spark, docs, block_bytes=block) == brute.jaccard_groups(docs)
 
 
 def test_jaccard_of_nothing(spark):
@@ -130,12 +130,34 @@ def test_trie_prunes_and_finds():
     import numpy as np
 
     rng = random.Random(1)
-    sets = [np.array(sorted(rng.sample(range(30), rng.randrange(5, 25))), np.uint64) for _ in range(200)]
-    sizes = [len(s) for s in sets]
-    trie = jaccard.build_trie(sets, sizes)
-    for probe in sets[:40]:
-        want = [m for m, s in enumerate(sets) if 100 * len(set(s) & set(probe)) >= 75 * len(set(s) | set(probe))]
-        assert sorted(jaccard.walk(trie, probe, len(probe), sizes)) == want
+    sets = [sorted(rng.sample(range(30), rng.randrange(5, 25))) for _ in range(200)]
+    sets += sets[:5]
+    parts, sizes = [np.array(s, np.uint64).tobytes() for s in sets], np.array([len(s) for s in sets])
+    got = set()
+    jaccard.walk(jaccard.Trie(parts, sizes), parts[:40], sizes[:40], lambda m, hits: got.update((m, int(h)) for h in hits))
+    assert got == {(m, p) for m, s in enumerate(sets) for p, q in enumerate(sets[:40]) if 100 * len({*s} & {*q}) >= 75 * len({*s} | {*q})}
+
+
+@pytest.mark.parametrize("walk_bytes", [1, 500, 1 << 20])
+def test_self_join_keeps_components(monkeypatch, walk_bytes):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "WALK_BYTES", walk_bytes)
+    rng = random.Random(2)
+    base = [rng.sample(range(1, 90), 20) for _ in range(3)]
+    sets = [sorted({0, *rng.sample(b, 18), *rng.sample(range(100, 130), rng.randrange(6))}) for b in base for _ in range(60)]
+    parts, sizes = [np.array(s, np.uint64).tobytes() for s in sets], np.array([len(s) for s in sets])
+
+    def comps(links):
+        top = list(range(len(sets)))
+        for a, b in links:
+            x, y = top[a], top[b]
+            top = [min(x, y) if t in (x, y) else t for t in top]
+        return top
+
+    links = jaccard.self_join(parts, sizes)
+    every = [(i, j) for i, s in enumerate(sets) for j, q in enumerate(sets[:i]) if 100 * len({*s} & {*q}) >= 75 * len({*s} | {*q})]
+    assert comps(links) == comps(every) and len(links) < len(sets)
 
 
 @pytest.mark.parametrize("order", [2, 3])
