@@ -13,13 +13,16 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch; a batch holds one row more than the bytes allow.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -200,8 +203,30 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with small batches; a worker gives back at a task's end what the task has freed."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
+
     bound_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim:
+        trim(0)
+
+
+@lru_cache(1)
+def _trim():
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -240,11 +265,14 @@ def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Record
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files under a DataFrame; 0 if it has none."""
-    spark = df.sparkSession
+    """Bytes of the files under a DataFrame, or of its strings if it has none."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if not files:
+        texts = [F.octet_length(F.col(f"`{c}`")) for c, kind in df.dtypes if kind in ("string", "binary")]
+        return df.agg(F.sum(sum((F.coalesce(x, F.lit(0)).cast("long") for x in texts), F.lit(0)))).first()[0] or 0
     jvm, total = spark._jvm, 0
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {os.path.dirname(x) if x.rpartition("/")[2].startswith("part-") else x for x in df.inputFiles()}:
+    for folder in {os.path.dirname(x) if x.rpartition("/")[2].startswith("part-") else x for x in files}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         total += path.getFileSystem(conf).getContentSummary(path).getLength()
     return total
@@ -260,6 +288,37 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (keys >> U64(64 - (shards.bit_length() - 1))).astype(np.int32) if shards > 1 else np.zeros(len(keys), np.int32)
 
 
+def by_key(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """The rows of batches that are sorted by their first columns, by these."""
+
+    def rows():
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    return groupby(rows(), key=lambda r: r[:keys])
+
+
+@lru_cache(8)
+def _placed_keys(n: int) -> list[int]:
+    """For each of n partitions an int whose hash, as Spark's repartition takes it, leads there."""
+    k = np.arange(n * (16 + n.bit_length()), dtype=np.uint32)
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    h = np.uint32(42) ^ (turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+    h = (turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    found, first = np.unique(h.view(np.int32).astype(np.int64) % n, return_index=True)
+    out = np.arange(n) + n * 64  # one that no int was found for shares a partition
+    out[found] = k[first]
+    return out.tolist()
+
+
+def shared_key(column: str, n: int) -> Column:
+    """A key by which ``repartition(n, key)`` gives each number below n a partition of its own."""
+    return F.element_at(F.array(*map(F.lit, _placed_keys(n))), F.col(column) + 1) if n <= 1024 else F.col(column)
+
+
 #: Folders of sessions that name none.
 _own: dict[str, str] = {}
 
@@ -273,7 +332,9 @@ class Shared:
     @classmethod
     def create(cls, spark: SparkSession, name: str) -> Shared:
         top = spark.conf.get("spark.checkpoint.dir", None)
-        if not top:  # a session of its own, as in tests
+        if not top and not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        if not top:  # a session of its own on one machine, as in tests
             top = _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='lodemill-')}")
         if "://" not in top and not top.startswith("file:"):
             top = f"file://{top}"
@@ -296,13 +357,22 @@ class Shared:
         fs.move(part, f"{top}/{name}")
         return name
 
+    @contextmanager
+    def stream(self, name: str):
+        """A file to append to, there as a whole when all is written."""
+        fs, top = self._fs()
+        part = f"{top}/.{name}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(part) as out:
+            yield out
+        fs.move(part, f"{top}/{name}")
+
     def save(self, name: str, array: np.ndarray) -> None:
         out = io.BytesIO()
         np.save(out, array)
         self.write(f"{name}.npy", out.getbuffer())
 
     def path(self, name: str) -> str:
-        """A local path of the file; from a remote store it is fetched once for each worker."""
+        """A local path of the file; from a remote store a worker fetches it while it uses the folder."""
         fs, top = self._fs()
         if fs.type_name == "local":
             return f"{top}/{name}"
@@ -312,6 +382,10 @@ class Shared:
         """A memory-mapped array."""
         return _mapped(self.uri, name)
 
+    def mapped(self, name: str, kind: str) -> np.ndarray:
+        """A memory-mapped file of little-endian numbers."""
+        return _raw(self.uri, name, kind)
+
     def read(self, name: str) -> bytes:
         with open(self.path(name), "rb") as f:
             return f.read()
@@ -326,16 +400,36 @@ class Shared:
         fs.delete_dir(f"{top}/{name}")
 
 
-@lru_cache(4096)
+#: What this worker has open of one folder, by name; another folder's first file closes it all.
+_open: dict[tuple[str, str], np.ndarray | str] = {}
+
+
+def _held(uri: str, name: str, make):
+    if not any(u == uri for u, _ in _open):
+        for (_, of), x in _open.items():
+            if of.startswith("copy of "):
+                os.remove(x)
+        _open.clear()
+    if (uri, name) not in _open:
+        _open[uri, name] = make()
+    return _open[uri, name]
+
+
 def _mapped(uri: str, name: str) -> np.ndarray:
-    return np.load(Shared(uri).path(f"{name}.npy"), mmap_mode="r")
+    return _held(uri, name, lambda: np.load(Shared(uri).path(f"{name}.npy"), mmap_mode="r"))
+
+
+def _raw(uri: str, name: str, kind: str) -> np.ndarray:
+    return _held(uri, name, lambda: np.memmap(Shared(uri).path(name), np.dtype(f"<{kind}"), "r"))
 
 
-@lru_cache(4096)
 def _fetched(uri: str, name: str) -> str:
-    fs, top = Shared(uri)._fs()
-    f = tempfile.NamedTemporaryFile(prefix="lodemill-", delete=False)
-    with fs.open_input_stream(f"{top}/{name}") as source, f:
-        while chunk := source.read(1 << 20):
-            f.write(chunk)
-    return f.name
+    def fetch() -> str:
+        fs, top = Shared(uri)._fs()
+        f = tempfile.NamedTemporaryFile(prefix="lodemill-", delete=False)
+        with fs.open_input_stream(f"{top}/{name}") as source, f:
+            while chunk := source.read(1 << 20):
+                f.write(chunk)
+        return f.name
+
+    return _held(uri, f"copy of {name}", fetch)

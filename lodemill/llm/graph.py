@@ -12,7 +12,8 @@ def components(links: DataFrame, shared: Shared, name: str, left: str = "a", rig
     """``node`` and ``comp``, the smallest node that it reaches, for every node with a link.
 
     Labels fall to the smallest among the neighbours and then to the label's own label, until
-    none changes; each round's labels are written, so that a lost executor costs one round.
+    none changes; each round's labels are written, so that a lost executor costs one round, and
+    replace those of the round before.
     """
     both = links.select(F.col(left).alias("x"), F.col(right).alias("y")).unionByName(links.select(F.col(right).alias("x"), F.col(left).alias("y")))
     edges = shared.table(both.where("x <> y").distinct(), f"{name}-edges")
@@ -26,6 +27,8 @@ def components(links: DataFrame, shared: Shared, name: str, left: str = "a", rig
         new = low.join(up, low.low == up.at, "left").select("node", "old", F.least("low", F.coalesce("up", "low")).alias("comp"))
         written = shared.table(new, f"{name}-{k}")
         changed = written.where("comp <> old").limit(1).count()
+        shared.drop(f"{name}-{k - 1}")
         labels = written.select("node", "comp")
         if not changed:
+            shared.drop(f"{name}-edges")
             return labels

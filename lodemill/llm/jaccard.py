@@ -5,17 +5,18 @@ first shingles of each (its prefix), and one that occurs only once is shared wit
 shingles' counts come first, as sorted hash arrays by shard; each set then gives its prefix's
 shared shingles. Equal sets are one class from the start.
 
-The sets that have a shingle in their prefixes meet under it with what follows it in the order,
-and are stored in a trie whose root is that shingle: sets that go on alike are one path. Many
-probes walk it together; the overlap that they have with a path is counted once for all sets
-below it, and a branch is left when what remains of it cannot reach the overlap that its smallest
-set needs, or when all that it holds is linked with the probes already. First a few sets probe the
-trie, then those that are not in the largest component, until all others are in one: so a group
-of copies costs little more than its size, no pairs are written, and no link is lost.
-
-A shingle's holders are dealt to blocks of bounded bytes. Those of one block are joined first; the
-components tell which holders of other blocks are still outside a shingle's largest component, and
-these probe the tries of the other blocks.
+Sets that reach each other by prefix shingles are a cluster; each set goes to its cluster once.
+The cluster's ordered sets are stored in a trie: sets that begin alike are one path. Many probes
+walk it together; the overlap that they have with a path is counted once for all sets below it,
+and a branch is left when what remains of it cannot reach the overlap that its smallest set needs,
+or when all that it holds is linked with the probes already. First a few sets probe the trie, then
+those that are not in the largest component, until all others are in one: so a group of copies
+costs little more than its size, no pairs are written, and no link is lost.
+
+A cluster whose sets take more than a bounded number of bytes is joined shingle by shingle: what
+follows a shingle in its holders is stored in tries of bounded blocks. Each block is joined first;
+the components tell which holders are still outside a shingle's largest component, and these probe
+the tries of the other blocks.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import SPACED, U64, Shared, bound_batches, find, gathered, hash_words, map_arrow, mix, pack, roll, shard_of, shards_for, signed, sum_by_key, unpack, utf8
+from lodemill.llm.common import SPACED, U64, Shared, bound_batches, by_key, find, gathered, hash_words, map_arrow, mix, pack, roll, shard_of, shards_for, shared_key, signed, sum_by_key, unpack, utf8
 from lodemill.llm.graph import components
 from lodemill.llm.lookup import look_up, save_sorted
 
@@ -89,32 +90,20 @@ def count_shingles(docs: DataFrame, text_col: str, shared: Shared, shards: int,
             yield out()
 
     def merge(batches) -> Iterator[pa.RecordBatch]:
-        for shard, blobs in by_shard(batches):
-            keys, n = merged(blobs)
+        for (shard,), group in by_key(batches, 1):
+            keys, n = merged(blob for _, blob in group)
             shared.save(f"shingles-{shard}", keys[n > 1])
             shared.save(f"counts-{shard}", n[n > 1].astype(np.uint32))
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32())})
 
     found = map_arrow(docs.select(text_col), runs, "shard int, run binary")
-    dealt = found.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = found.repartition(shards, shared_key("shard", shards)).sortWithinPartitions("shard")
     done = {r["shard"] for r in map_arrow(dealt, merge, "shard int").collect()}  # one row for each shard
     for s in set(range(shards)) - done:
         shared.save(f"shingles-{s}", np.zeros(0, U64))
         shared.save(f"counts-{s}", np.zeros(0, np.uint32))
 
 
-def by_shard(batches) -> Iterator[tuple[int, Iterator[bytes]]]:
-    """The blobs of each shard of batches that are sorted by it."""
-    from itertools import groupby
-
-    def rows():
-        for batch in batches:
-            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-
-    for shard, group in groupby(rows(), key=lambda r: r[0]):
-        yield shard, (blob for _, blob in group)
-
-
 def merged(blobs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sums of sorted runs; runs are folded as they come."""
     keys, n = np.zeros(0, U64), np.zeros(0, np.int64)
@@ -371,17 +360,6 @@ def _commonest(trie: Trie, most: int) -> list[int]:
     return np.argsort(-value)[:most].tolist()
 
 
-def _grouped(batches, keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
-    """The rows of batches that are sorted by their first columns, by these."""
-    from itertools import groupby
-
-    def rows():
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-    return groupby(rows(), key=lambda r: r[:keys])
-
-
 def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
@@ -391,7 +369,7 @@ def link_blocks(blocks: DataFrame, similar: int) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for _, group in _grouped(batches, 2):
+        for _, group in by_key(batches, 2):
             members = list(group)
             if len(members) > 1:
                 names = [r[2] for r in members]
@@ -408,7 +386,7 @@ def link_across(blocks: DataFrame, similar: int) -> DataFrame:
     """Links (a, b) of probes with the members of each (token, block, chunk) of (..., probe, fp, n, comp, part)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for _, group in _grouped(batches, 3):
+        for _, group in by_key(batches, 3):
             rows = list(group)  # members come first; both are bounded
             members, probes = [r for r in rows if not r[3]], [r for r in rows if r[3]]
             if not members or not probes:
@@ -430,7 +408,7 @@ def link_across(blocks: DataFrame, similar: int) -> DataFrame:
 
 
 def prefix_entries(classes: DataFrame, block_bytes: int) -> DataFrame:
-    """(token, fp, k, block, blocks) of the shingles that several classes have in their prefixes; k is the place among the shared ones.
+    """(token, fp, k, block, blocks, lo) of the shingles that several classes have in their prefixes; k is the place among the shared ones, lo the least holder.
 
     Of shingles that the very same classes hold, only the first in the order is kept: a pair meets
     at its first common shingle. Blocks are dealt by a hash of class and shingle.
@@ -438,8 +416,15 @@ def prefix_entries(classes: DataFrame, block_bytes: int) -> DataFrame:
     first = F.col("n") - F.octet_length("shared") / 8
     entries = classes.select("fp", first.cast("long").alias("first"), F.octet_length("shared").alias("bytes"), F.posexplode("tokens").alias("k", "token"))
     held = entries.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by(F.col("first") + F.col("k"), "fp").alias("at_lo"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"), F.sum(F.col("bytes") + MEMBER_BYTES).alias("bytes")).where("lo <> hi")
-    kept = held.groupBy("c", "x", "y", "lo", "hi").agg(F.min_by(F.struct("token", F.ceil(F.col("bytes") / block_bytes).alias("blocks")), "at_lo").alias("kept")).select("kept.*")
-    return entries.join(kept, "token").select("token", "fp", "k", F.pmod(F.xxhash64("fp", "token"), "blocks").cast("int").alias("block"), "blocks")
+    kept = held.groupBy("c", "x", "y", "lo", "hi").agg(F.min_by(F.struct("token", F.ceil(F.col("bytes") / block_bytes).alias("blocks"), "lo"), "at_lo").alias("kept")).select("kept.*")
+    return entries.join(kept, "token").select("token", "fp", "k", F.pmod(F.xxhash64("fp", "token"), "blocks").cast("int").alias("block"), "blocks", "lo")
+
+
+def clusters(entries: DataFrame, classes: DataFrame, shared: Shared, block_bytes: int) -> DataFrame:
+    """(fp, cluster, small): which sets reach each other by prefix shingles, and whether a cluster's fit into one block."""
+    reached = components(entries.select("fp", "lo").where("fp <> lo"), shared, "clusters", "fp", "lo").select(F.col("node").alias("fp"), F.col("comp").alias("cluster"))
+    sizes = reached.join(classes.select("fp", (F.octet_length("shared") + MEMBER_BYTES).alias("bytes")), "fp").groupBy("cluster").agg((F.sum("bytes") <= block_bytes).alias("small"))
+    return reached.join(sizes, "cluster")
 
 
 def with_parts(entries: DataFrame, classes: DataFrame) -> DataFrame:
@@ -481,11 +466,16 @@ def jaccard_components(docs: DataFrame, shared: Shared, id_col: str = "doc_id",
     first = sets.where("shared is not null").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "shared")))
     classes = shared.table(first, "classes")
     entries = shared.table(prefix_entries(classes, block_bytes), "entries")
-    blocks = with_parts(entries, classes).select("token", "block", "fp", "n", "part").repartition("token", "block").sortWithinPartitions("token", "block")
-    links = shared.table(link_blocks(blocks, similar), "links")
+    reached = shared.table(clusters(entries, classes, shared, block_bytes), "reached")
+    blocks = reached.where("small").join(classes, "fp").select(F.col("cluster").alias("token"), F.lit(-1).alias("block"), "fp", "n", F.col("shared").alias("part"))
+    large = None
+    if reached.where("not small").limit(1).count():
+        large = entries.join(reached.where("not small").select("fp"), "fp", "left_semi")
+        blocks = blocks.unionByName(with_parts(large, classes).select("token", "block", "fp", "n", "part"))
+    links = shared.table(link_blocks(blocks.repartition("token", "block").sortWithinPartitions("token", "block"), similar), "links")
     labels = components(links, shared, "labels")
-    if entries.where("blocks > 1").limit(1).count():
-        probes = outside(entries, labels, block_bytes, classes).repartition("token", "block", "chunk").sortWithinPartitions("token", "block", "chunk", "probe")
+    if large is not None and large.where("blocks > 1").limit(1).count():
+        probes = outside(large, labels, block_bytes, classes).repartition("token", "block", "chunk").sortWithinPartitions("token", "block", "chunk", "probe")
         links = links.unionByName(shared.table(link_across(probes, similar), "links-across"))
         labels = components(links, shared, "labels-across")
     named = labels.select(F.col("node").alias("fp"), "comp")
@@ -493,7 +483,7 @@ def jaccard_components(docs: DataFrame, shared: Shared, id_col: str = "doc_id",
     of_class = lowest.join(named, "fp", "left")
     of_comp = of_class.where("comp is not null").groupBy("comp").agg(F.min("low").alias("least"))
     known = of_class.where("comp is not null or rows > 1").join(of_comp, "comp", "left").select("fp", F.coalesce("least", "low").alias("least"), "comp")
-    for done in ("classes", "entries"):
+    for done in ("classes", "entries", "reached"):
         shared.drop(done)
     return sets.select("id", "n", "fp").join(known, "fp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "fp", F.coalesce("comp", "fp").alias("label"))
 
