@@ -1,15 +1,19 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Every kind has a pattern, a validator (Luhn for payment cards, mod-97 for IBANs, digit counts,
-byte ranges) and a base score; context words within a window raise it. Spans whose score reaches
-the threshold are kept. The four base kinds reach it without context, so they are found by
-pattern and validator alone; the others need a checksum or a context word.
+byte ranges, the spread of a secret's characters) and a base score; context words within a window
+raise it. Spans whose score reaches the threshold are kept. The four base kinds reach it without
+context, so they are found by pattern and validator alone; the others need a checksum or a
+context word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,12 +22,12 @@ from pyspark.sql import DataFrame
 from lodemill.llm.common import map_arrow
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("iban", "ssn", "national_phone")
+MORE_KINDS = ("iban", "ssn", "national_phone", "secret")
 KINDS = BASE_KINDS + MORE_KINDS
 #: Score from which a span is kept, what a context word adds, and the characters around a span that are looked at.
 THRESHOLD, CONTEXT_ADDS, WINDOW = 0.5, 0.35, 48
 
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.85, "ssn": 0.3, "national_phone": 0.3}
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.85, "ssn": 0.3, "national_phone": 0.3, "secret": 0.3}
 CONTEXT = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
@@ -32,6 +36,7 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social security", "taxpayer"),
     "national_phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "teléfono", "téléphone"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "auth", "bearer", "credential"),
 }
 
 #: The part of an address from the sign on; what stands before it is taken from the text.
@@ -44,6 +49,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)[\x20]?|[0-9]{3,4}[-\x20])[0-9]{3}[-\x20][0-9]{4}(?![0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _HINT = re.compile("[0-9@]")
 
 
@@ -98,7 +104,36 @@ def _is_iban(found: str) -> bool:
     return 15 <= len(plain := found.replace(" ", "")) <= 34 and mod97(plain)
 
 
-_RULES = {"ip": (_IP, _is_ip), "card": (_CARD, _is_card), "phone": (_PHONE, _is_phone), "iban": (_IBAN, _is_iban), "ssn": (_SSN, None), "national_phone": (_NATIONAL, None)}
+def _is_secret(found: str) -> bool:
+    """Letters and digits, spread as evenly as random ones are: 3 bits a character at least."""
+    if not re.search("[A-Za-z]", found) or not re.search("[0-9]", found):
+        return False
+    return sum(n * math.log2(len(found) / n) for n in Counter(found).values()) >= 3 * len(found)
+
+
+_RULES = {"ip": (_IP, _is_ip), "card": (_CARD, _is_card), "phone": (_PHONE, _is_phone), "iban": (_IBAN, _is_iban), "ssn": (_SSN, None), "national_phone": (_NATIONAL, None), "secret": (_SECRET, _is_secret)}
+
+
+def _valid(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    pattern, valid = _RULES[kind]
+    return (m.span() for m in pattern.finditer(text) if valid is None or valid(m.group()))
+
+
+class Taken:
+    """Parts of a text that spans cover, in order and apart from each other."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted((a, b) for _, a, b in spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)  # the first part that ends after a
+        return k == len(self.starts) or self.starts[k] >= b
 
 
 def context_score(kind: str, text: str, start: int, end: int) -> float:
@@ -114,14 +149,15 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     out = []
     if "@" in text:
         out += [("email", a, b) for a, b in _emails(text)]
-    for kind in KINDS[1:]:
-        if kind == "phone" and "+" not in text:
-            continue
-        pattern, valid = _RULES[kind]
-        spans = [m.span() for m in pattern.finditer(text) if valid is None or valid(m.group())]
-        if kind in MORE_KINDS:  # what a base kind has found already isn't found again
-            spans = [(a, b) for a, b in spans if not any(a < y and x < b for _, x, y in out)]
-        out += [(kind, a, b) for a, b in spans]
+    for kind in BASE_KINDS[1:]:
+        if kind != "phone" or "+" in text:
+            out += [(kind, a, b) for a, b in _valid(kind, text)]
+    taken = Taken(out)
+    for kind in MORE_KINDS:  # what has been found already isn't found again
+        spans = [(kind, a, b) for a, b in _valid(kind, text) if taken.free(a, b)]
+        if spans:
+            out += spans
+            taken = Taken(out)
     scored = [(k, a, b, context_score(k, text, a, b)) for k, a, b in out]
     return [s for s in scored if s[3] >= THRESHOLD]
 
@@ -134,7 +170,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Personal data in each whole text.
 
     Returns ``id_col``, counts of the base kinds, ``base_sha256`` (of the base spans as text),
-    ``spans`` (all spans as text) and, with ``details``, ``found``: kind, start, end and score of
+    ``spans`` (all spans as text), ``n_secret``, ``n_spans`` (of all kinds) and, with ``details``, ``found``: kind, start, end and score of
     each. A null or empty text has none. Rows are independent of each other and of other columns.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -149,9 +185,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 columns[f"n_{k}"] = pa.array([sum(s[0] == k for s in f) for f in found], pa.int64())
             columns["base_sha256"] = pa.array([hashlib.sha256(joined(f).encode()).hexdigest() for f in base], pa.string())
             columns["spans"] = pa.array([joined(f) for f in found], pa.string())
+            columns["n_secret"] = pa.array([sum(s[0] == "secret" for s in f) for f in found], pa.int64())
+            columns["n_spans"] = pa.array([len(f) for f in found], pa.int64())
             if details:
                 columns["found"] = pa.array([[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in f] for f in found], shape)
             yield pa.RecordBatch.from_pydict(columns)
 
-    schema = f"`{id_col}` {kind}, " + "".join(f"n_{k} long, " for k in BASE_KINDS) + "base_sha256 string, spans string"
+    schema = f"`{id_col}` {kind}, " + "".join(f"n_{k} long, " for k in BASE_KINDS) + "base_sha256 string, spans string, n_secret long, n_spans long"
     return map_arrow(docs.select(id_col, text_col), run, schema + (", found array<struct<kind:string,start:int,end:int,score:double>>" if details else ""))
