@@ -12,7 +12,6 @@ share of labelled rows, each scored as if it were not known itself, would be rej
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +26,8 @@ from lodemill.llm.common import U64, map_arrow, spans
 BUCKET_BITS, DIMS, LONGEST = 15, 16, 4
 #: Bits of the hash under which a longest subword counts as seen.
 SEEN_BITS = 22
-#: Labelled rows used for training and calibration.
-SAMPLE_ROWS = 2500
+#: Labelled rows used for training and calibration, and bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 2500, 64 << 20
 #: Steps of training at least, however few the rows.
 LEAST_STEPS = 1000
 #: Share of the labelled rows that may be rejected.
@@ -36,7 +35,6 @@ REJECT_SHARE = 0.001
 UNKNOWN = "und"
 
 _GAP = b" " * LONGEST
-_LETTER = re.compile(r"[^\W\d_]")
 _MUL = U64(0x9E3779B97F4A7C15)
 #: ASCII but letters becomes a space.
 _LETTERS = bytes(b if b >= 128 or bytes([b]).isalpha() else 32 for b in range(256))
@@ -99,7 +97,9 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, calibrated probability, and whether it is rejected."""
         langs, scores, rejected = [], [], []
-        known = [t if t and _LETTER.search(t) else None for t in texts]
+        if not self.langs:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
+        known = [t if t and any(map(str.isalpha, t)) else None for t in texts]
         for first, last in spans([(t or "").encode() for t in known], 1 << 18):
             part = known[first:last]
             z, shares = self.measure([t or "" for t in part])
@@ -132,10 +132,10 @@ def _low_score(scores: np.ndarray, share: float) -> float:
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 4.0, batch: int = 16, seed: int = 7) -> Model:
-    """Train on labelled texts; every fifth is kept for the calibration."""
+    """Train on labelled texts; every fifth is kept for the calibration. From none, a model that knows no language."""
     names = sorted(set(langs))
     if not names:
-        raise ValueError("no labelled text to learn from")
+        return Model([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, 1.0, np.zeros(1, bool))
     rng = np.random.default_rng(seed)
     rows = [_features(t) for t in texts]
     y = np.array([names.index(x) for x in langs])
@@ -184,19 +184,25 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 4.0,
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, usable=None) -> Model:
-    """Learn from at most ``rows`` labelled rows, those with the lowest hash of id and text.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, usable=None) -> Model:
+    """Learn from at most ``rows`` labelled rows, those with the lowest hash of id and length, and at most ``most_bytes`` of text.
 
-    Rows with a null text or label are left out; ``usable`` may restrict the rest.
+    A row whose text does not fit into what is left of the bytes is not used. Rows with a null
+    text or label are left out; ``usable`` may restrict the rest. Without labelled rows the model
+    gives every text ``und`` and rejects it.
     """
     kept = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     kept = kept.where(usable) if usable is not None else kept
-    lowest = kept.select(F.xxhash64(F.col(id_col), F.length(text_col)).alias("h"), F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-    # The ids first, so that no text is sorted; then the texts of those rows.
-    picked = lowest.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("most")).first()["most"]
-    if picked is None:
-        raise ValueError("no labelled text to learn from")
-    got = lowest.where(F.col("h") <= F.lit(picked)).select("h", "k", "t", "l").limit(2 * rows).collect()
+    labelled = kept.select(F.xxhash64(F.col(id_col), F.octet_length(text_col)).alias("h"), F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
+    # Hashes and sizes first, so that no text is sorted; then the texts of those rows.
+    lowest, chosen, total = labelled.select("h", F.octet_length("t").alias("n")).orderBy("h", "n").limit(rows).collect(), set(), 0
+    for r in lowest:
+        if total + r["n"] <= most_bytes:
+            total += r["n"]
+            chosen.add(r["h"])
+    if not chosen:
+        return fit([], [])
+    got = labelled.where(F.col("h") <= max(chosen)).where(F.col("h").isin(sorted(chosen))).limit(len(lowest)).collect()
     got.sort(key=lambda r: (r["h"], str(r["k"]), r["t"]))
     return fit([r["t"] for r in got], [r["l"] for r in got])
 
@@ -204,7 +210,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``lang_pred``, ``score`` and ``rejected`` of each row, from the whole text alone.
 
-    A null text and one without a letter give ``und``, score 0, rejected. Repeated rows give
+    A null text and one without a letter give ``und``, score 0, rejected, and so does every text to a model that knows no language. Repeated rows give
     repeated results; no other column is read.
     """
 
