@@ -33,10 +33,10 @@ END_ID = 0
 
 
 class FrameWriter:
-    """Builds one file in memory; documents are added in order."""
+    """Writes one file; documents are added in order, frames go out as they are full."""
 
-    def __init__(self, frame_bytes: int = FRAME_BYTES):
-        self.frame_bytes, self.out, self.frames, self.docs, self.held = frame_bytes, [], [], [], []
+    def __init__(self, out, frame_bytes: int = FRAME_BYTES):
+        self.frame_bytes, self.out, self.frames, self.docs, self.held = frame_bytes, out, [], [], []
         self.size = 0
         self.zip = zstandard.ZstdCompressor(level=1, write_content_size=True)
 
@@ -51,16 +51,16 @@ class FrameWriter:
         if self.held:
             raw = b"".join(self.held)
             packed = self.zip.compress(raw)
-            self.out.append(packed)
+            self.out.write(packed)
             self.frames.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
             self.held, self.size = [], 0
 
-    def finish(self) -> bytes:
+    def finish(self) -> None:
         self._close()
         index = b"".join(struct.pack("<qBIII", *d) for d in self.docs)
         index = zstandard.ZstdCompressor(level=1).compress(index)
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, SEEKABLE_MAGIC)
-        return b"".join([*self.out, struct.pack("<II", INDEX_MAGIC, len(index)), index, struct.pack("<II", SKIPPABLE_MAGIC, len(table)), table])
+        self.out.write(b"".join([struct.pack("<II", INDEX_MAGIC, len(index)), index, struct.pack("<II", SKIPPABLE_MAGIC, len(table)), table]))
 
 
 @dataclass
@@ -230,13 +230,15 @@ def write_files(docs: DataFrame, tokenizer_path: str, shared: Shared, id_col: st
     n = max(8, -(-input_bytes(docs) // file_bytes))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        table, out, ids, name = byte_table(tokenizer_path, added_tokens), FrameWriter(), 0, f"part-{TaskContext.get().partitionId():06d}.zst"
-        for batch in batches:
-            for key, tokens in zip(batch.column(0).to_pylist(), table.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                out.add(key, tokens + struct.pack("<I", END_ID))
-                ids += len(tokens) // 4 + 1
+        table, ids, name = byte_table(tokenizer_path, added_tokens), 0, f"part-{TaskContext.get().partitionId():06d}.zst"
+        with shared.stream(name) as sink:
+            out = FrameWriter(sink)
+            for batch in batches:
+                for key, tokens in zip(batch.column(0).to_pylist(), table.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                    out.add(key, tokens + struct.pack("<I", END_ID))
+                    ids += len(tokens) // 4 + 1
+            out.finish()
         if out.docs:
-            shared.write(name, out.finish())
             yield pa.RecordBatch.from_pydict({"name": [name], "docs": pa.array([len(out.docs)], pa.int64()), "ids": pa.array([ids], pa.int64())})
 
     tie = F.xxhash64(F.col(text_col))

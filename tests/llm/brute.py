@@ -41,7 +41,7 @@ def one_edit(a, b):
     return len(a) - len(b) == 1 and any(a[:k] + a[k + 1 :] == b for k in range(len(a)))
 
 
-def dropped_lines(docs):
+def dropped_lines(docs, same_words=lines.SAME_WORDS, near_words=lines.NEAR_WORDS):
     every = []
     for key, text in set(docs):
         raw = (text or "").encode()
@@ -49,8 +49,8 @@ def dropped_lines(docs):
             every.append(((lines.NULL_ID if key is None else key, xxhash.xxh3_64_intdigest(raw) >> 1, pos), tuple(line.lower().split()), (key, text, pos)))
     gone, seen = set(), set()
     for _, words, at in sorted(every, key=lambda x: x[0]):
-        if len(words) >= lines.SAME_WORDS:
-            if words in seen or len(words) >= lines.NEAR_WORDS and any(len(s) >= lines.NEAR_WORDS and one_edit(words, s) for s in seen):
+        if len(words) >= same_words:
+            if words in seen or len(words) >= near_words and any(len(s) >= near_words and one_edit(words, s) for s in seen):
                 gone.add(at)
             seen.add(words)
     out = []

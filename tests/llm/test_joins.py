@@ -4,6 +4,7 @@ import random
 import zlib
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,9 +52,9 @@ def test_decontamination_of_nothing(spark):
     assert contamination(spark, [(1, "a b")], []) == brute.hit_words([(1, "a b")], [])
 
 
-def report(spark, docs):
+def report(spark, docs, **more):
     d = spark.createDataFrame(docs, DOC).withColumn("n_lines", F.lit(1))
-    found = lines.line_report(d, lines.learn(d, Shared.create(spark, "t")), keep_text=False)
+    found = lines.line_report(d, lines.learn(d, Shared.create(spark, "t"), **more), keep_text=False)
     return sorted(((a, b, c, tuple(p), s) for a, b, c, p, s in map(tuple, found.collect())), key=str)
 
 
@@ -71,6 +72,24 @@ def test_line_dedup(spark):
     docs = [(rng.choice([k, k, k, 5]), "\n".join(line() for _ in range(rng.randrange(1, 8)))) for k in range(120)]
     docs += [(None, None), (7, ""), (7, ""), (None, "a b c d e\n\na b c d e"), *docs[:3]]
     assert report(spark, docs) == brute.dropped_lines(docs)
+    assert report(spark, docs, same_words=2, near_words=8) == brute.dropped_lines(docs, 2, 8)
+
+
+def test_line_dedup_in_many_runs(spark, sample, monkeypatch):
+    # Runs as short as batches, folded in every step: workers get the number with the function's module.
+    monkeypatch.setattr(lines, "RUN", 10)
+    blobs = lines.Held(4)
+    every = []
+    for k in range(30):
+        h, keys = np.arange(k, k + 50, dtype=np.uint64) << np.uint64(58), np.full(50, k // 2, np.uint64)
+        blobs.add(h, keys, np.zeros(50, np.int8))
+        every += blobs.runs(10)
+    got = {s: lines._shared_ones(b for t, b in every if t == s)[0] for s in range(4)}
+    holders = {}
+    for k in range(30):
+        for x in range(k, k + 50):
+            holders.setdefault((x << 58) % (1 << 64), set()).add(k // 2)
+    assert sorted({int(x) for g in got.values() for x in g}) == sorted(h for h, c in holders.items() if len(c) > 1)
 
 
 def test_line_dedup_of_sample(spark, sample):
@@ -127,8 +146,6 @@ def test_keep_first_tells_components_apart(spark):
 
 
 def test_trie_prunes_and_finds():
-    import numpy as np
-
     rng = random.Random(1)
     sets = [sorted(rng.sample(range(30), rng.randrange(5, 25))) for _ in range(200)]
     sets += sets[:5]
@@ -140,8 +157,6 @@ def test_trie_prunes_and_finds():
 
 @pytest.mark.parametrize("walk_bytes", [1, 500, 1 << 20])
 def test_self_join_keeps_components(monkeypatch, walk_bytes):
-    import numpy as np
-
     monkeypatch.setattr(jaccard, "WALK_BYTES", walk_bytes)
     rng = random.Random(2)
     base = [rng.sample(range(1, 90), 20) for _ in range(3)]
@@ -186,6 +201,25 @@ def test_query_sees_two_words_of_context(spark, tmp_path):
     assert [s for _, s in got] == pytest.approx([w[4] for w in want], abs=1e-6)
 
 
+def test_layouts_give_one_model(spark, sample, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "FAN", 4)
+    docs = spark.createDataFrame(sample[:40], DOC)
+    scores = []
+    for layout in (ngram_lm.Layout(1, 1), ngram_lm.Layout(64, 8)):
+        model = ngram_lm.train(docs, Shared.create(spark, "t"), order=3, layout=layout)
+        scores.append(sorted(map(tuple, ngram_lm.score_texts(docs, model).collect())))
+    assert scores[0] == scores[1]
+
+
+def test_missing_file_is_no_empty_one(spark):
+    shared = Shared.create(spark, "t")
+    model = ngram_lm.train(spark.createDataFrame([("a b",)], "text string"), shared)
+    fs, top = shared._fs()
+    fs.delete_file(f"{top}/t1-{model.stored[0][0]}.keys")
+    with pytest.raises(FileNotFoundError):
+        model.score([b"a b"] * 3)
+
+
 def test_untrained_model(spark):
     model = ngram_lm.train(spark.createDataFrame([], "text string"), Shared.create(spark, "t"))
     got = ngram_lm.score_texts(spark.createDataFrame([(1, "a")], DOC), model).first()

@@ -1,6 +1,7 @@
 """Operators on single texts: against the libraries, exact round trips, brute force and held-out accuracy."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -108,11 +109,13 @@ def test_query_finds_added_tokens(spark, tmp_path):
 
 
 def test_one_document_is_read_alone(tmp_path):
-    out = token_files.FrameWriter(frame_bytes=64)
+    sink = io.BytesIO()
+    out = token_files.FrameWriter(sink, frame_bytes=64)
     data = {k: np.arange(k, dtype="<u4").tobytes() for k in range(40)}
     for k, ids in data.items():
         out.add(k, ids)
-    raw = bytearray(out.finish())
+    out.finish()
+    raw = bytearray(sink.getvalue())
     touched = []
     reader = token_files.FrameReader(lambda at, n: touched.append((at, n)) or bytes(raw[at : at + n]), len(raw))
     before = len(touched)
@@ -138,9 +141,50 @@ def test_checksums_and_context():
     found = pii.find_spans("IBAN DE89 3704 0044 0532 0130 00 ok, ssn 123-45-6789, call (974) 555-3436")
     assert [s[0] for s in found] == ["iban", "ssn", "national_phone"]
     assert pii.find_spans("DE88 3704 0044 0532 0130 00, part 123-45-6789 of (974) 555-3436") == []
+    key = "9f86d081884c7d659a2feaa0c55ad015"
+    assert [s[:3] for s in pii.find_spans(f'token = "{key}"')] == [("secret", 9, 41)]
+    assert pii.find_spans(f"word {key}") == pii.find_spans("token = aaaa1111aaaa1111") == pii.find_spans("secret key abcdefghijklmnopqrstuvwxyz") == []
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_planted_spans_are_found_by_kind():
+    """A span of each kind in each of many texts, between words: all are found, and nothing in the words alone."""
+    rng, digits = random.Random(9), lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    def iban():
+        body = digits(18)
+        return next(f"DE{k:02d}{body}" for k in range(2, 99) if pii.mod97(f"DE{k:02d}{body}"))
+
+    make = {
+        "email": lambda: f"ab.{digits(2)}@mail{digits(1)}.example.com",
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "card": card,
+        "phone": lambda: f"+1 ({rng.randrange(200, 999)}) 555-{digits(4)}",
+        "iban": iban,
+        "ssn": lambda: f"ssn {rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        "national_phone": lambda: f"call (212) 555-{digits(4)}",
+        "secret": lambda: f'token = "{rng.getrandbits(160):040x}"',
+    }
+    words = lambda: " ".join(rng.choice(["the", "erand", "ñja", "of."]) for _ in range(rng.randrange(1, 30)))
+    for kind, of in make.items():
+        found = [any(s[0] == kind for s in pii.find_spans(f"{words()} {of()} {words()}")) for _ in range(200)]
+        assert sum(found) >= 198, kind  # a random key may lack letters or digits
+    assert not any(pii.find_spans(words()) for _ in range(200))
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    text = "ab.12@mail.example.com, 10.2.3.4 iban DE89 3704 0044 0532 0130 00; ssn 123-45-6789\n" * 6000
+    began = time.perf_counter()
+    assert len(pii.find_spans(text)) == 4 * 6000
+    assert time.perf_counter() - began < 5
+
+
 def test_personal_data_rows(spark):
     d = spark.createDataFrame([(1, None), (2, ""), (None, "x@y.zz"), (2, "")], DOC).withColumn("spans", F.lit(1))
     got = {(r["doc_id"], r["n_email"], r["spans"]) for r in pii.find_personal_data(d).collect()}
@@ -253,5 +297,18 @@ def test_language(spark):
     assert [r[1] for r in found if r[0] is not None] == ["und"] * 4 and [r[1] for r in found if r[0] is None] == ["en"]
     kept = langid.keep_identified(odd.withColumn("lang", F.lit(None).cast("string")), model).collect()
     assert [(r["doc_id"], r["lang"]) for r in kept] == [(None, "en")]
-    with pytest.raises(ValueError, match="no labelled text"):
-        langid.train(docs.limit(0))
+    for unlabelled in (docs.limit(0), docs.withColumn("lang", F.lit(None).cast("string"))):
+        none = langid.train(unlabelled)
+        assert none.predict(["the and", None]) == (["und"] * 2, [0.0] * 2, [True] * 2)
+        assert langid.identify(odd, none).count() == 5
+
+
+def test_letters_and_sample_bounds(spark):
+    rows = [(k, " ".join(["der die und", "the and of"][k % 2] for _ in range(k % 7 + 1)), ["de", "en"][k % 2]) for k in range(60)]
+    rows += [(100, "x y " * 50_000, "xx"), (101, None, "de"), (102, "the", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, most_bytes=20_000)
+    assert model.langs == ["de", "en"]  # the long row does not fit
+    assert langid.train(docs).langs == ["de", "en", "xx"]
+    langs, scores, rejected = model.predict(["½ ² 12", "Ⅷ ①", "_ _", "", None, "der und die"])
+    assert langs == ["und"] * 5 + ["de"] and scores[:5] == [0.0] * 5 and rejected == [True] * 5 + [False]
