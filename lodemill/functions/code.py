@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from lodemill.functions import script
 from lodemill.functions.scalars import findings
 
 FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -157,11 +158,13 @@ class py_graph_stats:
         except (SyntaxError, ValueError, RecursionError) as e:
             yield (*[None] * 7, f"{type(e).__name__}: {e}")
             return
-        nodes = sum(1 for _ in ast.walk(tree))
+        nodes = edges = 0
+        for node in ast.walk(tree):
+            nodes, edges = nodes + 1, edges + sum(1 for _ in ast.iter_child_nodes(node))
         found = functions_of(tree)
         flow, data = [control_flow(f) for f in found], [data_flow(f) for f in found]
         total = lambda pairs, k: sum(p[k] for p in pairs)
-        yield nodes, nodes - 1, total(flow, 0), total(flow, 1), total(data, 0), total(data, 1), len(found), None
+        yield nodes, edges, total(flow, 0), total(flow, 1), total(data, 0), total(data, 1), len(found), None
 
 
 @udtf(returnType="kind string, ord int, caller string, name string, bare boolean, module string")
@@ -190,25 +193,16 @@ class py_calls:
                     yield "call", k, function.name, name, bare, None
 
 
-@udtf(returnType="function string, line int, error string")
+@udtf(returnType="function string, line int, end_line int, loc int, sloc int, params int, cyclomatic int, cognitive int, max_nesting int, error string")
 class js_functions:
-    """Functions of a JavaScript or TypeScript source; without a parser for them, one row that says so."""
+    """One row for each function of a JavaScript or TypeScript source."""
 
-    def eval(self, source: str, path: str):
+    def eval(self, source: str):
         try:
-            import tree_sitter_javascript
-            from tree_sitter import Language, Parser
-        except ImportError as e:
-            yield None, None, f"no JavaScript parser: {e.name} is not installed"
-            return
-        tree = Parser(Language(tree_sitter_javascript.language())).parse((source or "").encode())
-        todo = [tree.root_node]
-        while todo:
-            node = todo.pop()
-            if node.type in ("function_declaration", "method_definition", "arrow_function", "function_expression", "generator_function_declaration"):
-                name = node.child_by_field_name("name")
-                yield name.text.decode() if name else "(anonymous)", node.start_point[0] + 1, None
-            todo += node.children
+            for row in script.measured(source or ""):
+                yield (*row, None)
+        except (SyntaxError, ValueError, IndexError, KeyError, RecursionError) as e:
+            yield (*[None] * 9, f"{type(e).__name__}: {e}")
 
 
 UDTFS = {"py_functions": py_functions, "py_graph_stats": py_graph_stats, "py_calls": py_calls, "js_functions": js_functions}
@@ -227,11 +221,11 @@ def source_files(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(~skipped).withColumn("kind", kind).where("kind is not null")
 
 
-def scan(files: DataFrame, path: str = "path", source: str = "source") -> DataFrame:
+def scan(files: DataFrame, source: str = "source") -> DataFrame:
     """A row for each function with its findings; sources that fail have their error instead."""
     py = files.where("kind = 'py'").lateralJoin(py_functions(F.col(source).outer())).drop(source)
-    js = files.where("kind = 'js'").lateralJoin(js_functions(F.col(source).outer(), F.col(path).outer())).drop(source)
-    out = py.unionByName(js, allowMissingColumns=True)
+    js = files.where("kind = 'js'").lateralJoin(js_functions(F.col(source).outer())).drop(source)
+    out = py.unionByName(js)
     return out.withColumn("findings", findings(F.col("loc"), F.col("params"), F.col("cyclomatic"), F.col("cognitive"), F.col("max_nesting")))
 
 
@@ -260,9 +254,9 @@ def call_graph(files: DataFrame, project: str = "project", path: str = "path", s
     return out.withColumn("rate", share)
 
 
-def graph_sizes(files: DataFrame, project: str = "project", source: str = "source") -> DataFrame:
-    """Sums of the graph sizes of a project's files; files that cannot be parsed are counted."""
-    rows = files.select(project, source).lateralJoin(py_graph_stats(F.col(source).outer())).drop(source)
+def graph_sizes(files: DataFrame, project: str = "project", path: str = "path", source: str = "source") -> DataFrame:
+    """Sums of the graph sizes of a project's Python files; those that cannot be parsed are counted."""
+    rows = files.where(F.endswith(F.lower(path), F.lit(".py"))).select(project, source).lateralJoin(py_graph_stats(F.col(source).outer())).drop(source)
     names = ["ast_nodes", "ast_edges", "cfg_nodes", "cfg_edges", "dfg_nodes", "dfg_edges"]
     return rows.groupBy(project).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names], F.count_if(F.col("error").isNotNull()).alias("failed"))
 

@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemill.operators.checks import require
+from lodemill.operators.numbering import numbered
+
+
+def turn_of(seed: int, *keys: Column) -> Column:
+    """A place in a random order that is the same for one seed: the MD5 of the seed and the keys' texts."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary"))
 
 
 def seeded(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """N rows at random, the same for one seed however the rows are dealt out."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(turn_of(seed, F.col(key)), key).limit(n)
 
 
 def balanced(rows: DataFrame, per_repo: int, per_folder: int, seed: int = 42, repository: str = "repository", path: str = "path") -> DataFrame:
     """In a seeded order, rows while their repository, folder and sibling name are below their caps.
 
-    Caps count accepted rows alone, so a repository is gone through in order; it is one task's work.
+    Caps count accepted rows alone, so a repository is gone through in order; it is one task's
+    work, and must fit into its worker.
     """
     require("per_repo", per_repo, 1)
     require("per_folder", per_folder, 1)
-    keyed = rows.withColumn("__turn", F.xxhash64(F.col(repository), F.col(path), F.lit(seed)))
+    keyed = rows.withColumn("__turn", turn_of(seed, F.col(repository), F.col(path)))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["__turn", path])
@@ -43,19 +50,19 @@ def strided(rows: DataFrame, strata: list[tuple[Column, int]], order: str, total
     for k, (test, _) in enumerate(strata):
         label = F.when(test, k) if label is None else label.when(test, k)
     share = F.element_at(F.array(*[F.lit(n) for _, n in strata]), F.col("__s") + 1)
-    in_stratum = Window.partitionBy("__s")
-    placed = rows.withColumn("__s", label).withColumn("__i", F.row_number().over(in_stratum.orderBy(order)) - 1).withColumn("__n", F.count("*").over(in_stratum))
+    labelled = rows.withColumn("__s", label)
+    placed = numbered(labelled.where(F.col("__s").isNotNull()), [order], "__i", ["__s"])
+    sizes = labelled.groupBy("__s").agg(F.count("*").alias("__n"))  # one row a stratum
+    placed = placed.join(F.broadcast(sizes.where(F.col("__s").isNotNull())), "__s")
     step = F.greatest(F.lit(1), F.floor(F.col("__n") / share))
-    picked = (F.col("__i") % step == 0) & (F.floor(F.col("__i") / step) < share) & F.col("__s").isNotNull()
-    ordered = placed.withColumn("__p", F.when(picked, 0).otherwise(1))
-    return ordered.orderBy("__p", F.when(F.col("__p") == 0, F.col("__s")), order).limit(total).drop("__s", "__i", "__n", "__p")
+    picked = (F.col("__i") % step == 0) & (F.floor(F.col("__i") / step) < share)
+    both = placed.withColumn("__p", F.when(picked, 0).otherwise(1)).unionByName(labelled.where(F.col("__s").isNull()).withColumn("__p", F.lit(1)), allowMissingColumns=True)
+    return both.orderBy("__p", F.when(F.col("__p") == 0, F.col("__s")), order).limit(total).drop("__s", "__i", "__n", "__p")
 
 
 def cap_group(rows: DataFrame, test: Column, key: str, most: int, seed: int = 42) -> DataFrame:
     """All rows but those of one dominant group beyond a number, chosen by a seeded hash."""
-    turn = F.row_number().over(Window.partitionBy("__g").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    big = rows.where(test).withColumn("__g", F.lit(0))
-    return rows.where(~test | test.isNull()).unionByName(big.withColumn("__n", turn).where(F.col("__n") <= most).drop("__g", "__n"))
+    return rows.where(~test | test.isNull()).unionByName(rows.where(test).orderBy(turn_of(seed, F.col(key)), key).limit(most))
 
 
 def by_length(rows: DataFrame, text: str, partitions: int) -> DataFrame:

@@ -85,4 +85,8 @@ def funnel(advisories: DataFrame, cwes: str, status: str, statuses: list[str]) -
 
 def cell_counts(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Rows of cells that have enough, with the cell's size."""
-    return rows.withColumn("cell_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("cell_n") >= least)
+    counts = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("cell_n")).where(F.col("cell_n") >= least)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(counts, same).drop(*[f"__{k}" for k in keys])

@@ -49,11 +49,34 @@ def g05(spark, sf_dir):
     return _scanned(spark).where("error is null").select("function", "line", "end_line")
 
 
-@query("g06", "SELECT 1 AS n")
+SCRIPT = """// a note
+export async function load(url, {retry = 2} = {}, ...rest) {
+  // a comment
+  if (url && retry || rest.length) {
+    for (const r of rest) { if (!r) continue; }
+  } else if (retry) {
+    return url ? 1 : 2;
+  } else {
+    switch (retry) { case 1: break; default: fail(); }
+  }
+  try { await get(url); } catch (e) { log(e ?? url); }
+  const inner = x => x && x.y;
+  return function () { while (inner(1)) {} };
+}
+class Store extends Base {
+  static async open(name) { do { name(); } while (name || this.size); }
+  close = (hard: boolean): void => { this.on = hard; };
+}
+module.exports = { get(a, b) { return a / b / 2; }, again: () => `x${a ? 1 : "}"}` };
+"""
+_SCRIPT_ROWS = "('load', 2, 14, 13, 12, 3, 12, 13, 3), ('inner', 12, 12, 1, 1, 1, 2, 1, 0), ('(anonymous)', 13, 13, 1, 1, 0, 2, 1, 1), ('open', 16, 16, 1, 1, 1, 3, 2, 1), ('(anonymous)', 17, 17, 1, 1, 1, 1, 0, 0), ('get', 19, 19, 1, 1, 2, 1, 0, 0), ('again', 19, 19, 1, 1, 0, 2, 1, 0)"
+
+
+@query("g06", f"SELECT * FROM (VALUES {_SCRIPT_ROWS}) AS t(function, line, end_line, loc, sloc, params, cyclomatic, cognitive, max_nesting)")
 def g06(spark, sf_dir):
-    """JavaScript functions, or one row that says what is missing."""
-    rows = spark.createDataFrame([("function f() {}", "a.js")], "source string, path string").lateralJoin(C.js_functions(F.col("source").outer(), F.col("path").outer()))
-    return rows.agg(F.count("*").cast("int").alias("n"))
+    """Functions of a script, inner ones on their own."""
+    rows = spark.createDataFrame([("a.js", SCRIPT), ("dist/a.js", SCRIPT), ("b.min.js", SCRIPT), ("c.d.ts", SCRIPT)], "path string, source string")
+    return C.scan(C.source_files(rows)).select("function", "line", "end_line", "loc", "sloc", "params", "cyclomatic", "cognitive", "max_nesting")
 
 
 @query("g07", "SELECT * FROM (VALUES ('one.py', 1, 0), ('lib/db.py', 1, 0), ('bad.py', 0, 1)) AS t(path, functions, errors)")
@@ -68,11 +91,12 @@ def a27(spark, sf_dir):
     return _scanned(spark).agg(F.countDistinct("path").cast("int").alias("files"), F.count("function").cast("int").alias("functions"), F.count_if(F.size("findings") > 0).cast("int").alias("with_findings"))
 
 
-@query("g08", "SELECT TRUE AS tree, 1 AS failed")
+@query("g08", "SELECT * FROM (VALUES ('a', 5, 4, FALSE), ('b', 12, 11, FALSE), ('c', NULL, NULL, TRUE)) AS t(path, nodes, edges, failed)")
 def g08(spark, sf_dir):
-    """A tree has one edge fewer than nodes."""
-    got = _files(spark).lateralJoin(C.py_graph_stats(F.col("source").outer()))
-    return got.agg(F.bool_and(F.coalesce(F.col("ast_edges") == F.col("ast_nodes") - 1, F.lit(True))).alias("tree"), F.count("error").cast("int").alias("failed"))
+    """Nodes and edges of syntax trees: a module, an assignment, its target with its context and its value are five."""
+    rows = spark.createDataFrame([("a", "x = 1"), ("b", "f(x)\nreturn_ = y"), ("c", "def (")], "path string, source string")
+    got = rows.lateralJoin(C.py_graph_stats(F.col("source").outer()))
+    return got.select("path", F.col("ast_nodes").cast("int").alias("nodes"), F.col("ast_edges").cast("int").alias("edges"), F.col("error").isNotNull().alias("failed"))
 
 
 @query("g09", "SELECT * FROM (VALUES ('one.py', 8, 15), ('lib/db.py', 3, 3)) AS t(path, cfg_nodes, cfg_edges)")

@@ -134,12 +134,12 @@ def s06(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", decoded(F.base64(F.encode("text", "UTF-8"))).alias("text"))
 
 
-@query("s29", "SELECT doc_id, CAST(length(text) AS INTEGER) AS parent_n, CAST(length(text) + 2 AS INTEGER) AS fix_n FROM documents WHERE doc_id % 10 = 0")
+@query("s29", "SELECT doc_id, CAST(length(text) AS INTEGER) AS parent_n, CAST(length(text) + 2 AS INTEGER) AS fix_n FROM documents WHERE text IS NOT NULL")
 def s29(spark, sf_dir):
     """Both versions of a file from base64 content, joined into a pair."""
     from lodemill.sources.readers import decoded
 
-    files = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("parent"), F.base64(F.encode(F.concat("text", F.lit("\n#")), "UTF-8")).alias("fix"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("parent"), F.base64(F.encode(F.concat("text", F.lit("\n#")), "UTF-8")).alias("fix"))
     parent, fix = files.select("doc_id", decoded(F.col("parent")).alias("a")), files.select("doc_id", decoded(F.col("fix")).alias("b"))
     return parent.join(fix, "doc_id").where("a <> b").select("doc_id", F.length("a").alias("parent_n"), F.length("b").alias("fix_n"))
 
@@ -173,7 +173,10 @@ def s17(spark, sf_dir):
     return spark.createDataFrame(entries, "id string, cwe_id string, sinks string")
 
 
-@query("s11")
+_QUOTED = "replace(replace(replace(CAST(to_json(text) AS VARCHAR), chr(133), '\\u0085'), chr(8232), '\\u2028'), chr(8233), '\\u2029')"
+
+
+@query("s11", f"SELECT item_id, concat('{{\"item_id\":', CAST(item_id AS VARCHAR), ',\"text\":', {_QUOTED}, '}}') AS line FROM benchmark")
 def s11(spark, sf_dir):
     """Rows as JSON lines."""
     from lodemill.sources.readers import json_line
@@ -190,7 +193,7 @@ def s09(spark, sf_dir):
     return parse_json_lines(table(spark, sf_dir, "conversations").select(line.alias("value")), "conv_id long, turn long")
 
 
-@query("s10")
+@query("s10", "SELECT item_id, 0 AS ord, concat('{\"item_id\": ', CAST(item_id AS VARCHAR), '}') AS value FROM benchmark UNION ALL SELECT item_id, 1, concat('{\"text\": ', CAST(to_json(text) AS VARCHAR), '}') FROM benchmark")
 def s10(spark, sf_dir):
     """JSON values that stand one after another."""
     from lodemill.sources.readers import json_objects
@@ -199,6 +202,53 @@ def s10(spark, sf_dir):
     return joined.lateralJoin(json_objects(F.col("t").outer())).select("item_id", "ord", "value")
 
 
+def _written(spark, write, read):
+    """What ``read`` finds where ``write`` has put it."""
+    from lodemill.sources.readers import scratch
+
+    place = scratch(spark)
+    write(place)
+    return read(place)
+
+
+@query("s07", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier")
+def s07(spark, sf_dir):
+    """A CSV file with a byte-order mark, all columns text, others left out."""
+    from lodemill.sources.readers import read_csv, write_csv
+
+    columns = ["s_suppkey", "s_name", "s_nationkey"]
+    return _written(spark, lambda p: write_csv(table(spark, sf_dir, "supplier"), p, columns, mark=True), lambda p: read_csv(spark, p))
+
+
+@query("s08", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, concat(n_name, '; ', n_name) AS names FROM nation")
+def s08(spark, sf_dir):
+    """Arrays of a CSV file joined in its fixed columns."""
+    from lodemill.sources.readers import read_csv, write_csv
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.array("n_name", "n_name").alias("names"), "n_regionkey")
+    return _written(spark, lambda p: write_csv(rows, p, ["n_nationkey", "names"]), lambda p: read_csv(spark, p))
+
+
+@query("s12", "SELECT 'summary' AS part, CAST(count(*) AS BIGINT) AS n FROM region UNION ALL SELECT 'record', CAST(r_regionkey AS BIGINT) FROM region")
+def s12(spark, sf_dir):
+    """A summary and its records."""
+    from lodemill.sources.readers import write_json_document
+
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("n"))
+    read = lambda p: spark.read.schema("n long").json(f"{p}/summary").select(F.lit("summary").alias("part"), "n").unionByName(spark.read.schema("n long").json(f"{p}/records").select(F.lit("record").alias("part"), "n"))
+    return _written(spark, lambda p: write_json_document(rows.agg(F.count("*").alias("n")), rows, p), read)
+
+
+@query("s25", "SELECT page_id, CAST(length(url) AS DOUBLE) AS v FROM pages")
+def s25(spark, sf_dir):
+    """Vectors kept by the signature of what made them; the second request reads the first one's."""
+    from lodemill.sources.readers import embedding_cache, scratch
+
+    place, pages = scratch(spark), table(spark, sf_dir, "pages")
+    embedding_cache(pages, "one", place, lambda rows: rows.select("page_id", F.length("url").cast("double").alias("v")))
+    return embedding_cache(pages, "one", place, lambda rows: rows.select("page_id", F.lit(0.0).alias("v")))
+
+
 @query("s28", with_fixture("s", SAMPLES, "SELECT * FROM s"))
 def s28(spark, sf_dir):
     """Literal tables."""

@@ -63,7 +63,7 @@ def a09(spark, sf_dir):
 @query(
     "a10",
     """WITH p AS (SELECT o_custkey % 7 AS repository, 'npm' AS ecosystem, CAST(o_custkey % 50 AS VARCHAR) AS name, CAST(o_orderkey % 3 AS VARCHAR) AS version FROM orders),
-    v AS (SELECT 'npm' AS ecosystem, CAST(c_custkey % 50 AS VARCHAR) AS name, CAST(c_custkey % 3 AS VARCHAR) AS version, concat('V', lpad(CAST(c_custkey AS VARCHAR), 5, '0')) AS vuln_id FROM customer WHERE c_custkey % 4 = 0 AND c_custkey < 200),
+    v AS (SELECT 'npm' AS ecosystem, CAST(c_custkey % 50 AS VARCHAR) AS name, CAST(c_custkey % 3 AS VARCHAR) AS version, concat('V', lpad(CAST(c_custkey AS VARCHAR), 5, '0')) AS vuln_id FROM customer),
     k AS (SELECT ecosystem, name, version, list_sort(list_distinct(list(vuln_id))) AS ids FROM v GROUP BY ALL),
     j AS (SELECT p.*, k.ids FROM p LEFT JOIN k USING (ecosystem, name, version)),
     w AS (SELECT repository, string_agg(concat(name, '@', version, ' (', array_to_string(ids[1:3], ', '), ')'), '; ' ORDER BY r) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY len(ids) DESC, name, version) AS r FROM (SELECT DISTINCT * FROM j WHERE ids IS NOT NULL)) WHERE r <= 5 GROUP BY repository)
@@ -73,7 +73,7 @@ def a09(spark, sf_dir):
 def a10(spark, sf_dir):
     """A10: dependency risk."""
     packages = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("repository"), F.lit("npm").alias("ecosystem"), (F.col("o_custkey") % 50).cast("string").alias("name"), (F.col("o_orderkey") % 3).cast("string").alias("version"))
-    vulns = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0 and c_custkey < 200").select(F.lit("npm").alias("ecosystem"), (F.col("c_custkey") % 50).cast("string").alias("name"), (F.col("c_custkey") % 3).cast("string").alias("version"), F.concat(F.lit("V"), F.lpad(F.col("c_custkey").cast("string"), 5, "0")).alias("vuln_id"))
+    vulns = table(spark, sf_dir, "customer").select(F.lit("npm").alias("ecosystem"), (F.col("c_custkey") % 50).cast("string").alias("name"), (F.col("c_custkey") % 3).cast("string").alias("version"), F.concat(F.lit("V"), F.lpad(F.col("c_custkey").cast("string"), 5, "0")).alias("vuln_id"))
     return P.dependency_risk(packages, vulns).select("repository", "total", "vulnerable", "distinct_ids", "worst", "ratio")
 
 
@@ -134,6 +134,45 @@ def s18(spark, sf_dir):
     return pages.select("conv_id", F.explode("page").alias("turn"))
 
 
+@query(
+    "s01",
+    """WITH p AS (SELECT conv_id, turn + 1 AS page, CASE WHEN length(text) % 7 = 0 THEN [] ELSE [role, text] END AS items FROM conversations),
+    e AS (SELECT conv_id, min(page) AS last FROM p WHERE len(items) = 0 OR NOT EXISTS (SELECT 1 FROM p AS q WHERE q.conv_id = p.conv_id AND q.page = p.page + 1) GROUP BY conv_id)
+    SELECT p.conv_id, p.page, unnest(range(len(items))) AS place, unnest(items) AS item FROM p JOIN e ON e.conv_id = p.conv_id AND p.page <= e.last WHERE EXISTS (SELECT 1 FROM p AS q WHERE q.conv_id = p.conv_id AND q.page = 1)""",
+)
+def s01(spark, sf_dir):
+    """Results of a paged search, up to its first empty page; the conversation is the keyword."""
+    c = table(spark, sf_dir, "conversations")
+    items = F.when(F.length("text") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("role", "text"))
+    return readers.paged(c.select("conv_id", (F.col("turn") + 1).alias("page"), items.alias("items")), "conv_id", "page", "items")
+
+
+@query(
+    "s19",
+    """WITH p AS (SELECT conv_id, turn + 1 AS page, CASE WHEN length(text) % 3 = 0 THEN [role] ELSE [role, text] END AS items FROM conversations WHERE turn + 1 <= 3),
+    e AS (SELECT conv_id, min(page) AS last FROM p WHERE len(items) < 2 OR NOT EXISTS (SELECT 1 FROM p AS q WHERE q.conv_id = p.conv_id AND q.page = p.page + 1) GROUP BY conv_id)
+    SELECT p.conv_id, p.page, unnest(range(len(items))) AS place, unnest(items) AS item FROM p JOIN e ON e.conv_id = p.conv_id AND p.page <= e.last WHERE EXISTS (SELECT 1 FROM p AS q WHERE q.conv_id = p.conv_id AND q.page = 1)""",
+)
+def s19(spark, sf_dir):
+    """Releases of three pages at most, up to the first short one."""
+    c = table(spark, sf_dir, "conversations")
+    items = F.when(F.length("text") % 3 == 0, F.array("role")).otherwise(F.array("role", "text"))
+    return readers.paged(c.select("conv_id", (F.col("turn") + 1).alias("page"), items.alias("items")), "conv_id", "page", "items", page_size=2, most_pages=3)
+
+
+@query("s22", "SELECT item_id, text AS prompt, CASE WHEN item_id % 3 = 0 THEN concat('SAFE ', CAST(item_id AS VARCHAR)) ELSE 'UNKNOWN' END AS response FROM benchmark")
+def s22(spark, sf_dir):
+    """Responses given beforehand, and a scorer for prompts without one."""
+    prompts = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt"))
+    given = prompts.where("item_id % 3 = 0").select("item_id", F.concat(F.lit("SAFE "), F.col("item_id").cast("string")).alias("response"))
+
+    def ask(frames):
+        for frame in frames:
+            yield frame.assign(response="UNKNOWN")
+
+    return readers.with_responses(prompts, given, "item_id", make=ask)
+
+
 @query("s20", "SELECT page_id, concat('pkg:npm/p', CAST(page_id AS VARCHAR), '@1') AS purl FROM pages")
 def s20(spark, sf_dir):
     """The first package URL of each package."""

@@ -106,7 +106,10 @@ def l04(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").limit(50)
 
 
-@query("l05")
+_TURN = "md5(concat('42|', CAST(doc_id AS VARCHAR)))"
+
+
+@query("l05", f"SELECT doc_id, lang FROM documents ORDER BY {_TURN}, doc_id LIMIT 50")
 def l05(spark, sf_dir):
     """A seeded sample."""
     return sampling.seeded(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 50)
@@ -133,13 +136,13 @@ def l07(spark, sf_dir):
     return sampling.strided(table(spark, sf_dir, "documents").select("doc_id", "lang"), [(lang == "en", 10), (lang == "de", 20), (~lang.isin("en", "de"), 20)], "doc_id", 50).select("doc_id")
 
 
-@query("l08")
+@query("l08", f"SELECT doc_id, lang FROM documents WHERE lang <> 'en' OR lang IS NULL UNION ALL (SELECT doc_id, lang FROM documents WHERE lang = 'en' ORDER BY {_TURN}, doc_id LIMIT 40)")
 def l08(spark, sf_dir):
     """One dominant group cut to a number."""
     return sampling.cap_group(table(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("lang") == "en", "doc_id", 40)
 
 
-@query("l09")
+@query("l09", "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents")
 def l09(spark, sf_dir):
     """Rows of like length together."""
     return sampling.by_length(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 8).select("doc_id", F.length("text").alias("n"))

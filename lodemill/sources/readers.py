@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from lodemill.operators.numbering import numbered
+
 MARK = "﻿"
 
 
@@ -114,6 +116,17 @@ def parse_catalogue(text: str) -> list[dict]:
     return entries
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see: under ``spark.checkpoint.dir``, or a local one where that is unset."""
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+    return f"{top or 'file://' + tempfile.mkdtemp(prefix='lodemill-')}/{uuid.uuid4().hex}"
+
+
 def enriched(repos: DataFrame, details: DataFrame, key: str = "full_name") -> DataFrame:
     """Repositories with their details; null where a lookup has none."""
     return repos.join(details, key, "left")
@@ -147,12 +160,37 @@ def first_purls(sboms: DataFrame, packages: str = "packages") -> DataFrame:
 
 def with_lookup(keys: DataFrame, table: DataFrame, on: list[str], value: str, chunk: int = 500) -> DataFrame:
     """A lookup with three states: found, not_found, or error where the table says so; ``chunk`` numbers the requests."""
-    from pyspark.sql import Window
-
-    number = F.floor((F.row_number().over(Window.orderBy(*on)) - 1) / chunk).cast("int")
-    joined = keys.join(table.withColumn("__known", F.lit(True)), on, "left")
+    joined = numbered(keys, on, "__at").join(table.withColumn("__known", F.lit(True)), on, "left")
     state = F.when(F.col("__known").isNull(), "not_found").when(F.col(value).isNull(), "error").otherwise("found")
-    return joined.withColumns({"state": state, "chunk": number}).drop("__known")
+    return joined.withColumns({"state": state, "chunk": F.floor(F.col("__at") / chunk).cast("int")}).drop("__known", "__at")
+
+
+def paged(pages: DataFrame, group: str, page: str, items: str, page_size: int | None = None, most_pages: int | None = None) -> DataFrame:
+    """Rows of a paged listing, read until a page is empty or short: ``group``, ``page``, ``place`` and ``item``.
+
+    Pages count from 1. A group's pages after its first empty one, after its first one with fewer
+    than ``page_size`` items, after a gap and beyond ``most_pages`` were never asked for; they are
+    left out.
+    """
+    n = F.coalesce(F.size(items), F.lit(0))
+    short = (n == 0) if page_size is None else (n < page_size)
+    kept = pages if most_pages is None else pages.where(F.col(page) <= most_pages)
+    # The last page asked for: the first short one, or the one before the first gap; a row for each page that ends a listing.
+    nxt = kept.select(F.col(group).alias("__g"), (F.col(page) - 1).alias("__p"), F.lit(True).alias("__next")).distinct()
+    ends = kept.join(nxt, (F.col(group) == F.col("__g")) & (F.col(page) == F.col("__p")), "left").where(short | F.col("__next").isNull())
+    first = ends.groupBy(F.col(group).alias("__g")).agg(F.min(page).alias("__last"))
+    begun = kept.where(F.col(page) == 1).select(F.col(group).alias("__b")).distinct()
+    read = kept.join(first, F.col(group) == F.col("__g")).join(begun, F.col(group) == F.col("__b"), "left_semi").where(F.col(page) <= F.col("__last"))
+    return read.select(group, page, F.posexplode(items).alias("place", "item"))
+
+
+def with_responses(prompts: DataFrame, responses: DataFrame, key: str = "case_id", text: str = "response", make=None, schema: str | None = None) -> DataFrame:
+    """Prompts with the responses of a model that was asked beforehand; ``make``, a ``mapInPandas`` function, is asked for those that have none."""
+    known = prompts.join(responses, key, "left")
+    if make is None:
+        return known
+    asked = known.where(F.col(text).isNull()).drop(text)
+    return known.where(F.col(text).isNotNull()).unionByName(asked.mapInPandas(make, schema or known.schema))
 
 
 def embedding_cache(rows: DataFrame, signature: str, folder: str, make) -> DataFrame:
