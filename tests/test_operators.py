@@ -111,13 +111,101 @@ def test_code_metrics(spark):
     rows = {r["function"] or r["path"]: r for r in C.scan(C.source_files(files)).collect()}
     assert [rows["outer"][c] for c in ("line", "end_line", "loc", "sloc", "params", "cyclomatic", "cognitive", "max_nesting")] == [1, 6, 6, 5, 4, 5, 4, 0]
     assert [rows["m"][c] for c in ("params", "cyclomatic", "cognitive", "max_nesting")] == [1, 4, 3, 2]
-    assert rows["bad.py"]["error"].startswith("SyntaxError") and rows["a.js"]["error"]
+    assert rows["bad.py"]["error"].startswith("SyntaxError") and set(rows) == {"outer", "inner", "m", "bad.py"}
     graph = C.call_graph(files.where("path = 'a.py'")).first()
     assert (graph["nodes"], graph["resolved"], graph["unresolved"], graph["rate"]) == (3, 1, 0, 1.0)
     sizes = C.graph_sizes(files).first()
     assert sizes["failed"] == 1 and sizes["ast_edges"] == sizes["ast_nodes"] - 1
 
 
+#: Scripts and what each function in turn is: name, line, parameters, cyclomatic and cognitive score, nesting.
+SCRIPTS = [
+    ("", []),
+    ("const f = (a, ...b) => a ?? b", [("f", 1, 2, 2, 1, 0)]),
+    ("let f = async a => { await a }, g = function* () { yield 1 }", [("f", 1, 1, 1, 0, 0), ("g", 1, 0, 1, 0, 0)]),
+    ("x.y = function () {}.bind(x)\nx.z = function () {}", [("(anonymous)", 1, 0, 1, 0, 0), ("x.z", 2, 0, 1, 0, 0)]),
+    ("function f(a) {\n  if (a)\n    return 1\n  else if (!a) return 2\n  else return 3\n}", [("f", 1, 1, 3, 3, 1)]),
+    ("function f() { for (;;) { do { if (x) y() } while (a && b) } }", [("f", 1, 0, 5, 7, 3)]),
+    ("function f(k) { switch (k) { case a ? 1 : 2: return; case 3: { g() } default: } }", [("f", 1, 1, 5, 3, 1)]),
+    ("try { a() } catch { (() => { try { b() } catch (e) { if (e) throw e } finally { c() } })() }", [("(anonymous)", 1, 0, 3, 3, 2)]),
+    ("const s = `a ${ `b ${ f(() => 1) }` } } {`, r = /[/}]\\/'\"/.test(s) / 2", [("(anonymous)", 1, 0, 1, 0, 0)]),
+    ("class A { #p = 1; static { g() } get v() { return this.#p } async *[Symbol.iterator]() {} }", [("v", 1, 0, 1, 0, 0), ("[Symbol.iterator]", 1, 0, 1, 0, 0)]),
+    ("export default class<T extends {a: 1}> { constructor(private readonly x: Map<K, V>, y = () => 2) { super() } m?(a: T): a is U; n<U>(u: U): {k: U} { return u as any } }", [("constructor", 1, 2, 1, 0, 0), ("(anonymous)", 1, 0, 1, 0, 0), ("n", 1, 1, 1, 0, 0)]),
+    ("type F = (a: string) => void\ninterface I { m(): void }\ndeclare function g(a: 1): void\nenum E { A = 1 }\nfunction h(this: I, a?: 'x' | 'y'): F { return (b): void => b ? 1 : 2 }", [("h", 5, 2, 1, 0, 0), ("(anonymous)", 5, 1, 2, 1, 0)]),
+    ("const a = b ? (c) : d => e", [("(anonymous)", 1, 1, 1, 0, 0)]),
+    ("return_: while (1) { break return_ }\nvar o = { if: 1, get: function () {}, async m() {}, n, ...p }", [("get", 2, 0, 1, 0, 0), ("m", 2, 0, 1, 0, 0)]),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), SCRIPTS)
+def test_scripts(source, want):
+    from lodemill.functions.script import measured
+
+    assert [(r[0], r[1], *r[5:]) for r in measured(source)] == want
+
+
+def test_scripts_that_fail(spark):
+    bad = ["function f() {", "a)", "`x ${ y", "({]})"]
+    rows = spark.createDataFrame([(f"{k}.js", x) for k, x in enumerate(bad)] + [("ok.ts", "let f = () => 1"), ("none.js", None)], "path string, source string")
+    got = {r["path"]: r["error"] for r in C.scan(C.source_files(rows)).collect()}
+    assert got.pop("ok.ts") is None and len(got) == 4 and all(e.startswith("SyntaxError") for e in got.values())
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_numbering(spark, n):
+    from lodemill.operators.numbering import numbered
+
+    rows = spark.range(n).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("k"), F.col("id") % 997)).alias("k"), "id")
+    got = numbered(rows, ["k", "id"], "place").collect()
+    assert [r["place"] for r in sorted(got, key=lambda r: (r["k"] is not None, r["k"] or "", r["id"]))] == list(range(n))
+    for g in range(3):
+        own = [r for r in numbered(rows, ["k", "id"], "place", ["g"]).collect() if r["g"] == g]
+        assert [r["place"] for r in sorted(own, key=lambda r: (r["k"] is not None, r["k"] or "", r["id"]))] == list(range(len(own)))
+
+
+def test_paged_listings(spark):
+    rows = [("a", 1, ["x", "y"]), ("a", 2, []), ("a", 3, ["z"]), ("b", 1, ["x"]), ("b", 3, ["y"]), ("c", 2, ["x"]), ("d", 1, None), ("e", 1, ["p", "q"]), ("e", 2, ["r"]), ("e", 3, ["s", "t"])]
+    pages = spark.createDataFrame(rows, "k string, n int, items array<string>")
+    read = lambda **more: sorted((r["k"], r["item"]) for r in readers.paged(pages, "k", "n", "items", **more).collect())
+    assert read() == [("a", "x"), ("a", "y"), ("b", "x"), ("e", "p"), ("e", "q"), ("e", "r"), ("e", "s"), ("e", "t")]
+    assert read(page_size=2, most_pages=3) == [("a", "x"), ("a", "y"), ("b", "x"), ("e", "p"), ("e", "q"), ("e", "r")]
+    assert read(most_pages=1) == [("a", "x"), ("a", "y"), ("b", "x"), ("e", "p"), ("e", "q")]
+
+
+def test_latency_of_far_values(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    for values in ([1.0], [2.0] * 9, [rng.random() for _ in range(700)] + [1e9], [float(rng.randrange(5)) for _ in range(300)]):
+        got = metrics.latency(spark.createDataFrame([(v, "k") for v in values], "s double, g string"), "s", ["g"]).first()
+        assert got["p90"] == sorted(values)[math.floor(0.9 * (len(values) - 1))]
+        assert metrics.latency(spark.createDataFrame([(v,) for v in values], "s double"), "s").first()["p90"] == got["p90"]
+
+
+def test_capped_and_balanced_samples_by_hand(spark):
+    import hashlib
+
+    turn = lambda *k: hashlib.md5("|".join(["42", *k]).encode()).hexdigest()
+    rows = [(k, "big" if k % 5 else None) for k in range(50)]
+    got = {r["id"] for r in sampling.cap_group(spark.createDataFrame(rows, "id long, g string"), F.col("g") == "big", "id", 6).collect()}
+    assert got == {k for k, g in rows if g is None} | set(sorted((k for k, g in rows if g), key=lambda k: turn(str(k)))[:6])
+    files = [("r", f"a{k % 3}/b{k % 2}/n{k % 4}.md" if k % 2 else f"c/{k}.md") for k in range(24)]
+    kept, folders, names = [], {}, {}
+    for r, p in sorted(set(files), key=lambda f: (turn(*f), f[1])):
+        folder, name = p.rsplit("/", 1)[0], (p.rsplit("/", 2)[0] if p.count("/") > 1 else "", p.rsplit("/", 1)[1])
+        if len(kept) < 9 and folders.get(folder, 0) < 2 and names.get(name, 0) < 2:
+            kept.append(p)
+            folders[folder], names[name] = folders.get(folder, 0) + 1, names.get(name, 0) + 1
+    got = sampling.balanced(spark.createDataFrame(sorted(set(files)), "repository string, path string"), 9, 2)
+    assert sorted(r["path"] for r in got.collect()) == sorted(kept)
+
+
+def test_cell_counts_keep_null_cells(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", None), (None, None), (None, None)], "k string, v int")
+    assert sorted(((r["k"], r["v"], r["cell_n"]) for r in stats.cell_counts(rows, ["k", "v"], 2).collect()), key=str) == [(None, None, 2)] * 2
+
+
 def test_posture(spark):
     docs = spark.createDataFrame([("a", "README.md", "we sandbox it"), ("a", "x/SECURITY.md", "mail a@b.co"), ("z", "README.md", "quota")], "repository string, path string, text string")
     got = {r["repository"]: r for r in posture.doc_signals(docs, spark.createDataFrame([("a",), ("b",)], "repository string")).collect()}
