@@ -8,18 +8,29 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A literal, or a comment of the kind named; what comes first in the text is taken.
-_LITERAL = r"(?P<keep>\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+')"
-_BLOCK = r"/\*[\s\S]*?\*/|<!--[\s\S]*?-->"
-_HASH, _SLASH = r"#[^\n]*", r"//[^\n]*"
-_PYTHON = re.compile(f"{_LITERAL}|{_BLOCK}|{_HASH}", re.S)
-_OTHER = re.compile(f"{_LITERAL}|{_BLOCK}|{_SLASH}|{_HASH}", re.S)
+#: Literals, which may go over line ends, and comments.
+_LITERAL = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'", re.S)
+_BLOCK, _HASH, _SLASH = re.compile(r"/\*[\s\S]*?\*/|<!--[\s\S]*?-->"), re.compile(r"#[^\n]*"), re.compile(r"//[^\n]*")
+_HELD = re.compile("\0(\\d+)\0")
 _LEAK, _CODE = re.compile(r"\b(VULNERABLE|SECURE)\b", re.I), re.compile(r"\b(def|function|class|return|const|let|var)\b")
 
 
 def without_comments(code: str | None, language: str | None) -> str:
-    """Comments and lines that give a label away removed; line ends trimmed, at most one blank line in a row."""
-    kept = (_PYTHON if language == "python" else _OTHER).sub(lambda m: m["keep"] or "", code or "")
+    """Comments and lines that give a label away removed; line ends trimmed, at most one blank line in a row.
+
+    Literals are taken out first, wherever they begin, and put back last. So a quote in a comment
+    begins a literal, which protects what follows up to the next such quote.
+    """
+    held: list[str] = []
+
+    def hold(m: re.Match) -> str:
+        held.append(m.group())
+        return f"\0{len(held) - 1}\0"
+
+    kept = _LITERAL.sub(hold, code or "")
+    for comment in (_BLOCK, *([] if language == "python" else [_SLASH]), _HASH):
+        kept = comment.sub("", kept)
+    kept = _HELD.sub(lambda m: held[int(m[1])], kept)
     lines = [x.rstrip() for x in kept.splitlines() if not _LEAK.search(x) or _CODE.search(x)]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 

@@ -57,13 +57,13 @@ def modeling_text(text: Column, most: int = R.TEXT_CHARS, keep_code: bool = Fals
 
 
 def is_english(text: Column) -> Column:
-    """Nearly all letters ASCII, and enough function words; false without letters."""
-    words = all_matches(F.lower(text), r"[^\W\d_]+")
-    sizes = F.transform(words, F.length)
-    letters = F.aggregate(sizes, F.lit(0), lambda a, b: a + b)
-    plain = F.aggregate(F.filter(words, lambda w: F.length(w) == F.octet_length(w)), F.lit(0), lambda a, b: a + F.length(b))
-    function = F.size(F.filter(words, lambda w: w.isin(R.FUNCTION_WORDS)))
-    share = (F.try_divide(plain, letters) >= R.ASCII_SHARE) & (F.try_divide(function, F.size(words)) >= R.FUNCTION_SHARE)
+    """Nearly all letters ASCII, counted by whole words, and enough function words; false without letters."""
+    low, letter = F.lower(text), r"[^\W\d_]"
+    size = lambda pattern: F.length(low) - F.length(replaced(low, pattern, ""))
+    count = lambda pattern: F.regexp_count(low, F.lit(java(pattern)))
+    whole = lambda inner: rf"(?<!{letter})(?:{inner})(?!{letter})"
+    plain, letters = size(whole("[a-z]+")), size(f"{letter}+")
+    share = (F.try_divide(plain, letters) >= R.ASCII_SHARE) & (F.try_divide(count(whole("|".join(R.FUNCTION_WORDS))), count(f"{letter}+")) >= R.FUNCTION_SHARE)
     return F.coalesce(share, F.lit(False))
 
 

@@ -35,11 +35,10 @@ def nearest_topic(rows: DataFrame, topics: DataFrame, threshold: float, excluded
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(1).to_pylist()
-            ok = np.array([v is not None and len(names) > 0 for v in vectors], bool)
-            best, score = np.full(len(vectors), -1, np.int64), np.full(len(vectors), np.nan)
+            ok = batch.column(1).is_valid().to_numpy(zero_copy_only=False) & (len(names) > 0)
+            best, score = np.full(len(ok), -1, np.int64), np.full(len(ok), np.nan)
             if ok.any():
-                x = np.array([v for v, k in zip(vectors, ok, strict=True) if k], np.float64)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(ok.sum(), -1)
                 n = np.linalg.norm(x, axis=1, keepdims=True)
                 s = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ matrix.T
                 at = s.argmax(1)
@@ -52,6 +51,34 @@ def nearest_topic(rows: DataFrame, topics: DataFrame, threshold: float, excluded
     return rows.select(id_col, vector).mapInArrow(run, f"`{id_col}` {kind}, topic long, similarity double")
 
 
+def embedded(rows: DataFrame, id_col: str, text: str, encode, batch: int = 256, partitions: int | None = None) -> DataFrame:
+    """A vector of length one for each text: ``id_col`` and ``embedding`` (floats).
+
+    ``encode`` takes a list of texts and gives an array of a row for each; it is called with
+    batches of texts of like length, and with none is a null text, which has no vector. A zero
+    vector stays so.
+    """
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for held in batches:
+            for first in range(0, held.num_rows, batch):
+                part = held.slice(first, batch)
+                texts = part.column(1).to_pylist()
+                known = [t for t in texts if t is not None]
+                vectors = iter(())
+                if known:
+                    x = np.asarray(encode(known), np.float64)
+                    n = np.linalg.norm(x, axis=1, keepdims=True)
+                    vectors = iter(np.divide(x, n, out=np.zeros_like(x), where=n > 0).astype(np.float32))
+                yield pa.RecordBatch.from_pydict({id_col: part.column(0), "embedding": pa.array([None if t is None else next(vectors) for t in texts], pa.list_(pa.float32()))})
+
+    from lodemill.operators.sampling import by_length
+
+    dealt = by_length(rows.select(id_col, text), text, partitions) if partitions else rows.select(id_col, text).sortWithinPartitions(F.length(text))
+    return dealt.mapInArrow(run, f"`{id_col}` {kind}, embedding array<float>")
+
+
 def reassign_outliers(rows: DataFrame, topics: DataFrame, threshold: float, excluded: tuple[int, ...] = (), id_col: str = "vec_id", vector: str = "embedding", topic: str = "topic") -> DataFrame:
     """Only rows without a topic (-1) get their nearest one."""
     near = nearest_topic(rows.where(F.col(topic) == -1), topics, threshold, excluded, id_col, vector).select(id_col, F.col("topic").alias("__t"))

@@ -49,6 +49,13 @@ def t11(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dims"), F.round(F.sqrt(square), 5).alias("norm"))
 
 
+@query("t11_embed", "SELECT page_id, round(CAST(CAST(n / sqrt(n * n + m * m) AS FLOAT) AS DOUBLE), 5) AS x, round(CAST(CAST(m / sqrt(n * n + m * m) AS FLOAT) AS DOUBLE), 5) AS y FROM (SELECT page_id, CAST(length(html) AS DOUBLE) AS n, CAST(1000 + length(html) - length(replace(html, 'a', '')) AS DOUBLE) AS m FROM pages)")
+def t11_embed(spark, sf_dir):
+    """Vectors by a given encoder, batched by length and scaled to length one."""
+    made = T.embedded(table(spark, sf_dir, "pages"), "page_id", "html", lambda texts: [[len(t), 1000 + t.count("a")] for t in texts])
+    return made.select("page_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("x"), F.round(F.col("embedding")[1].cast("double"), 5).alias("y"))
+
+
 @query("j13", "SELECT d.doc_id, CAST(coalesce(e.label, -1) AS INTEGER) AS topic FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id // 2")
 def j13(spark, sf_dir):
     """Rows inherit the topic of the text that stands for them."""

@@ -103,3 +103,40 @@ def test_topic_labels(spark):
     rows = spark.createDataFrame([(-1, "any", ["otter"]), (4, "Pond Life", ["otter", "", "heron"]), (5, None, ["grey heron", "otter"]), (6, None, [])], "t int, n string, w array<string>")
     got = [tuple(r["r"]) for r in rows.select(S.topic_label(F.col("n"), F.col("w"), F.col("t")).alias("r")).collect()]
     assert got[1:] == [("Pond Life", "otter, heron"), ("Grey Heron | Otter", "grey heron, otter"), ("Topic 6", "")] and got[0][0] == "Unassigned"
+
+
+def test_provenance_of_own_samples(over):
+    kind = lambda parts: lambda s, i: S.provenance(s, i, parts)["note"]
+    rows = [("by the Otter team", None), ("x", "SEC_JS_CWE3"), ("Semgrep, Otter", None), ("x", None)]
+    own, other = over(rows, kind(("Otter",))), over(rows, kind(()))
+    assert own[0] == own[1] == own[2] == other[1] and other[0] == other[3] == own[3] and other[2] != own[2]
+
+
+def test_functions_from_sql(spark):
+    """Each SQL function gives what the column function gives."""
+    from lodemill.functions import sql
+
+    names = sql.register(spark)
+    assert len(names) == len(sql.FUNCTIONS) + len(sql.PYTHON) + 4
+    texts = ["CWE-079 zoo/README.md", "pkg:npm/otter@1", "The heron is in the zoo and it's VULNERABLE (LLM3)", "A03:2021 9.5", '```json\n{"k": "it\\\\"}\n```', "docs/v1.2/en/k.md", "https://github.com/zoo/otter", "", None]
+    rows = [(a, b, 9.1 * k, bool(k % 2), k) for k, a in enumerate(texts) for b in texts[::3]]
+    df = spark.createDataFrame(rows, "a string, b string, d double, f boolean, n int").withColumn("t", F.timestamp_seconds(F.col("n") * 90_000))
+    df.createOrReplaceTempView("sql_rows")
+    of = {"string": ["a", "b", "a"], "double": ["d"], "boolean": ["f"], "int": ["n", "n"], "timestamp": ["t", "t"]}
+    for name, (function, parameters) in sql.FUNCTIONS.items():
+        used = {k: list(v) for k, v in of.items()}
+        columns = [used[p.split()[1]].pop(0) for p in parameters.split(",")]
+        want = df.select(function(*map(F.col, columns)).alias("r")).collect()
+        assert spark.sql(f"SELECT {name}({', '.join(columns)}) AS r FROM sql_rows").collect() == want, name
+    assert spark.sql("SELECT strip_comments('x = 1 # y', 'python') AS r").first()["r"] == "x = 1"
+    assert spark.sql("SELECT function FROM py_functions('def f(): pass')").first()["function"] == "f"
+
+
+def test_comments():
+    from lodemill.functions.comments import without_comments
+
+    assert without_comments("a = 'x # y'  # z\n/* b\nc */ d <!-- e --> f // g", "python") == "a = 'x # y'\n d  f // g"
+    assert without_comments("u = \"http://z\"; // don\nv = `#`", "javascript") == 'u = "http://z";\nv = `'
+    # A quote in a comment begins a literal, up to the next one; the literal goes with the comment that it stands in.
+    assert without_comments("a # don't\nb # keep\nc = 'd'", "python") == "a"
+    assert without_comments(None, None) == ""
