@@ -21,7 +21,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch; a batch holds one row more than the bytes allow.
@@ -264,6 +264,24 @@ def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Record
 # Sizes and shared files
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of what runs meanwhile go when it has run, as its results are in files of their own."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def gather(df: DataFrame) -> list[Row]:
+    """The rows on the driver, which must be few."""
+    with tidy(df.sparkSession):
+        return df.select("*").collect()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files under a DataFrame, or of its strings if it has none."""
     spark, files = df.sparkSession, df.inputFiles()
@@ -392,7 +410,8 @@ class Shared:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """The rows of a DataFrame, written and read again: later work starts from the files."""
-        df.write.mode("overwrite").parquet(f"{self.uri}/{name}")
+        with tidy(df.sparkSession):
+            df.write.mode("overwrite").parquet(f"{self.uri}/{name}")
         return df.sparkSession.read.parquet(f"{self.uri}/{name}")
 
     def drop(self, name: str) -> None:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import SPACED, U64, Shared, bound_batches, by_key, find, gathered, hash_words, map_arrow, mix, pack, roll, shard_of, shards_for, shared_key, signed, sum_by_key, unpack, utf8
+from lodemill.llm.common import SPACED, U64, Shared, bound_batches, by_key, find, gather, gathered, hash_words, map_arrow, mix, pack, roll, shard_of, shards_for, shared_key, signed, sum_by_key, unpack, utf8
 from lodemill.llm.graph import components
 from lodemill.llm.lookup import look_up, save_sorted
 
@@ -98,7 +98,7 @@ def count_shingles(docs: DataFrame, text_col: str, shared: Shared, shards: int,
 
     found = map_arrow(docs.select(text_col), runs, "shard int, run binary")
     dealt = found.repartition(shards, shared_key("shard", shards)).sortWithinPartitions("shard")
-    done = {r["shard"] for r in map_arrow(dealt, merge, "shard int").collect()}  # one row for each shard
+    done = {r["shard"] for r in gather(map_arrow(dealt, merge, "shard int"))}  # one row for each shard
     for s in set(range(shards)) - done:
         shared.save(f"shingles-{s}", np.zeros(0, U64))
         shared.save(f"counts-{s}", np.zeros(0, np.uint32))

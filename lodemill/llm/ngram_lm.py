@@ -1,30 +1,43 @@
 """Interpolated modified Kneser-Ney language model over hashed n-grams.
 
-n-grams are counted in Spark: each task folds its text's n-grams into sorted runs, runs are
-shuffled by hash range and folded again. The highest order keeps its counts; lower orders count
-the distinct words before them. Each shard is stored as sorted arrays of hashes with counts, each
-context with its total and its numbers of followers seen once, twice and more often, in the folder
-that all workers share; workers memory-map the arrays and look up a batch's distinct n-grams in
-order. The driver sees one row of sums for each shard.
+n-grams are counted in Spark, the longest first, in a pass over the texts for each length: a task
+folds its texts' n-grams into sorted runs, runs are shuffled by hash range and folded again. The
+longest keep their counts. What they say of those one word shorter, as whose ends and contexts
+they count once each, however often they occur, comes from the texts too: each text adds one over
+the number of texts that hold the longer n-gram, and these shares sum to whole numbers. An n-gram
+that is also a context has, beside its count, its total and its numbers of followers seen once,
+twice and more often.
+
+Sorted arrays of hashes with these numbers are stored in the folder that all workers share;
+workers memory-map them and look up a batch's distinct n-grams in order. A task holds one shard's
+n-grams at a time and appends it to its file; the driver sees one row of sums for each file.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lodemill.llm.common import ROLL, SPACED, U64, Shared, find, gathered, hash_words, map_arrow, mix, pack, shard_of, shards_for, unpack, utf8
+from lodemill.llm.common import ROLL, SPACED, U64, Shared, by_key, gather, gathered, hash_words, map_arrow, mix, pack, shard_of, shards_for, shared_key, tidy, unpack, utf8
 
 #: Hashes of the text's begin and end, which no word has but by chance.
 BEGIN, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
-#: Tokens folded into a run at once, and bytes of text scored at once.
-RUN, SCORE_BYTES = 1 << 21, 2 << 20
-
+#: Bytes of keys and numbers folded into a run, and of text looked up at once.
+RUN_BYTES, SCORE_BYTES = 64 << 20, 2 << 20
+#: Input bytes for each shard, files at least before a file holds several shards, shards of a file at most.
+SHARD_BYTES, LEAST_FILES, FILE_SHARDS = 8 << 20, 64, 32
+#: Shards to which a run is dealt at once: more are reached by a second deal.
+FAN = 1024
+#: Binary places of a share: run sums are rounded to them.
+SHARE_BITS = 26
+#: Bits of a number that is packed with the others, and the code of numbers that the file's book of common ones lacks.
+PACK_BITS, RARE = 10, 255
 
 def token_hashes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's begin marks, words and end, and the bounds of the texts in them."""
@@ -47,225 +60,332 @@ def join_hash(words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def ngrams(h: np.ndarray, bounds: np.ndarray, n: int, order: int) -> list[np.ndarray]:
-    """The n words of the n-gram that ends at each token but the begin marks."""
-    ends = _token_places(bounds, order)
+def ngrams(h: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
+    """The n words of the n-grams that end at the given places."""
     return [h[ends - k] for k in range(n - 1, -1, -1)]
 
 
-def _token_places(bounds: np.ndarray, order: int) -> np.ndarray:
+def token_places(bounds: np.ndarray, order: int) -> np.ndarray:
+    """Where the tokens stand that are not begin marks."""
     real = np.ones(bounds[-1], bool)
     for k in range(max(1, order - 1)):
         real[bounds[:-1] + k] = False
     return np.flatnonzero(real)
 
 
-def folded(keys: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Sorted distinct keys, their columns and the sums of their counts."""
+def folded(keys: np.ndarray, fields: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys and the sums of their fields."""
+    if not len(keys):
+        return keys, fields
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], [c[order[at]] for c in columns], [np.add.reduceat(c[order], at) if len(at) else c for c in counts]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[at], [np.add.reduceat(f[order], at) for f in fields]
+
+
+def first_of_each(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where each text's distinct keys stand first; texts follow each other."""
+    order = np.lexsort((keys, doc))
+    k, d = keys[order], doc[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    return order[new]
+
+
+def fields_of(n: int, order: int) -> int:
+    """Numbers of an n-gram.
+
+    Of the longest: count, texts. Of others: count by the distinct words before it, total and
+    followers seen once, twice, more often as a context, and texts; a word has its plain count
+    first and no texts.
+    """
+    return 2 if n == order else 6
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Shards are ranges of hashes, files are runs of shards."""
+
+    shards: int
+    files: int
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Layout:
+        shards = shards_for(docs, each=SHARD_BYTES)
+        return cls(shards, min(shards, max(LEAST_FILES, shards // FILE_SHARDS)))
+
+    def runs(self, keys: np.ndarray, fields: list[np.ndarray], parts: int) -> pa.RecordBatch:
+        """A run of sorted keys as one blob for each of so many ranges."""
+        edges = np.searchsorted(shard_of(keys, parts), np.arange(parts + 1))
+        kept = [s for s in range(parts) if edges[s] < edges[s + 1]]
+        cut = [slice(edges[s], edges[s + 1]) for s in kept]
+        return _rows([s * self.files // parts for s in kept], [s * (self.shards // parts) for s in kept], [pack(keys[c], *(_narrow(f[c]) for f in fields)) for c in cut])
 
 
 def _narrow(n: np.ndarray) -> np.ndarray:
     return n.astype(np.uint8) if not len(n) or n.max() < 256 else n.astype(np.uint32) if n.max() < 1 << 32 else n.astype(np.uint64)
 
 
-def _small(n: np.ndarray) -> np.ndarray:
-    return n.astype(np.uint16 if not len(n) or n.max() < 1 << 16 else np.uint32)
+def _rows(files: list[int], shards: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"file": pa.array(files, pa.int32()), "shard": pa.array(shards, pa.int32()), "run": pa.array(blobs, pa.binary())})
 
 
-def _runs(kind: str, keys: np.ndarray, words: list[np.ndarray], counts: list[np.ndarray], shards: int) -> pa.RecordBatch:
-    """A run of sorted keys as one blob for each shard; longer n-grams go as places in the blob's own list of words."""
-    edges = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-    kept = [s for s in range(shards) if edges[s] < edges[s + 1]]
-    blobs = []
-    for s in kept:
-        part = slice(edges[s], edges[s + 1])
-        numbers = [_narrow(c[part]) for c in counts]
-        if len(words) < 2:
-            blobs.append(pack(keys[part], *numbers))
-            continue
-        vocabulary, places = np.unique(np.concatenate([w[part] for w in words]), return_inverse=True)
-        columns = _small(places).reshape(len(words), -1)
-        order = np.lexsort(columns[::-1])
-        blobs.append(pack(vocabulary, *(c[order] for c in columns), *(c[order] for c in numbers)))
-    return _rows(kind, kept, blobs, [None] * len(kept))
+def _fold_all(parts: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    return folded(np.concatenate([k for k, _ in parts]), [np.concatenate(x) for x in zip(*(f for _, f in parts), strict=True)])
 
 
-def _rows(kind: str, shards: list[int], blobs: list[bytes | None], stats: list[list[float] | None]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(shards), pa.string()), "shard": pa.array(shards, pa.int32()), "run": pa.array(blobs, pa.binary()), "stats": pa.array(stats, pa.list_(pa.float64()))})
+def _bytes(run: tuple[np.ndarray, list[np.ndarray]]) -> int:
+    return run[0].nbytes * (1 + len(run[1]))
 
 
-_SCHEMA = "kind string, shard int, run binary, stats array<double>"
+def _read(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    keys, *fields = unpack(blob)
+    return keys, [f.astype(np.int64) for f in fields]
 
 
-def _merge(blobs: Iterator[bytes], n: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Fold the runs of a shard as they come; n is the length of the n-grams, 1 for bare keys."""
-    total = None
-    held: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]] = []
+def _merge(blobs: Iterator[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Fold the runs of a shard as they come."""
+    held: list[tuple[np.ndarray, list[np.ndarray]]] = []
     size = 0
-
-    def fold_in():
-        every = held if total is None else [total, *held]
-        join = lambda part: [np.concatenate(x) for x in zip(*part, strict=True)]
-        return folded(np.concatenate([k for k, _, _ in every]), join([w for _, w, _ in every]), join([c for _, _, c in every]))
-
     for blob in blobs:
-        first, *rest = unpack(blob)
-        words = [first[c] for c in rest[:n]] if n > 1 else []
-        held.append((join_hash(words) if n > 1 else first, words, [c.astype(np.int64) for c in rest[len(words) :]]))
+        held.append(_read(blob))
         size += len(held[-1][0])
-        if size > max(1 << 19, len(total[0]) if total is not None else 0):
-            total, size = fold_in(), 0
-            held.clear()
-    return fold_in() if held else total
+        if len(held) > 1 and size > max(1 << 19, 2 * len(held[0][0])):
+            held = [_fold_all(held)]
+            size = len(held[0][0])
+    return _fold_all(held)
+
+
+class _Writer:
+    """Writes one file's n-grams, a shard after another: 48 bits of each key beside those that all have, and a code of its numbers."""
+
+    def __init__(self, shared: Shared, name: str, files: int, fields: int, stack: ExitStack):
+        self.high, self.low, self.code = (stack.enter_context(shared.stream(f"{name}.{x}")) for x in ("high", "low", "code"))
+        self.save = lambda kind, rows: shared.save(f"{name}.{kind}", rows)
+        self.bits, self.book, self.at = files.bit_length() - 1, None, 0
+        self.rare, self.large = [np.zeros((2, 0), U64)], [np.zeros((fields + 1, 0), U64)]
+
+    def add(self, keys: np.ndarray, fields: list[np.ndarray]) -> None:
+        own = keys << U64(self.bits)
+        self.high.write((own >> U64(32)).astype("<u4").tobytes())
+        self.low.write((own >> U64(16)).astype("<u2").tobytes())
+        packed, fits = np.zeros(len(keys), U64), np.ones(len(keys), bool)
+        for k, f in enumerate(fields):
+            fits &= f < 1 << PACK_BITS
+            packed |= f.astype(U64) << U64(k * PACK_BITS)
+        if self.book is None:  # the most frequent numbers of the first shard
+            values, n = np.unique(packed[fits], return_counts=True)
+            self.book = np.sort(values[np.argsort(-n, kind="stable")[:RARE]])
+        at = np.minimum(np.searchsorted(self.book, packed), max(0, len(self.book) - 1))
+        common = fits & (self.book[at] == packed) if len(self.book) else np.zeros(len(keys), bool)
+        self.code.write(np.where(common, at, RARE).astype(np.uint8).tobytes())
+        rare, large = np.flatnonzero(fits & ~common), np.flatnonzero(~fits)
+        self.rare.append(np.stack([(rare + self.at).astype(U64), packed[rare]]))
+        self.large.append(np.stack([(large + self.at).astype(U64), *(f[large].astype(U64) for f in fields)]))
+        self.at += len(keys)
+
+    def finish(self) -> None:
+        for kind, rows in (("book", self.book), ("rare", np.concatenate(self.rare, axis=1)), ("large", np.concatenate(self.large, axis=1))):
+            self.save(kind, rows)
 
 
 @dataclass(frozen=True)
-class Model:
+class Tables:
+    """The stored n-grams of some lengths."""
+
     shared: Shared
-    shards: int
+    files: int
+    order: int
+    stored: dict[int, tuple[int, ...]]  # the files that there are, by length
+
+    def get(self, n: int, keys: np.ndarray) -> np.ndarray:
+        """The numbers of each n-gram, by number; 0 where it is not stored."""
+        distinct, back = np.unique(keys, return_inverse=True)
+        out = np.zeros((len(distinct), fields_of(n, self.order)), np.int64)
+        edges, stored = np.searchsorted(shard_of(distinct, self.files), np.arange(self.files + 1)), set(self.stored[n])
+        for f in np.flatnonzero(np.diff(edges)):
+            if int(f) in stored:
+                self._look_up(f"t{n}-{f}", distinct[edges[f] : edges[f + 1]], out[edges[f] : edges[f + 1]])
+        return out[back].T
+
+    def _look_up(self, name: str, keys: np.ndarray, out: np.ndarray) -> None:
+        own = keys << U64(self.files.bit_length() - 1)
+        want, rest = (own >> U64(32)).astype("<u4"), (own >> U64(16)).astype("<u2")
+        high, low = self.shared.mapped(f"{name}.high", "u4"), self.shared.mapped(f"{name}.low", "u2")
+        at = np.searchsorted(high, want)
+        last = len(high) - 1
+        hit = (at <= last) & (high[np.minimum(at, last)] == want)
+        while len(on := np.flatnonzero(hit & (low[np.minimum(at, last)] != rest))):
+            at[on] += 1
+            hit[on] = (at[on] <= last) & (high[np.minimum(at[on], last)] == want[on])
+        rows = np.flatnonzero(hit)
+        if not len(rows):
+            return
+        at = at[rows].astype(U64)
+        code = self.shared.mapped(f"{name}.code", "u1")[at]
+        common = code != RARE
+        packed = np.zeros(len(rows), U64)
+        packed[common] = np.asarray(self.shared.load(f"{name}.book"))[code[common]]
+        big = ~common
+        if big.any():
+            odd = np.flatnonzero(big)
+            places, values = self.shared.load(f"{name}.rare")
+            k = np.searchsorted(places, at[odd])
+            known = (k < len(places)) & (places[np.minimum(k, len(places) - 1)] == at[odd]) if len(places) else np.zeros(len(odd), bool)
+            packed[odd[known]] = values[k[known]] if known.any() else 0
+            big[odd[known]] = False
+        for k in range(out.shape[1]):
+            out[rows, k] = (packed >> U64(k * PACK_BITS)) & U64((1 << PACK_BITS) - 1)
+        if big.any():
+            odd = np.flatnonzero(big)
+            places, *fields = self.shared.load(f"{name}.large")
+            k = np.searchsorted(places, at[odd])
+            for j, f in enumerate(fields):
+                out[rows[odd], j] = f[k]
+
+
+@dataclass(frozen=True)
+class Model:
+    tables: Tables
     order: int
     tokens: int  # of the training texts
     words: int  # distinct ones
     discounts: tuple[tuple[float, float, float], ...]  # by order, from 1
     first: tuple[float, float, float, float]  # total and followers seen once, twice, more of the empty context
 
-    def _get(self, kind: str, keys: np.ndarray, fields: int) -> tuple[np.ndarray, np.ndarray]:
-        """The fields of each key, 0 where it is not stored."""
-        distinct, back = np.unique(keys, return_inverse=True)
-        out = np.zeros((fields, len(distinct)), np.float64)
-        edges = np.searchsorted(shard_of(distinct, self.shards), np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(edges)):
-            part = slice(edges[s], edges[s + 1])
-            at, hit = find(self.shared.load(f"{kind}-{s}"), distinct[part])
-            if hit.any():
-                for k in range(fields):
-                    out[k, part][hit] = self.shared.load(f"{kind}-{s}-{k}")[at[hit]]
-        return out[:, back]
-
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         """Of each text: tokens, known tokens, the base's and the model's log10 probability."""
         h, bounds = token_hashes(texts, self.order)
-        (word,) = ngrams(h, bounds, 1, self.order)
-        raw, continued = self._get("g1", word, 2)
+        ends = token_places(bounds, self.order)
+        # An n-gram is looked up once, for its count and as the context of what follows it.
+        places = np.union1d(ends, ends - 1)
+        here, before = np.searchsorted(places, ends), np.searchsorted(places, ends - 1)
+        raw, continued, *context = self.tables.get(1, h[places])
+        raw, continued, context = raw[here], continued[here], [c[before] for c in context]
         base = np.log10((raw + 1) / (self.tokens + self.words + 1))
         total, *followers = self.first
         d = np.array((0.0, *self.discounts[0]))
-        kept = np.maximum(continued - d[np.minimum(continued, 3).astype(int)], 0) / max(total, 1)
+        kept = np.maximum(continued - d[np.minimum(continued, 3)], 0) / max(total, 1)
         spread = sum(x * n for x, n in zip(d[1:], followers, strict=True)) / max(total, 1) if total else 1.0
         p = kept + spread / (self.words + 1)
         for n in range(2, self.order + 1):
-            grams = ngrams(h, bounds, n, self.order)
-            (count,) = self._get(f"g{n}", join_hash(grams), 1)
-            total, one, two, more = self._get(f"c{n}", join_hash(grams[:-1]), 4)
+            if n < self.order:
+                count, *later, _ = self.tables.get(n, join_hash(ngrams(h, places, n)))
+                count, later = count[here], [c[before] for c in later]
+            else:
+                (count, _), later = self.tables.get(n, join_hash(ngrams(h, ends, n))), []
+            total, one, two, more = context
             d = np.array((0.0, *self.discounts[n - 1]))
             known = total > 0
             safe = np.where(known, total, 1)
-            kept = np.maximum(count - d[np.minimum(count, 3).astype(int)], 0) / safe
+            kept = np.maximum(count - d[np.minimum(count, 3)], 0) / safe
             spread = (d[1] * one + d[2] * two + d[3] * more) / safe
             p = np.where(known, kept + spread * p, p)
+            context = later
         n_tokens = np.diff(bounds) - max(1, self.order - 1)
         at = np.cumsum(n_tokens) - n_tokens
         add = lambda x: np.add.reduceat(x, at) if len(at) else np.zeros(0)  # noqa: E731  each text has its end at least
         return {"n_tokens": n_tokens, "n_known": add((raw > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
 
 
-def train(docs: DataFrame, shared: Shared, text_col: str = "text", order: int = 2) -> Model:
+def counted(texts: list[bytes], n: int, tables: Tables) -> tuple[np.ndarray, list[np.ndarray]]:
+    """What some texts add to the numbers of n-grams; shares of one are in units of 2 ** -SHARE_BITS."""
+    order = tables.order
+    h, bounds = token_hashes(texts, order)
+    ends = token_places(bounds, order)
+    doc = np.searchsorted(bounds, ends, "right") - 1
+    keys = join_hash(ngrams(h, ends, n))
+    texts_of = np.zeros(len(keys), np.int64)
+    texts_of[first_of_each(keys, doc)] = 1
+    if n == order:
+        return folded(keys, [np.ones(len(keys), np.int64), texts_of])
+    longer = join_hash(ngrams(h, ends, n + 1))
+    once = first_of_each(longer, doc)
+    numbers = tables.get(n + 1, longer[once])
+    value, share = numbers[0], 1.0 / np.maximum(numbers[-1], 1)
+    none, more = np.zeros(len(keys)), np.zeros(len(once))
+    each = lambda *f: [np.concatenate(x) for x in zip(*f, strict=True)]
+    as_end = none.copy()
+    as_end[once] = share
+    as_context = [value * share, share * (value == 1), share * (value == 2), share * (value > 2)]
+    found = each([keys, as_end, none, none, none, none], [join_hash(ngrams(h, ends[once] - 1, n)), more, *as_context])
+    distinct, sums = folded(found[0], found[1:])
+    shares = [np.round(x * (1 << SHARE_BITS)).astype(np.int64) for x in sums]
+    plain = folded(keys, [np.ones(len(keys), np.int64) if n == 1 else texts_of])
+    whole = np.zeros(len(distinct), np.int64)
+    whole[np.searchsorted(distinct, plain[0])] = plain[1][0]
+    return distinct, [whole, *shares] if n == 1 else [*shares, whole]
+
+
+def train(docs: DataFrame, shared: Shared, text_col: str = "text", order: int = 2, layout: Layout | None = None) -> Model:
     """Count and store a model of the given order from every text; null is empty."""
     if order < 2:
         raise ValueError("the order must be 2 at least")
-    shards = shards_for(docs, each=4 << 20)
-
-    def count(batches) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            h, bounds = token_hashes(utf8(batch.column(0)), order)
-            grams = np.stack(ngrams(h, bounds, order, order))
-            held.append(grams)
-            if sum(g.shape[1] for g in held) >= RUN:
-                yield from give(held)
-        yield from give(held)
-
-    def give(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not held or not sum(g.shape[1] for g in held):
-            return
-        grams = list(np.concatenate(held, axis=1))
-        held.clear()
-        one = np.ones(len(grams[0]), np.int64)
-        keys, columns, counts = folded(join_hash(grams), grams, [one])
-        yield _runs(f"g{order}", keys, columns, counts, shards)
-        words, _, n = folded(grams[-1], [], [one])
-        yield _runs("g1", words, [], [n[0], np.zeros_like(n[0])], shards)
-
-    def store(kind: str, shard: int, keys: np.ndarray, fields: list[np.ndarray]) -> None:
-        shared.save(f"{kind}-{shard}", keys)
-        for k, f in enumerate(fields):
-            shared.save(f"{kind}-{shard}-{k}", _narrow(f))
+    layout = layout or Layout.of(docs)
+    wide = layout.shards if layout.shards <= FAN else layout.files
+    tables, stats = Tables(shared, layout.files, order, {}), np.zeros((order, 8))
 
-    def reduce(level: int):
-        ready = {f"g{level}", f"c{level + 1}"}
+    def count(n: int, tables: Tables):
+        def run(batches) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for batch in gathered(batches, SCORE_BYTES):
+                held.append(counted(utf8(batch.column(0)), n, tables))
+                size += _bytes(held[-1])
+                if size >= RUN_BYTES:
+                    yield layout.runs(*_fold_all(held), wide)
+                    held, size = [], 0
+            if size:
+                yield layout.runs(*_fold_all(held), wide)
+
+        return run
+
+    def split(batches) -> Iterator[pa.RecordBatch]:
+        """Deal the runs of a file to its shards, several runs at once."""
+        for _, group in by_key(batches, 1):
+            held, size = [], 0
+            for row in group:
+                held.append(_read(row[2]))
+                size += _bytes(held[-1])
+                if size >= RUN_BYTES:
+                    yield layout.runs(*_fold_all(held), layout.shards)
+                    held, size = [], 0
+            if held:
+                yield layout.runs(*_fold_all(held), layout.shards)
+
+    def store(n: int):
+        shares = slice(0, 0) if n == order else slice(1, 6) if n == 1 else slice(0, 5)
 
         def run(batches) -> Iterator[pa.RecordBatch]:
-            from itertools import groupby
-
-            def rows():
-                for batch in batches:
-                    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-            for (kind, shard), group in groupby(rows(), key=lambda r: (r[0], r[1])):
-                if kind.startswith("stats"):
-                    for _, _, _, sums in group:
-                        yield _rows(kind, [shard], [None], [sums])
-                    continue
-                n = int(kind[1:]) if kind[0] == "g" else 1
-                keys, words, counts = _merge((blob for _, _, blob, _ in group), n)
-                if kind not in ready:
-                    yield _runs(kind, keys, words, counts, shards)
-                    continue
-                store(kind, shard, keys, counts)
-                if kind[0] == "c":
-                    continue
-                value = counts[-1]  # of words, how many distinct words come before them
-                sums = [float(len(keys)), float(counts[0].sum()), float(value.sum()), *(float((value == k).sum()) for k in (1, 2, 3, 4)), float((value > 2).sum())]
-                yield _rows(f"stats{n}", [shard], [None], [sums])
-                if n > 1:
-                    follow = [value, (value == 1).astype(np.int64), (value == 2).astype(np.int64), (value > 2).astype(np.int64)]
-                    contexts, _, sums_ = folded(join_hash(words[:-1]), [], follow)
-                    yield _runs(f"c{n}", contexts, [], sums_, shards)
-                    one = np.ones(len(keys), np.int64)
-                    # Words also have their own counts, which come from the texts.
-                    tails, cols, before = folded(join_hash(words[1:]), words[1:], [np.zeros_like(one), one] if n == 2 else [one])
-                    yield _runs(f"g{n - 1}", tails, cols, before, shards)
+            for (file,), rows in by_key(batches, 1):
+                sums = np.zeros(8)
+                with ExitStack() as stack:
+                    out = _Writer(shared, f"t{n}-{file}", layout.files, fields_of(n, order), stack)
+                    for _, group in groupby(rows, key=lambda r: r[1]):
+                        keys, fields = _merge(r[2] for r in group)
+                        fields[shares] = [(f + (1 << SHARE_BITS - 1)) >> SHARE_BITS for f in fields[shares]]
+                        out.add(keys, fields)
+                        value = fields[1 if n == 1 else 0]  # below the highest order, how many distinct words come before
+                        sums += [(fields[0] > 0).sum(), fields[0].sum(), value.sum(), *((value == k).sum() for k in (1, 2, 3, 4)), (value > 2).sum()]
+                    out.finish()
+                yield pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "sums": pa.array([sums], pa.list_(pa.float64()))})
 
         return run
 
-    rows = map_arrow(docs.select(text_col), count, _SCHEMA)
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(layout.files, shared_key("file", layout.files)).sortWithinPartitions("file", "shard")
+
+    schema = "file int, shard int, run binary"
     for n in range(order, 0, -1):
-        dealt = rows.repartition(shards, "kind", "shard").sortWithinPartitions("kind", "shard")
-        rows = map_arrow(dealt, reduce(n), _SCHEMA)
-    stats: dict[str, np.ndarray] = {}
-    for r in rows.where("stats is not null").select("kind", "stats").collect():  # one row for each shard and order
-        stats[r["kind"]] = stats.get(r["kind"], 0) + np.array(r["stats"])
-    for kind, fields in [("g1", 2), *((f"g{n}", 1) for n in range(2, order + 1)), *((f"c{n}", 4) for n in range(2, order + 1))]:
-        for s in range(shards):  # shards that no n-gram fell into
-            if not _exists(shared, f"{kind}-{s}.npy"):
-                store(kind, s, np.zeros(0, U64), [np.zeros(0, np.uint8)] * fields)
-    discounts = []
-    for n in range(1, order + 1):
-        s = stats.get(f"stats{n}", np.zeros(8))
-        discounts.append(_discounts(*s[3:7]))
-    s = stats.get("stats1", np.zeros(8))
-    return Model(shared, shards, order, int(s[1]), int(s[0]), tuple(discounts), (s[2], s[3], s[4], s[7]))
-
-
-def _exists(shared: Shared, name: str) -> bool:
-    from pyarrow.fs import FileType
-
-    fs, top = shared._fs()
-    return fs.get_file_info(f"{top}/{name}").type == FileType.File
+        with tidy(docs.sparkSession):
+            rows = map_arrow(docs.select(text_col), count(n, tables), schema)
+            if wide < layout.shards:
+                rows = map_arrow(dealt(rows), split, schema)
+            made = gather(map_arrow(dealt(rows), store(n), "file int, sums array<double>"))  # one row for each file
+        for r in made:
+            stats[n - 1] += r["sums"]
+        tables = Tables(shared, layout.files, order, tables.stored | {n: tuple(sorted(r["file"] for r in made))})
+    s = stats[0]
+    return Model(tables, order, int(s[1]), int(s[0]), tuple(_discounts(*x[3:7]) for x in stats), (s[2], s[3], s[4], s[7]))
 
 
 def _discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
