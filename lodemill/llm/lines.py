@@ -9,7 +9,8 @@ without that word, as hashed keys. Under a key that also names the place and the
 lines differ in that place alone; under the key of the shorter line itself stand the lines that
 have one word more. So the earliest of a key settles all others, without making pairs, and is
 verified against each by the edit distance of their words. Variants are made only for lines that
-agree with another in one of their halves, which any two near lines do.
+agree with another in one of their halves, which any two near lines do; halves and variants are
+shuffled as sorted runs, and only those that several lines have in common become rows.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import ROLL, SPACED, U64, Shared, hash_words, map_arrow, mix, shards_for, signed
+from lodemill.llm.common import ROLL, SPACED, U64, Shared, by_key, gather, hash_words, map_arrow, mix, pack, shard_of, shards_for, shared_key, signed, unpack
 from lodemill.llm.lookup import look_up, save_sorted
 
 #: Words from which a line may go, and from which it goes for a line that is near.
 SAME_WORDS, NEAR_WORDS = 1, 4
+#: Hashes gathered before a sorted run is given out.
+RUN = 1 << 20
 NULL_ID = -(1 << 63)
 _FACTOR = int(ROLL) ^ 0x6A09E667F3BCC908 | 1
 
@@ -123,13 +126,13 @@ def _tie(texts: list[bytes]) -> np.ndarray:
 class Rules:
     """Which lines go: files that ``learn`` wrote."""
 
-    def __init__(self, shared: Shared, shards: int):
-        self.shared, self.shards = shared, shards
+    def __init__(self, shared: Shared, shards: int, same_words: int = SAME_WORDS):
+        self.shared, self.shards, self.same_words = shared, shards, same_words
 
     def keep(self, ids: np.ndarray, texts: list[bytes]) -> tuple[Lines, np.ndarray]:
         lines = Lines(texts)
         keep = np.ones(len(lines.doc), bool)
-        long = np.flatnonzero(lines.n >= SAME_WORDS)
+        long = np.flatnonzero(lines.n >= self.same_words)
         keys, check = lines.key[long], signed(lines.check[long])
         hit, (own,) = look_up(keys, self.shared, "gone", ["key", "check"], self.shards)
         keep[long[hit & (own == check)]] = False
@@ -140,59 +143,145 @@ class Rules:
         return lines, keep
 
 
-def learn(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str = "text") -> Rules:
-    """Find the lines of all documents that go."""
+class Held:
+    """Gathers (hash, line key, role) of a task and gives sorted runs of distinct ones, by shard."""
+
+    def __init__(self, shards: int):
+        self.shards, self.parts, self.size = shards, [], 0
+
+    def add(self, hashes: np.ndarray, keys: np.ndarray, roles: np.ndarray) -> None:
+        self.parts.append((hashes, keys, roles))
+        self.size += len(hashes)
+
+    def runs(self, least: int = 0) -> list[tuple[int, bytes]]:
+        if not self.size or self.size < least:
+            return []
+        hashes, keys, roles = _distinct(*map(np.concatenate, zip(*self.parts, strict=True)))
+        self.parts, self.size = [], 0
+        edges = np.searchsorted(shard_of(hashes, self.shards), np.arange(self.shards + 1))
+        cut = [(s, slice(edges[s], edges[s + 1])) for s in range(self.shards) if edges[s] < edges[s + 1]]
+        return [(s, pack(hashes[c], keys[c], roles[c])) for s, c in cut]
+
+
+def _distinct(hashes: np.ndarray, keys: np.ndarray, roles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((roles, keys, hashes))
+    hashes, keys, roles = hashes[order], keys[order], roles[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1]) | (roles[1:] != roles[:-1])
+    return hashes[new], keys[new], roles[new]
+
+
+def _shared_ones(blobs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's runs what several lines have in common: hashes, lines, roles."""
+    held, size, folded = [], 0, 0
+    for blob in blobs:
+        held.append(tuple(unpack(blob)))
+        size += len(held[-1][0])
+        if size > max(RUN, 2 * folded):
+            held = [_distinct(*map(np.concatenate, zip(*held, strict=True)))]
+            size = folded = len(held[0][0])
+    hashes, keys, roles = _distinct(*map(np.concatenate, zip(*held, strict=True)))
+    at = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    least, most = np.minimum.reduceat(keys, at), np.maximum.reduceat(keys, at)
+    kept = np.repeat(least != most, np.diff(np.append(at, len(hashes))))
+    return hashes[kept], keys[kept], roles[kept]
+
+
+def _dealt(runs: DataFrame, shards: int) -> DataFrame:
+    return runs.where("run is not null").select("shard", "run").repartition(shards, shared_key("shard", shards)).sortWithinPartitions("shard")
+
+
+def learn(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str = "text", same_words: int = SAME_WORDS, near_words: int = NEAR_WORDS) -> Rules:
+    """Find the lines of all documents that go.
+
+    Lines of fewer than ``same_words`` words stay, those of fewer than ``near_words`` go only for
+    equal ones.
+    """
     shards = shards_for(docs)
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_col)
 
     def every(batches) -> Iterator[pa.RecordBatch]:
+        held = Held(shards)
         for batch in batches:
             texts = _texts(batch.column(1))
             lines, ids, ties = Lines(texts), _ids(batch.column(0)), _tie(texts)
-            long = np.flatnonzero(lines.n >= SAME_WORDS)
-            enough = lines.n[long] >= NEAR_WORDS
-            halves = np.sort(signed(lines.halves(long[enough])).reshape(-1, 4), axis=1)
-            new = np.ones(halves.shape, bool)
-            new[:, 1:] = halves[:, 1:] != halves[:, :-1]
-            sizes = np.zeros(len(long), np.int64)
-            sizes[enough] = new.sum(1)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-            yield pa.RecordBatch.from_pydict({"key": pa.array(signed(lines.key[long])), "check": pa.array(signed(lines.check[long])), "id": pa.array(ids[lines.doc[long]]), "tie": pa.array(ties[lines.doc[long]]), "pos": pa.array(lines.pos[long]), "halves": pa.ListArray.from_arrays(offsets, pa.array(halves[new]))})
-
-    rows = shared.table(map_arrow(source, every, "key long, check long, id long, tie long, pos long, halves array<long>"), "lines")
+            long = np.flatnonzero(lines.n >= same_words)
+            enough = np.flatnonzero(lines.n >= near_words)
+            _, first = np.unique(lines.key[enough], return_index=True)
+            halves = lines.halves(enough[first])
+            held.add(halves.ravel(), np.repeat(lines.key[enough[first]], 4), np.zeros(halves.size, np.int8))
+            yield _row(pa.array(signed(lines.key[long])), pa.array(signed(lines.check[long])), pa.array(ids[lines.doc[long]]), pa.array(ties[lines.doc[long]]), pa.array(lines.pos[long]))
+            yield from _blobs(held.runs(RUN))
+        yield from _blobs(held.runs())
+
+    def _row(*columns, runs: tuple = (None, None)) -> pa.RecordBatch:
+        n = len(columns[0]) if columns else len(runs[0])
+        fill = [pa.nulls(n, pa.int64())] * 5
+        shard, run = runs if runs[0] is not None else (pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
+        return pa.RecordBatch.from_arrays([*(columns or fill), shard, run], names=["key", "check", "id", "tie", "pos", "shard", "run"])
+
+    def _blobs(runs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        if runs:
+            yield _row(runs=(pa.array([s for s, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())))
+
+    found = shared.table(map_arrow(source, every, "key long, check long, id long, tie long, pos long, shard int, run binary"), "found")
+    # A line that occurs in very many documents is one row for each task before it is shuffled.
     place = F.struct("id", "tie", "pos")
-    halves = rows.select("key", F.explode("halves").alias("half"))
-    both = halves.groupBy("half").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("half")
-    save_sorted(both, ["half"], shared, "halves", shards)
+    lines_ = shared.table(found.where("run is null").groupBy("key", "check").agg(F.min(place).alias("at"), F.count("*").alias("times")), "lines")
+
+    def in_common(batches) -> Iterator[pa.RecordBatch]:
+        for (shard,), group in by_key(batches, 1):
+            shared.save(f"halves-half-{shard}", np.unique(_shared_ones(run for _, run in group)[0]))
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32())})
+
+    made = {r["shard"] for r in gather(map_arrow(_dealt(found, shards), in_common, "shard int"))}  # one row for each shard
+    for s in set(range(shards)) - made:
+        shared.save(f"halves-half-{s}", np.zeros(0, U64))
+    shared.drop("found")
 
     def neighbours(batches) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
+        held = Held(shards)
+
+        def out(keys: list[int], words: list[bytes], runs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            k, r = len(keys), len(runs)
+            return pa.RecordBatch.from_pydict({"key": pa.array(signed(np.array(keys, U64)).tolist() + [None] * r, pa.int64()), "words": pa.array(words + [None] * r, pa.binary()), "shard": pa.array([None] * k + [s for s, _ in runs], pa.int32()), "run": pa.array([None] * k + [b for _, b in runs], pa.binary())})
+
         for batch in batches:
             lines = Lines(_texts(batch.column(1)))
-            long = np.flatnonzero(lines.n >= NEAR_WORDS)
+            long = np.flatnonzero(lines.n >= near_words)
             halves = lines.halves(long)
             hit, _ = look_up(halves.ravel(), shared, "halves", ["half"], shards)
             hit = hit.reshape(halves.shape).any(axis=1)
             _, at = np.unique(lines.key[long[hit]], return_index=True)
             chosen = np.array([k for k in long[hit][at] if int(lines.key[k]) not in done], np.int64)
+            if len(done) > RUN:  # lines that come again are only given out again
+                done.clear()
             done.update(int(x) for x in lines.key[chosen])
             for first in range(0, len(chosen), 2000):
                 part = chosen[first : first + 2000]
                 keys, roles, own = lines.variants(part)
-                words = [lines.words(k).tobytes() for k in part] + [None] * (len(keys) - len(part))
-                yield pa.RecordBatch.from_pydict({"variant": pa.array(signed(keys)), "role": pa.array(roles), "key": pa.array(signed(lines.key[own])), "words": pa.array(words, pa.binary())})
-
-    variants = shared.table(map_arrow(source, neighbours, "variant long, role byte, key long, words binary"), "variants")
-    same = variants.groupBy("variant").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("variant")
-    members = variants.select("variant", "role", "key").join(same, "variant", "left_semi").distinct()
-    needed = members.select("key").distinct()
-    places = rows.join(needed, "key", "left_semi").groupBy("key").agg(F.min(place).alias("at"))
-    known = shared.table(members.join(places, "key"), "members")
+                held.add(keys, lines.key[own], roles)
+                yield out(lines.key[part].tolist(), [lines.words(k).tobytes() for k in part], held.runs(RUN))
+        yield out([], [], held.runs())
+
+    variants = shared.table(map_arrow(source, neighbours, "key long, words binary, shard int, run binary"), "variants")
+
+    def members(batches) -> Iterator[pa.RecordBatch]:
+        for _, group in by_key(batches, 1):
+            hashes, keys, roles = _shared_ones(run for _, run in group)
+            for k in range(0, len(hashes), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_pydict({"variant": pa.array(signed(hashes[part])), "role": pa.array(roles[part]), "key": pa.array(signed(keys[part]))})
+
+    joined = map_arrow(_dealt(variants, shards), members, "variant long, role byte, key long")
+    places = lines_.groupBy("key").agg(F.min("at").alias("at"))
+    known = shared.table(joined.join(places, "key"), "members")
     # The earliest line of a variant and role, with what it is; a place's lines settle each other, a line settles those with one word more and they it.
     best = known.groupBy("variant", "role").agg(F.min(F.struct("at", "key")).alias("best"))
     against = best.select("variant", F.when(F.col("role") == 2, 2).when(F.col("role") == 1, 0).otherwise(1).cast("byte").alias("role"), "best")
     told = known.join(against, ["variant", "role"]).where("best.at < at").select("key", F.col("best.key").alias("other")).distinct()
-    texts = variants.where("role = 0").select("key", "words").dropDuplicates(["key"])
+    texts = variants.where("words is not null").select("key", "words").dropDuplicates(["key"])
     pairs = told.join(texts, "key").join(texts.select(F.col("key").alias("other"), F.col("words").alias("theirs")), "other").select("key", "words", "theirs")
 
     def verify(batches) -> Iterator[pa.RecordBatch]:
@@ -201,11 +290,14 @@ def learn(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, x, y in zip(keys, a, b, strict=True) if near(np.frombuffer(x, U64), np.frombuffer(y, U64))], pa.int64())})
 
     gone = shared.table(map_arrow(pairs, verify, "key long").distinct(), "gone-keys")
-    checks = rows.join(gone, "key", "left_semi").select("key", "check").distinct()
+    for name in ("members", "variants"):
+        shared.drop(name)
+    checks = lines_.join(gone, "key", "left_semi").select("key", "check")
     save_sorted(checks, ["key", "check"], shared, "gone", shards)
-    repeated = rows.groupBy("key", "check").agg(F.min(place).alias("at"), F.count("*").alias("times")).where("times > 1")
-    save_sorted(repeated.select("key", "check", "at.*"), ["key", "check", "id", "tie", "pos"], shared, "first", shards)
-    return Rules(shared, shards)
+    save_sorted(lines_.where("times > 1").select("key", "check", "at.*"), ["key", "check", "id", "tie", "pos"], shared, "first", shards)
+    for name in ("gone-keys", "lines"):
+        shared.drop(name)
+    return Rules(shared, shards, same_words)
 
 
 def line_report(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
