@@ -5,8 +5,8 @@ holds all the window's shingles, so it is enough to look for the rarest one: the
 window's shingles in the order of their counts in the documents. Where a document has that
 shingle, its place gives the only place where the window could lie; bounds on both ends are
 checked, then the words themselves. The windows are handled in blocks of bounded size whose
-arrays are memory-mapped by the workers, so documents are never shuffled and no task or driver
-holds more than a block.
+arrays are written by tasks and memory-mapped by the workers, so documents are never shuffled and
+no task holds more than a block.
 """
 
 from __future__ import annotations
@@ -18,13 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import ALNUM, ROLL, U64, Shared, find, hash_words, map_arrow, mix, roll, signed, unsigned, utf8
+from lodemill.llm.common import ALNUM, ROLL, U64, Shared, by_key, find, gather, hash_words, input_bytes, map_arrow, mix, roll, sum_by_key, tidy, utf8
 
 #: Words of a window, words of a shingle, and bytes of item texts in a block.
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 5, 8 << 20
+#: Shingles whose counts a task holds before it gives them out.
+COUNTED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -32,7 +35,7 @@ class Index:
     """Names of the blocks in the shared folder; ``sizes`` are the shingle lengths that occur."""
 
     shared: Shared
-    blocks: int
+    blocks: tuple[str, ...]
     sizes: tuple[int, ...]
 
 
@@ -78,40 +81,44 @@ def build_index(docs: DataFrame, items: DataFrame, shared: Shared, id_col: str =
     """Write the windows of all items, each under its rarest shingle.
 
     Items with a null id or text, or without words, have no windows; equal windows of several
-    items are stored once with all of them.
+    items of a block are stored once with all of them. Tasks write the blocks; the driver sees a
+    row for each.
     """
-    held: list[tuple[str, bytes]] = []
-    size = blocks = 0
-    sizes: set[int] = set()
 
-    def write() -> None:
-        nonlocal blocks
+    def write(held: list[tuple[str, bytes]], name: str) -> Iterator[pa.RecordBatch]:
         words, length, owner = _windows([t for _, t in held], window)
-        if len(words):
-            key = mix(words @ (U64(2) * np.arange(1, window + 1, dtype=U64) + U64(1)) * ROLL + length.astype(U64))
-            key = key ^ mix(np.bitwise_xor.reduce(mix(words + np.arange(window, dtype=U64)), axis=1))
-            _, first, same = np.unique(key, return_index=True, return_inverse=True)
-            pairs = np.unique(np.stack([same, owner]), axis=1)
-            for name, a in {"words": words[first], "length": length[first].astype(np.int32), "owner": pairs[1].astype(np.int32), "owners": np.searchsorted(pairs[0], np.arange(len(first) + 1))}.items():
-                shared.save(f"{name}-{blocks}", np.ascontiguousarray(a))
-            shared.write(f"ids-{blocks}.json", json.dumps([i for i, _ in held]).encode())
-            every = np.unique(_shingles(words[first], length[first]))
-            shared.save(f"shingles-{blocks}", every[every != 0])
-            sizes.update(int(x) for x in np.unique(np.minimum(length, SHINGLE)))
-            blocks += 1
+        if not len(words):
+            return
+        key = mix(words @ (U64(2) * np.arange(1, window + 1, dtype=U64) + U64(1)) * ROLL + length.astype(U64))
+        key = key ^ mix(np.bitwise_xor.reduce(mix(words + np.arange(window, dtype=U64)), axis=1))
+        _, first, same = np.unique(key, return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([same, owner]), axis=1)
+        for kind, a in {"words": words[first], "length": length[first].astype(np.int32), "owner": pairs[1].astype(np.int32), "owners": np.searchsorted(pairs[0], np.arange(len(first) + 1))}.items():
+            shared.save(f"{kind}-{name}", np.ascontiguousarray(a))
+        shared.write(f"ids-{name}.json", json.dumps([i for i, _ in held]).encode())
+        every = np.unique(_shingles(words[first], length[first]))
+        shared.save(f"shingles-{name}", every[every != 0])
+        yield pa.RecordBatch.from_pydict({"block": pa.array([name]), "sizes": pa.array([np.unique(np.minimum(length, SHINGLE)).tolist()], pa.list_(pa.int32()))})
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, bytes]] = []
+        part, size, k = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                held.append((key, text))
+                size += len(text)
+                if size >= block_bytes:
+                    yield from write(held, f"{part}-{k}")
+                    held, size, k = [], 0, k + 1
+        if held:
+            yield from write(held, f"{part}-{k}")
 
     rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    for row in rows.toLocalIterator(prefetchPartitions=True):
-        held.append((row["i"], row["t"].encode()))
-        size += len(held[-1][1])
-        if size >= block_bytes:
-            write()
-            held, size = [], 0
-    if held:
-        write()
-    index = Index(shared, blocks, tuple(sorted(sizes)))
-    if blocks:
-        _choose(index, _count(docs, index, doc_text), window)
+    tasks = max(1, -(-input_bytes(items) // block_bytes))
+    made = gather(map_arrow(rows.repartitionByRange(tasks, "i") if tasks > 1 else rows.coalesce(1), run, "block string, sizes array<int>"))
+    index = Index(shared, tuple(sorted(r["block"] for r in made)), tuple(sorted({k for r in made for k in r["sizes"]})))
+    if made:
+        _choose(index, _count(docs, index, doc_text))
     return index
 
 
@@ -120,44 +127,62 @@ def _count(docs: DataFrame, index: Index, text_col: str) -> DataFrame:
     shared, blocks, sizes = index.shared, index.blocks, index.sizes
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        n = [np.zeros(len(shared.load(f"shingles-{b}")), np.int64) for b in range(blocks)]
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for b, name in enumerate(blocks):
+                own = [(at, n) for block, at, n in held if block == b]
+                if own:
+                    at, n = sum_by_key(np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own]))
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([name] * len(at), pa.string()), "shingle": pa.array(at), "n": pa.array(n)})
+
         for batch in batches:
             h, bounds = hash_words(utf8(batch.column(0)), ALNUM)
             for k in sizes:
                 g, _ = _valid(h, bounds, k)
-                for b in range(blocks):
-                    at, hit = find(shared.load(f"shingles-{b}"), g)
-                    n[b] += np.bincount(at[hit], minlength=len(n[b]))
-        for b in range(blocks):
-            seen = np.flatnonzero(n[b])
-            if len(seen):
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(seen), b), pa.int32()), "shingle": pa.array(signed(shared.load(f"shingles-{b}")[seen])), "n": pa.array(n[b][seen])})
-
-    counted = map_arrow(docs.select(text_col), run, "block int, shingle long, n long")
-    return index.shared.table(counted.groupBy("block", "shingle").agg(F.sum("n").alias("n")), "counts")
-
-
-def _choose(index: Index, counts: DataFrame, window: int) -> None:
-    """Store each window under the shingle that comes first by count, then by hash."""
-    shared = index.shared
-    for b in range(index.blocks):
-        words, length, every = shared.load(f"words-{b}"), shared.load(f"length-{b}"), np.asarray(shared.load(f"shingles-{b}"))
-        got = counts.where(F.col("block") == b).select("shingle", "n").toPandas()
-        n = np.zeros(len(every), np.int64)
-        n[np.searchsorted(every, unsigned(got["shingle"].to_numpy()))] = got["n"].to_numpy()
-        rank = np.empty(len(every), np.int64)
-        rank[np.lexsort((every, n))] = np.arange(len(every))
-        sh = _shingles(np.asarray(words), np.asarray(length))
-        at, real = find(every, sh.ravel())
-        score = np.where(real, rank[at], np.iinfo(np.int64).max).reshape(sh.shape)
-        offset = score.argmin(1)
-        prefix = sh[np.arange(len(sh)), offset]
-        order = np.argsort(prefix, kind="stable")
-        keys, first = np.unique(prefix[order], return_index=True)
-        shared.save(f"prefix-{b}", keys)
-        shared.save(f"starts-{b}", np.append(first, len(order)))
-        shared.save(f"window-{b}", order.astype(np.int64))
-        shared.save(f"offset-{b}", offset[order].astype(np.int64))
+                for b, name in enumerate(blocks):
+                    at, hit = find(shared.load(f"shingles-{name}"), g)
+                    held.append((b, *np.unique(at[hit], return_counts=True)))
+                    size += len(held[-1][1])
+            if size > COUNTED:
+                yield from out()
+                held, size = [], 0
+        yield from out()
+
+    counted = map_arrow(docs.select(text_col), run, "block string, shingle long, n long")
+    return counted.groupBy("block", "shingle").agg(F.sum("n").alias("n"))
+
+
+def _choose(index: Index, counts: DataFrame) -> None:
+    """Store each window under the shingle that comes first by count, then by hash; a task for each block."""
+    shared, spark = index.shared, counts.sparkSession
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for (name,), group in by_key(batches, 1):
+            words, length, every = shared.load(f"words-{name}"), shared.load(f"length-{name}"), np.asarray(shared.load(f"shingles-{name}"))
+            n = np.zeros(len(every), np.int64)
+            for _, at, times in group:
+                if at is not None:
+                    n[at] = times
+            rank = np.empty(len(every), np.int64)
+            rank[np.lexsort((every, n))] = np.arange(len(every))
+            sh = _shingles(np.asarray(words), np.asarray(length))
+            at, real = find(every, sh.ravel())
+            score = np.where(real, rank[at], np.iinfo(np.int64).max).reshape(sh.shape)
+            offset = score.argmin(1)
+            prefix = sh[np.arange(len(sh)), offset]
+            order = np.argsort(prefix, kind="stable")
+            keys, first = np.unique(prefix[order], return_index=True)
+            for kind, a in {"prefix": keys, "starts": np.append(first, len(order)), "window": order.astype(np.int64), "offset": offset[order].astype(np.int64)}.items():
+                shared.save(f"{kind}-{name}", a)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([name])})
+
+    # A row for each block, too, as no document may hold a shingle of it.
+    every = spark.createDataFrame([(b,) for b in index.blocks], "block string").select("block", F.lit(None).cast("long").alias("shingle"), F.lit(0).cast("long").alias("n"))
+    with tidy(spark):
+        dealt = counts.unionByName(every).repartition(max(1, len(index.blocks)), "block").sortWithinPartitions("block")
+        gather(map_arrow(dealt, run, "block string"))  # one row for each block
 
 
 def find_hits(texts: list[bytes], index: Index) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
@@ -165,7 +190,7 @@ def find_hits(texts: list[bytes], index: Index) -> tuple[np.ndarray, np.ndarray,
     h, bounds = hash_words(texts, ALNUM)
     cover = np.zeros(len(h) + 1, np.int64)
     found: list[set[str]] = [set() for _ in texts]
-    for b in range(index.blocks):
+    for b in index.blocks:
         words, length = index.shared.load(f"words-{b}"), index.shared.load(f"length-{b}")
         keys, starts = index.shared.load(f"prefix-{b}"), index.shared.load(f"starts-{b}")
         which, offset = index.shared.load(f"window-{b}"), index.shared.load(f"offset-{b}")
@@ -198,10 +223,10 @@ def find_hits(texts: list[bytes], index: Index) -> tuple[np.ndarray, np.ndarray,
     return np.diff(bounds), covered[bounds[1:]] - covered[bounds[:-1]], [sorted(f) for f in found]
 
 
-_known: dict[tuple[str, int], list[str]] = {}
+_known: dict[tuple[str, str], list[str]] = {}
 
 
-def _ids(index: Index, block: int) -> list[str]:
+def _ids(index: Index, block: str) -> list[str]:
     key = (index.shared.uri, block)
     if key not in _known:
         _known.clear()
