@@ -171,11 +171,31 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return arrays
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """Places of keys in ascending order, by one plain sort of their leading bits with the places."""
+    bits = U64(max(1, len(keys).bit_length()))
+    mask = (U64(1) << bits) - U64(1)
+    order = (np.sort((keys & ~mask) | np.arange(len(keys), dtype=U64)) & mask).astype(np.int64)
+    found = keys[order]
+    return order if (found[1:] >= found[:-1]).all() else np.argsort(keys)  # else some agree in the leading bits alone
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and where each key stands among them."""
+    order = order_of(keys)
+    found = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = found[1:] != found[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return found[new], back
+
+
 def sum_by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys and the sums of their values."""
     if not len(keys):
         return (keys, *values)
-    order = np.argsort(keys, kind="stable")
+    order = order_of(keys) if keys.dtype == U64 else np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return (keys[at], *(np.add.reduceat(v[order], at) for v in values))
@@ -332,9 +352,10 @@ def _placed_keys(n: int) -> list[int]:
     return out.tolist()
 
 
-def shared_key(column: str, n: int) -> Column:
+def shared_key(column: str | Column, n: int) -> Column:
     """A key by which ``repartition(n, key)`` gives each number below n a partition of its own."""
-    return F.element_at(F.array(*map(F.lit, _placed_keys(n))), F.col(column) + 1) if n <= 1024 else F.col(column)
+    number = F.col(column) if isinstance(column, str) else column
+    return F.element_at(F.array(*map(F.lit, _placed_keys(n))), number.cast("int") + 1) if n <= 1024 else number
 
 
 #: Folders of sessions that name none.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import U64, Shared, find, gather, map_arrow, shard_of, unsigned
+from lodemill.llm.common import U64, Shared, find, gather, map_arrow, shard_of, shared_key, unsigned
 
 
 def save_sorted(df: DataFrame, names: list[str], shared: Shared, label: str, shards: int) -> None:
@@ -33,7 +33,7 @@ def save_sorted(df: DataFrame, names: list[str], shared: Shared, label: str, sha
 
     bits = shards.bit_length() - 1
     shard = F.shiftrightunsigned(F.col(names[0]), 64 - bits) if bits else F.lit(0)
-    made = {r["shard"] for r in gather(map_arrow(df.select(names).repartition(shards, shard), run, "shard int"))}  # one row for each shard
+    made = {r["shard"] for r in gather(map_arrow(df.select(names).repartition(shards, shared_key(shard, shards)), run, "shard int"))}  # one row for each shard
     for s in set(range(shards)) - made:
         for k, name in enumerate(names):
             shared.save(f"{label}-{name}-{s}", np.zeros(0, U64 if k == 0 else np.int64))

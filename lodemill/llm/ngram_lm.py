@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodemill.llm.common import ROLL, SPACED, U64, Shared, by_key, gather, gathered, hash_words, map_arrow, mix, pack, shard_of, shards_for, shared_key, tidy, unpack, utf8
+from lodemill.llm.common import ROLL, SPACED, U64, Shared, by_key, distinct, gather, gathered, hash_words, map_arrow, mix, order_of, pack, shard_of, shards_for, shared_key, tidy, unpack, utf8
 
 #: Hashes of the text's begin and end, which no word has but by chance.
 BEGIN, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
@@ -77,18 +77,19 @@ def folded(keys: np.ndarray, fields: list[np.ndarray]) -> tuple[np.ndarray, list
     """Sorted distinct keys and the sums of their fields."""
     if not len(keys):
         return keys, fields
-    order = np.argsort(keys, kind="stable")
+    order = order_of(keys)
     keys = keys[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[at], [np.add.reduceat(f[order], at) for f in fields]
 
 
-def first_of_each(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Where each text's distinct keys stand first; texts follow each other."""
-    order = np.lexsort((keys, doc))
-    k, d = keys[order], doc[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+def one_of_each(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A place of each text's each distinct key."""
+    both = keys ^ mix(doc.astype(U64) + U64(1))
+    order = order_of(both)
+    found = both[order]
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
     return order[new]
 
 
@@ -200,12 +201,12 @@ class Tables:
 
     def get(self, n: int, keys: np.ndarray) -> np.ndarray:
         """The numbers of each n-gram, by number; 0 where it is not stored."""
-        distinct, back = np.unique(keys, return_inverse=True)
-        out = np.zeros((len(distinct), fields_of(n, self.order)), np.int64)
-        edges, stored = np.searchsorted(shard_of(distinct, self.files), np.arange(self.files + 1)), set(self.stored[n])
+        found, back = distinct(keys)
+        out = np.zeros((len(found), fields_of(n, self.order)), np.int64)
+        edges, stored = np.searchsorted(shard_of(found, self.files), np.arange(self.files + 1)), set(self.stored[n])
         for f in np.flatnonzero(np.diff(edges)):
             if int(f) in stored:
-                self._look_up(f"t{n}-{f}", distinct[edges[f] : edges[f + 1]], out[edges[f] : edges[f + 1]])
+                self._look_up(f"t{n}-{f}", found[edges[f] : edges[f + 1]], out[edges[f] : edges[f + 1]])
         return out[back].T
 
     def _look_up(self, name: str, keys: np.ndarray, out: np.ndarray) -> None:
@@ -296,11 +297,12 @@ def counted(texts: list[bytes], n: int, tables: Tables) -> tuple[np.ndarray, lis
     doc = np.searchsorted(bounds, ends, "right") - 1
     keys = join_hash(ngrams(h, ends, n))
     texts_of = np.zeros(len(keys), np.int64)
-    texts_of[first_of_each(keys, doc)] = 1
+    if n > 1:
+        texts_of[one_of_each(keys, doc)] = 1
     if n == order:
         return folded(keys, [np.ones(len(keys), np.int64), texts_of])
     longer = join_hash(ngrams(h, ends, n + 1))
-    once = first_of_each(longer, doc)
+    once = one_of_each(longer, doc)
     numbers = tables.get(n + 1, longer[once])
     value, share = numbers[0], 1.0 / np.maximum(numbers[-1], 1)
     none, more = np.zeros(len(keys)), np.zeros(len(once))
@@ -309,12 +311,12 @@ def counted(texts: list[bytes], n: int, tables: Tables) -> tuple[np.ndarray, lis
     as_end[once] = share
     as_context = [value * share, share * (value == 1), share * (value == 2), share * (value > 2)]
     found = each([keys, as_end, none, none, none, none], [join_hash(ngrams(h, ends[once] - 1, n)), more, *as_context])
-    distinct, sums = folded(found[0], found[1:])
+    known, sums = folded(found[0], found[1:])
     shares = [np.round(x * (1 << SHARE_BITS)).astype(np.int64) for x in sums]
     plain = folded(keys, [np.ones(len(keys), np.int64) if n == 1 else texts_of])
-    whole = np.zeros(len(distinct), np.int64)
-    whole[np.searchsorted(distinct, plain[0])] = plain[1][0]
-    return distinct, [whole, *shares] if n == 1 else [*shares, whole]
+    whole = np.zeros(len(known), np.int64)
+    whole[np.searchsorted(known, plain[0])] = plain[1][0]
+    return known, [whole, *shares] if n == 1 else [*shares, whole]
 
 
 def train(docs: DataFrame, shared: Shared, text_col: str = "text", order: int = 2, layout: Layout | None = None) -> Model:
