@@ -215,11 +215,28 @@ def test_missing_file_is_no_empty_one(spark):
     shared = Shared.create(spark, "t")
     model = ngram_lm.train(spark.createDataFrame([("a b",)], "text string"), shared)
     fs, top = shared._fs()
-    fs.delete_file(f"{top}/t1-{model.stored[0][0]}.keys")
+    fs.delete_file(f"{top}/t1-{model.tables.stored[1][0]}.high")
     with pytest.raises(FileNotFoundError):
         model.score([b"a b"] * 3)
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(12)
+    words_ = ["".join(rng.choice("abcde") for _ in range(5)) for _ in range(900)]
+    long = [rng.choice(words_) for _ in range(60_000)]
+    near = [*long[:30_000], "x", *long[30_000:]]
+    texts = [" ".join(long), "\n".join(" ".join(long[k : k + 600]) for k in range(0, len(long), 600)), " ".join(near), " ".join(long[:5000]), None, ""]
+    docs = list(enumerate(texts))
+    assert groups(spark, docs) == brute.jaccard_groups(docs)
+    assert [r[3] for r in report(spark, docs)][:3] == [(), (), (0,)]
+    items = [(1, " ".join(long[59_980:])), (2, " ".join(long[100:109])), (3, "not there")]
+    assert contamination(spark, docs, items) == brute.hit_words(docs, items)
+    model = ngram_lm.train(spark.createDataFrame([(t,) for t in texts[:1]], "text string"), Shared.create(spark, "t"), order=3)
+    want, _, _ = brute.kneser_ney(texts[:1], texts, 3)
+    got = sorted((tuple(r) for r in ngram_lm.score_texts(spark.createDataFrame(docs, DOC), model).select("doc_id", "n_tokens", "score").collect()), key=lambda r: r[0])
+    assert [r[1] for r in got] == [w[0] for w in want] and [r[2] for r in got] == pytest.approx([w[4] for w in want], rel=1e-9)
+
+
 def test_untrained_model(spark):
     model = ngram_lm.train(spark.createDataFrame([], "text string"), Shared.create(spark, "t"))
     got = ngram_lm.score_texts(spark.createDataFrame([(1, "a")], DOC), model).first()

@@ -31,6 +31,39 @@ def test_stages(spark):
         assert stage(spark, docs, SMALL).columns == docs.columns
 
 
+def test_stages_on_empty_and_unlabelled_tables(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    # No language was ever learned: every document is rejected.
+    none = docs.limit(20).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.STAGES[0][1](spark, none, SMALL).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, repeated rows and ids, a long text, clashing extra columns: no crash, and each row's fate is the defined one."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumns({"key": F.lit(1), "label": F.lit("x"), "tokens": F.lit(None).cast("int")})
+    long = " ".join(f"the and of {k}" for k in range(60_000))
+    odd = [(None, None, None, None, None), (None, "the and of that the in of a", None, None, None), (9001, "", "en", "s", 0), (9002, "of the and in that is", "en", None, None), (9002, "of the and in that is", "en", None, None), (9003, "Of the and in that is", None, "s", 22), (9004, long, "en", "s", len(long)), (9005, "½ 12 !", None, None, None)]
+    rows = docs.unionByName(spark.createDataFrame([(*r, 2, "y", 3) for r in odd], docs.schema)).cache()
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, rows, SMALL)
+        if name != "encode":
+            assert got.columns == rows.columns
+            kept[name] = [(r["doc_id"], r["text"]) for r in got.where("doc_id is null or doc_id >= 9000").select("doc_id", "text").collect()]
+        else:
+            assert got.count() == rows.count()
+            back = {r["doc_id"]: r["decoded"] for r in got.where("doc_id >= 9000").select("doc_id", "decoded").collect()}
+            assert back[9001] == "" and back[9004] == long and back[9003] == "Of the and in that is"
+    ids = lambda name: sorted(kept[name], key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None))
+    assert [k for k, _ in ids("language")] == [None, 9002, 9002, 9003, 9004]
+    # Null and empty texts stay as they are; equal lines stay in the first document alone, which repeated rows are together.
+    assert [(k, len(t) if t is not None else None) for k, t in ids("dedup_lines")] == [(None, None), (None, 27), (9001, 0), (9002, 21), (9002, 21), (9004, len(long)), (9005, 6)]
+    assert [(k, t is None) for k, t in ids("dedup_documents")] == [(None, True), (None, False), (9001, False), (9002, False), (9004, False), (9005, False)]
+    assert len(kept["decontaminate"]) == len(odd)
+
+
 def test_whole_pipeline(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert 100 < got.count() < 200

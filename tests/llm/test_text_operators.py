@@ -46,6 +46,28 @@ def test_packed_arrays():
     assert (a == keys).all() and (b == n).all()
 
 
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        Shared.create(session, "t")
+
+
+def test_each_shard_has_a_partition(spark):
+    for n in (1, 2, 32, 64):
+        rows = spark.range(n * 10).select((F.col("id") % n).cast("int").alias("k")).repartition(n, common.shared_key("k", n)).select("k", F.spark_partition_id().alias("p")).distinct().collect()
+        assert len(rows) == n and {r["p"] for r in rows} == set(range(n))
+
+
+def test_orders():
+    rng = np.random.default_rng(3)
+    for keys in (rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(0, 40, 5000).astype(np.uint64), np.zeros(0, np.uint64), (rng.integers(0, 9, 500) << 60).astype(np.uint64) + rng.integers(0, 9, 500).astype(np.uint64)):
+        assert (keys[common.order_of(keys)] == np.sort(keys)).all()
+        found, back = common.distinct(keys)
+        assert (found == np.unique(keys)).all() and (found[back] == keys).all()
+
+
 def test_pieces_equal_the_library(texts):
     table = pieces.ChunkTable(tokenizer_file("piece_bpe_32k.model"))
     assert not table.whole
@@ -311,4 +333,36 @@ def test_letters_and_sample_bounds(spark):
     assert model.langs == ["de", "en"]  # the long row does not fit
     assert langid.train(docs).langs == ["de", "en", "xx"]
     langs, scores, rejected = model.predict(["½ ² 12", "Ⅷ ①", "_ _", "", None, "der und die"])
-    assert langs == ["und"] * 5 + ["de"] and scores[:5] == [0.0] * 5 and rejected == [True] * 5 + [False]
+    assert langs == ["und"] * 5 + ["de"] and scores[:5] == [0.0] * 5 and rejected[:5] == [True] * 5
+
+
+def test_very_long_texts(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    long = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(500_000)) + " 10.2.3.4\nx@y.zz"
+    assert [s[:3] for s in pii.find_spans(long)] == [("email", len(long) - 6, len(long)), ("ip", len(long) - 15, len(long) - 7)]
+    assert pii.find_spans("1" * 1_000_000 + " " + "a" * 1_000_000) == []
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    assert pieces.ChunkTable(tokenizer_file("piece_bpe_32k.model")).encode([long]) == [",".join(map(str, library.encode(long)))]
+    model = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    assert token_files.ByteTable(tokenizer_file("byte_bpe_50k.json"), added_tokens=True).encode([long]) == [np.array(model.encode(long, add_special_tokens=False).ids, "<u4").tobytes()]
+    learned = langid.fit(["der die das und"] * 3 + ["the of and to"] * 3, ["de"] * 3 + ["en"] * 3)
+    assert learned.predict(["der die das und " * 200_000])[0] == ["de"]
+    d = spark.createDataFrame([(1, long[:300_000])], DOC)
+    assert gif.store_texts(d).first()["n_bytes"] == len(long[:300_000].encode())
+
+
+def test_empty_tables(spark):
+    d = spark.createDataFrame([], DOC)
+    assert gif.store_texts(d).count() == 0
+    assert pieces.encode_decode(d, tokenizer_file("piece_bpe_32k.model")).count() == 0
+
+
+def test_damaged_streams_give_no_frames(spark):
+    whole = animation()
+    cut = [whole[:k] for k in range(6, len(whole), 3)]
+    rows = [(k, x) for k, x in enumerate(cut)] + [(-1, b""), (-2, b"GIF89a"), (-3, None)]
+    got = gif.frames_column(spark.createDataFrame(rows, "doc_id long, gif binary"), "doc_id", "gif").collect()
+    assert {r["doc_id"] for r in got} == {k for k, _ in rows}
