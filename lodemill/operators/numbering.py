@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the order, and keys that are drawn to bound them.
-RANGES, DRAWN = 128, 4096
+#: Ranges of the order at most, and keys that are drawn to bound each.
+RANGES, DRAWN = 128, 32
 
 
 def numbered(rows: DataFrame, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
@@ -16,9 +16,10 @@ def numbered(rows: DataFrame, order: list[str], name: str, within: list[str] | N
     and the ranges before add theirs. Equal keys are placed in any order; nulls come first.
     """
     key, groups = F.struct(*order), within or []
-    drawn = rows.select(key.alias("__k")).where(F.col("__k").isNotNull()).orderBy(F.xxhash64("__k")).limit(DRAWN).orderBy("__k")
+    ranges = max(1, min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    drawn = rows.select(key.alias("__k")).where(F.col("__k").isNotNull()).orderBy(F.xxhash64("__k")).limit(DRAWN * ranges).orderBy("__k")
     sample = [r["__k"] for r in drawn.collect()]
-    bounds = sample[:: max(1, len(sample) // RANGES)][1:]
+    bounds = sample[:: max(1, -(-len(sample) // ranges))][1:]
     if bounds:
         kind = rows.select(key.alias("__k")).schema["__k"].dataType.simpleString()
         held = rows.sparkSession.createDataFrame([(bounds,)], f"__bounds array<{kind}>")
