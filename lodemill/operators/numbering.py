@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 RANGES, DRAWN = 128, 32
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
-    """Rows with their place by ``order``, from 0, among all or among those with the same ``within``.
+def numbered(rows: DataFrame, order: list[str], name: str, within: list[str] | None = None, total: str = "__total") -> DataFrame:
+    """Rows with their place by ``order``, from 0, among all or among those with the same ``within``, and how many these are.
 
     Keys with the lowest hashes bound ranges of about one size; places are counted in each range,
     and the ranges before add theirs. Equal keys are placed in any order; nulls come first.
@@ -28,7 +28,7 @@ def numbered(rows: DataFrame, order: list[str], name: str, within: list[str] | N
         ranged = rows.withColumn("__range", F.lit(0))
     counts = ranged.groupBy(*groups, "__range").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*groups).orderBy("__range")) - F.col("__n")  # a row for each range
-    starts = counts.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)], F.col("__range").alias("__r"), before.alias("__before"))
+    starts = counts.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)], F.col("__range").alias("__r"), before.alias("__before"), F.sum("__n").over(Window.partitionBy(*groups)).alias(total))
     same: Column = F.col("__range") == F.col("__r")
     for k, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))

@@ -51,9 +51,7 @@ def strided(rows: DataFrame, strata: list[tuple[Column, int]], order: str, total
         label = F.when(test, k) if label is None else label.when(test, k)
     share = F.element_at(F.array(*[F.lit(n) for _, n in strata]), F.col("__s") + 1)
     labelled = rows.withColumn("__s", label)
-    placed = numbered(labelled.where(F.col("__s").isNotNull()), [order], "__i", ["__s"])
-    sizes = labelled.groupBy("__s").agg(F.count("*").alias("__n"))  # one row a stratum
-    placed = placed.join(F.broadcast(sizes.where(F.col("__s").isNotNull())), "__s")
+    placed = numbered(labelled.where(F.col("__s").isNotNull()), [order], "__i", ["__s"], "__n")
     step = F.greatest(F.lit(1), F.floor(F.col("__n") / share))
     picked = (F.col("__i") % step == 0) & (F.floor(F.col("__i") / step) < share)
     both = placed.withColumn("__p", F.when(picked, 0).otherwise(1)).unionByName(labelled.where(F.col("__s").isNull()).withColumn("__p", F.lit(1)), allowMissingColumns=True)

@@ -162,7 +162,7 @@ def with_lookup(keys: DataFrame, table: DataFrame, on: list[str], value: str, ch
     """A lookup with three states: found, not_found, or error where the table says so; ``chunk`` numbers the requests."""
     joined = numbered(keys, on, "__at").join(table.withColumn("__known", F.lit(True)), on, "left")
     state = F.when(F.col("__known").isNull(), "not_found").when(F.col(value).isNull(), "error").otherwise("found")
-    return joined.withColumns({"state": state, "chunk": F.floor(F.col("__at") / chunk).cast("int")}).drop("__known", "__at")
+    return joined.withColumns({"state": state, "chunk": F.floor(F.col("__at") / chunk).cast("int")}).drop("__known", "__at", "__total")
 
 
 def paged(pages: DataFrame, group: str, page: str, items: str, page_size: int | None = None, most_pages: int | None = None) -> DataFrame:
