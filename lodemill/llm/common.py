@@ -12,6 +12,7 @@ import io
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -67,8 +68,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
 
 
-def _hash_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a translated block, and where they start."""
+def hash_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a translated block, and where they start and end."""
     size = 1 << max(20, (len(block) - 1).bit_length())
     up, down = _powers(size)
     raw = np.frombuffer(block, np.uint8)
@@ -79,7 +80,7 @@ def _hash_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(raw) + 1, U64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
     value = (total[ends] - total[starts]) * down[starts]
-    return mix(value + (ends - starts).astype(U64) * ROLL), starts
+    return mix(value + (ends - starts).astype(U64) * ROLL), starts, ends
 
 
 def hash_words(texts: list[bytes], table: bytes = SPACED) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +93,7 @@ def hash_words(texts: list[bytes], table: bytes = SPACED) -> tuple[np.ndarray, n
         if not held:
             return
         block = b" ".join(held)
-        found, starts = _hash_block(block)
+        found, starts, _ = hash_block(block)
         limits = np.cumsum([len(x) + 1 for x in held])
         counts[first + 1 : upto + 1] += np.diff(np.searchsorted(starts, limits), prepend=0)
         hashes.append(found)
@@ -113,7 +114,7 @@ def hash_words(texts: list[bytes], table: bytes = SPACED) -> tuple[np.ndarray, n
             if held:
                 flush(k)
                 size, first = 0, k
-            found, _ = _hash_block(clean[:cut])
+            found, _, _ = hash_block(clean[:cut])
             hashes.append(found)
             counts[k + 1] += len(found)
             clean = clean[cut:]
@@ -440,19 +441,30 @@ class Shared:
         fs.delete_dir(f"{top}/{name}")
 
 
-#: What this worker has open of one folder, by name; another folder's first file closes it all.
-_open: dict[tuple[str, str], np.ndarray | str] = {}
+#: Files that a worker keeps open at most.
+OPEN_FILES = 96
+#: What this worker has open of one folder, by name, the least recently used first; another folder's first file closes it all.
+_open: OrderedDict[tuple[str, str], np.ndarray | str] = OrderedDict()
+
+
+def _close(entry: tuple[str, str]) -> None:
+    held = _open.pop(entry)  # an array's file and map go with its last user
+    if entry[1].startswith("copy of "):
+        os.remove(held)
 
 
 def _held(uri: str, name: str, make):
-    if not any(u == uri for u, _ in _open):
-        for (_, of), x in _open.items():
-            if of.startswith("copy of "):
-                os.remove(x)
-        _open.clear()
-    if (uri, name) not in _open:
-        _open[uri, name] = make()
-    return _open[uri, name]
+    if _open and next(iter(_open))[0] != uri:
+        for entry in list(_open):
+            _close(entry)
+    entry = (uri, name)
+    if entry not in _open:
+        _open[entry] = made = make()
+        while len(_open) > OPEN_FILES:
+            _close(next(iter(_open)))
+        return made
+    _open.move_to_end(entry)
+    return _open[entry]
 
 
 def _mapped(uri: str, name: str) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm import decontaminate, gif, jaccard, langid, lines, ngram_lm, pii, pieces, sharding, token_files
+from lodemill.llm import conversations, decontaminate, gif, jaccard, langid, lines, ngram_lm, pii, pieces, sharding, token_files
 from lodemill.llm.common import Shared
 
 
@@ -89,6 +89,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(spark, files, shared, keep_ids=False)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.repair(damaged, Shared.create(spark, "conversations"), present=F.col("present"), keep_text=False)
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 CONTAMINATION_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -116,7 +121,7 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least_id AS component_id FR
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op2_pii, op3_contamination, op4_lines, op5_gif, op6_language, op7_jaccard, op8_sharding, op9_pieces, op10_token_files)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_pii, op3_contamination, op4_lines, op5_gif, op6_language, op7_jaccard, op8_sharding, op9_pieces, op10_token_files, op12_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
