@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm import conversations, decontaminate, gif, jaccard, langid, lines, ngram_lm, pii, pieces, sharding, token_files
+from lodemill.llm import conversations, decontaminate, gif, jaccard, langid, lines, ngram_lm, phrases, pii, pieces, sharding, token_files, transducer
 from lodemill.llm.common import Shared
 
 
@@ -89,11 +89,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(spark, files, shared, keep_ids=False)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(documents(spark, sf_dir), Shared.create(spark, "phrases"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return conversations.repair(damaged, Shared.create(spark, "conversations"), present=F.col("present"), keep_text=False)
 
 
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json")
+    return transducer.encode_decode(docs, path, transducer.compile_lexicon(docs, path, Shared.create(spark, "lexicon")), keep_ids=False)
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 CONTAMINATION_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -119,10 +128,28 @@ links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM flat AS a JOIN flat AS b ON a
 reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON l.a = r.b)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least_id AS component_id FROM sets JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) ON a = doc_id"""
 
+PHRASES_SQL = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, {LOWER} AS x FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS p FROM t)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, {phrases.LONGEST + 1})) AS k) WHERE len(w) >= k)) GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_phrases AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+cuts AS (SELECT c.lang, c.phrase, c.k, c.a, h, l.a AS l, r.a AS r, n, (CAST({phrases.SCALE} AS HUGEINT) * c.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS h FROM c) AS c
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:h], ' ') JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[h + 1:c.k], ' ')
+  JOIN totals USING (lang)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, h) = 1),
+kept AS (SELECT b.* FROM best AS b LEFT JOIN inner_phrases AS i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < {phrases.SHARE} * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= {phrases.TOP}"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op2_pii, op3_contamination, op4_lines, op5_gif, op6_language, op7_jaccard, op8_sharding, op9_pieces, op10_token_files, op12_conversations)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_pii, op3_contamination, op4_lines, op5_gif, op6_language, op7_jaccard, op8_sharding, op9_pieces, op10_token_files, op11_phrases, op12_conversations, op13_byte_pairs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_contamination": CONTAMINATION_SQL, "op7_jaccard": JACCARD_SQL, "op8_sharding": sharding.shard_sql(SHARD_LIMIT)}
+    return {"op3_contamination": CONTAMINATION_SQL, "op7_jaccard": JACCARD_SQL, "op8_sharding": sharding.shard_sql(SHARD_LIMIT), "op11_phrases": PHRASES_SQL}

@@ -169,6 +169,8 @@ class ByteTable(dict):
             mapped = token.replace(" ", "Ġ") if token.isascii() and token.isprintable() else token.encode().decode("latin-1").translate(self.chars)
             got = struct.pack(f"<{len(ids := self.merge(mapped))}I", *[t.id for t in ids])
             if len(token) <= 8:
+                if len(self.words) >= TABLE_CHUNKS:  # long chunks fill it without a key of their own
+                    self.words = {}
                 self.words[token] = got
         return got
 
