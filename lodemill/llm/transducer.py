@@ -28,11 +28,11 @@ from lodemill.llm.common import U64, Shared, gather, gathered, map_arrow, mix
 from lodemill.llm.token_files import _CHUNK, _ODD, ByteTable, _byte_chars, byte_table
 
 #: A chunk belongs to the lexicon if it is one of so many or more; the lexicon has at most as many chunks.
-SHARE = 1 << 17
+SHARE = 1 << 19
 #: Bytes of the longest chunk in the lexicon, distinct chunks that a task counts before it hands them on, bytes of text at once.
 CHUNK_BYTES, COUNTED, TEXT_BYTES = 48, 1 << 18, 4 << 20
 #: Bytes of chunks and their ids that a worker remembers of those it had to merge.
-MERGED_BYTES = 16 << 20
+MERGED_BYTES = 48 << 20
 
 
 class _State:
@@ -203,8 +203,13 @@ class Transducer:
         return known, counts, pool[ragged(where, many)]
 
 
-def pieces_of(text: str, table: ByteTable) -> list[str] | None:
-    """The keys of a text's chunks (see ``raw``); none if it must be encoded whole."""
+def pieces_of(text: str, table: ByteTable, stops: bool = True) -> list[str] | None:
+    """The keys of a text's chunks (see ``raw``); none if it must be encoded whole.
+
+    With ``stops`` a comma or full stop before white space is a chunk of its own, which holds where a letter or
+    number stands before it;
+    elsewhere it belongs to what stands there.
+    """
     if not table.safe or _ODD.search(text) or "\0" in text or any(a in text for a in table.added):
         return None
     if not text:
@@ -212,11 +217,18 @@ def pieces_of(text: str, table: ByteTable) -> list[str] | None:
     spaced = text.replace("\n", " \n")
     if spaced[0] == " " or spaced[-1] in " \n" or "  " in spaced or "\n " in spaced:
         return ["\0" + c for c in _CHUNK.findall(text)]
+    if stops and spaced[0] not in ",.":
+        cut = spaced.replace(", ", " \0, ").replace(". ", " \0. ")
+        spaced = spaced if "  " in cut else cut  # a stop after white space stays with it
     words = spaced.split(" ")
     words[0] = "\0" + words[0]
     return words
 
 
+#: The keys of stops that are chunks of their own.
+STOPS = ("\0,", "\0.")
+
+
 def raw(key: str) -> str:
     """The chunk of a key: after a null as it stands, with its line feed, or with a space before it."""
     return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
@@ -237,7 +249,7 @@ def count_chunks(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text:
+                if text:  # a misread stop only makes another choice of chunks
                     held.update(pieces_of(text, table) or ())
             if len(held) >= COUNTED:
                 yield out()
@@ -266,12 +278,20 @@ def compile_lexicon(docs: DataFrame, path: str, shared: Shared, text_col: str =
     return Transducer(shared)
 
 
+class _Numbers(dict):
+    """Numbers of keys, by their first occurrence."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Encoder:
     """Encodes batches of texts with a stored lexicon, and decodes their ids."""
 
     def __init__(self, path: str, lexicon: Transducer):
         self.table, self.lexicon = byte_table(path, True), lexicon
-        self.merged: dict[str, np.ndarray] = {}
+        self.merged: dict[str, bytes] = {}
         self.size = 0
         model, back = self.table.model, {c: b for b, c in _byte_chars().items()}
         names = {i: t for t, i in model.get_vocab(with_added_tokens=True).items()}
@@ -281,41 +301,55 @@ class Encoder:
         self.byte_at = np.cumsum(self.byte_n) - self.byte_n
         self.byte_pool = np.frombuffer(b"".join(self.bytes), np.uint8)
 
-    def merge(self, chunk: str) -> np.ndarray:
+    def merge(self, chunk: str) -> bytes:
         """The ids of a chunk by the merge rules themselves."""
         got = self.merged.get(chunk)
         if got is None:
-            got = np.frombuffer(self.table._chunk(chunk), "<u4")
+            got = self.table._chunk(chunk)
             if len(chunk) <= CHUNK_BYTES:
                 if self.size > MERGED_BYTES:
                     self.merged, self.size = {}, 0
                 self.merged[chunk] = got
-                self.size += 4 * len(chunk) + got.nbytes + 200
+                self.size += 4 * len(chunk) + len(got) + 150
         return got
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has."""
-        places: dict[str, int] = {}
+        places = _Numbers()
         flat, chunks, whole = [], np.zeros(len(texts), np.int64), {}
-        for k, text in enumerate(texts):
-            keys = pieces_of(text, self.table)
+        number = places.__getitem__
+
+        def split(k: int, stops: bool) -> list[int]:
+            keys = pieces_of(texts[k], self.table, stops)
             if keys is None:  # a text that the library must see whole is one chunk
                 keys = [f"\0{k}\0"]
-                whole[keys[0]] = text
-            flat.extend([places.setdefault(x, len(places)) for x in keys])
-            chunks[k] = len(keys)
+                whole[keys[0]] = texts[k]
+            return [*map(number, keys)]
+
+        for k in range(len(texts)):
+            own = split(k, True)
+            flat += own
+            chunks[k] = len(own)
+        of, edges = np.array(flat, np.int64), np.concatenate(([0], np.cumsum(chunks)))
+        bare = np.array([not x[-1].isalnum() for x in places], bool)
+        stops = [places[x] for x in STOPS if x in places]
+        wrong = np.flatnonzero(np.isin(of[1:], stops) & bare[of[:-1]]) + 1 if stops else []
+        if len(wrong):  # texts in which a stop stands after another sign are cut at white space alone
+            again = {int(k): np.array(split(int(k), False), np.int64) for k in np.unique(np.searchsorted(edges, wrong, "right") - 1)}
+            of = np.concatenate([again.get(k, of[edges[k] : edges[k + 1]]) for k in range(len(texts))])
+            for k, own in again.items():
+                chunks[k] = len(own)
+            edges = np.concatenate(([0], np.cumsum(chunks)))
         words = list(places)
         known, n, ids = self.lexicon.walk([b"\xff" * (CHUNK_BYTES + 1) if x in whole else raw(x).encode() for x in words]) if words else (np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.uint32))
         odd = np.flatnonzero(~known)
-        more = [np.frombuffer(self.table._plain([whole[words[k]]])[0], "<u4") if words[k] in whole else self.merge(raw(words[k])) for k in odd]
+        more = [self.table._plain([whole[words[k]]])[0] if words[k] in whole else self.merge(raw(words[k])) for k in odd.tolist()]
         at = np.cumsum(n) - n
-        n[odd] = [len(x) for x in more]
+        n[odd] = [len(x) // 4 for x in more]
         at[odd] = len(ids) + np.cumsum(n[odd]) - n[odd]
-        pool = np.concatenate([ids, *more]).astype("<u4")
-        of = np.array(flat, np.int64)
+        pool = np.frombuffer(b"".join([ids.astype("<u4").tobytes(), *more]), "<u4")
         got = pool[ragged(at[of], n[of])]
         ends = np.concatenate(([0], np.cumsum(n[of])))
-        edges = np.concatenate(([0], np.cumsum(chunks)))
         return got, np.diff(ends[edges])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
