@@ -60,6 +60,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_UNDO = U64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64)), U64(pow(0x94D049BB133111EB, -1, 1 << 64))
+
+
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The value that ``mix`` has scrambled."""
+    x = (x ^ (x >> U64(31)) ^ (x >> U64(62))) * _UNDO[1]
+    x = (x ^ (x >> U64(27)) ^ (x >> U64(54))) * _UNDO[0]
+    return x ^ (x >> U64(30)) ^ (x >> U64(60))
+
+
 @lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, _BASE, U64)

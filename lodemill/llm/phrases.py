@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemill.llm import perfect, runs
-from lodemill.llm.common import BLOCK, U64, Shared, by_key, distinct, find, gather, gathered, hash_block, input_bytes, map_arrow, mix, shard_of, shards_for, shared_key, sum_by_key, tidy, utf8
+from lodemill.llm.common import BLOCK, U64, Shared, by_key, distinct, find, gather, gathered, hash_block, input_bytes, map_arrow, mix, shard_of, shards_for, shared_key, sum_by_key, tidy, unmix, utf8
 
 #: Words of the longest phrase, its least count, the percentage of its count that a longer one needs to replace it, and phrases of a language.
 LONGEST, LEAST, SHARE, TOP = 5, 100, 100, 2000
@@ -377,27 +377,25 @@ class Miner:
 
         passing = self._buckets(sequences, keyed, f"b{k}")
 
-        def named(batches) -> Iterator[pa.RecordBatch]:
-            told = np.zeros(0, U64)
+        def distinct_keys(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for keys, on in pairs(batches):
-                keys = np.unique(keys[on])
-                h = mix(keys)
-                order = np.argsort(h)
-                keys, h = keys[order], h[order]
-                new = passing.passing(h) & ~find(told, h)[1]
-                keys, h = keys[new], h[new]
-                told = np.union1d(told, h) if len(told) < REMEMBERED else h
+                h = np.unique(mix(keys[on]))
+                h = h[passing.passing(h)]
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(shard_of(h, self.shards), pa.int32()), pa.array(keys.view(np.int64))], names=["shard", "key"])
+                    yield h, np.ones(len(h), np.int64)
+
+        def named(batches) -> Iterator[pa.RecordBatch]:
+            for h, n in runs.folded(distinct_keys(batches), runs.RUN_BYTES):
+                yield runs.cut(h, n, runs.widths(self.shards)[0])
 
         def build(batches) -> Iterator[pa.RecordBatch]:
             for (shard,), group in by_key(batches, 1):
-                keys = np.array([r[1] for r in group], np.int64).view(U64)
-                self.shared.write(f"h{k}-{shard}", perfect.build(mix(keys), keys).tobytes())
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
+                for h, _ in runs.folded(runs.read(r[1]) for r in group):
+                    self.shared.write(f"h{k}-{shard}", perfect.build(h, unmix(h)).tobytes())
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(h)], pa.int64())})
 
-        rows = map_arrow(sequences, named, "shard int, key long").distinct()
-        tables = self._tables(map_arrow(rows.repartition(self.shards, shared_key("shard", self.shards)).sortWithinPartitions("shard"), build, "shard int, n long"), f"h{k}")
+        dealt = runs.dealt(map_arrow(sequences, named, runs.RUN), self.shards)
+        tables = self._tables(map_arrow(dealt, build, "shard int, n long"), f"h{k}")
 
         def looked_up(batches) -> Iterator[tuple[np.ndarray, None, np.ndarray]]:
             for keys, on in pairs(batches):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from lodemill.llm import perfect, phrases, runs
-from lodemill.llm.common import U64, Shared, mix
+from lodemill.llm.common import U64, Shared, mix, unmix
 
 SHAPE = "doc_id long, text string, lang string"
 
@@ -68,6 +68,8 @@ def test_no_texts(spark):
 
 def test_perfect_hash():
     rng = np.random.default_rng(3)
+    some = rng.integers(0, 1 << 63, 1000, dtype=U64) * U64(2) + U64(1)
+    assert (unmix(mix(some)) == some).all()
     for n in (0, 1, 2, 1000, 50_000):
         keys = np.unique(rng.integers(0, 1 << 63, n, dtype=U64))
         table = perfect.Table(perfect.build(mix(keys), keys))
