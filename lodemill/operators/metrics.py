@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodemill.operators import selection
+
 
 def share(a: Column, b: Column, places: int = 4) -> Column:
     """A ratio; 0 where there is nothing to divide by."""
@@ -57,31 +59,21 @@ def paired(rows: DataFrame, pair: str, true_label: str = "true_label", predicted
     return counted.select("*", rate("ideal"), rate("parent_flagged"), rate("fix_cleared"))
 
 
-#: Parts of the range of values that are counted to find the one with the ninetieth percentile.
-PARTS = 4096
-
-
 def latency(rows: DataFrame, seconds: str, by: list[str] | None = None, places: int = 4) -> DataFrame:
     """Count, mean, median, p90, least, most and rows a second; p90 is the value at place ⌊0.9·(n−1)⌋, not between two."""
-    from pyspark.sql import Window
-
     s, n, keys = F.col(seconds), F.count(F.col(seconds)), by or []
     known = rows.where(s.isNotNull())
-    sums = known.groupBy(*keys).agg(
-        n.alias("n"), F.round(F.avg(s), places).alias("mean"), F.round(F.median(s), places).alias("median"), F.min(s).alias("least"), F.max(s).alias("most"), F.round(F.try_divide(n, F.sum(s)), places).alias("per_second")
-    )
-    # Values are counted in parts of their range; only those of the part that holds the place are put in order.
-    limits = sums.select(*keys, "least", "most", F.floor(F.lit(0.9) * (F.col("n") - 1)).alias("__at"))
-    joined = known.join(limits, keys) if keys else known.crossJoin(F.broadcast(limits))
-    part = F.coalesce(F.least(F.lit(PARTS - 1), F.floor(F.try_divide((s - F.col("least")).cast("double") * PARTS, (F.col("most") - F.col("least")).cast("double")))), F.lit(0))
-    parted = joined.select(*keys, s.alias("__v"), "__at", part.alias("__part"))
-    counts = parted.groupBy(*keys, "__part").agg(F.count("*").alias("__c"), F.first("__at").alias("__at"))
-    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__part"))
-    held = counts.withColumn("__u", upto).where((F.col("__u") > F.col("__at")) & (F.col("__u") - F.col("__c") <= F.col("__at"))).select(*keys, "__part", (F.col("__at") - F.col("__u") + F.col("__c")).alias("__left"))
-    values = parted.join(F.broadcast(held) if not keys else held, [*keys, "__part"]).groupBy(*keys, "__v").agg(F.count("*").alias("__c"), F.first("__left").alias("__left"))
-    placed = values.withColumn("__u", F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v"))).where(F.col("__u") > F.col("__left"))
-    p90 = placed.groupBy(*keys).agg(F.min("__v").alias("p90"))
-    return sums.join(p90, keys) if keys else sums.crossJoin(p90)
+    sums = known.groupBy(*keys).agg(n.alias("n"), F.round(F.avg(s), places).alias("mean"), F.min(s).alias("least"), F.max(s).alias("most"), F.round(F.try_divide(n, F.sum(s)), places).alias("per_second"))
+    size = F.col("n")
+    at = {"__lo": F.floor((size - 1) / 2), "__hi": F.floor(size / 2), "p90": F.floor(F.lit(0.9) * (size - 1))}
+    found = selection.places(known, s, at, keys).withColumn("median", F.round((F.col("__lo").cast("double") + F.col("__hi").cast("double")) / 2, places)).drop("__lo", "__hi", "n")
+    if not keys:
+        return sums.crossJoin(F.broadcast(found)).select("n", "mean", "median", "least", "most", "per_second", F.col("p90").cast(known.schema[seconds].dataType))
+    named = found.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "median", "p90")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return sums.join(named, same).select(*keys, "n", "mean", "median", "least", "most", "per_second", F.col("p90").cast(known.schema[seconds].dataType))
 
 
 def category_shares(rows: DataFrame, column: str) -> DataFrame:

@@ -2,36 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the order at most, and keys that are drawn to bound each.
-RANGES, DRAWN = 128, 32
+from lodemill.sources.readers import Scratch
+
+#: The bits of a number given by ``monotonically_increasing_id`` that count within a partition.
+_INSIDE = 33
 
 
 def numbered(rows: DataFrame, order: list[str], name: str, within: list[str] | None = None, total: str = "__total") -> DataFrame:
     """Rows with their place by ``order``, from 0, among all or among those with the same ``within``, and how many these are.
 
-    Keys with the lowest hashes bound ranges of about one size; places are counted in each range,
-    and the ranges before add theirs. Equal keys are placed in any order; nulls come first.
+    Rows are dealt by ranges of the order, sorted, and stored with their place in their range; what the ranges before
+    hold is added. Equal keys go by a hash of the whole row, so that a frequent key is spread over ranges;
+    equal rows are placed in any order. Nulls come first.
     """
-    key, groups = F.struct(*order), within or []
-    ranges = max(1, min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    drawn = rows.select(key.alias("__k")).where(F.col("__k").isNotNull()).orderBy(F.xxhash64("__k")).limit(DRAWN * ranges).orderBy("__k")
-    sample = [r["__k"] for r in drawn.collect()]
-    bounds = sample[:: max(1, -(-len(sample) // ranges))][1:]
-    if bounds:
-        kind = rows.select(key.alias("__k")).schema["__k"].dataType.simpleString()
-        held = rows.sparkSession.createDataFrame([(bounds,)], f"__bounds array<{kind}>")
-        ranged = rows.crossJoin(F.broadcast(held)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= key))).drop("__bounds")
-    else:
-        ranged = rows.withColumn("__range", F.lit(0))
-    counts = ranged.groupBy(*groups, "__range").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*groups).orderBy("__range")) - F.col("__n")  # a row for each range
-    starts = counts.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)], F.col("__range").alias("__r"), before.alias("__before"), F.sum("__n").over(Window.partitionBy(*groups)).alias(total))
-    same: Column = F.col("__range") == F.col("__r")
+    groups, spark = within or [], rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = [*[F.col(g) for g in groups], *[F.col(c) for c in order], F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind])]
+    ranged = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    held = Scratch(spark, "numbered").keep(ranged, "rows").withColumn("__range", F.shiftright("__id", _INSIDE))
+    counts = held.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")  # a row for each range
+    starts = counts.select("__range", before.alias("__before"))
+    inside = F.col("__id").bitwiseAND(F.lit((1 << _INSIDE) - 1))
+    placed = held.join(F.broadcast(starts), "__range").withColumn(name, F.col("__before") + inside).drop("__id", "__range", "__before")
+    if not groups:
+        every = counts.agg(F.sum("__n").alias(total))
+        return placed.crossJoin(F.broadcast(every)).withColumn(name, F.col(name).cast("long"))
+    sizes = placed.groupBy(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)]).agg(F.min(name).alias("__first"), F.count("*").alias(total))
+    same = F.lit(True)
     for k, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
-    own = F.row_number().over(Window.partitionBy(*groups, "__range").orderBy(*order)) - 1
-    joined = ranged.withColumn("__own", own).join(starts, same)
-    return joined.withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__range", "__own", "__r", "__before", *[f"__g{k}" for k in range(len(groups))])
+    return placed.join(sizes, same).withColumn(name, (F.col(name) - F.col("__first")).cast("long")).drop("__first", *[f"__g{k}" for k in range(len(groups))])

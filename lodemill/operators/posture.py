@@ -66,8 +66,9 @@ def dependency_risk(packages: DataFrame, vulnerabilities: DataFrame, repository:
     joined = packages.join(known, list(keys), "left")
     bad = F.col("ids").isNotNull()
     counts = joined.groupBy(repository).agg(F.count("*").alias("total"), F.count_if(bad).alias("vulnerable"), F.countDistinct(F.when(bad, F.struct(*keys))).alias("vulnerable_packages"))
-    ids = packages.join(vulnerabilities, list(keys)).groupBy(repository).agg(F.countDistinct("vuln_id").alias("distinct_ids"))
-    one = joined.where(bad).select(repository, *keys, "ids").distinct()
+    # A repository's vulnerable packages once each, before their ids are spread out.
+    one = joined.where(bad).select(repository, *keys, "ids").dropDuplicates([repository, *keys])
+    ids = one.select(repository, F.explode("ids").alias("id")).groupBy(repository).agg(F.countDistinct("id").alias("distinct_ids"))
     place = F.row_number().over(Window.partitionBy(repository).orderBy(F.desc(F.size("ids")), "name", "version", "ecosystem"))
     told = F.concat("name", F.lit("@"), "version", F.lit(" ("), F.array_join(F.slice("ids", 1, ids_shown), ", "), F.lit(")"))
     worst = one.withColumn("place", place).where(F.col("place") <= shown).groupBy(repository).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", told.alias("t")))), lambda s: s["t"]), "; ").alias("worst"))

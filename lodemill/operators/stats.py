@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemill.functions.scalars import severity
+from lodemill.operators import selection
 from lodemill.rules.security import TOP_25
 
 
@@ -15,8 +16,16 @@ def corpus_overview(docs: DataFrame, repository: str, path: str, text: str) -> D
     groups = docs.groupBy(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("h")).agg(F.count("*").alias("n"))
     repeated = groups.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("in_duplicate_groups"))
     root = ~F.contains(F.col(path), F.lit("/"))
-    main = docs.agg(F.count("*").alias("files"), F.countDistinct(repository).alias("repositories"), F.count_if(root).alias("root_files"), F.count_if(~root).alias("nested_files"), F.sum(size).alias("characters"), F.median(size).alias("median_characters"), F.count_if(F.coalesce(size, F.lit(0)) == 0).alias("empty"))
-    return main.crossJoin(repeated)
+    main = docs.agg(F.count("*").alias("files"), F.countDistinct(repository).alias("repositories"), F.count_if(root).alias("root_files"), F.count_if(~root).alias("nested_files"), F.sum(size).alias("characters"), F.count_if(F.coalesce(size, F.lit(0)) == 0).alias("empty"))
+    return main.crossJoin(F.broadcast(repeated)).crossJoin(F.broadcast(selection.quantiles(docs, size, {"median_characters": 0.5}).drop("n")))
+
+
+def sizes_by(docs: DataFrame, by: str, text: str, language: str) -> DataFrame:
+    """Documents, characters, median length (truncated) and languages of each group."""
+    size = F.length(text)
+    sums = docs.groupBy(by).agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_chars"), F.countDistinct(language).alias("n_langs"))
+    middle = selection.quantiles(docs, size, {"median_chars": 0.5}, [by]).select(F.col(by).alias("__by"), F.col("median_chars").cast("long").alias("median_chars"))
+    return sums.join(middle, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "n_docs", "n_chars", "median_chars", "n_langs")
 
 
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +41,7 @@ def name_counts(docs: DataFrame, path: str, repository: str, order: str) -> Data
 
 def size_histogram(rows: DataFrame, value: Column, bins: int = 40, top: float = 0.99) -> DataFrame:
     """Equal bins between the least value and a high percentile, to which larger ones are cut."""
-    limits = rows.agg(F.min(value).cast("double").alias("lo"), F.percentile(value, F.lit(top)).alias("hi"))
+    limits = rows.agg(F.min(value).cast("double").alias("lo")).crossJoin(F.broadcast(selection.quantiles(rows, value, {"hi": top}).drop("n")))
     cut = rows.select(value.cast("double").alias("v")).where("v is not null").crossJoin(F.broadcast(limits)).withColumn("v", F.least("v", "hi"))
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
     counted = cut.groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemill.functions.regex import all_matches
+from lodemill.sources.readers import Scratch
 
 
 def centroids(rows: DataFrame, topic: str, vector: str) -> DataFrame:
@@ -18,39 +20,110 @@ def centroids(rows: DataFrame, topic: str, vector: str) -> DataFrame:
     return parts.groupBy(topic).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("center"))
 
 
-def nearest_topic(rows: DataFrame, topics: DataFrame, threshold: float, excluded: tuple[int, ...] = (), id_col: str = "vec_id", vector: str = "embedding", topic: str = "topic", center: str = "center", most: int = 100_000) -> DataFrame:
+#: Centres of a stored block, rows that meet a block at once, and bytes of blocks that a worker keeps.
+BLOCK_CENTERS, ROWS_AT_ONCE, KEPT_BYTES = 4096, 4096, 64 << 20
+
+
+class _Blocks:
+    """The stored blocks of centres, read one by one; the last ones stay in memory as far as they fit."""
+
+    def __init__(self, folder: str):
+        from pyarrow.fs import FileSelector, FileSystem
+
+        self.fs, top = FileSystem.from_uri(folder)
+        self.files = sorted(e.path for e in self.fs.get_file_info(FileSelector(top)) if e.path.endswith(".parquet"))
+        self.held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.size = 0
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for path in self.files:
+            if path in self.held:
+                yield self.held[path]
+                continue
+            with self.fs.open_input_file(path) as f:
+                rows = pq.read_table(f, columns=["topic", "center"])
+            if not rows.num_rows:
+                continue
+            matrix = rows.column("center").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+            block = (rows.column("topic").to_numpy(), matrix)
+            if self.size + matrix.nbytes <= KEPT_BYTES:
+                self.held[path] = block
+                self.size += matrix.nbytes
+            yield block
+
+
+_blocks: dict[str, _Blocks] = {}
+
+
+def _of_length_one(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt(np.square(x).sum(-1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def nearest_topic(rows: DataFrame, topics: DataFrame, threshold: float, excluded: tuple[int, ...] = (), id_col: str = "vec_id", vector: str = "embedding", topic: str = "topic", center: str = "center") -> DataFrame:
     """Each row's most similar topic by cosine, or -1 below the threshold; ``id_col``, ``topic``, ``similarity``.
 
-    Topics are few (their number is checked); a batch is one product with their matrix. Vectors
-    of no length are similar to nothing. Ties go to the smaller topic.
+    Centres are stored in blocks; a worker multiplies its rows with one block after another and keeps
+    each row's best, so there may be any number of them. What comes within a rounding of a
+    block's best is measured again, alike for all blocks: ties go to the smaller topic. Vectors
+    of no length are similar to nothing; rows without a vector, or where there are no topics, get -1 and null.
     """
     kept = topics.where(~F.col(topic).isin(list(excluded))) if excluded else topics
-    found = sorted((r[topic], r[center]) for r in kept.select(topic, center).limit(most + 1).collect())
-    if len(found) > most:
-        raise ValueError(f"more than {most} topics")
-    names = np.array([t for t, _ in found], np.int64)
-    matrix = np.array([c for _, c in found], np.float64).reshape(len(found), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+    scratch = Scratch(rows.sparkSession, "centers")
+    named = kept.where(F.col(topic).isNotNull() & F.col(center).isNotNull()).select(F.col(topic).cast("long").alias("topic"), F.col(center).cast("array<double>").alias("center"))
+    stored = named.mapInArrow(_scaled, "topic long, center array<double>")
+    stored.write.mode("overwrite").option("maxRecordsPerFile", BLOCK_CENTERS).parquet(f"{scratch.folder}/blocks")
+    folder = f"{scratch.folder}/blocks" if "://" in scratch.folder else f"file://{scratch.folder.removeprefix('file:')}/blocks"
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = batch.column(1).is_valid().to_numpy(zero_copy_only=False) & (len(names) > 0)
+        if folder not in _blocks:
+            _blocks.clear()
+            _blocks[folder] = _Blocks(folder)
+        for held in _many_rows(batches):
+            ok = held.column(1).is_valid().to_numpy(zero_copy_only=False)
             best, score = np.full(len(ok), -1, np.int64), np.full(len(ok), np.nan)
             if ok.any():
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(ok.sum(), -1)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ matrix.T
-                at = s.argmax(1)
-                top = s[np.arange(len(s)), at]
-                score[ok] = top
-                best[ok] = np.where(top >= threshold, names[at], -1)
-            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "topic": pa.array(best), "similarity": pa.array(score, mask=np.isnan(score))})
+                x = _of_length_one(held.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(ok.sum()), -1))
+                top, name = np.full(len(x), -np.inf), np.full(len(x), -1, np.int64)
+                for names, matrix in _blocks[folder]:
+                    s = x @ matrix.T
+                    near_row, near = np.nonzero(s >= np.maximum(s.max(1), top)[:, None] - 1e-9)
+                    exact, told = (x[near_row] * matrix[near]).sum(-1), names[near]
+                    order = np.lexsort((told, -exact, near_row))
+                    first = order[np.concatenate(([True], np.diff(near_row[order]) > 0))] if len(order) else order
+                    r, e, t = near_row[first], exact[first], told[first]
+                    better = (e > top[r]) | (e == top[r]) & (t < name[r])
+                    top[r[better]], name[r[better]] = e[better], t[better]
+                if np.isfinite(top).all():
+                    score[ok] = top
+                    best[ok] = np.where(top >= threshold, name, -1)
+            yield pa.RecordBatch.from_pydict({id_col: held.column(0), "topic": pa.array(best), "similarity": pa.array(score, mask=np.isnan(score))})
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.select(id_col, vector).mapInArrow(run, f"`{id_col}` {kind}, topic long, similarity double")
 
 
+def _scaled(batches) -> Iterator[pa.RecordBatch]:
+    """Centres of length one."""
+    for b in batches:
+        if b.num_rows:
+            x = _of_length_one(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], names=["topic", "center"])
+
+
+def _many_rows(batches) -> Iterator[pa.RecordBatch]:
+    """Batches of as many rows as meet a block at once."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= ROWS_AT_ONCE:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def embedded(rows: DataFrame, id_col: str, text: str, encode, batch: int = 256, partitions: int | None = None) -> DataFrame:
     """A vector of length one for each text: ``id_col`` and ``embedding`` (floats).
 
@@ -118,20 +191,50 @@ def keywords(rows: DataFrame, topic: str, text: str, least_docs: int = 3, most_s
     return scored.withColumn("place", place).where(F.col("place") <= n).select(topic, "term", "tf", "f", "score", "place")
 
 
-def fit_topics(rows: DataFrame, k: int, dims: int = 5, seed: int = 42, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """Topics by principal components and k-means: an approximation with the same contract (a topic for each row).
+def refined_keywords(scored: DataFrame, vectors: DataFrame, topics: DataFrame, topic: str = "topic", candidates: int = 30, diversity: float = 0.3, n: int = 10, term: str = "term", vector: str = "embedding", center: str = "center") -> DataFrame:
+    """A topic's keywords by likeness to it, each as unlike those before as ``diversity`` asks: ``topic``, ``place``, ``term``, ``likeness``.
 
-    Density clustering has no distributed form here; rows far from all centres are left to a
-    threshold in ``nearest_topic``.
+    ``scored`` has each topic's terms with their ``place`` by class-based tf-idf, ``vectors`` a vector for each term, ``topics`` one for each
+    topic. Of a topic's first terms the ``candidates`` most like its vector are taken; the first keyword
+    is the likest, then comes, again and again, the term with the most of (1 - diversity) times its
+    likeness minus diversity times its greatest likeness to a keyword chosen before. Ties go by term. Terms without a vector are
+    left out. A topic's candidates are one small group, bounded by ``candidates``.
     """
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    held = rows.where(F.col(vector).isNotNull()).select(id_col, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    reduced = PCA(k=dims, inputCol="v", outputCol="p").fit(held).transform(held)
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="p", predictionCol="topic").fit(reduced)
-    return model.transform(reduced).select(id_col, F.col("topic").cast("long").alias("topic"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    unit = lambda c: F.when(dot(c, c) > 0, F.transform(c, lambda x: x / F.sqrt(dot(c, c)))).otherwise(c)
+    words = vectors.where(F.col(vector).isNotNull()).select(F.col(term).alias("term"), unit(F.col(vector).cast("array<double>")).alias("v"))
+    middles = topics.where(F.col(center).isNotNull()).select(F.col(topic).alias("topic"), unit(F.col(center).cast("array<double>")).alias("c"))
+    held = scored.select(F.col(topic).alias("topic"), F.col(term).alias("term")).join(words, "term").join(middles, "topic")
+    like = held.select("topic", "term", "v", F.round(dot(F.col("v"), F.col("c")), 9).alias("likeness"))
+    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("likeness"), "term"))
+    few = like.withColumn("at", place).where(F.col("at") <= candidates)
+    kind = few.schema["topic"].dataType.simpleString()
+
+    def choose(key, group):
+        group = group.sort_by("at")
+        terms, score = group.column("term").to_pylist(), group.column("likeness").to_numpy()
+        x = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(terms), -1)
+        between = np.round(x @ x.T, 9)
+        chosen = [0]
+        while len(chosen) < min(n, len(terms)):
+            left = [k for k in range(len(terms)) if k not in chosen]
+            worth = np.round((1 - diversity) * score[left] - diversity * between[np.ix_(left, chosen)].max(1), 9)
+            chosen.append(min(zip(-worth, [terms[k] for k in left], left, strict=True))[2])
+        return pa.table({"topic": pa.array([key[0].as_py()] * len(chosen), group.schema.field("topic").type), "place": pa.array(range(1, len(chosen) + 1), pa.int32()), "term": [terms[k] for k in chosen], "likeness": score[chosen]})
+
+    return few.groupBy("topic").applyInArrow(choose, f"topic {kind}, place int, term string, likeness double")
+
+
+def fit_topics(rows: DataFrame, least: int = 100, samples: int = 5, neighbours: int = 30, dims: int = 5, rounds: int = 20, seed: int = 42, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """Topics by a neighbour graph, a layout of few dimensions and density clusters: ``id_col`` and ``topic``, -1 for outliers."""
+    from lodemill.operators.clustering import density_clusters
+    from lodemill.operators.layout import layout
+    from lodemill.operators.neighbours import nearest_graph
+
+    known = rows.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull())
+    graph = nearest_graph(known, neighbours, "cosine", id_col, vector, seed)
+    places = layout(known, graph, dims, rounds, seed, id_col, vector)
+    return density_clusters(places, least, samples, neighbours, "euclidean", id_col, "place", seed)
 
 
 def spread_topics(rows: DataFrame, assigned: DataFrame, canonical: str = "canonical", id_col: str = "ord") -> DataFrame:

@@ -47,9 +47,7 @@ def a03(spark, sf_dir):
 )
 def a04(spark, sf_dir):
     """Documents, characters, median length (truncated) and languages of each source."""
-    size = F.length("text")
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_chars"), F.median(size).cast("long").alias("median_chars"), F.countDistinct("lang").alias("n_langs"))
+    return stats.sizes_by(table(spark, sf_dir, "documents"), "source", "text", "lang")
 
 
 @query(

@@ -126,20 +126,28 @@ def f26(spark, sf_dir):
     return rows.select("id", snippet(F.col("body"), F.col("patch"), F.lit("parent")).alias("s")).select("id", "s.*")
 
 
-@query("s06", "SELECT doc_id, decode(from_base64(to_base64(encode(text)))) AS text FROM documents")
+#: Bytes that are no UTF-8 after every third document: a lone byte, and a sequence that breaks off.
+_BROKEN = "CASE WHEN doc_id % 3 = 0 THEN concat(chr(65533), 'x', chr(65533)) ELSE '' END"
+
+
+def _with_broken(text):
+    return F.concat(F.encode(text, "UTF-8"), F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FF78E282"))).otherwise(F.unhex(F.lit(""))))
+
+
+@query("s06", f"SELECT doc_id, concat(text, {_BROKEN}) AS text FROM documents")
 def s06(spark, sf_dir):
-    """Text of base64 content."""
+    """Text of base64 content, of which some is no UTF-8."""
     from lodemill.sources.readers import decoded
 
-    return table(spark, sf_dir, "documents").select("doc_id", decoded(F.base64(F.encode("text", "UTF-8"))).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", decoded(F.base64(_with_broken(F.col("text")))).alias("text"))
 
 
-@query("s29", "SELECT doc_id, CAST(length(text) AS INTEGER) AS parent_n, CAST(length(text) + 2 AS INTEGER) AS fix_n FROM documents WHERE text IS NOT NULL")
+@query("s29", f"SELECT doc_id, CAST(length(concat(text, {_BROKEN})) AS INTEGER) AS parent_n, CAST(length(text) + 2 AS INTEGER) AS fix_n FROM documents WHERE text IS NOT NULL")
 def s29(spark, sf_dir):
     """Both versions of a file from base64 content, joined into a pair."""
     from lodemill.sources.readers import decoded
 
-    files = table(spark, sf_dir, "documents").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("parent"), F.base64(F.encode(F.concat("text", F.lit("\n#")), "UTF-8")).alias("fix"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.base64(_with_broken(F.col("text"))).alias("parent"), F.base64(F.encode(F.concat("text", F.lit("\n#")), "UTF-8")).alias("fix"))
     parent, fix = files.select("doc_id", decoded(F.col("parent")).alias("a")), files.select("doc_id", decoded(F.col("fix")).alias("b"))
     return parent.join(fix, "doc_id").where("a <> b").select("doc_id", F.length("a").alias("parent_n"), F.length("b").alias("fix_n"))
 
@@ -239,14 +247,18 @@ def s12(spark, sf_dir):
     return _written(spark, lambda p: write_json_document(rows.agg(F.count("*").alias("n")), rows, p), read)
 
 
-@query("s25", "SELECT page_id, CAST(length(url) AS DOUBLE) AS v FROM pages")
+@query("s25", "SELECT page_id, CASE WHEN page_id % 2 = 0 AND page_id % 10 <> 0 THEN 1.0 ELSE 2.0 END AS made_by, CAST(length(concat(url, CASE WHEN page_id % 10 = 0 THEN '#' ELSE '' END)) AS DOUBLE) AS v FROM pages WHERE page_id % 7 <> 0")
 def s25(spark, sf_dir):
-    """Vectors kept by the signature of what made them; the second request reads the first one's."""
-    from lodemill.sources.readers import embedding_cache, scratch
-
-    place, pages = scratch(spark), table(spark, sf_dir, "pages")
-    embedding_cache(pages, "one", place, lambda rows: rows.select("page_id", F.length("url").cast("double").alias("v")))
-    return embedding_cache(pages, "one", place, lambda rows: rows.select("page_id", F.lit(0.0).alias("v")))
+    """Vectors kept by signature, key and content: a second request makes what is new or has changed, and gets what it asked for."""
+    from lodemill.sources.readers import scratch
+    from lodemill.sources.vectors import embedding_cache
+
+    place, pages = scratch(spark), table(spark, sf_dir, "pages").select("page_id", "url")
+    made = lambda n: lambda rows: rows.select("page_id", F.array(F.lit(n), F.length("url").cast("double")).alias("embedding"))
+    embedding_cache(pages.where("page_id % 2 = 0"), {"encoder": "length"}, place, made(1.0), "page_id", "url")
+    later = pages.where("page_id % 7 <> 0").withColumn("url", F.when(F.col("page_id") % 10 == 0, F.concat("url", F.lit("#"))).otherwise(F.col("url")))
+    got = embedding_cache(later, {"encoder": "length"}, place, made(2.0), "page_id", "url")
+    return got.select("page_id", F.col("embedding")[0].alias("made_by"), F.col("embedding")[1].alias("v"))
 
 
 @query("s28", with_fixture("s", SAMPLES, "SELECT * FROM s"))

@@ -9,6 +9,7 @@ from lodemill.plans.fixtures import table_of, values, with_fixture
 from lodemill.registry import query, table
 from lodemill.rules import documents as D
 from lodemill.sources import readers
+from lodemill.sources.responses import answered
 
 DOCS = values(
     """('a','README.md','We sandbox tools. Rate limits apply: see CVE-2024-12345.'),('a','docs/SECURITY.md','Mail sec@x.org within 5 days to respond. cve-2024-12345 GHSA-abcd-1234-efgh'),
@@ -160,17 +161,17 @@ def s19(spark, sf_dir):
     return readers.paged(c.select("conv_id", (F.col("turn") + 1).alias("page"), items.alias("items")), "conv_id", "page", "items", page_size=2, most_pages=3)
 
 
-@query("s22", "SELECT item_id, text AS prompt, CASE WHEN item_id % 3 = 0 THEN concat('SAFE ', CAST(item_id AS VARCHAR)) ELSE 'UNKNOWN' END AS response FROM benchmark")
+@query(
+    "s22",
+    """SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN concat(CASE WHEN early = 0 THEN 'first ' ELSE 'second ' END, CAST(length(text) AS VARCHAR)) END AS response
+    FROM (SELECT *, min(conv_id % 2) OVER (PARTITION BY text) AS early FROM conversations)""",
+)
 def s22(spark, sf_dir):
-    """Responses given beforehand, and a scorer for prompts without one."""
-    prompts = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt"))
-    given = prompts.where("item_id % 3 = 0").select("item_id", F.concat(F.lit("SAFE "), F.col("item_id").cast("string")).alias("response"))
-
-    def ask(frames):
-        for frame in frames:
-            yield frame.assign(response="UNKNOWN")
-
-    return readers.with_responses(prompts, given, "item_id", make=ask)
+    """Prompts of two runs; the second asks a model only for those that the first one's log lacks."""
+    place, turns = readers.scratch(spark), table(spark, sf_dir, "conversations")
+    said = lambda name: lambda texts: [f"{name} {len(t)}" for t in texts]
+    answered(turns.where("conv_id % 2 = 0"), said("first"), place, {"seed": 42}, "text").write.format("noop").mode("overwrite").save()
+    return answered(turns, said("second"), place, {"seed": 42}, "text").select("conv_id", "turn", "response")
 
 
 @query("s20", "SELECT page_id, concat('pkg:npm/p', CAST(page_id AS VARCHAR), '@1') AS purl FROM pages")

@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from lodemill.operators.numbering import numbered
-
 MARK = "﻿"
 
 
@@ -85,7 +83,7 @@ def read_tree(spark: SparkSession, path: str, extensions: list[str]) -> DataFram
     """Files under a folder with one of the extensions: relative path and text; no hidden or unsafe paths."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     relative = F.replace(F.regexp_replace("path", r"^file:/*", "/"), F.lit(path.rstrip("/") + "/"), F.lit(""))
-    named = files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("text"))
+    named = files.select(relative.alias("path"), as_text(F.col("content")).alias("text"))
     return named.where(has_extension(F.col("path"), extensions) & is_safe_path(F.col("path")))
 
 
@@ -127,6 +125,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{top or 'file://' + tempfile.mkdtemp(prefix='lodemill-')}/{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables that cut lineage, in a folder of their own that the driver and all executors see."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{scratch(spark)}-{name}"
+
+    def keep(self, rows: DataFrame, name: str) -> DataFrame:
+        """The rows, written and read again: later work starts from the files."""
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+
 def enriched(repos: DataFrame, details: DataFrame, key: str = "full_name") -> DataFrame:
     """Repositories with their details; null where a lookup has none."""
     return repos.join(details, key, "left")
@@ -146,9 +156,14 @@ def tree_flags(trees: DataFrame, repository: str = "full_name") -> DataFrame:
     return trees.groupBy(repository).agg(F.count_if(blob & F.endswith(F.lower("path"), F.lit(".md"))).alias("n_md"), has("SECURITY.MD").alias("has_security"), has("CONTRIBUTING.MD").alias("has_contributing"), has("SKILL.MD").alias("has_skill"), has("AGENTS.MD").alias("has_agents"))
 
 
+def as_text(content: Column) -> Column:
+    """Bytes as text; those that are no UTF-8 become replacement characters, one for each longest broken sequence."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def decoded(content: Column) -> Column:
     """Text of base64 content, whose line feeds are dropped; null if it is no base64."""
-    return F.decode(F.try_to_binary(F.regexp_replace(content, r"\s", ""), F.lit("base64")), "UTF-8")
+    return as_text(F.try_to_binary(F.regexp_replace(content, r"\s", ""), F.lit("base64")))
 
 
 def first_purls(sboms: DataFrame, packages: str = "packages") -> DataFrame:
@@ -160,6 +175,8 @@ def first_purls(sboms: DataFrame, packages: str = "packages") -> DataFrame:
 
 def with_lookup(keys: DataFrame, table: DataFrame, on: list[str], value: str, chunk: int = 500) -> DataFrame:
     """A lookup with three states: found, not_found, or error where the table says so; ``chunk`` numbers the requests."""
+    from lodemill.operators.numbering import numbered
+
     joined = numbered(keys, on, "__at").join(table.withColumn("__known", F.lit(True)), on, "left")
     state = F.when(F.col("__known").isNull(), "not_found").when(F.col(value).isNull(), "error").otherwise("found")
     return joined.withColumns({"state": state, "chunk": F.floor(F.col("__at") / chunk).cast("int")}).drop("__known", "__at", "__total")
@@ -182,24 +199,3 @@ def paged(pages: DataFrame, group: str, page: str, items: str, page_size: int |
     begun = kept.where(F.col(page) == 1).select(F.col(group).alias("__b")).distinct()
     read = kept.join(first, F.col(group) == F.col("__g")).join(begun, F.col(group) == F.col("__b"), "left_semi").where(F.col(page) <= F.col("__last"))
     return read.select(group, page, F.posexplode(items).alias("place", "item"))
-
-
-def with_responses(prompts: DataFrame, responses: DataFrame, key: str = "case_id", text: str = "response", make=None, schema: str | None = None) -> DataFrame:
-    """Prompts with the responses of a model that was asked beforehand; ``make``, a ``mapInPandas`` function, is asked for those that have none."""
-    known = prompts.join(responses, key, "left")
-    if make is None:
-        return known
-    asked = known.where(F.col(text).isNull()).drop(text)
-    return known.where(F.col(text).isNotNull()).unionByName(asked.mapInPandas(make, schema or known.schema))
-
-
-def embedding_cache(rows: DataFrame, signature: str, folder: str, make) -> DataFrame:
-    """Vectors for rows, kept by the signature of what made them; written whole or not at all."""
-    import hashlib
-
-    spark = rows.sparkSession
-    place = f"{folder}/signature={hashlib.sha256(signature.encode()).hexdigest()[:16]}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        make(rows).write.mode("overwrite").parquet(place)
-    return spark.read.parquet(place)
