@@ -110,6 +110,69 @@ def tidy_gaps(slots: np.ndarray) -> np.ndarray:
     return np.where(near, slots, _NONE)[keep]
 
 
+def _label(lang: str, word: bytes) -> bytes:
+    own = lang.encode()
+    return b"%d:" % len(own) + own + word
+
+
+def _told(label: bytes) -> tuple[bytes, bytes]:
+    """Language and word of a label."""
+    n, _, rest = label.partition(b":")
+    return rest[: int(n)], rest[int(n) :]
+
+
+def _named(parts: list[tuple[np.ndarray, list[bytes]]]) -> tuple[np.ndarray, list[bytes]]:
+    """Keys with their labels, each key once; a key with two labels is an error."""
+    keys, labels = np.concatenate([k for k, _ in parts]), [x for _, every in parts for x in every]
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    labels = [labels[k] for k in order.tolist()]
+    same = np.flatnonzero(keys[1:] == keys[:-1])
+    if any(labels[k] != labels[k + 1] for k in same.tolist()):
+        raise ValueError("two words share a hash")
+    first = np.ones(len(keys), bool)
+    first[same + 1] = False
+    return keys[first], [labels[k] for k in np.flatnonzero(first).tolist()]
+
+
+def _cut_names(keys: np.ndarray, labels: list[bytes], parts: int) -> pa.RecordBatch:
+    """Sorted keys and their labels as one blob for each range that has some."""
+    edges = np.searchsorted(shard_of(keys, parts), np.arange(parts + 1)).tolist()
+    kept = [p for p in range(parts) if edges[p] < edges[p + 1]]
+    blobs = []
+    for p in kept:
+        own = labels[edges[p] : edges[p + 1]]
+        head = runs.pack(keys[edges[p] : edges[p + 1]], np.array([len(x) for x in own], np.uint32))
+        blobs.append(len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(b"".join(own)))
+    return pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "run"])
+
+
+def _read_names(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    n = int.from_bytes(blob[:4], "little")
+    keys, sizes = runs.unpack(blob[4 : 4 + n])
+    data = zstandard.ZstdDecompressor().decompress(blob[4 + n :])
+    ends = np.cumsum(sizes.astype(np.int64)).tolist()
+    return keys, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _folded_names(held: Iterable[tuple[np.ndarray, list[bytes]]], limit: int | None = None) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Runs of names folded together, in pieces of about ``limit`` bytes, or whole where there is none."""
+    parts, size = [], 0
+    for run in held:
+        parts.append(run)
+        size += sum(len(x) for x in run[1]) + 64 * len(run[1])
+        if limit and size >= limit:
+            yield _named(parts)
+            parts, size = [], 0
+    if parts:
+        yield _named(parts)
+
+
+def _recut_names(blobs: Iterable[bytes], parts: int) -> Iterator[pa.RecordBatch]:
+    for keys, labels in _folded_names(map(_read_names, blobs), runs.RUN_BYTES):
+        yield _cut_names(keys, labels, parts)
+
+
 def _packed(slots: np.ndarray) -> bytes:
     planes = np.ascontiguousarray(slots).view(np.uint8).reshape(-1, 4).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
@@ -179,6 +242,7 @@ class Miner:
     longest: int = LONGEST
     share: int = SHARE
     top: int = TOP
+    parts: int = 0  # of the first deal
     levels: dict[int, Level] = field(default_factory=dict)
 
     def _buckets(self, rows: DataFrame, keyed, label: str) -> Buckets:
@@ -188,7 +252,7 @@ class Miner:
         def run(batches) -> Iterator[pa.RecordBatch]:
             every = ((h >> U64(shift), n) for h, n in keyed(batches))
             for buckets, n in runs.folded((runs.fold([x]) for x in every), runs.RUN_BYTES):
-                yield runs.cut(buckets, n, runs.widths(self.shards)[0], buckets << U64(shift))
+                yield runs.cut(buckets, n, self.parts, buckets << U64(shift))
 
         def store(batches) -> Iterator[pa.RecordBatch]:
             for (shard,), group in by_key(batches, 1):
@@ -296,47 +360,35 @@ class Miner:
 
         passing = self._buckets(held, keyed, "b1")
 
-        def named(batches) -> Iterator[pa.RecordBatch]:
+        def new_names(batches) -> Iterator[tuple[np.ndarray, list[bytes]]]:
             told = np.zeros(0, U64)
             for w, langs in read(batches):
                 keys, first = np.unique(w.keys, return_index=True)
                 new = passing.passing(keys) & ~find(told, keys)[1]
                 keys, first = keys[new], first[new]
-                spans = zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)
-                all_langs = sorted(set(langs))
-                totals_of = total_keys(np.array([lang_key(x) for x in all_langs], U64))
                 told = np.union1d(told, keys) if len(told) < REMEMBERED else keys
-                every = np.concatenate([keys, totals_of])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(shard_of(every, self.shards), pa.int32()),
-                        pa.array(every.view(np.int64)),
-                        pa.array([*(langs[t] for t in w.text[first].tolist()), *all_langs], pa.string()),
-                        pa.array([*(w.clean[a:b] for a, b in spans), *([b""] * len(all_langs))], pa.binary()),
-                    ],
-                    names=["shard", "key", "lang", "word"],
-                )
+                spans = zip(w.starts[first].tolist(), w.ends[first].tolist(), w.text[first].tolist(), strict=True)
+                own = sorted(set(langs))
+                totals_of = total_keys(np.array([lang_key(x) for x in own], U64))
+                yield np.concatenate([keys, totals_of]), [*(_label(langs[t], w.clean[a:b]) for a, b, t in spans), *(_label(x, b"") for x in own)]
+
+        def named(batches) -> Iterator[pa.RecordBatch]:
+            for keys, labels in _folded_names(new_names(batches), runs.RUN_BYTES):
+                yield _cut_names(keys, labels, self.parts)
 
         def build(batches) -> Iterator[pa.RecordBatch]:
             for (shard,), group in by_key(batches, 1):
-                keys, names = [], []
-                for _, key, lang, word in group:
-                    if not keys or keys[-1] != key:
-                        keys.append(key)
-                        names.append((lang, word))
-                    elif names[-1] != (lang, word):
-                        raise ValueError("two words share a hash")
-                hashes = np.array(keys, np.int64).view(U64)
-                table = perfect.build(hashes, hashes)
-                self.shared.write(f"h1-{shard}", table.tobytes())
-                order = np.argsort(perfect.Table(table).slots(hashes))
-                parts = [x for k in order.tolist() for x in (names[k][0].encode(), names[k][1])]
-                self.shared.save(f"names-{shard}-at", np.cumsum([0, *map(len, parts)]))
-                self.shared.save(f"names-{shard}-bytes", np.frombuffer(b"".join(parts), np.uint8))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
-
-        rows = map_arrow(held, named, "shard int, key long, lang string, word binary").distinct()
-        tables = self._tables(map_arrow(rows.repartition(self.shards, shared_key("shard", self.shards)).sortWithinPartitions("shard", "key"), build, "shard int, n long"), "h1")
+                for keys, labels in _folded_names(_read_names(r[1]) for r in group):
+                    table = perfect.build(keys, keys)
+                    self.shared.write(f"h1-{shard}", table.tobytes())
+                    order = np.argsort(perfect.Table(table).slots(keys))
+                    names = [x for k in order.tolist() for x in _told(labels[k])]
+                    self.shared.save(f"names-{shard}-at", np.cumsum([0, *map(len, names)]))
+                    self.shared.save(f"names-{shard}-bytes", np.frombuffer(b"".join(names), np.uint8))
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
+
+        dealt = runs.dealt(map_arrow(held, named, runs.RUN), self.shards, recut=_recut_names)
+        tables = self._tables(map_arrow(dealt, build, "shard int, n long"), "h1")
 
         def looked_up(batches) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
             for w, _ in read(batches):
@@ -386,7 +438,7 @@ class Miner:
 
         def named(batches) -> Iterator[pa.RecordBatch]:
             for h, n in runs.folded(distinct_keys(batches), runs.RUN_BYTES):
-                yield runs.cut(h, n, runs.widths(self.shards)[0])
+                yield runs.cut(h, n, self.parts)
 
         def build(batches) -> Iterator[pa.RecordBatch]:
             for (shard,), group in by_key(batches, 1):
@@ -461,7 +513,8 @@ def mine(docs: DataFrame, shared: Shared, text_col: str = "text", lang_col: str
     often as they are there; other columns play no part; without texts there are no rows.
     """
     spark = docs.sparkSession
-    miner = Miner(shared, shards_for(docs), min(64, max(24, input_bytes(docs).bit_length() + 4)), least, longest, share, top)
+    shards = shards_for(docs)
+    miner = Miner(shared, shards, min(64, max(24, input_bytes(docs).bit_length() + 4)), least, longest, share, top, runs.widths(shards)[0])
     found = None
     with tidy(spark):
         sequences = miner.words(docs, text_col, lang_col)

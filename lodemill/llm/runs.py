@@ -62,18 +62,22 @@ def folded(runs: Iterable[tuple[np.ndarray, np.ndarray]], limit: int | None = No
         yield fold(held)
 
 
-def dealt(rows: DataFrame, shards: int, shift: int = 0, fan: int | None = None) -> DataFrame:
+def dealt(rows: DataFrame, shards: int, shift: int = 0, fan: int | None = None, recut=None) -> DataFrame:
     """Runs cut into ``widths(shards)[0]`` parts, dealt until a partition has whole shards, sorted by shard.
 
-    ``shift``: how many leading bits short of 64 the keys are.
+    ``shift``: how many leading bits short of 64 the keys are. ``recut`` folds blobs and cuts them into more parts where
+    they are not keys and counts.
     """
     steps = widths(shards, fan)
 
+    def counted(blobs: Iterable[bytes], parts: int) -> Iterator[pa.RecordBatch]:
+        for keys, counts in folded(map(read, blobs), RUN_BYTES):
+            yield cut(keys, counts, parts, keys << U64(shift))
+
     def finer(parts: int):
         def run(batches) -> Iterator[pa.RecordBatch]:
             for _, group in by_key(batches, 1):
-                for keys, counts in folded((read(r[1]) for r in group), RUN_BYTES):
-                    yield cut(keys, counts, parts, keys << U64(shift))
+                yield from (recut or counted)((r[1] for r in group), parts)
 
         return run
 
