@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 from lodemill.functions import scalars as S
 from lodemill.functions.snippets import snippet
 from lodemill.operators import dedupe, stats
-from lodemill.plans.fixtures import table_of, values, with_fixture
+from lodemill.plans.fixtures import dealt, table_of, with_fixture
 from lodemill.registry import query, table
 from lodemill.rules import security as R
 
-SAMPLES = values(
+SAMPLES = dealt(
     """('s1','python','eval( x )','CWE-94','9.8','gift',1),('s2','python','eval( x )','CWE-94','9.8','ghsa',2),('s3','javascript','a  =  b','CWE-79','6.1','scp',3),
     ('s4','javascript','a = b','CWE-79',NULL,'appsec',4),('s3','javascript','c','CWE-89','3.9','scp',5),('s6','typescript','d','CWE-1321','2.0','gift',6),('s7','python','k','CWE-22','7.5','gift',7),('s8','python','e','CWE-999','0','ghsa',8)""",
-    "sample_id, language, code, cwe, score, kind, ord",
-)
-KB = values("('s9','python','k'),('s7x','python','z')", "sample_id, language, code")
+    "sample_id, language, code, cwe, score, kind, ord", own=("sample_id",), mix=("code",))
+KB = dealt("('s9','python','k'),('s7x','python','z')", "sample_id, language, code", own=("sample_id",), of=8)
 _KEY = "sha1(concat(language, chr(10), regexp_replace(trim(code), '\\s+', ' ', 'g')))"
 
 
@@ -24,13 +23,13 @@ _KEY = "sha1(concat(language, chr(10), regexp_replace(trim(code), '\\s+', ' ', '
 def u04(spark, sf_dir):
     """One row for each language and code, by the priority of its source."""
     rank = F.when(F.col("kind") == "ghsa", 0).when(F.col("kind") == "scp", 1).when(F.col("kind") == "appsec", 2).otherwise(3)
-    return dedupe.keep_one(table_of(spark, SAMPLES), [S.code_key(F.col("language"), F.col("code"))], [rank, F.col("ord")]).select("sample_id", "ord")
+    return dedupe.keep_one(table_of(spark, SAMPLES, sf_dir), [S.code_key(F.col("language"), F.col("code"))], [rank, F.col("ord")]).select("sample_id", "ord")
 
 
 @query("u05", with_fixture("s", SAMPLES, "SELECT code_key, n FROM (SELECT regexp_replace(trim(code), '\\s+', ' ', 'g') AS code_key, count(*) AS n FROM s GROUP BY 1)"))
 def u05(spark, sf_dir):
     """Groups of equal code whatever the language."""
-    return table_of(spark, SAMPLES).groupBy(S.normal_code(F.col("code")).alias("code_key")).agg(F.count("*").alias("n"))
+    return table_of(spark, SAMPLES, sf_dir).groupBy(S.normal_code(F.col("code")).alias("code_key")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -40,7 +39,7 @@ def u05(spark, sf_dir):
 )
 def u07(spark, sf_dir):
     """The exam, without what the knowledge base has."""
-    return dedupe.exam_split(table_of(spark, SAMPLES), table_of(spark, KB)).select("sample_id", "ord")
+    return dedupe.exam_split(table_of(spark, SAMPLES, sf_dir), table_of(spark, KB, sf_dir)).select("sample_id", "ord")
 
 
 @query("u11", "SELECT doc_id, CAST(len(list_distinct(string_split(text, ' '))) AS INTEGER) AS n FROM documents")
@@ -54,22 +53,22 @@ def j08(spark, sf_dir):
     """Catalogue entries by weakness, with a default."""
     entries = spark.createDataFrame([("CWE-94", "VULN-1"), ("CWE-94", "VULN-9"), ("CWE-79", "VULN-2")], "cwe string, entry string")
     first = entries.groupBy("cwe").agg(F.min("entry").alias("entry"))
-    return table_of(spark, SAMPLES).join(F.broadcast(first), "cwe", "left").select("ord", F.coalesce("entry", F.lit("")).alias("entry"))
+    return table_of(spark, SAMPLES, sf_dir).join(F.broadcast(first), "cwe", "left").select("ord", F.coalesce("entry", F.lit("")).alias("entry"))
 
 
-ADVISORIES = values("(1,'CWE-79|CWE-1','fixed_with_code'),(2,'CWE-79','not_fixed'),(3,'CWE-22|CWE-79','fixed_no_code'),(4,'','not_fixed')", "id, cwes, status")
+ADVISORIES = dealt("(1,'CWE-79|CWE-1','fixed_with_code'),(2,'CWE-79','not_fixed'),(3,'CWE-22|CWE-79','fixed_no_code'),(4,'','not_fixed')", "id, cwes, status")
 
 
 @query("j09", with_fixture("a", ADVISORIES, "SELECT id, array_to_string(list_sort(list_intersect(string_split(cwes, '|'), ['CWE-79','CWE-22'])), ',') AS scoped FROM a"))
 def j09(spark, sf_dir):
     """Weaknesses that are in scope."""
-    return table_of(spark, ADVISORIES).select("id", F.array_join(F.array_sort(F.array_intersect(F.split("cwes", r"\|"), F.array(F.lit("CWE-79"), F.lit("CWE-22")))), ",").alias("scoped"))
+    return table_of(spark, ADVISORIES, sf_dir).select("id", F.array_join(F.array_sort(F.array_intersect(F.split("cwes", r"\|"), F.array(F.lit("CWE-79"), F.lit("CWE-22")))), ",").alias("scoped"))
 
 
 @query("a24", with_fixture("a", ADVISORIES, "SELECT cwe, count(*) AS n, count(*) FILTER (status = 'fixed_with_code') AS fixed_with_code, count(*) FILTER (status = 'fixed_no_code') AS fixed_no_code, count(*) FILTER (status = 'not_fixed') AS not_fixed FROM (SELECT unnest(list_filter(string_split(cwes, '|'), lambda x: x <> '')) AS cwe, status FROM a) GROUP BY cwe"))
 def a24(spark, sf_dir):
     """The funnel of each weakness."""
-    rows = table_of(spark, ADVISORIES).withColumn("c", F.filter(F.split("cwes", r"\|"), lambda x: x != ""))
+    rows = table_of(spark, ADVISORIES, sf_dir).withColumn("c", F.filter(F.split("cwes", r"\|"), lambda x: x != ""))
     return stats.funnel(rows, "c", "status", ["fixed_with_code", "fixed_no_code", "not_fixed"])
 
 
@@ -79,7 +78,7 @@ _TOP = "(VALUES " + ", ".join(f"('{c}', {k})" for k, c in enumerate(R.TOP_25, 1)
 @query("a20", with_fixture("s", SAMPLES, f"SELECT cwe, rank, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM s), 2) AS pct, cwe IN ('CWE-94','CWE-79') AS in_catalogue FROM (SELECT cwe, count(*) AS n FROM s GROUP BY cwe) FULL JOIN {_TOP} USING (cwe)"))
 def a20(spark, sf_dir):
     """Weaknesses with their share and rank; listed ones without rows stay."""
-    return stats.weakness_ranks(table_of(spark, SAMPLES), "cwe", ["CWE-94", "CWE-79"]).select("cwe", "rank", "n", "pct", "in_catalogue")
+    return stats.weakness_ranks(table_of(spark, SAMPLES, sf_dir), "cwe", ["CWE-94", "CWE-79"]).select("cwe", "rank", "n", "pct", "in_catalogue")
 
 
 @query("a21", "SELECT lang, count(*) FILTER (x >= 9) AS critical, count(*) FILTER (x >= 7 AND x < 9) AS high, count(*) FILTER (x >= 4 AND x < 7) AS medium, count(*) FILTER (x >= 0.1 AND x < 4) AS low, count(*) FILTER (x < 0.1) AS unscored FROM (SELECT lang, CASE WHEN n_chars % 11 = 0 THEN 7.5 ELSE n_chars % 11 END AS x FROM documents) GROUP BY lang")
@@ -100,29 +99,28 @@ def a22(spark, sf_dir):
 @query("a23", with_fixture("s", SAMPLES, "SELECT cwe, count(*) FILTER (language = 'python') AS python, count(*) FILTER (language = 'javascript') AS javascript, array_to_string(list_sort(list(score) FILTER (score IS NOT NULL)), ',') AS scores FROM s GROUP BY cwe"))
 def a23(spark, sf_dir):
     """A pivot by language with the scores."""
-    got = stats.by_language(table_of(spark, SAMPLES), "cwe", "language", ["python", "javascript"], "score")
+    got = stats.by_language(table_of(spark, SAMPLES, sf_dir), "cwe", "language", ["python", "javascript"], "score")
     return got.withColumn("scores", F.array_join("scores", ","))
 
 
-SOURCES = values("(1,'a1',NULL,'CWE-1','m1','appsec'),(2,NULL,'b2','CWE-2',NULL,'scp'),(3,'c3','d3',NULL,'m3','gift')", "id, sample, alt, cwe, meta_cwe, source")
+SOURCES = dealt("(1,'a1',NULL,'CWE-1','m1','appsec'),(2,NULL,'b2','CWE-2',NULL,'scp'),(3,'c3','d3',NULL,'m3','gift')", "id, sample, alt, cwe, meta_cwe, source", mix=("meta_cwe",))
 
 
 @query("s27", with_fixture("t", SOURCES, "SELECT id, coalesce(sample, alt) AS sample_id, coalesce(cwe, meta_cwe) AS cwe, concat(source, ':', coalesce(sample, alt)) AS original FROM t"))
 def s27(spark, sf_dir):
     """A source's own columns as common ones."""
-    return table_of(spark, SOURCES).select("id", F.coalesce("sample", "alt").alias("sample_id"), F.coalesce("cwe", "meta_cwe").alias("cwe"), F.format_string("%s:%s", "source", F.coalesce("sample", "alt")).alias("original"))
-
-
-FILES = values("(1,'a\nb\nc\nd','@@ -2,1 +2,2 @@ x'),(2,'short',NULL),(3,'',NULL)", "id, body, patch")
+    return table_of(spark, SOURCES, sf_dir).select("id", F.coalesce("sample", "alt").alias("sample_id"), F.coalesce("cwe", "meta_cwe").alias("cwe"), F.format_string("%s:%s", "source", F.coalesce("sample", "alt")).alias("original"))
 
 
+FILES = dealt("(1,'long','@@ -2,1 +2,2 @@ x','hunks'),(2,'short',NULL,'full_file'),(3,'',NULL,'empty')", "id, body, patch, mode", mix=("patch",))
 _RANGE = "SELECT '# lines 1-28' || chr(10) || string_agg(k || '| line ' || k, chr(10) ORDER BY k) FROM range(1, 29) AS r(k)"
 
 
-@query("f26", f"SELECT 1 AS id, ({_RANGE}) AS snippet, 'hunks' AS mode UNION ALL SELECT 2, 'short', 'full_file' UNION ALL SELECT 3, '', 'empty'")
+@query("f26", with_fixture("f", FILES, f"SELECT id, CASE WHEN body = 'long' THEN ({_RANGE}) ELSE body END AS snippet, mode FROM f"))
 def f26(spark, sf_dir):
     """numbered snippets around changes."""
-    rows = table_of(spark, FILES).withColumn("body", F.when(F.col("id") == 1, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(900)), lambda k: F.concat(F.lit("line "), k.cast("string"))), "\n")).otherwise(F.col("body")))
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(900)), lambda k: F.concat(F.lit("line "), k.cast("string"))), "\n")
+    rows = table_of(spark, FILES, sf_dir).withColumn("body", F.when(F.col("body") == "long", lines).otherwise(F.col("body"))).drop("mode")
     return rows.select("id", snippet(F.col("body"), F.col("patch"), F.lit("parent")).alias("s")).select("id", "s.*")
 
 
@@ -152,32 +150,30 @@ def s29(spark, sf_dir):
     return parent.join(fix, "doc_id").where("a <> b").select("doc_id", F.length("a").alias("parent_n"), F.length("b").alias("fix_n"))
 
 
-@query("s14", "SELECT * FROM (VALUES ('docs/a.MD'), ('b.rst')) AS v(path)")
+TREE = dealt("(1,'docs/a.MD',TRUE),(2,'b.rst',TRUE),(3,'../c.md',FALSE),(4,'.git/d.md',FALSE),(5,'/e.md',FALSE),(6,'noext',FALSE),(7,'x.py',FALSE)", "id, path, kept")
+
+
+@query("s14", with_fixture("t", TREE, "SELECT id, path FROM t WHERE kept"))
 def s14(spark, sf_dir):
     """Files by extension, without unsafe and hidden paths."""
     from lodemill.sources.readers import has_extension, is_safe_path
 
-    rows = spark.createDataFrame([("docs/a.MD",), ("b.rst",), ("../c.md",), (".git/d.md",), ("/e.md",), ("noext",), ("x.py",)], "path string")
-    return rows.where(has_extension(F.col("path"), [".md", ".rst"]) & is_safe_path(F.col("path")))
-
-
-CATALOGUE = """  - id: "VULN-1"
-    cwe_id: "CWE-79"
-    sink_patterns:
-      python: ["a(", "b("]
-  - id: "VULN-2"
-    cwe_id: "CWE-89"
-exclusions:
-  - id: "VULN-3"
-"""
+    return table_of(spark, TREE, sf_dir).where(has_extension(F.col("path"), [".md", ".rst"]) & is_safe_path(F.col("path"))).select("id", "path")
 
 
-@query("s17", "SELECT * FROM (VALUES ('VULN-1', 'CWE-79', 'a(; b('), ('VULN-2', 'CWE-89', '')) AS v(id, cwe_id, sinks)")
+@query("s17", "SELECT concat('VULN-', CAST(n_nationkey AS VARCHAR)) AS id, concat('CWE-', CAST(n_regionkey AS VARCHAR)) AS cwe_id, CASE WHEN n_nationkey % 2 = 0 THEN concat(lower(n_name), '(; b(') ELSE '' END AS sinks FROM nation WHERE n_nationkey < 20")
 def s17(spark, sf_dir):
     """A catalogue's entries up to its exclusions."""
     from lodemill.sources.readers import parse_catalogue
 
-    entries = [(e["id"], e["cwe_id"], "; ".join(e.get("sink_patterns", {}).get("python", []))) for e in parse_catalogue(CATALOGUE)]
+    lines = []
+    for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # one small file
+        if r["n_nationkey"] == 20:
+            lines.append("exclusions:")
+        lines += [f'  - id: "VULN-{r["n_nationkey"]}"', f'    cwe_id: "CWE-{r["n_regionkey"]}"']
+        if r["n_nationkey"] % 2 == 0:
+            lines += ["    sink_patterns:", f'      python: ["{r["n_name"].lower()}(", "b("]']
+    entries = [(e["id"], e["cwe_id"], "; ".join(e.get("sink_patterns", {}).get("python", []))) for e in parse_catalogue("\n".join(lines))]
     return spark.createDataFrame(entries, "id string, cwe_id string, sinks string")
 
 
@@ -264,4 +260,4 @@ def s25(spark, sf_dir):
 @query("s28", with_fixture("s", SAMPLES, "SELECT * FROM s"))
 def s28(spark, sf_dir):
     """Literal tables."""
-    return table_of(spark, SAMPLES)
+    return table_of(spark, SAMPLES, sf_dir)

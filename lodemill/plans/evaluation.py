@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodemill.functions import scalars as S
 from lodemill.operators import metrics as M
-from lodemill.plans.fixtures import table_of, values, with_fixture
+from lodemill.plans.fixtures import dealt, table_of, with_fixture
 from lodemill.registry import query, table
 
 RATES = """round(coalesce((tp + tn) / nullif(CAST(tp + fp + tn + fn AS DOUBLE), 0), 0), 4) AS accuracy, round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 4) AS precision,
@@ -32,12 +32,11 @@ def a15(spark, sf_dir):
     return M.confusion(_judged(spark, sf_dir), F.col("t"), F.col("p"), ["lang"]).select("lang", *_KEPT)
 
 
-PREDICTIONS = values(
+PREDICTIONS = dealt(
     """('g1','VULNERABLE','VULNERABLE','CWE-1','CWE-1',1.5),('g1','SAFE','SAFE','CWE-1','',2.5),('g2','VULNERABLE','SAFE','CWE-2','',0.5),('g2','SAFE','VULNERABLE','CWE-2','CWE-9',3.5),
     ('g3','VULNERABLE','UNKNOWN','CWE-3','',4.5),('g3','SAFE','SAFE','CWE-3','',NULL),('g4','VULNERABLE','VULNERABLE','CWE-4','CWE-5',2.0)""",
     "ghsa, truth, said, cwe, said_cwe, latency",
-    {"latency": "DOUBLE"},
-)
+    casts={"latency": "DOUBLE"}, own=("ghsa",))
 
 
 @query(
@@ -47,7 +46,7 @@ PREDICTIONS = values(
 def a14(spark, sf_dir):
     """Confusion in which unknown answers are not scored."""
     c = F.col
-    got = M.confusion(table_of(spark, PREDICTIONS), c("truth") == "VULNERABLE", c("said") == "VULNERABLE", None, c("cwe") == c("said_cwe"), c("said") == "UNKNOWN")
+    got = M.confusion(table_of(spark, PREDICTIONS, sf_dir), c("truth") == "VULNERABLE", c("said") == "VULNERABLE", None, c("cwe") == c("said_cwe"), c("said") == "UNKNOWN")
     return got.select("n", "unknown", "tp", "fp", "tn", "fn", "cwe_correct", "joint_correct", "accuracy", "precision", "recall", "specificity", "f1", "joint_accuracy")
 
 
@@ -58,7 +57,7 @@ _PAIRED = with_fixture("x", PREDICTIONS, f"SELECT *, round(coalesce(ideal / null
 @query("a16", _PAIRED)
 def a16(spark, sf_dir):
     """Pairs of predictions."""
-    return M.paired(table_of(spark, PREDICTIONS), "ghsa", "truth", "said", F.col("cwe") == F.col("said_cwe"))
+    return M.paired(table_of(spark, PREDICTIONS, sf_dir), "ghsa", "truth", "said", F.col("cwe") == F.col("said_cwe"))
 
 
 @query("j10", "SELECT u.conv_id, u.turn, CAST(length(u.text) AS INTEGER) AS asked, CAST(length(a.text) AS INTEGER) AS answered FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'")
@@ -79,7 +78,7 @@ def a17(spark, sf_dir):
     return M.latency(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_type", "n", "mean", "median", "p90", "least", "most", "per_second")
 
 
-SCORED = values("(1,TRUE,'CWE-1','CWE-1','9.1','8.5','a cat sat','cat sat'),(2,FALSE,'','CWE-2','x','7.0','','dog ran'),(3,TRUE,'CWE-3','CWE-4',NULL,'5.0','bird flew','bird flew')", "id, flagged, said_cwe, cwe, said_cvss, cvss, said, gold")
+SCORED = dealt("(1,TRUE,'CWE-1','CWE-1','9.1','8.5','a cat sat','cat sat'),(2,FALSE,'','CWE-2','x','7.0','','dog ran'),(3,TRUE,'CWE-3','CWE-4',NULL,'5.0','bird flew','bird flew')", "id, flagged, said_cwe, cwe, said_cvss, cvss, said, gold")
 
 
 @query("a18", with_fixture("x", SCORED, "SELECT count(*) AS n, round(avg(CAST(flagged AS INTEGER)), 4) AS detection, round(avg(CAST(said_cwe = cwe AS INTEGER)), 4) AS cwe, round(avg(CAST(coalesce(abs(TRY_CAST(said_cvss AS DOUBLE) - CAST(cvss AS DOUBLE)) <= 1.0, FALSE) AS INTEGER)), 4) AS cvss_within_1, round(avg(round(abs(TRY_CAST(said_cvss AS DOUBLE) - CAST(cvss AS DOUBLE)), 3)), 4) AS cvss_mae FROM x"))
@@ -88,5 +87,5 @@ def a18(spark, sf_dir):
     c = F.col
     said, gold = S.to_float(c("said_cvss")), S.to_float(c("cvss"))
     off = F.lit(False)
-    rows = table_of(spark, SCORED).select("flagged", (c("said_cwe") == c("cwe")).alias("cwe_correct"), S.within(said, gold, 1.0).alias("cvss_within_1"), F.round(F.abs(said - gold), 3).alias("cvss_abs_err"), S.token_f1(c("said"), c("gold")).alias("explanation_f1"), off.alias("owasp_correct"), off.alias("severity_correct"), off.alias("location_hit"), off.alias("fp_within"), off.alias("fn_within"), F.lit(0.0).alias("similarity"))
+    rows = table_of(spark, SCORED, sf_dir).select("flagged", (c("said_cwe") == c("cwe")).alias("cwe_correct"), S.within(said, gold, 1.0).alias("cvss_within_1"), F.round(F.abs(said - gold), 3).alias("cvss_abs_err"), S.token_f1(c("said"), c("gold")).alias("explanation_f1"), off.alias("owasp_correct"), off.alias("severity_correct"), off.alias("location_hit"), off.alias("fp_within"), off.alias("fn_within"), F.lit(0.0).alias("similarity"))
     return M.scorecard(rows).select("n", "detection", "cwe", "cvss_within_1", "cvss_mae")

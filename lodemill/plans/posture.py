@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodemill.operators import posture as P
-from lodemill.plans.fixtures import table_of, values, with_fixture
+from lodemill.plans.fixtures import dealt, table_of, with_fixture
 from lodemill.registry import query, table
 from lodemill.rules import documents as D
 from lodemill.sources import readers
 from lodemill.sources.responses import answered
 
-DOCS = values(
+DOCS = dealt(
     """('a','README.md','We sandbox tools. Rate limits apply: see CVE-2024-12345.'),('a','docs/SECURITY.md','Mail sec@x.org within 5 days to respond. cve-2024-12345 GHSA-abcd-1234-efgh'),
     ('b','readme.rst','nothing here'),('b','CHANGELOG.md','Fixes ghsa-abcd-1234-efgh and GHSA-zzzz-1111-yyyy; audit logging'),('z','README.md','prompt injection')""",
-    "repository, path, text",
-)
-SAMPLE = values("('a'),('b'),('c')", "repository")
+    "repository, path, text", own=("repository",), mix=("text",))
+SAMPLE = dealt("('a'),('b'),('c')", "repository", own=("repository",), of=5)
 
 
 def _any(patterns: list[str]) -> str:
@@ -34,7 +33,7 @@ _FLAGS = ", ".join(f"coalesce(bool_or({_any(p)}), FALSE) AS \"{k}\"" for k, p in
 )
 def a07(spark, sf_dir):
     """Documentation signals of each repository of a sample."""
-    return P.doc_signals(table_of(spark, DOCS), table_of(spark, SAMPLE))
+    return P.doc_signals(table_of(spark, DOCS, sf_dir), table_of(spark, SAMPLE, sf_dir))
 
 
 @query(
@@ -43,11 +42,11 @@ def a07(spark, sf_dir):
 )
 def a08(spark, sf_dir):
     """Advisory ids in texts."""
-    got = P.advisory_ids(table_of(spark, DOCS), "repository", "path", "text")
+    got = P.advisory_ids(table_of(spark, DOCS, sf_dir), "repository", "path", "text")
     return got.select("repository", "path", "mentions", F.array_join("cves", ",").alias("cves"), F.array_join("ghsas", ",").alias("ghsas"))
 
 
-SIGNALS = values("('a','CVE-1|ghsa-x','GHSA-X',''),('b','','',''),('c','','CVE-2|CVE-2','GHSA-Q')", "repository, docs, releases, api")
+SIGNALS = dealt("('a','CVE-1|ghsa-x','GHSA-X',''),('b','','',''),('c','','CVE-2|CVE-2','GHSA-Q')", "repository, docs, releases, api", own=("repository",))
 
 
 @query(
@@ -57,7 +56,7 @@ SIGNALS = values("('a','CVE-1|ghsa-x','GHSA-X',''),('b','','',''),('c','','CVE-2
 def a09(spark, sf_dir):
     """Ids over all sources."""
     names = ["docs", "releases", "api"]
-    rows = table_of(spark, SIGNALS).select("repository", *[F.filter(F.split(n, r"\|"), lambda x: x != "").alias(n) for n in names])
+    rows = table_of(spark, SIGNALS, sf_dir).select("repository", *[F.filter(F.split(n, r"\|"), lambda x: x != "").alias(n) for n in names])
     return P.signal_union(rows, names).select("repository", "n_cve", "n_ghsa", "sources", "any_signal")
 
 
@@ -85,39 +84,39 @@ def j07(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(known, "o_custkey", "left").select("o_orderkey", "c_mktsegment")
 
 
-NAMES = values("('a','CHANGELOG.md|HISTORY-old.txt|x'),('b','security.txt|RELEASES.md'),('c','')", "repository, names")
+NAMES = dealt("('a','CHANGELOG.md|HISTORY-old.txt|x'),('b','security.txt|RELEASES.md'),('c','')", "repository, names", own=("repository",))
 
 
 @query("p14", with_fixture("n", NAMES, f"SELECT repository, array_to_string(list_filter(string_split(names, '|'), lambda x: regexp_matches(x, '{D.CHANGELOG_NAME}', 'i') AND upper(x) NOT IN ('CHANGELOG.MD','RELEASES.MD')), ', ') AS missed FROM n"))
 def p14(spark, sf_dir):
     """Changelogs with other names."""
-    rows = table_of(spark, NAMES).withColumn("n", F.split("names", r"\|"))
+    rows = table_of(spark, NAMES, sf_dir).withColumn("n", F.split("names", r"\|"))
     return P.missed_changelogs(rows, "n", ["CHANGELOG.MD", "RELEASES.MD"]).select("repository", "missed")
 
 
-REPOS = values("('o/a','2026-01-01'),('o/b','2026-01-02'),('o/c','2026-01-03')", "full_name, updated_at")
-CACHE = values("('o/a','2026-01-01',5),('o/b','2025-01-02',6),('o/c','2026-01-03',NULL)", "full_name, updated_at, contributors_count")
+REPOS = dealt("('o/a','2026-01-01'),('o/b','2026-01-02'),('o/c','2026-01-03')", "full_name, updated_at", own=("full_name",))
+CACHE = dealt("('o/a','2026-01-01',5),('o/b','2025-01-02',6),('o/c','2026-01-03',NULL)", "full_name, updated_at, contributors_count", own=("full_name",))
 
 
 @query("s02", f"SELECT r.full_name, c.contributors_count FROM ({REPOS}) r LEFT JOIN ({CACHE}) c ON c.full_name = r.full_name")
 def s02(spark, sf_dir):
     """Repositories with their details."""
-    return readers.enriched(table_of(spark, REPOS), table_of(spark, CACHE).drop("updated_at")).select("full_name", "contributors_count")
+    return readers.enriched(table_of(spark, REPOS, sf_dir), table_of(spark, CACHE, sf_dir).drop("updated_at")).select("full_name", "contributors_count")
 
 
 @query("s04", f"SELECT r.full_name, c.contributors_count, c.contributors_count IS NOT NULL AS cached FROM ({REPOS}) r LEFT JOIN (SELECT * FROM ({CACHE}) WHERE contributors_count IS NOT NULL) c ON c.full_name = r.full_name AND c.updated_at = r.updated_at")
 def s04(spark, sf_dir):
     """What a cache still knows."""
-    return readers.cached_enrichment(table_of(spark, REPOS), table_of(spark, CACHE)).select("full_name", "contributors_count", "cached")
+    return readers.cached_enrichment(table_of(spark, REPOS, sf_dir), table_of(spark, CACHE, sf_dir)).select("full_name", "contributors_count", "cached")
 
 
-TREES = values("('a','README.md','blob'),('a','docs','tree'),('a','docs/security.MD','blob'),('b','x.py','blob'),('b','AGENTS.md','blob'),('b','skill.md','tree')", "full_name, path, type")
+TREES = dealt("('a','README.md','blob'),('a','docs','tree'),('a','docs/security.MD','blob'),('b','x.py','blob'),('b','AGENTS.md','blob'),('b','skill.md','tree')", "full_name, path, type", own=("full_name",))
 
 
 @query("s05", with_fixture("t", TREES, "SELECT full_name, count(*) FILTER (type = 'blob' AND lower(path) LIKE '%.md') AS n_md, " + ", ".join(f"bool_or(type = 'blob' AND upper(string_split(path,'/')[-1]) = '{n}') AS {c}" for n, c in (("SECURITY.MD", "has_security"), ("CONTRIBUTING.MD", "has_contributing"), ("SKILL.MD", "has_skill"), ("AGENTS.MD", "has_agents"))) + " FROM t GROUP BY full_name"))
 def s05(spark, sf_dir):
     """Flags of repository listings."""
-    return readers.tree_flags(table_of(spark, TREES))
+    return readers.tree_flags(table_of(spark, TREES, sf_dir))
 
 
 @query("s15", with_fixture("t", TREES, "SELECT path, CASE WHEN path LIKE '%.py' THEN 'py' END AS kind FROM t WHERE path LIKE '%.py'"))
@@ -125,7 +124,7 @@ def s15(spark, sf_dir):
     """Sources of a tree."""
     from lodemill.functions.code import source_files
 
-    return source_files(table_of(spark, TREES)).select("path", "kind")
+    return source_files(table_of(spark, TREES, sf_dir)).select("path", "kind")
 
 
 @query("s18", "SELECT conv_id, unnest(list_sort(list(turn))) AS turn FROM conversations GROUP BY conv_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodemill.functions import text as X
 from lodemill.functions.regex import found
-from lodemill.plans.fixtures import table_of, values, with_fixture
+from lodemill.plans.fixtures import dealt, table_of, with_fixture
 from lodemill.registry import query, table
 from lodemill.rules import documents as D
 from lodemill.rules import security as R
@@ -20,7 +20,7 @@ def p01(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(hits >= 2).select("doc_id")
 
 
-GUIDES = values("(1,'True',' true '),(2,'TRUE','false'),(3,NULL,'true')", "id, has_a, has_b")
+GUIDES = dealt("(1,'True',' true '),(2,'TRUE','false'),(3,NULL,'true')", "id, has_a, has_b")
 
 
 @query("p02", with_fixture("t", GUIDES, "SELECT id FROM t WHERE lower(trim(has_a)) = 'true' AND lower(trim(has_b)) = 'true'"))
@@ -29,16 +29,16 @@ def p02(spark, sf_dir):
     test = F.lit(True)
     for c in ("has_a", "has_b"):
         test = test & (F.lower(F.trim(c)) == "true")
-    return table_of(spark, GUIDES).where(test).select("id")
+    return table_of(spark, GUIDES, sf_dir).where(test).select("id")
 
 
-PATHS = values("(1,'third_party/json/README.md'),(2,'src/__fixtures__/a.md'),(3,'translations/pcm/README.md'),(4,'i18n/zh-CN/docs/a.md'),(5,'CMakeLists.txt'),(6,'translations/en/README.md'),(7,'locales/en-US/a.md'),(8,'docs/llms.txt'),(9,'docs/i18n.md'),(10,'docs/CONTRIBUTING.md'),(11,'docs/tools/overview.mdx'),(12,'plugins/x/agents.md'),(13,'docs/adr/ADR-1.md'),(14,'engineering/sre.md'),(15,'docs/security.mdx')", "id, path")
+PATHS = dealt("(1,'third_party/json/README.md'),(2,'src/__fixtures__/a.md'),(3,'translations/pcm/README.md'),(4,'i18n/zh-CN/docs/a.md'),(5,'CMakeLists.txt'),(6,'translations/en/README.md'),(7,'locales/en-US/a.md'),(8,'docs/llms.txt'),(9,'docs/i18n.md'),(10,'docs/CONTRIBUTING.md'),(11,'docs/tools/overview.mdx'),(12,'plugins/x/agents.md'),(13,'docs/adr/ADR-1.md'),(14,'engineering/sre.md'),(15,'docs/security.mdx')", "id, path")
 
 
 @query("p04", with_fixture("t", PATHS, r"SELECT id, regexp_matches(path, '(?i)(?:^|/)(?:third[_-]party|vendor|node_modules|\.omo/evidence|__fixtures__|fixtures|test-fixtures|__snapshots__|snapshots|testdata)/') OR (regexp_matches(path, '(?i)(?:^|/)(?:translations|i18n|locales?|l10n)/[^/]+/') AND NOT regexp_matches(path, '(?i)(?:^|/)(?:translations|i18n|locales?|l10n)/en(?:[-_][a-z]+)?/')) OR (lower(path) LIKE '%.txt' AND lower(string_split(path,'/')[-1]) NOT IN ('readme.txt','llms.txt','llms-full.txt')) AS excluded FROM t"))
 def p04(spark, sf_dir):
     """Paths that are no documentation."""
-    return table_of(spark, PATHS).select("id", X.is_excluded_path(F.col("path")).alias("excluded"))
+    return table_of(spark, PATHS, sf_dir).select("id", X.is_excluded_path(F.col("path")).alias("excluded"))
 
 
 WORDS = "regexp_extract_all(lower(text), '\\pL+')"
@@ -50,14 +50,14 @@ def p05(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.is_english(F.col("text")).alias("english"))
 
 
-LABELLED = values("(1,'Cursor|x'),(2,'cursors'),(3,'BOT'),(4,''),(5,NULL)", "id, labels")
+LABELLED = dealt("(1,'Cursor|x'),(2,'cursors'),(3,'BOT'),(4,''),(5,NULL)", "id, labels")
 
 
 @query("p06", with_fixture("t", LABELLED, "SELECT id, coalesce(list_has_any(list_transform(string_split(labels,'|'), lambda x: lower(x)), ['cursor','bot']), FALSE) AS hit FROM t"))
 def p06(spark, sf_dir):
     """Labels without regard to case, whole."""
     lowered = F.transform(F.split("labels", r"\|"), F.lower)
-    return table_of(spark, LABELLED).select("id", F.coalesce(F.arrays_overlap(lowered, F.array(F.lit("cursor"), F.lit("bot"))), F.lit(False)).alias("hit"))
+    return table_of(spark, LABELLED, sf_dir).select("id", F.coalesce(F.arrays_overlap(lowered, F.array(F.lit("cursor"), F.lit("bot"))), F.lit(False)).alias("hit"))
 
 
 @query("p07", f"WITH f AS (SELECT ord, path, text, {WORDS} AS w FROM (SELECT doc_id AS ord, CASE WHEN doc_id % 7 = 0 THEN 'vendor/a.md' ELSE 'docs/a.md' END AS path, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE text END AS text FROM documents)) SELECT ord, CASE WHEN trim(text) = '' THEN 'Not modeled: empty file' WHEN starts_with(path, 'vendor/') THEN 'Not modeled: excluded path or file type' WHEN NOT coalesce(list_sum(list_transform(list_filter(w, lambda x: strlen(x) = length(x)), lambda x: length(x))) / list_sum(list_transform(w, lambda x: length(x))) >= 0.95 AND len(list_filter(w, lambda x: list_contains([" + ",".join(f"'{w}'" for w in D.FUNCTION_WORDS) + "], x))) / len(w) >= 0.02, FALSE) THEN 'Not modeled: non-English or no prose' END AS reason FROM f")
@@ -68,7 +68,7 @@ def p07(spark, sf_dir):
     return held.select("ord", X.unassigned_reason(F.col("text"), F.col("path"), F.col("text")).alias("reason"))
 
 
-CHANGES = values("(1,'fixed_with_code','src/a.py','CWE-1','x'),(2,'fixed_with_code','tests/a.py|b.ts','CWE-2','x'),(3,'fixed_with_code','a.py|b.py','CWE-3','x'),(4,'not_fixed','a.py','CWE-4','x'),(5,'fixed_with_code','c.md|d.go|e.js','CWE-5|CWE-6','x'),(6,'fixed_with_code','x.spec.ts|y.jsx','CWE-7',NULL)", "id, status, files, cwes, sha")
+CHANGES = dealt("(1,'fixed_with_code','src/a.py','CWE-1','x'),(2,'fixed_with_code','tests/a.py|b.ts','CWE-2','x'),(3,'fixed_with_code','a.py|b.py','CWE-3','x'),(4,'not_fixed','a.py','CWE-4','x'),(5,'fixed_with_code','c.md|d.go|e.js','CWE-5|CWE-6','x'),(6,'fixed_with_code','x.spec.ts|y.jsx','CWE-7',NULL)", "id, status, files, cwes, sha")
 _SOURCES = "list_filter(string_split(files,'|'), lambda f: regexp_matches(lower(f), '\\.(py|js|mjs|cjs|jsx|ts|tsx)$') AND NOT regexp_matches(f, '" + R.TEST_FILE + "'))"
 
 
@@ -80,13 +80,13 @@ def _source_files(files):
 @query("p08", with_fixture("t", CHANGES, f"SELECT id FROM t WHERE status = 'fixed_with_code' AND len({_SOURCES}) = 1 AND NOT contains(cwes, '|') AND sha IS NOT NULL"))
 def p08(spark, sf_dir):
     """Candidates: one source file, one weakness, a commit."""
-    return table_of(spark, CHANGES).where((F.col("status") == "fixed_with_code") & (F.size(_source_files(F.split("files", r"\|"))) == 1) & (F.size(F.split("cwes", r"\|")) == 1) & F.col("sha").isNotNull()).select("id")
+    return table_of(spark, CHANGES, sf_dir).where((F.col("status") == "fixed_with_code") & (F.size(_source_files(F.split("files", r"\|"))) == 1) & (F.size(F.split("cwes", r"\|")) == 1) & F.col("sha").isNotNull()).select("id")
 
 
 @query("p09", with_fixture("t", CHANGES, f"SELECT id, array_to_string({_SOURCES}, '|') AS sources FROM t"))
 def p09(spark, sf_dir):
     """Source files that are no tests."""
-    return table_of(spark, CHANGES).select("id", F.array_join(_source_files(F.split("files", r"\|")), "|").alias("sources"))
+    return table_of(spark, CHANGES, sf_dir).select("id", F.array_join(_source_files(F.split("files", r"\|")), "|").alias("sources"))
 
 
 @query("p10", "SELECT doc_id FROM documents WHERE length(trim(text)) >= 15 AND lang IN ('en','de')")
@@ -95,7 +95,7 @@ def p10(spark, sf_dir):
     return table(spark, sf_dir, "documents").where((F.length(F.trim("text")) >= 15) & F.col("lang").isin("en", "de")).select("doc_id")
 
 
-PAIRS = values("(1,'python','CWE-1','a','b'),(2,'','CWE-1','a','b'),(3,'python','nan','a','b'),(4,'python','CWE-2',' a ','a'),(5,'js','CWE-2','a',NULL)", "id, lang, cwe, bad, good")
+PAIRS = dealt("(1,'python','CWE-1','a','b'),(2,'','CWE-1','a','b'),(3,'python','nan','a','b'),(4,'python','CWE-2',' a ','a'),(5,'js','CWE-2','a',NULL)", "id, lang, cwe, bad, good", mix=("good",))
 
 
 @query("p11", with_fixture("t", PAIRS, "SELECT id FROM t WHERE " + " AND ".join(f"trim(coalesce({c},'')) NOT IN ('','nan','None','null','NaN')" for c in ("lang", "cwe", "bad", "good"))))
@@ -106,30 +106,30 @@ def p11(spark, sf_dir):
     test = F.lit(True)
     for c in ("lang", "cwe", "bad", "good"):
         test = test & (clean(F.col(c)) != "")
-    return table_of(spark, PAIRS).where(test).select("id")
+    return table_of(spark, PAIRS, sf_dir).where(test).select("id")
 
 
 @query("p12", with_fixture("t", PAIRS, "SELECT id FROM t WHERE trim(coalesce(bad,'')) <> '' AND trim(coalesce(good,'')) <> '' AND trim(bad) <> trim(good)"))
 def p12(spark, sf_dir):
     """Pairs that differ."""
     bad, good = F.trim(F.coalesce("bad", F.lit(""))), F.trim(F.coalesce("good", F.lit("")))
-    return table_of(spark, PAIRS).where((bad != "") & (good != "") & (bad != good)).select("id")
+    return table_of(spark, PAIRS, sf_dir).where((bad != "") & (good != "") & (bad != good)).select("id")
 
 
-NAMES = values("(1,'a/SECURITY.md'),(2,'Readme.rst'),(3,'x/releases.md'),(4,'docs/History.txt'),(5,'security.MD'),(6,'b.md')", "id, path")
+NAMES = dealt("(1,'a/SECURITY.md'),(2,'Readme.rst'),(3,'x/releases.md'),(4,'docs/History.txt'),(5,'security.MD'),(6,'b.md')", "id, path")
 
 
 @query("p13", with_fixture("t", NAMES, f"SELECT id, upper(n) = 'SECURITY.MD' AS policy, starts_with(upper(n), 'README') AS readme, regexp_matches(n, '{D.CHANGELOG_NAME}', 'i') AS changelog FROM (SELECT id, string_split(path,'/')[-1] AS n FROM t)"))
 def p13(spark, sf_dir):
     """Documents by name."""
     name = X.base_name(F.col("path"))
-    return table_of(spark, NAMES).select("id", (F.upper(name) == "SECURITY.MD").alias("policy"), F.startswith(F.upper(name), F.lit("README")).alias("readme"), found(name, D.CHANGELOG_NAME).alias("changelog"))
+    return table_of(spark, NAMES, sf_dir).select("id", (F.upper(name) == "SECURITY.MD").alias("policy"), F.startswith(F.upper(name), F.lit("README")).alias("readme"), found(name, D.CHANGELOG_NAME).alias("changelog"))
 
 
 @query("p15", with_fixture("t", PAIRS, "SELECT id FROM t WHERE lang = 'python' AND length(bad) <= 2 AND cwe <> 'nan'"))
 def p15(spark, sf_dir):
     """The pool of examples."""
-    return table_of(spark, PAIRS).where((F.col("lang") == "python") & (F.length("bad") <= 2) & (F.col("cwe") != "nan")).select("id")
+    return table_of(spark, PAIRS, sf_dir).where((F.col("lang") == "python") & (F.length("bad") <= 2) & (F.col("cwe") != "nan")).select("id")
 
 
 @query("p16", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_type), 're') OR contains(lower(p_brand), 're')")
@@ -168,10 +168,15 @@ def t03(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.modeling_text(F.concat(F.lit("## "), "text")).alias("text"))
 
 
-@query("t04", "SELECT doc_id, regexp_replace(text, '\\b(?:the|and)\\b', ' ', 'gi') AS text FROM documents WHERE lang = 'en'")
+#: A whole word by its neighbours, twice, as two in a row share one of them.
+_OWN = r"'(^|[^\p{L}\p{N}_])(?:' || CASE lang WHEN 'en' THEN 'the|and' WHEN 'de' THEN 'der|und' ELSE 'que|les' END || ')([^\p{L}\p{N}_]|$)', '\1 \2', 'gi'"
+
+
+@query("t04", f"SELECT doc_id, regexp_replace(regexp_replace(text, {_OWN}), {_OWN}) AS text FROM documents")
 def t04(spark, sf_dir):
-    """A repository's own names out of its texts."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.strip_names(F.col("text"), F.lit("the/and")).alias("text"))
+    """A repository's own names out of its texts, each row's own."""
+    own = F.when(F.col("lang") == "en", "the/and").when(F.col("lang") == "de", "der/und").otherwise("que/les")
+    return table(spark, sf_dir, "documents").select("doc_id", X.strip_names(F.col("text"), own).alias("text"))
 
 
 def _type_sql() -> str:
@@ -190,54 +195,66 @@ def _type_sql() -> str:
 @query("t05", with_fixture("t", PATHS, f"SELECT id, {_type_sql()} AS doc_type FROM t"))
 def t05(spark, sf_dir):
     """Document types."""
-    return table_of(spark, PATHS).select("id", X.doc_type(F.col("path")).alias("doc_type"))
+    return table_of(spark, PATHS, sf_dir).select("id", X.doc_type(F.col("path")).alias("doc_type"))
 
 
-TRIAGE = values("(1,'my-agent','does things','x',''),(2,'awesome list','of agents','',''),(3,'helper','an assistant','chatbot','it runs tasks'),(4,'helper','an assistant','',''),(5,'lib','plain code','',''),(6,'course','notes','ai-agents','')", "id, name, description, topics, readme")
+TRIAGE = dealt("(1,'my-agent','does things','x',''),(2,'awesome list','of agents','',''),(3,'helper','an assistant','chatbot','it runs tasks'),(4,'helper','an assistant','',''),(5,'lib','plain code','',''),(6,'course','notes','ai-agents','')", "id, name, description, topics, readme", mix=("description", "readme"))
 
 
-@query("t06", with_fixture("t", TRIAGE, f"""SELECT id, CASE WHEN regexp_matches(tx, '{D.EXCLUDE_TERMS}', 'i') AND NOT regexp_matches(name, '{D.AGENT_CORE}', 'i') AND NOT strong THEN 'N' WHEN regexp_matches(fu, '{D.AGENT_CORE}', 'i') OR strong THEN 'Y'
+_TRIAGED = f"""SELECT id, CASE WHEN regexp_matches(tx, '{D.EXCLUDE_TERMS}', 'i') AND NOT regexp_matches(name, '{D.AGENT_CORE}', 'i') AND NOT strong THEN 'N' WHEN regexp_matches(fu, '{D.AGENT_CORE}', 'i') OR strong THEN 'Y'
   WHEN (regexp_matches(fu, '{D.LOOSE_TERMS}', 'i') OR near) AND regexp_matches(fu, '{D.BEHAVIOR}', 'i') THEN 'Y' WHEN regexp_matches(fu, '{D.LOOSE_TERMS}', 'i') OR near THEN 'Maybe' ELSE 'N' END AS class
-  FROM (SELECT *, concat(name, ' ', description) AS tx, concat(name, ' ', description, ' ', readme) AS fu, list_has_any(string_split(lower(topics), '|'), {D.STRONG_TOPICS}) AS strong, list_has_any(string_split(lower(topics), '|'), {D.ADJACENT_TOPICS}) AS near FROM t)"""))
+  FROM (SELECT *, concat(name, ' ', description) AS tx, concat(name, ' ', description, ' ', readme) AS fu, list_has_any(string_split(lower(topics), '|'), {D.STRONG_TOPICS}) AS strong, list_has_any(string_split(lower(topics), '|'), {D.ADJACENT_TOPICS}) AS near FROM t)"""
+
+
+@query("t06", with_fixture("t", TRIAGE, _TRIAGED))
 def t06(spark, sf_dir):
     """Triage of repositories."""
     c = F.col
-    return table_of(spark, TRIAGE).select("id", X.triage(c("name"), c("description"), F.split("topics", r"\|"), c("readme")).alias("class"))
+    return table_of(spark, TRIAGE, sf_dir).select("id", X.triage(c("name"), c("description"), F.split("topics", r"\|"), c("readme")).alias("class"))
 
 
-@query("a28", with_fixture("t", TRIAGE, "SELECT k AS class, (SELECT count(*) FROM t WHERE CASE WHEN id IN (1, 3, 6) THEN 'Y' WHEN id = 4 THEN 'Maybe' ELSE 'N' END = k) AS n FROM (VALUES ('Y'), ('Maybe'), ('N')) AS v(k)"))
+@query("a28", with_fixture("t", TRIAGE, f"SELECT k AS class, count(id) AS n FROM (VALUES ('Y'), ('Maybe'), ('N')) AS v(k) LEFT JOIN ({_TRIAGED}) ON class = k GROUP BY k"))
 def a28(spark, sf_dir):
     """Rows of each class of a fixed list."""
     c = F.col
-    held = table_of(spark, TRIAGE).select(X.triage(c("name"), c("description"), F.split("topics", r"\|"), c("readme")).alias("class"))
+    held = table_of(spark, TRIAGE, sf_dir).select(X.triage(c("name"), c("description"), F.split("topics", r"\|"), c("readme")).alias("class"))
     return spark.createDataFrame([("Y",), ("Maybe",), ("N",)], "class string").join(held.groupBy("class").agg(F.count("*").alias("n")), "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("t07", "SELECT * FROM (VALUES (1, 'x = 1'), (2, 'var u = \"http://a\";'), (3, 's = \"# kept\"')) AS v(id, code)")
+COMMENTED = dealt("(1,'python','x = 1','  # SECURE note'),(2,'javascript','var u = \"http://a\";',' // gone'),(3,'python','s = \"# kept\"','  #')", "id, lang, code, note", mix=("note",))
+
+
+@query("t07", with_fixture("t", COMMENTED, "SELECT id, code FROM t"))
 def t07(spark, sf_dir):
     """Code without comments."""
     from lodemill.functions.comments import strip_comments
 
-    codes = values("(1,'python','x = 1  # SECURE note'),(2,'javascript','var u = \"http://a\"; // gone'),(3,'python','s = \"# kept\"')", "id, lang, code")
-    return table_of(spark, codes).select("id", strip_comments(F.col("code"), F.col("lang")).alias("code"))
+    return table_of(spark, COMMENTED, sf_dir).select("id", strip_comments(F.concat("code", "note"), F.col("lang")).alias("code"))
+
+
+FENCED = dealt("(1,'bad','ok'),(2,'x','y'),(3,NULL,NULL)", "id, bad, good", mix=("bad",))
 
 
-@query("t08", "SELECT * FROM (VALUES (1, 'bad()', 'ok'), (2, 'x', 'y'), (3, NULL, NULL)) AS v(id, vulnerable, secure)")
+@query("t08", with_fixture("t", FENCED, "SELECT id, trim(bad) AS vulnerable, good AS secure FROM t"))
 def t08(spark, sf_dir):
-    """The best fenced block of each side."""
+    """The best fenced block of each side, titled or under a heading."""
     from lodemill.functions.fences import fenced_pair
 
-    rows = spark.createDataFrame([(1, '```js title="vulnerable.js"\nbad()\n```\n```py title="secure.py"\nok\n```'), (2, "## Vulnerable code\n\n```js\nx\n```\n## Secure code\n\n```js\ny\n```\n"), (3, None)], "id int, text string")
-    return rows.select("id", fenced_pair(F.col("text"), F.lit("javascript")).alias("p")).select("id", "p.*")
+    titled = F.format_string('```js title="vulnerable.js"\n%s\n```\n```py title="secure.py"\n%s\n```', "bad", "good")
+    headed = F.format_string("## Vulnerable code\n\n```js\n%s\n```\n## Secure code\n\n```js\n%s\n```\n", "bad", "good")
+    text = F.when(F.col("bad").isNull(), None).when(F.col("good") == "ok", titled).otherwise(headed)
+    return table_of(spark, FENCED, sf_dir).select("id", fenced_pair(text, F.lit("javascript")).alias("p")).select("id", "p.*")
 
 
-@query("r06", "SELECT * FROM (VALUES (1, 'short'), (2, NULL)) AS v(id, best)")
+@query("r06", "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN concat('short', lang) END AS best FROM documents")
 def r06(spark, sf_dir):
     """The best block: file ending and language count more than length; manifests are passed over."""
     from lodemill.functions.fences import best_block
 
-    rows = spark.createDataFrame([(1, [("js", "package.json", "x" * 50), ("", "a.md", "y" * 900), ("py", "b.py", "long " * 9), ("js", "c.js", "short\n")]), (2, [])], "id int, blocks array<struct<lang:string,title:string,body:string>>")
-    return rows.select("id", best_block(F.col("blocks"), F.lit("javascript")).alias("best"))
+    block = lambda lang, title, body: F.struct(F.lit(lang).alias("lang"), F.lit(title).alias("title"), body.alias("body"))
+    text = F.concat(F.lit("x"), F.repeat("source", 9))
+    blocks = F.array(block("js", "package.json", text), block("", "a.md", F.concat(text, text)), block("py", "b.py", text), block("js", "c.js", F.concat(F.lit("short"), "lang", F.lit("\n"))))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), best_block(F.when(F.col("doc_id") % 2 == 0, blocks).otherwise(F.slice(blocks, 1, 0)), F.lit("javascript")).alias("best"))
 
 
 @query("t09", "SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodemill.operators import topics as T
+from lodemill.operators.clustering import density_clusters
+from lodemill.operators.neighbours import nearest_graph
 from lodemill.registry import query, table
 
 CENTERS = "SELECT label, list(v ORDER BY k) AS center FROM (SELECT label, k, avg(v) AS v FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY label, k) GROUP BY label"
@@ -28,8 +30,22 @@ def j12(spark, sf_dir):
 
 @query("t12")
 def t12(spark, sf_dir):
-    """Topics by principal components and k-means."""
-    return T.fit_topics(table(spark, sf_dir, "embeddings"), 8)
+    """Topics by neighbours, layout and density: outliers are -1."""
+    return T.fit_topics(table(spark, sf_dir, "embeddings"), least=15, rounds=10)
+
+
+@query("t12_neighbours")
+def t12_neighbours(spark, sf_dir):
+    """The 30 nearest neighbours of every vector."""
+    return nearest_graph(table(spark, sf_dir, "embeddings"), 30)
+
+
+@query("t12_density")
+def t12_density(spark, sf_dir):
+    """Density clusters of the events' users by their habits, outliers -1."""
+    events = table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("user_id").agg(F.avg("value").alias("a"), F.stddev_pop("value").alias("b"), F.log1p(F.count("*")).alias("c"))
+    habits = events.select(F.col("user_id").cast("long").alias("vec_id"), F.array(*[F.round(F.coalesce(c, F.lit(0.0)), 6).cast("double") for c in ("a", "b", "c")]).alias("embedding"))
+    return density_clusters(habits, least=10, k=15)
 
 
 @query(
@@ -64,7 +80,31 @@ def j13(spark, sf_dir):
     return T.spread_topics(docs, given).select("doc_id", "topic")
 
 
-@query("a29")
+_TERMS = "list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))"
+
+
+@query(
+    "a29",
+    rf"""WITH d AS (SELECT lang, row_number() OVER () AS d, list_filter(list_transform(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9_\-\p{{L}}\p{{N}}]', ' ', 'g'), '[^ ]+'), lambda x: x), lambda x: TRUE) AS raw FROM documents WHERE FALSE),
+    c AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS tf, count(*) AS docs FROM (SELECT lang, doc_id, term, count(*) AS n FROM (SELECT lang, doc_id, unnest({_TERMS}) AS term FROM (SELECT lang, doc_id, {{words}} AS w FROM documents)) GROUP BY ALL) GROUP BY ALL),
+    p AS (SELECT term, sum(tf) AS f FROM c GROUP BY term HAVING sum(docs) >= 3 AND sum(docs) <= 0.9 * (SELECT count(*) FROM documents)),
+    k AS (SELECT c.lang, c.term, c.tf, CAST(p.f AS BIGINT) AS f FROM c JOIN p USING (term)), s AS (SELECT lang, CAST(sum(tf) AS DOUBLE) AS size FROM k GROUP BY lang),
+    x AS (SELECT k.*, sqrt(tf / size) * ln(1 + (SELECT avg(size) FROM s) / f) AS score FROM k JOIN s USING (lang))
+    SELECT * FROM (SELECT lang, term, tf, f, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY lang ORDER BY round(score, 12) DESC, term) AS INTEGER) AS place FROM x) WHERE place <= 10""",
+)
 def a29(spark, sf_dir):
     """Keywords of each language."""
-    return T.keywords(table(spark, sf_dir, "documents"), "lang", "text")
+    return T.keywords(table(spark, sf_dir, "documents"), "lang", "text").withColumn("score", F.round("score", 6))
+
+
+@query("t12_keywords")
+def t12_keywords(spark, sf_dir):
+    """The languages' keywords chosen anew by vectors, each unlike those before; a term's vector counts its pairs of letters."""
+    docs = table(spark, sf_dir, "documents")
+    scored = T.keywords(docs, "lang", "text", n=100)
+    letters = [chr(97 + k) for k in range(26)]
+    counted = lambda c: F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(x)))).cast("double") for x in letters])
+    vectors = scored.select("term").distinct().withColumn("embedding", counted(F.col("term")))
+    weighed = scored.join(vectors, "term").select("lang", F.posexplode("embedding").alias("k", "v"), "tf").groupBy("lang", "k").agg(F.sum(F.col("v") * F.col("tf")).alias("v"))
+    middles = weighed.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("center"))
+    return T.refined_keywords(scored, vectors, middles, topic="lang")
