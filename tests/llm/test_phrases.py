@@ -54,13 +54,13 @@ def test_equals_plain_counts(spark, least, longest, share, top):
 
 def test_many_blocks_and_trees(spark, monkeypatch):
     """Narrow blocks, short runs and a tree of more than one step give the same."""
-    rows = texts(1, 300)
+    rows = texts(1, 80)
     for name, value in (("BLOCK_SLOTS", 4), ("ADDED", 2), ("TEXT_BYTES", 2000), ("REMEMBERED", 10)):
         monkeypatch.setattr(phrases, name, value)
     monkeypatch.setattr(runs, "FAN", 4)  # the 32 shards by three deals
     monkeypatch.setattr(runs, "RUN_BYTES", 1 << 14)
     docs = spark.createDataFrame(rows, SHAPE).repartition(7)
-    assert rows_of(phrases.mine(docs, Shared.create(spark, "test"), least=2)) == counted(rows, 2, 5, 100, 2000)
+    assert rows_of(phrases.mine(docs, Shared.create(spark, "test"), least=3, longest=3)) == counted(rows, 3, 3, 100, 2000)
 
 
 def test_no_texts(spark):
