@@ -58,12 +58,12 @@ def modeling_text(text: Column, most: int = R.TEXT_CHARS, keep_code: bool = Fals
 
 def is_english(text: Column) -> Column:
     """Nearly all letters ASCII, counted by whole words, and enough function words; false without letters."""
-    low, letter = F.lower(text), r"[^\W\d_]"
-    size = lambda pattern: F.length(low) - F.length(replaced(low, pattern, ""))
-    count = lambda pattern: F.regexp_count(low, F.lit(java(pattern)))
-    whole = lambda inner: rf"(?<!{letter})(?:{inner})(?!{letter})"
-    plain, letters = size(whole("[a-z]+")), size(f"{letter}+")
-    share = (F.try_divide(plain, letters) >= R.ASCII_SHARE) & (F.try_divide(count(whole("|".join(R.FUNCTION_WORDS))), count(f"{letter}+")) >= R.FUNCTION_SHARE)
+    words = F.trim(F.regexp_replace(F.lower(text), java(r"[\W\d_]++"), " "))  # the one pass over all characters
+    letters = F.length(F.replace(words, F.lit(" "), F.lit("")))
+    count = F.when(letters > 0, F.length(words) - letters + 1)
+    plain = F.length(F.replace(F.regexp_replace(words, "([a-z]++(?![^ ]))|[^ ]++", "$1"), F.lit(" "), F.lit("")))
+    functional = F.regexp_count(F.concat(F.lit(" "), words), F.lit(f" (?:{'|'.join(R.FUNCTION_WORDS)})(?![^ ])"))
+    share = (F.try_divide(plain, letters) >= R.ASCII_SHARE) & (F.try_divide(functional, count) >= R.FUNCTION_SHARE)
     return F.coalesce(share, F.lit(False))
 
 

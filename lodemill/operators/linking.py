@@ -64,7 +64,7 @@ def merge_first(left: DataFrame, right: DataFrame, key: str, order: str = "ord")
 
 def cells(left: DataFrame, right: DataFrame, skip: DataFrame) -> DataFrame:
     """Every combination of two small dimension tables but those to skip."""
-    return left.crossJoin(F.broadcast(right)).join(skip, skip.columns, "left_anti")
+    return left.crossJoin(right).join(skip, skip.columns, "left_anti")
 
 
 def waterfall(*lookups: tuple[str, Column]) -> tuple[Column, Column]:

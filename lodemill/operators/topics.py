@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemill.functions.regex import all_matches
+from lodemill.operators.numbering import numbered
 from lodemill.sources.readers import Scratch
 
 
@@ -165,8 +166,8 @@ def renumber(rows: DataFrame, merged: dict[int, int], dropped: tuple[int, ...] =
         new = F.when(F.col(topic) == a, b).otherwise(new)
     kept = rows.withColumn("__t", F.when(new.isin(list(dropped)) | (new < 0), -1).otherwise(new))
     sizes = kept.where("__t >= 0").groupBy("__t").agg(F.count("*").alias("n"))
-    numbered = sizes.withColumn("__new", F.row_number().over(Window.orderBy(F.desc("n"), "__t")) - 1).select("__t", "__new")
-    return kept.join(F.broadcast(numbered), "__t", "left").withColumn(topic, F.coalesce("__new", F.lit(-1))).drop("__t", "__new")
+    new = numbered(sizes.withColumn("__fewer", -F.col("n")), ["__fewer", "__t"], "__new").select("__t", F.col("__new").cast("int").alias("__new"))
+    return kept.join(new, "__t", "left").withColumn(topic, F.coalesce("__new", F.lit(-1))).drop("__t", "__new")
 
 
 def keywords(rows: DataFrame, topic: str, text: str, least_docs: int = 3, most_share: float = 0.9, n: int = 10, stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -186,7 +187,7 @@ def keywords(rows: DataFrame, topic: str, text: str, least_docs: int = 3, most_s
     kept = by_topic.join(per_term, "term")
     sizes = kept.groupBy(topic).agg(F.sum("tf").alias("size"))
     mean = sizes.agg(F.avg("size").alias("a"))
-    scored = kept.join(F.broadcast(sizes), topic).crossJoin(F.broadcast(mean)).withColumn("score", F.sqrt(F.col("tf") / F.col("size")) * F.log(1 + F.col("a") / F.col("f")))
+    scored = kept.join(sizes, topic).crossJoin(F.broadcast(mean)).withColumn("score", F.sqrt(F.col("tf") / F.col("size")) * F.log(1 + F.col("a") / F.col("f")))
     place = F.row_number().over(Window.partitionBy(topic).orderBy(F.desc(F.round("score", 12)), "term"))
     return scored.withColumn("place", place).where(F.col("place") <= n).select(topic, "term", "tf", "f", "score", "place")
 

@@ -80,13 +80,14 @@ def j13(spark, sf_dir):
     return T.spread_topics(docs, given).select("doc_id", "topic")
 
 
+#: Letters beyond ASCII as one that stands in no word, so that word ends are those of all letters.
+_WORDS = r"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[\x{80}-\x{10FFFF}]', 'Z', 'g'), '\b[a-z][a-z0-9_-]{2,}\b')"
 _TERMS = "list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))"
 
 
 @query(
     "a29",
-    rf"""WITH d AS (SELECT lang, row_number() OVER () AS d, list_filter(list_transform(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9_\-\p{{L}}\p{{N}}]', ' ', 'g'), '[^ ]+'), lambda x: x), lambda x: TRUE) AS raw FROM documents WHERE FALSE),
-    c AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS tf, count(*) AS docs FROM (SELECT lang, doc_id, term, count(*) AS n FROM (SELECT lang, doc_id, unnest({_TERMS}) AS term FROM (SELECT lang, doc_id, {{words}} AS w FROM documents)) GROUP BY ALL) GROUP BY ALL),
+    f"""WITH c AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS tf, count(*) AS docs FROM (SELECT lang, doc_id, term, count(*) AS n FROM (SELECT lang, doc_id, unnest({_TERMS}) AS term FROM (SELECT lang, doc_id, {_WORDS} AS w FROM documents)) GROUP BY ALL) GROUP BY ALL),
     p AS (SELECT term, sum(tf) AS f FROM c GROUP BY term HAVING sum(docs) >= 3 AND sum(docs) <= 0.9 * (SELECT count(*) FROM documents)),
     k AS (SELECT c.lang, c.term, c.tf, CAST(p.f AS BIGINT) AS f FROM c JOIN p USING (term)), s AS (SELECT lang, CAST(sum(tf) AS DOUBLE) AS size FROM k GROUP BY lang),
     x AS (SELECT k.*, sqrt(tf / size) * ln(1 + (SELECT avg(size) FROM s) / f) AS score FROM k JOIN s USING (lang))

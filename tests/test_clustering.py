@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lodemill.operators import clustering, neighbours
+from lodemill.operators import clustering, layout, neighbours
 
 
 def blobs(n, dims, centres, seed, noise=0.15, spread=0.35):
@@ -180,3 +180,25 @@ def test_clusters_of_blobs(spark):
 def test_no_split_is_no_cluster(spark):
     x = np.random.default_rng(1).normal(0, 1, (120, 3))
     assert {r["topic"] for r in clustering.density_clusters(table(spark, x), least=50).collect()} == {-1}
+
+
+def test_layout_keeps_neighbours_better_than_components(spark):
+    x = blobs(300, 24, 6, 9, noise=0.3)
+    rows = table(spark, x)
+    graph = neighbours.nearest_graph(rows, 15).cache()
+    trusted = {}
+    for name, df in (("components", layout.principal(rows, 3, "vec_id", "embedding").withColumnRenamed("id", "vec_id")), ("layout", layout.layout(rows, graph, 3, 12)), ("again", layout.layout(rows.repartition(2), graph, 3, 12))):
+        place = {r["vec_id"]: r["place"] for r in df.collect()}
+        assert sorted(place) == list(range(300))
+        trusted[name] = layout.trustworthiness(x, np.array([place[k] for k in range(300)]))
+    assert trusted["layout"] > trusted["components"] and abs(trusted["layout"] - trusted["again"]) < 0.02
+
+
+def test_fuzzy_weights(spark):
+    graph = spark.createDataFrame([(1, 2, 0.5), (1, 3, 1.0), (1, 4, 2.0), (2, 1, 0.5), (2, 3, 0.5), (5, 5 + 1, 0.0)], "id long, neighbour long, distance double")
+    got = {(r["i"], r["j"]): r["w"] for r in layout.fuzzy_weights(graph).collect()}
+    assert all(abs(got[j, i] - w) < 1e-12 for (i, j), w in got.items()) and got[1, 2] == pytest.approx(1) and got[5, 6] == pytest.approx(1)
+    falling = layout._falling(np.array([0.5, 1.0, 2.0]))
+    assert falling[0] == 1 and falling.sum() == pytest.approx(np.log2(3), abs=1e-4) and got[1, 3] == pytest.approx(falling[1])
+    a, b = layout.curve(0.05)
+    assert 1.5 < a < 2.0 and 0.8 < b < 0.9
