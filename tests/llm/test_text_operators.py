@@ -366,3 +366,47 @@ def test_damaged_streams_give_no_frames(spark):
     rows = [(k, x) for k, x in enumerate(cut)] + [(-1, b""), (-2, b"GIF89a"), (-3, None)]
     got = gif.frames_column(spark.createDataFrame(rows, "doc_id long, gif binary"), "doc_id", "gif").collect()
     assert {r["doc_id"] for r in got} == {k for k, _ in rows}
+
+
+def plain_language(model, text):
+    """Language, score and rejection of a text, subword by subword from the stored table."""
+    import math
+
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    raw = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()) + b"    "
+    total, count, seen, whole = [0.0] * len(model.langs), 0, 0, 0
+    for i in range(len(raw)):
+        for size in range(1, 5):
+            run = raw[i : i + size]
+            if len(run) < size or (run[0] == 32 if size == 1 else run[:2] == b"  "):
+                continue
+            value = 0
+            for b in run:
+                value = value * 257 + b + 1
+            mixed = value * 0x9E3779B97F4A7C15 % 2**64
+            total = [x + float(y) for x, y in zip(total, model.table[mixed >> 64 - langid.BUCKET_BITS])]
+            count += 1
+            if size == 4 and 32 not in run[1:3]:
+                whole += 1
+                seen += bool(model.seen[mixed >> 64 - langid.SEEN_BITS])
+    z = [(x / count + float(b)) * model.scale for x, b in zip(total, model.bias)]
+    e = [math.exp(x - max(z)) for x in z]
+    best = max(range(len(z)), key=lambda k: (z[k], -k))
+    score, share = e[best] / sum(e), seen / whole if whole else 1.0
+    return model.langs[best], score, score < model.least or share < model.least_seen
+
+
+def test_language_equals_plain_scorer(spark):
+    """Every held-out document's prediction, probability and rejection, and those of odd texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = langid.train(docs, usable=fold != 1)
+    texts = {r["doc_id"]: r["text"] for r in docs.where(fold == 1).where("length(text) < 1500").collect()}
+    texts |= {-1: "a", -2: "É", -3: "x y", -4: "Straße über den Fluss", -5: "日本語 text", -6: "\n\n the \t of", -7: "12", -8: None, -9: "ab" * 3000}
+    odd = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
+    assert len(got) == len(texts) > 150
+    for k, text in texts.items():
+        lang, score, rejected = plain_language(model, text)
+        assert (got[k]["lang_pred"], got[k]["rejected"]) == (lang, rejected) and abs(got[k]["score"] - score) < 1e-4
