@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 
 from lodemill.llm.common import map_arrow
 
+#: Pixels of a canvas or an image at most; beyond them a GIF counts as unreadable.
+MOST_PIXELS = 1 << 25
 #: Bytes in a unit of the payload, and the frame that holds sixteen of them.
 UNIT, WIDTH, HEIGHT = 576, 96, 96
 PAD = b"\xff"
@@ -193,10 +195,17 @@ def _interlaced(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bounded(width: int, height: int) -> None:
+    """Refuse a size that only claims pixels: a few bytes may say 65,535 by 65,535."""
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"{width} x {height} pixels are more than {MOST_PIXELS}")
+
+
 def images(data: bytes) -> Iterator[tuple[tuple[int, int, int, int], np.ndarray, np.ndarray, int | None, int, int]]:
     """The single images: place, indexes, palette, transparent index, disposal, delay in hundredths."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
+    _bounded(*struct.unpack_from("<HH", data, 6))
     flags, at = data[10], 13
     common = None
     if flags & 0x80:
@@ -220,6 +229,7 @@ def images(data: bytes) -> Iterator[tuple[tuple[int, int, int, int], np.ndarray,
                 transparent = control[3] if control[0] & 1 else None
         elif data[at] == 0x2C:
             left, top, width, height, flags = struct.unpack_from("<HHHHB", data, at + 1)
+            _bounded(width, height)
             at, palette = at + 10, common
             if flags & 0x80:
                 n = 3 << (flags & 7) + 1
@@ -239,6 +249,7 @@ def images(data: bytes) -> Iterator[tuple[tuple[int, int, int, int], np.ndarray,
 def decode(data: bytes) -> Iterator[Frame]:
     """The timed frames, each as the whole canvas after it is drawn."""
     width, height = struct.unpack_from("<HH", data, 6)
+    _bounded(width, height)
     canvas = np.zeros((height, width, 4), np.uint8)
     time = 0
     for (left, top, w, h), rows, palette, transparent, disposal, delay in images(data):

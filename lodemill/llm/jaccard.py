@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import SPACED, U64, Shared, bound_batches, by_key, find, gather, gathered, hash_words, map_arrow, mix, pack, roll, shard_of, shards_for, shared_key, signed, sum_by_key, unpack, utf8
+from lodemill.llm import runs
+from lodemill.llm.common import SPACED, U64, Shared, bound_batches, by_key, find, gather, gathered, hash_words, map_arrow, mix, roll, shard_of, shards_for, signed, sum_by_key, unpack, utf8
 from lodemill.llm.graph import components
 from lodemill.llm.lookup import look_up, save_sorted
 
@@ -68,18 +69,15 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, n
 
 def count_shingles(docs: DataFrame, text_col: str, shared: Shared, shards: int, size: int) -> None:
     """Write the shingles that more than one document holds, and in how many, by shard."""
-    cut = U64(64 - COUNT_BITS)
+    cut, parts = U64(64 - COUNT_BITS), runs.widths(shards)[0]
 
-    def runs(batches) -> Iterator[pa.RecordBatch]:
+    def counted(batches) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
             keys, n = sum_by_key(np.concatenate(held), np.ones(sum(map(len, held)), np.uint32))
             held.clear()
-            edges = np.searchsorted(shard_of(keys << cut, shards), np.arange(shards + 1))
-            kept = [s for s in range(shards) if edges[s] < edges[s + 1]]
-            small = n.astype(np.uint8) if n.max() < 256 else n
-            return pa.RecordBatch.from_pydict({"shard": pa.array(kept, pa.int32()), "run": pa.array([pack(keys[edges[s] : edges[s + 1]], small[edges[s] : edges[s + 1]]) for s in kept], pa.binary())})
+            return runs.cut(keys, n, parts, keys << cut)
 
         for batch in batches:
             g, _ = shingle_sets(utf8(batch.column(0)), size)
@@ -96,8 +94,7 @@ def count_shingles(docs: DataFrame, text_col: str, shared: Shared, shards: int,
             shared.save(f"counts-{shard}", n[n > 1].astype(np.uint32))
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32())})
 
-    found = map_arrow(docs.select(text_col), runs, "shard int, run binary")
-    dealt = found.repartition(shards, shared_key("shard", shards)).sortWithinPartitions("shard")
+    dealt = runs.dealt(map_arrow(docs.select(text_col), counted, runs.RUN), shards, 64 - COUNT_BITS)
     done = {r["shard"] for r in gather(map_arrow(dealt, merge, "shard int"))}  # one row for each shard
     for s in set(range(shards)) - done:
         shared.save(f"shingles-{s}", np.zeros(0, U64))

@@ -202,7 +202,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             chosen.add(r["h"])
     if not chosen:
         return fit([], [])
-    got = labelled.where(F.col("h") <= max(chosen)).where(F.col("h").isin(sorted(chosen))).limit(len(lowest)).collect()
+    # Of rows that share id and length those with the lowest hash of the text.
+    some = labelled.where(F.col("h") <= max(chosen)).where(F.col("h").isin(sorted(chosen)))
+    got = some.orderBy("h", F.xxhash64("t"), "l").limit(len(lowest)).collect()
     got.sort(key=lambda r: (r["h"], str(r["k"]), r["t"]))
     return fit([r["t"] for r in got], [r["l"] for r in got])
 

@@ -16,7 +16,7 @@ shuffled as sorted runs, and only those that several lines have in common become
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import ROLL, SPACED, U64, Shared, by_key, gather, hash_words, map_arrow, mix, pack, shard_of, shards_for, shared_key, signed, unpack
+from lodemill.llm import runs
+from lodemill.llm.common import ROLL, SPACED, U64, Shared, by_key, gather, hash_words, map_arrow, mix, pack, shard_of, shards_for, signed, unpack
 from lodemill.llm.lookup import look_up, save_sorted
 
 #: Words from which a line may go, and from which it goes for a line that is near.
@@ -144,10 +145,10 @@ class Rules:
 
 
 class Held:
-    """Gathers (hash, line key, role) of a task and gives sorted runs of distinct ones, by shard."""
+    """Gathers (hash, line key, role) of a task and gives sorted runs of distinct ones, by hash range."""
 
-    def __init__(self, shards: int):
-        self.shards, self.parts, self.size = shards, [], 0
+    def __init__(self, ranges: int):
+        self.ranges, self.parts, self.size = ranges, [], 0
 
     def add(self, hashes: np.ndarray, keys: np.ndarray, roles: np.ndarray) -> None:
         self.parts.append((hashes, keys, roles))
@@ -158,8 +159,8 @@ class Held:
             return []
         hashes, keys, roles = _distinct(*map(np.concatenate, zip(*self.parts, strict=True)))
         self.parts, self.size = [], 0
-        edges = np.searchsorted(shard_of(hashes, self.shards), np.arange(self.shards + 1))
-        cut = [(s, slice(edges[s], edges[s + 1])) for s in range(self.shards) if edges[s] < edges[s + 1]]
+        edges = np.searchsorted(shard_of(hashes, self.ranges), np.arange(self.ranges + 1))
+        cut = [(s, slice(edges[s], edges[s + 1])) for s in range(self.ranges) if edges[s] < edges[s + 1]]
         return [(s, pack(hashes[c], keys[c], roles[c])) for s, c in cut]
 
 
@@ -187,8 +188,23 @@ def _shared_ones(blobs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     return hashes[kept], keys[kept], roles[kept]
 
 
-def _dealt(runs: DataFrame, shards: int) -> DataFrame:
-    return runs.where("run is not null").select("shard", "run").repartition(shards, shared_key("shard", shards)).sortWithinPartitions("shard")
+def _recut(blobs: Iterable[bytes], parts: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a range folded and cut into more ranges."""
+    held = Held(parts)
+
+    def out(found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in found], pa.int32()), "run": pa.array([r for _, r in found], pa.binary())})
+
+    for blob in blobs:
+        held.add(*unpack(blob))
+        yield from out(held.runs(RUN))
+    yield from out(held.runs())
+
+
+def _dealt(found: DataFrame, shards: int) -> DataFrame:
+    rows = found.where("run is not null").select(F.col("shard").alias("part"), "run")
+    return runs.dealt(rows, shards, recut=_recut)
 
 
 def learn(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str = "text", same_words: int = SAME_WORDS, near_words: int = NEAR_WORDS) -> Rules:
@@ -198,10 +214,11 @@ def learn(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str
     equal ones.
     """
     shards = shards_for(docs)
+    parts = runs.widths(shards)[0]
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_col)
 
     def every(batches) -> Iterator[pa.RecordBatch]:
-        held = Held(shards)
+        held = Held(parts)
         for batch in batches:
             texts = _texts(batch.column(1))
             lines, ids, ties = Lines(texts), _ids(batch.column(0)), _tie(texts)
@@ -241,7 +258,7 @@ def learn(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str
 
     def neighbours(batches) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        held = Held(shards)
+        held = Held(parts)
 
         def out(keys: list[int], words: list[bytes], runs: list[tuple[int, bytes]]) -> pa.RecordBatch:
             k, r = len(keys), len(runs)

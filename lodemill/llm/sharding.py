@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from lodemill.llm.common import Shared
 
+#: Bytes of text that a task writes.
+TASK_BYTES = 256 << 20
+
 BITS = 32
 #: Bits beyond the average shard's that are summed at first, and bits added for what is still too large.
 SPARE, MORE = 3, 8
@@ -78,7 +81,8 @@ def assign(rows: DataFrame, limit: int, shared: Shared, key: str = "doc_id", tex
     """
     also = ["row"] if carry else []
     own = rows.select(F.col(key), *([F.struct("*").alias("row")] if carry else []), key_hash(F.col(key)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
-    sized = shared.table(own, "sized")
+    # Where a row comes from splits rows of one hash into pages later: joins bring them together.
+    sized = shared.table(own.withColumn("part", F.spark_partition_id()), "sized")
     shards, levels = directory(sized.select("h", "bytes"), limit, shared)
     digits = F.when(F.col("bits") == 0, F.lit("*")).otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("bits"), F.lit("0")))
     named = shards.select(F.col("bits").alias("at_bits"), F.col("prefix").alias("at"), digits.alias("shard"), "bits", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "fits")
@@ -90,7 +94,7 @@ def assign(rows: DataFrame, limit: int, shared: Shared, key: str = "doc_id", tex
     if not shards.where("not fits").limit(1).count():
         return fitting.withColumn("oversize", F.lit(False))
     # Rows of one hash: each input partition fills pages of its own.
-    crowd = found.where("not fits").withColumn("part", F.spark_partition_id())
+    crowd = found.where("not fits")
     before = Window.partitionBy("h", "part").orderBy("bytes", key)
     paged = shared.table(crowd.withColumn("page", F.floor((F.sum("bytes").over(before.rowsBetween(Window.unboundedPreceding, 0)) - 1) / F.lit(max(1, limit // 2))).cast("long")), "paged")
     # A row that straddles two pages is counted where it ends, so a page holds half the limit and one row.
@@ -103,10 +107,14 @@ def assign(rows: DataFrame, limit: int, shared: Shared, key: str = "doc_id", tex
     return fitting.unionByName(full).withColumn("oversize", F.col("shard_bytes") > limit)
 
 
-def write_shards(rows: DataFrame, limit: int, shared: Shared, path: str, key: str = "doc_id", text_col: str = "text", files: int = 200) -> None:
-    """Write the rows by shard: one folder a shard, and a task's rows of one shard in one file. Keys may be null and repeat."""
-    placed = assign(rows, limit, shared, key, text_col, carry=True).select("row.*", "shard")
-    placed.repartition(files, "shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+def write_shards(rows: DataFrame, limit: int, shared: Shared, path: str, key: str = "doc_id", text_col: str = "text", task_bytes: int = TASK_BYTES) -> None:
+    """Write the rows by shard: one folder a shard, and a task's rows of one shard in one file. Keys may be null and repeat.
+
+    There are as many tasks as the texts have ``task_bytes``.
+    """
+    placed = shared.table(assign(rows, limit, shared, key, text_col, carry=True).select("row", "bytes", "shard"), "placed")
+    total = placed.agg(F.sum("bytes").alias("b")).first()["b"] or 0
+    placed.select("row.*", "shard").repartition(max(8, -(-total // task_bytes)), "shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
 
 
 #: The shards of the query over ``documents``; pages do not occur there.

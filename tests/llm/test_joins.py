@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodemill.llm import decontaminate, jaccard, lines, ngram_lm, sharding
+from lodemill.llm import decontaminate, jaccard, lines, ngram_lm, runs, sharding
 from lodemill.llm.common import Shared
 
 DOC, ITEM = "doc_id long, text string", "item_id long, text string"
@@ -129,6 +129,14 @@ def test_jaccard_components(spark, seed, block):
     assert groups(spark, docs, block_bytes=block) == brute.jaccard_groups(docs)
 
 
+def test_deals_of_a_few_parts(spark, sample, monkeypatch):
+    """The shards of both joins reached by three deals."""
+    monkeypatch.setattr(runs, "FAN", 4)
+    docs = [*sample[:120], (None, sample[3][1]), (10**6, sample[5][1])]
+    assert report(spark, docs) == brute.dropped_lines(docs)
+    assert groups(spark, docs) == brute.jaccard_groups(docs)
+
+
 def test_jaccard_of_nothing(spark):
     assert groups(spark, []) == []
 
@@ -261,7 +269,7 @@ def test_sharding(spark):
 def test_written_shards_hold_every_row(spark, tmp_path):
     rows = [(None, "n" * 30, 1), (None, None, 2), *[(7, "x" * 100, k) for k in range(20)], *[(k, "z" * 20, k) for k in range(10, 60)]]
     d = spark.createDataFrame(rows, DOC + ", extra long")
-    sharding.write_shards(d, 1000, Shared.create(spark, "t"), f"{tmp_path}/out", files=4)
+    sharding.write_shards(d, 1000, Shared.create(spark, "t"), f"{tmp_path}/out", task_bytes=1000)
     back = spark.read.parquet(f"{tmp_path}/out")
     assert sorted(map(tuple, back.select("doc_id", "text", "extra").collect()), key=str) == sorted(rows, key=str)
     assert back.select("shard").distinct().count() > 1

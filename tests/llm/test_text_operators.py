@@ -410,3 +410,37 @@ def test_language_equals_plain_scorer(spark):
     for k, text in texts.items():
         lang, score, rejected = plain_language(model, text)
         assert (got[k]["lang_pred"], got[k]["rejected"]) == (lang, rejected) and abs(got[k]["score"] - score) < 1e-4
+
+
+def test_claimed_pixels_are_refused(spark):
+    """A few bytes that claim very many pixels, as the canvas or as an image, give an error row and take no memory."""
+    import struct
+
+    canvas = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x08\x02\x00\x01\x00;"
+    image = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x08\x02\x00\x01\x00;"
+    got = gif.frames_column(spark.createDataFrame([(1, bytearray(canvas)), (2, bytearray(image)), (3, None)], "k int, g binary"), "k", "g").collect()
+    assert sorted((r["k"], r["frame"], "pixels" in (r["error"] or "")) for r in got) == [(1, None, True), (2, None, True), (3, None, False)]
+
+
+def test_files_open_at_once(tmp_path):
+    """2,000 stored shards are read under a limit of 256 open files."""
+    import subprocess
+    import sys
+
+    code = f"""
+import resource, numpy as np
+resource.setrlimit(resource.RLIMIT_NOFILE, (256, 256))
+from lodemill.llm.common import Shared, U64
+from lodemill.llm.lookup import look_up
+shared = Shared("file://{tmp_path}")
+keys = (np.arange(2000, dtype=U64) << U64(53)) + U64(7)
+for s in range(2048):
+    own = keys[s : s + 1]
+    shared.save(f"t-key-{{s}}", own)
+    shared.save(f"t-v-{{s}}", own.astype(np.int64) >> 53)
+hit, (v,) = look_up(keys, shared, "t", ["key", "v"], 2048)
+assert hit.all() and (v == np.arange(2000)).all()
+hit, (v,) = look_up(keys[::-1], shared, "t", ["key", "v"], 2048)
+assert hit.all() and (v[::-1] == np.arange(2000)).all()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True)
