@@ -47,3 +47,15 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_query_reads_the_given_tables(spark, tmp_path):
+    """No query can be built where there are no tables."""
+    built = []
+    for name, function in registry.queries().items():
+        try:
+            function(spark, str(tmp_path / "missing"))
+            built.append(name)
+        except Exception as e:  # noqa: BLE001
+            assert "PATH_NOT_FOUND" in str(e) or "TABLE_OR_VIEW_NOT_FOUND" in str(e), name
+    assert not built
