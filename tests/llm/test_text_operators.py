@@ -437,7 +437,7 @@ keys = (np.arange(2000, dtype=U64) << U64(53)) + U64(7)
 for s in range(2048):
     own = keys[s : s + 1]
     shared.save(f"t-key-{{s}}", own)
-    shared.save(f"t-v-{{s}}", own.astype(np.int64) >> 53)
+    shared.save(f"t-v-{{s}}", (own >> U64(53)).astype(np.int64))
 hit, (v,) = look_up(keys, shared, "t", ["key", "v"], 2048)
 assert hit.all() and (v == np.arange(2000)).all()
 hit, (v,) = look_up(keys[::-1], shared, "t", ["key", "v"], 2048)
