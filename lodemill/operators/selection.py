@@ -49,7 +49,7 @@ def places(rows: DataFrame, value: Column, at: dict[str, Column], by: list[str]
     ``at`` gives places from 0 by ``n``, the group's number of values that are not null; a place outside has null, and so
     has a group without values. Decimals are taken as doubles; whole numbers stay longs. Null group keys are a group.
     """
-    by, spark = by or [], rows.sparkSession
+    by = by or []
     held = rows.select(*by, value.alias("__v")).where("__v IS NOT NULL")
     whole = held.schema["__v"].dataType.simpleString() in _WHOLE
     if whole:
@@ -81,7 +81,6 @@ def places(rows: DataFrame, value: Column, at: dict[str, Column], by: list[str]
         codes = _mapped(codes, "__c", _values, "double")
     wide = codes.groupBy(*groups).agg(*[F.max(F.when(F.col("name") == name, F.col("__c"))).alias(name) for name in at])
     joined = sizes.alias("s").join(wide.alias("w"), same("s", "w"), "left")
-    del spark
     return joined.select(*[F.col(f"s.{g}").alias(b) for b, g in zip(by, groups, strict=True)], "s.n", *[F.col(f"w.{name}") for name in at])
 
 
